@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrules, packing, secret_scan, tokencount, urlrules
+from . import decontam, hostrules, ngramjoin, packing, secret_scan, tokencount, urlrules
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +35,10 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -49,6 +53,7 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op3_decontamination": op3_decontamination,
         "op5_url_rules": op5_url_rules,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op9_token_counts": op9_token_counts,
         "op10_host_rules": op10_host_rules,
     }
