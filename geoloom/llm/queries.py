@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrules, ngramjoin, packing, secret_scan, tokencount, urlrules
+from . import decontam, hostrules, linededup, ngramjoin, packing, secret_scan, tokencount, urlrules
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup(docs)
+    return out.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"))
 
@@ -52,6 +58,7 @@ def queries() -> dict:
         "op1_harmonic_packing": op1_harmonic_packing,
         "op2_secret_scan": op2_secret_scan,
         "op3_decontamination": op3_decontamination,
+        "op4_line_dedup": op4_line_dedup,
         "op5_url_rules": op5_url_rules,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op9_token_counts": op9_token_counts,
