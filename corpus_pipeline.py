@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoloom.llm import decontam, hostrules, packing
+from geoloom.llm import decontam, hostrules, linededup, ngramjoin, packing
 from geoloom.llm.common import written
 from geoloom.llm.queries import table, vocabulary
 
@@ -14,6 +15,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return hostrules.keep(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones, and with their new lengths; those of which no word is left go."""
+    cleaned = linededup.dedup(docs)
+    changed = F.size("removed_lines") > 0
+    left = cleaned.where(~changed | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngramjoin.keep_one(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark's items."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -26,6 +40,8 @@ def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
     ("benchmark_decontamination", benchmark_decontamination),
     ("harmonic_packing", harmonic_packing),
 ]

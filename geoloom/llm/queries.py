@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrules, linededup, ngramjoin, packing, secret_scan, tokencount, urlrules
+from . import chat, decontam, hostrules, linededup, ngramjoin, packing, pii, secret_scan, tokencount, urlrules
 
 
 def vocabulary(name: str) -> str:
@@ -45,6 +45,19 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents")).drop("key")
 
 
+#: Only stands in where the session names no key; pseudonyms made with it can be undone by anyone.
+OPEN_KEY = "not a secret: set spark.geoloom.pii.key"
+
+
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.geoloom.pii.key", OPEN_KEY).encode()
+    return pii.digest(pii.protect(table(spark, sf_dir, "documents"), key))
+
+
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -61,10 +74,36 @@ def queries() -> dict:
         "op4_line_dedup": op4_line_dedup,
         "op5_url_rules": op5_url_rules,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_pii_pseudonyms": op7_pii_pseudonyms,
+        "op8_perspective_rotation": op8_perspective_rotation,
         "op9_token_counts": op9_token_counts,
         "op10_host_rules": op10_host_rules,
     }
 
 
+#: The rotation in SQL: FRAMES, SEGMENT and the marks are those of chat.py.
+OP8 = r"""
+WITH m AS (
+  SELECT conv_id, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS content,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+r AS (
+  SELECT m.conv_id, participant, pos, pos // 64 AS segment, coalesce(role = participant, false) AS mine, content,
+         '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
+                                ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head
+  FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, head || content || '<|im_end|>' || chr(10) AS piece, length(content) + 10 AS tail,
+         coalesce(sum(length(head) + length(content) + 11) OVER (PARTITION BY conv_id, participant, segment ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins
+  FROM r)
+SELECT conv_id, participant, CAST(segment AS BIGINT) AS segment, count(*) AS n_messages, count(*) FILTER (mine) AS n_trained,
+       string_agg(piece, '' ORDER BY pos) AS text,
+       coalesce(string_agg(CAST(CAST(begins AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begins + tail AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (mine), '') AS mask
+FROM o GROUP BY conv_id, participant, segment
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_perspective_rotation": OP8}
