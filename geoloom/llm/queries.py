@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hostrules, linededup, ngramjoin, packing, pii, secret_scan, tokencount, urlrules
+from . import chat, decontam, hostrules, linededup, ngramjoin, oracles, packing, pii, secret_scan, tokencount, urlrules
 
 
 def vocabulary(name: str) -> str:
@@ -28,13 +28,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("spans")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.dedup(docs)
-    return out.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+    return out.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.transform("removed_lines", lambda n: n.cast("string")), ",").alias("removed"))
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,29 +81,13 @@ def queries() -> dict:
     }
 
 
-#: The rotation in SQL: FRAMES, SEGMENT and the marks are those of chat.py.
-OP8 = r"""
-WITH m AS (
-  SELECT conv_id, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS content,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
-  FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
-r AS (
-  SELECT m.conv_id, participant, pos, pos // 64 AS segment, coalesce(role = participant, false) AS mine, content,
-         '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
-                                ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head
-  FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (
-  SELECT *, head || content || '<|im_end|>' || chr(10) AS piece, length(content) + 10 AS tail,
-         coalesce(sum(length(head) + length(content) + 11) OVER (PARTITION BY conv_id, participant, segment ORDER BY pos
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins
-  FROM r)
-SELECT conv_id, participant, CAST(segment AS BIGINT) AS segment, count(*) AS n_messages, count(*) FILTER (mine) AS n_trained,
-       string_agg(piece, '' ORDER BY pos) AS text,
-       coalesce(string_agg(CAST(CAST(begins AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begins + tail AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (mine), '') AS mask
-FROM o GROUP BY conv_id, participant, segment
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op8_perspective_rotation": OP8}
+    """SQL for all but packing, token counts, guess costs and keyed pseudonyms, which SQL can't express; tests hold those against brute force."""
+    return {
+        "op3_decontamination": oracles.OP3,
+        "op4_line_dedup": oracles.OP4,
+        "op5_url_rules": oracles.OP5,
+        "op6_ngram_jaccard_join": oracles.OP6,
+        "op8_perspective_rotation": oracles.OP8,
+        "op10_host_rules": oracles.OP10,
+    }
