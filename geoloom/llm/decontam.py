@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows
+from .common import checkpointed, free_name, map_rows
 
 WINDOW = 10
 #: Words of the items in one automaton at most (about 60 nodes a window, 150 MB); more items are scanned in as many blocks.
@@ -144,7 +144,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     Documents with null texts stay. The scan only looks at distinct contaminated texts' hashes: it keeps
     each row's own text hash as its id, and rows whose hash was found contaminated go by an anti join on it.
     """
-    key = F.xxhash64(F.col(text))
+    key, other = F.xxhash64(F.col(text)), free_name(docs, "their_key")
     dirty = scan(docs.select(key.alias("k"), F.col(text).alias("t")), benchmark, doc_id="k", text="t", item_id=item_id, item_text=item_text, window=window, block_words=block_words)
-    dirty = dirty.where("contaminated").select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(dirty, key == F.col("__k"), "left_anti")
+    dirty = dirty.where("contaminated").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(dirty, key == F.col(other), "left_anti")

@@ -96,14 +96,16 @@ def host_rates(judged: DataFrame, host: str, f: str) -> DataFrame:
 
 def _with_hosts(judged: DataFrame, host: str, f: str, bad: str, host_rate: float) -> DataFrame:
     """judged with a column that says whether the row's host is rejected."""
-    rejected = host_rates(judged, host, f).where(F.col("shrunk") > host_rate).select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
+    other = free_name(judged, "their_host")
+    rejected = host_rates(judged, host, f).where(F.col("shrunk") > host_rate).select(F.col("host").alias(other), F.lit(True).alias(bad))
     few = rejected.limit(BROADCAST_HOSTS + 1).count()
     if few == 0:
         return judged.withColumn(bad, F.lit(False))
     if few <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)
     # Beyond that Spark splits a host's rows by itself where they are many (the large side is preserved).
-    return judged.join(rejected, F.col(host).eqNullSafe(F.col("__host")), "left").withColumn(bad, F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
+    joined = judged.join(rejected, F.col(host).eqNullSafe(F.col(other)), "left")
+    return joined.withColumn(bad, F.coalesce(bad, F.lit(False))).drop(other)
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:

@@ -125,14 +125,14 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     """docs, with all their columns, without the lines that repeat an earlier one, and with the numbers of those, in column removed_lines.
 
     The text keeps its other lines, in order. Null and empty texts stay as they are; a text whose lines all
-    go is empty. Extra columns stay whatever their names; only one named removed_lines must not be there before.
+    go is empty. Extra columns stay whatever their names; only one named removed_lines gives way.
     """
-    gone = checkpointed(repeated_lines(docs, doc_id=doc_id, text=text, width=width, alike=alike)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("lines").alias("__lines"))
-    key, mine = free_name(docs, "key"), free_name(docs, "id")
+    key, mine, other_key, other, numbers = (free_name(docs, c) for c in ("key", "id", "their_key", "their_id", "numbers"))
+    gone = checkpointed(repeated_lines(docs, doc_id=doc_id, text=text, width=width, alike=alike)).select(F.col("doc_id").alias(other), F.col("key").alias(other_key), F.col("lines").alias(numbers))
     marked = docs.withColumn(key, F.xxhash64(F.col(text))).withColumn(mine, F.col(doc_id).cast("long"))
-    both = marked.join(_small(gone), F.col(mine).eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__key")), "left")
+    both = marked.join(_small(gone), F.col(mine).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key)), "left")
     lines = F.split(F.col(text), "\n")
-    rest = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__lines")), lambda i: x[i]), "\n"))
-    cleaned = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(rest)
-    columns = [cleaned.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return both.select(*columns, F.coalesce("__lines", F.array().cast("array<int>")).alias("removed_lines"))
+    rest = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(numbers)), lambda i: x[i]), "\n"))
+    cleaned = F.when(F.col(numbers).isNull(), F.col(text)).otherwise(rest)
+    columns = [cleaned.alias(c) if c == text else F.col(c) for c in docs.columns if c.lower() != "removed_lines"]
+    return both.select(*columns, F.coalesce(numbers, F.array().cast("array<int>")).alias("removed_lines"))

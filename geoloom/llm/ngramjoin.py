@@ -94,6 +94,8 @@ def compare(texts: list[tuple], threshold: float, tolerance: float) -> Iterator[
     """LINKED rows for one pair of blocks; texts are (cls, copies, in the first block, in the second, hashes, signature)."""
     texts = list({t[0]: t for t in texts}.values())
     first, second = [k for k, t in enumerate(texts) if t[2]], [k for k, t in enumerate(texts) if t[3]]
+    if not first or not second:  # texts fall into blocks by their hash, so one of them can be empty
+        return
     same = first == second
     sigs = np.stack([np.frombuffer(t[5], dtype="<u4") for t in texts])
     i, j = survivors(sigs[first], sigs[second], same, threshold, tolerance)
@@ -214,12 +216,12 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **h
     Documents whose texts have no words all stay, as they are linked to nothing. Of repeated rows with the same id and text one stays.
     """
     found = checkpointed(join(docs, doc_id=doc_id, text=text, **how))
-    key, mine = free_name(docs, "key"), free_name(docs, "id")
+    key, mine, other_key, other_id = (free_name(docs, c) for c in ("key", "id", "their_key", "their_id"))
     marked = docs.withColumn(key, F.xxhash64(F.col(text))).withColumn(mine, F.col(doc_id).cast("long"))
 
     def matching(other: DataFrame):
-        other = other.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-        return _small(other), F.col(mine).eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__key"))
+        other = other.select(F.col("doc_id").alias(other_id), F.col("key").alias(other_key)).distinct()
+        return _small(other), F.col(mine).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key))
 
     left = marked.join(*matching(found.where("not chosen")), "left_anti")
     again = found.where("chosen and n_links > 0").groupBy("doc_id", "key").count().where("count > 1")

@@ -97,6 +97,7 @@ class ShiftAnd:
             place += 1
         self.words = place // 64 + 1
         self.begin, self.loops, self.finish = self.mask(begin), self.mask(loops), finish
+        chars.setdefault(SEP, [])  # so that there is one character at least
         self.codes = np.array(sorted(map(ord, chars)), dtype=np.uint32)
         every = self.mask(any_char)
         self.masks = np.stack([self.mask(chars[chr(c)]) | every for c in self.codes] + [every])
