@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -8,20 +9,28 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def session(cores: int = 4, folder: str | None = None):
     from pyspark.sql import SparkSession
 
-    session = (
-        SparkSession.builder.master("local[4]")
+    folder = folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    made = (
+        SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
-        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.driver.memory", "3g")
+        .config("spark.checkpoint.dir", f"{folder}/checkpoints")
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.local.dir", f"{folder}/local")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    made.sparkContext.setLogLevel("ERROR")
+    return made
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    made = session(folder=str(tmp_path_factory.mktemp("spark")))
+    yield made
+    made.stop()
