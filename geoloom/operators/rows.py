@@ -68,7 +68,7 @@ def all_paths(messages: Column, listed: Column) -> Column:
 
 def last_exchange(messages: Column) -> Column:
     """struct(system, user, assistant): the first system text, and the last user's and assistant's message."""
-    last = lambda role: F.element_at(F.filter(messages, lambda m: m["role"] == role), -1)
+    last = lambda role: F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(-1))
     return F.struct(F.get(texts_of(messages, "system"), F.lit(0)).alias("system"), last("user").alias("user"), last("assistant").alias("assistant"))
 
 

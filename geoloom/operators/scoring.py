@@ -231,7 +231,7 @@ def responsiveness(a: str, b: str, df: DataFrame, name: str = "responsiveness")
 
     import pandas as pd
 
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    def ratio(x, y):
         return pd.Series([round(1 - SequenceMatcher(None, p or "", q or "").ratio(), 6) for p, q in zip(x, y, strict=True)])
 
-    return df.withColumn(name, F.pandas_udf(ratio, "double")(F.col(a), F.col(b)))
+    return df.withColumn(name, F.pandas_udf(ratio, "double", F.PandasUDFType.SCALAR)(F.col(a), F.col(b)))

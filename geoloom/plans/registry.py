@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, geo_queries, pixel_queries, store_queries, summary_queries
+from . import catalog_queries, geo_queries, pixel_queries, store_queries, summary_queries, text_queries
 
-MODULES = [store_queries, geo_queries, catalog_queries, pixel_queries, summary_queries]
+MODULES = [store_queries, geo_queries, catalog_queries, pixel_queries, summary_queries, text_queries]
 
 
 def queries() -> dict:
