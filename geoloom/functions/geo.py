@@ -14,6 +14,16 @@ RADIUS_RANKED_KM = 6371.0088
 METRES_PER_DEGREE = 111_320.0
 
 
+def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
+    """value within bounds; null stays null, which least() and greatest() would pass over."""
+    out = F.when(F.lit(False), value)
+    if low is not None:
+        out = out.when(value < low, F.lit(low))
+    if high is not None:
+        out = out.when(value > high, F.lit(high))
+    return out.otherwise(value)
+
+
 def _chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """The haversine of the central angle."""
     dlat, dlon = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
@@ -22,18 +32,18 @@ def _chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius_km: float = RADIUS_KM) -> Column:
     """Great-circle distance; the arcsine form, whose argument never exceeds 1."""
-    return F.asin(F.least(F.lit(1.0), F.sqrt(_chord(lat1, lon1, lat2, lon2)))) * (2 * radius_km)
+    return F.asin(clip(F.sqrt(_chord(lat1, lon1, lat2, lon2)), high=1.0)) * (2 * radius_km)
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius_m: float = RADIUS_KM * 1000) -> Column:
     """Great-circle distance in metres; the arctangent form, exact near antipodes."""
     h = _chord(lat1, lon1, lat2, lon2)
-    return F.atan2(F.sqrt(h), F.sqrt(F.greatest(F.lit(0.0), 1 - h))) * (2 * radius_m)
+    return F.atan2(F.sqrt(h), F.sqrt(clip(1 - h, low=0.0))) * (2 * radius_m)
 
 
 def clamp_distance(distance: Column, most: float | None) -> Column:
     """distance, at most so much; without a bound distance itself."""
-    return distance if most is None else F.least(distance, F.lit(float(most)))
+    return distance if most is None else clip(distance, high=float(most))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -48,10 +58,10 @@ def destination(lat: Column, lon: Column, course: Column, distance_km: Column, r
     """struct(lat, lon) after so many km along a course; a negative distance is an error."""
     far = F.when(distance_km < 0, F.raise_error(F.lit("distance_km must not be negative")).cast("double")).otherwise(distance_km) / radius_km
     up = F.sin(F.radians(lat)) * F.cos(far) + F.cos(F.radians(lat)) * F.sin(far) * F.cos(F.radians(course))
-    to_lat = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up)))
+    to_lat = F.asin(clip(up, -1.0, 1.0))
     turn = F.atan2(F.sin(F.radians(course)) * F.sin(far) * F.cos(F.radians(lat)), F.cos(far) - F.sin(F.radians(lat)) * F.sin(to_lat))
     return F.struct(
-        F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.degrees(to_lat))).alias("lat"),
+        clip(F.degrees(to_lat), -90.0, 90.0).alias("lat"),
         (F.pmod(F.degrees(F.radians(lon) + turn) + 540.0, F.lit(360.0)) - 180.0).alias("lon"),
     )
 
@@ -70,12 +80,12 @@ def box_around_flat(lat: Column, lon: Column, half_km: float) -> Column:
     if half_km <= 0:
         raise ValueError("half_km must be positive")
     tall = F.lit(half_km * 1000.0 / METRES_PER_DEGREE)
-    wide = half_km * 1000.0 / (F.greatest(F.cos(F.radians(lat)), F.lit(1e-6)) * METRES_PER_DEGREE)
+    wide = half_km * 1000.0 / (clip(F.cos(F.radians(lat)), low=1e-6) * METRES_PER_DEGREE)
     return F.struct(
-        F.greatest(lon - wide, F.lit(-180.0)).alias("west"),
-        F.greatest(lat - tall, F.lit(-90.0)).alias("south"),
-        F.least(lon + wide, F.lit(180.0)).alias("east"),
-        F.least(lat + tall, F.lit(90.0)).alias("north"),
+        clip(lon - wide, low=-180.0).alias("west"),
+        clip(lat - tall, low=-90.0).alias("south"),
+        clip(lon + wide, high=180.0).alias("east"),
+        clip(lat + tall, high=90.0).alias("north"),
     )
 
 
@@ -85,7 +95,7 @@ def in_box(lat: Column, lon: Column, box: Column, margin: float = 0.0) -> Column
 
 def utm_epsg(lat: Column, lon: Column) -> Column:
     """EPSG code of the UTM zone; zones stay within 1 and 60."""
-    zone = F.least(F.lit(60), F.greatest(F.lit(1), (F.floor((lon + 180.0) / 6.0) + 1).cast("int")))
+    zone = clip((F.floor((lon + 180.0) / 6.0) + 1).cast("int"), 1, 60)
     return F.when(lat >= 0, zone + 32600).otherwise(zone + 32700)
 
 
@@ -113,8 +123,8 @@ def reference_grid(lat: Column, lon: Column, box: Column, resolution_m: float) -
     tall = (box["north"] - box["south"]) * METRES_PER_DEGREE
     return F.struct(
         utm_epsg(lat, lon).alias("epsg"),
-        F.greatest(F.lit(1), F.ceil(wide / resolution_m).cast("int")).alias("width"),
-        F.greatest(F.lit(1), F.ceil(tall / resolution_m).cast("int")).alias("height"),
+        clip(F.ceil(wide / resolution_m).cast("int"), low=1).alias("width"),
+        clip(F.ceil(tall / resolution_m).cast("int"), low=1).alias("height"),
     )
 
 
@@ -122,10 +132,10 @@ def offset_in_disk(lat: Column, lon: Column, radius_m: float, u: Column, v: Colu
     """struct(lat, lon, east_m, north_m): a point uniform in a disk, from two uniform numbers in [0, 1)."""
     far, angle = F.sqrt(u) * radius_m, v * 6.283185307179586
     east, north = far * F.cos(angle), far * F.sin(angle)
-    shrink = F.greatest(F.cos(F.radians(lat)), F.lit(1e-6))
+    shrink = clip(F.cos(F.radians(lat)), low=1e-6)
     return F.struct(
-        F.greatest(F.lit(-89.0), F.least(F.lit(89.0), lat + north / METRES_PER_DEGREE)).alias("lat"),
-        F.greatest(F.lit(-180.0), F.least(F.lit(180.0), lon + east / (shrink * METRES_PER_DEGREE))).alias("lon"),
+        clip(lat + north / METRES_PER_DEGREE, -89.0, 89.0).alias("lat"),
+        clip(lon + east / (shrink * METRES_PER_DEGREE), -180.0, 180.0).alias("lon"),
         east.alias("east_m"),
         north.alias("north_m"),
     )
@@ -144,12 +154,12 @@ def hash_uniform(*parts: Column) -> Column:
 
 def score_ranked(distance_km: Column) -> Column:
     """Whole points, a million at no distance and falling with its inverse."""
-    return F.when(distance_km <= 0, F.lit(1_000_000)).otherwise(F.greatest(F.lit(0), F.least(F.lit(1_000_000), (1_000_000 / (distance_km + 1.0)).cast("int"))))
+    return F.when(distance_km <= 0, F.lit(1_000_000)).otherwise(clip((1_000_000 / (distance_km + 1.0)).cast("int"), 0, 1_000_000))
 
 
 def score_casual(distance_km: Column) -> Column:
     """Whole points, 5000 at no distance and 2.8 fewer a km, halves up."""
-    return F.floor(F.greatest(F.lit(0.0), 5000.0 - distance_km * 2.8) + 0.5).cast("int")
+    return F.floor(clip(5000.0 - distance_km * 2.8, low=0.0) + 0.5).cast("int")
 
 
 def hemisphere(lat: Column) -> Column:

@@ -44,11 +44,11 @@ def windowed_counts(rows: DataFrame, at: str, group: str, width: str = "1 day",
 STATE = "job_id string, status string, updated_at timestamp, accepted boolean"
 
 
-def job_states(changes: DataFrame, ttl_seconds: int = JOB_AGE) -> DataFrame:
+def job_states(changes: DataFrame, ttl_seconds: int = JOB_AGE, late: str = "1 hour") -> DataFrame:
     """(job_id, status, updated_at, accepted): a job's state after each change (job_id, expected, to_status, at).
 
     A change counts if the job's state is the expected one and may be followed so; a job begins with a change to queued.
-    The state of a job without changes for so long is given up.
+    The state of a job without changes for so long, by event time, is given up; changes later than `late` are dropped.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -63,10 +63,11 @@ def job_states(changes: DataFrame, ttl_seconds: int = JOB_AGE) -> DataFrame:
             out.append((key[0], status, c.at, bool(ok)))
         if status is not None:
             state.update((status,))
-            state.setTimeoutDuration(ttl_seconds * 1000)
+            last = int(pd.Timestamp(out[-1][2]).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last + ttl_seconds * 1000))
         yield pd.DataFrame(out, columns=["job_id", "status", "updated_at", "accepted"])
 
-    return changes.groupBy("job_id").applyInPandasWithState(step, STATE, "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return changes.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(step, STATE, "status string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired_rounds(opened: DataFrame, max_age_seconds: int = ROUND_AGE) -> DataFrame:
