@@ -244,4 +244,13 @@ SQL = {
     "dominant_classes": f"SELECT tile, p, class_id, {_NAMES}[class_id + 1] AS label, fraction FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY fraction DESC, class_id) - 1 AS p FROM {_FR('class0')}) WHERE p < 4",
     "region_captions": f"""WITH a AS (SELECT tile, {_NAMES}[class0 + 1] AS l, count(*) AS a FROM {_P} WHERE class0 != 255 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY a DESC, l) AS r, least(4, count(*) OVER (PARTITION BY tile)) AS n, l || ' (' || round_even(a * 100.0::DOUBLE / 4096, 1) || '%)' AS s FROM a)
       SELECT tile, 'This satellite imagery is dominated by ' || CASE WHEN any_value(n) = 1 THEN max(s) ELSE string_agg(s, ', ' ORDER BY r) FILTER (r < n) || ', and ' || max(s) FILTER (r = n) END || '.' AS caption FROM r WHERE r <= 4 GROUP BY tile""",
+    "picked_classes": f"""WITH f AS (SELECT *, sum(fraction) OVER (PARTITION BY tile) AS total FROM {_FR('class0')}), c AS (SELECT tile, class_id, sum(fraction / total) OVER (PARTITION BY tile ORDER BY class_id) AS upto FROM f)
+      SELECT tile, coalesce(min(class_id) FILTER (tile % 10 / 10.0::DOUBLE < upto), 8) AS class_id FROM c GROUP BY tile""",
+    "class_samples": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY fraction DESC, class_id) AS r, count(*) OVER (PARTITION BY tile) AS c, greatest(1, round_even(fraction * 32, 0)::BIGINT) AS k FROM {_FR('class0')}), u AS (SELECT *, sum(k) OVER (PARTITION BY tile) AS used FROM f),
+      s AS (SELECT *, CASE WHEN used < 32 AND r = 1 THEN k + 32 - used WHEN used > 32 AND r = c THEN greatest(1, k - (used - 32)) ELSE k END AS m FROM u), x AS (SELECT tile, class_id, m, sum(m) OVER (PARTITION BY tile ORDER BY r) - m AS before FROM s)
+      SELECT tile, class_id, least(m, 32 - before)::BIGINT AS n FROM x WHERE before < 32""",
+    "profile_fractions": f"""WITH p(pid, raised, lift, donors) AS (VALUES (0, 6, 0.12::DOUBLE, [1, 2, 5, 7, 4, 0, 8]), (1, 7, 0.10::DOUBLE, [1, 5, 2, 4, 6, 0, 8]), (2, 0, 0.15::DOUBLE, [2, 4, 5, 7, 6, 1, 8]), (3, 0, 0.06::DOUBLE, [7, 2, 5, 6, 1, 4, 8])),
+      f AS (SELECT tile, class_id, fraction FROM {_FR('class0')}), g AS (SELECT t.tile, c.i AS class_id, coalesce(f.fraction, 0) AS have, raised, lift, donors, list_position(donors, c.i) AS o FROM (SELECT DISTINCT tile FROM f) t JOIN p ON p.pid = t.tile % 5, (SELECT unnest(range(9)) AS i) c LEFT JOIN f ON f.tile = t.tile AND f.class_id = c.i),
+      d AS (SELECT *, CASE WHEN o IS NOT NULL THEN least(have, greatest(0, lift - coalesce(sum(CASE WHEN o IS NOT NULL THEN have ELSE 0 END) OVER (PARTITION BY tile ORDER BY o NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS take FROM g),
+      v AS (SELECT tile, class_id, have - take + CASE WHEN class_id = raised THEN lift ELSE 0 END AS v FROM d) SELECT tile, class_id, round_even(v / sum(v) OVER (PARTITION BY tile), 6) AS fraction FROM v WHERE v > 0 UNION ALL SELECT tile, class_id, fraction FROM f WHERE tile % 5 = 4""",
 }

@@ -198,7 +198,7 @@ def faithfulness_scores(spark: SparkSession, d: str) -> DataFrame:
 def composite_scores(spark: SparkSession, d: str) -> DataFrame:
     r = t.results(spark, d)
     c = S.composite(F.col("lexical"), F.col("grounding"), F.col("pass_value") / 2, F.col("composite"), forbidden=(F.col("part") % 3).cast("int"), risky=F.lit(1), found_boxes=F.col("part") % 4, leaked=F.col("part") % 17 == 0)
-    return r.select("model", "part", F.round(c, 3).alias("score")).groupBy("model").agg(F.count("score").alias("n"), F.round(F.sum(F.col("score") * 1000), 0).alias("total"))
+    return r.select("model", c.alias("score")).groupBy("model").agg(F.count("score").alias("n"), F.round(F.avg("score"), 3).alias("mean"))
 
 
 def label_names(spark: SparkSession, d: str) -> DataFrame:
@@ -286,4 +286,14 @@ SQL = {
     "focus_sentences": f"SELECT c_custkey, 'In this satellite imagery, **' || {'[' + ', '.join(chr(39) + x + chr(39) for x in P.raster.LAND_COVER) + ']'}[c_custkey % 9 + 1] || '** accounts for about ' || round_even((c_custkey % 8) / 8.0::DOUBLE * 100, 1) || '% of valid pixels, showing ' || CASE WHEN c_custkey % 7 = 0 THEN 'spatially mixed appearance in this resolution.' WHEN c_custkey % 7 <= 2 THEN 'one or two dominant contiguous patches.' WHEN c_custkey % 7 <= 5 THEN 'several separated patches.' ELSE 'many small fragments across the tile.' END AS text FROM customer",
     "small_object_scores": "WITH x AS (SELECT c_custkey, c_custkey % 6 + 1 AS n, [(c_custkey % 10 + i) / 100.0::DOUBLE for i in range(1, c_custkey % 6 + 2)] AS a FROM customer) SELECT c_custkey, round(list_avg([greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (y - 0.02::DOUBLE) / 0.06::DOUBLE)) for y in a]) * greatest(0.0::DOUBLE, 1.0::DOUBLE - greatest(0, n - 3) * 0.12::DOUBLE), 6) AS score FROM x",
     "hash_labels": "WITH u AS (SELECT ('0x' || substr(sha256('label|' || c_custkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM customer) SELECT CASE WHEN u < 0.25 THEN 0 WHEN u < 0.75 THEN 1 ELSE 7 END::BIGINT AS class_id, count(*) AS n FROM u GROUP BY 1",
+    "flag_counts": f"SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(concat_ws(',', {_STYLE_CODES}), ',')) AS flag FROM (SELECT trim(text, ' ') AS t FROM {_D})) WHERE flag != '' GROUP BY flag",
+    "last_exchanges": f"SELECT conv_id, arg_min(text, (turn, role, text)) FILTER (role = 'system') AS system, {_LAST('user')} AS user, {_LAST('assistant')} AS assistant FROM {_C} GROUP BY conv_id",
+    "lexical_scores": rf"""WITH x AS (SELECT doc_id, ' ' || lower(text) || ' ' AS l, len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) AS words FROM {_D}),
+      y AS (SELECT doc_id, words, regexp_matches(l, '[^a-z0-9](the|der)[^a-z0-9]')::INT + regexp_matches(l, '[^a-z0-9](water|river)[^a-z0-9]')::INT + regexp_matches(l, '[^a-z0-9]and[^a-z0-9]')::INT AS g, regexp_matches(l, '[^a-z0-9]password[^a-z0-9]')::INT AS f, regexp_matches(l, '[^a-z0-9]license[^a-z0-9]')::INT AS r FROM x)
+      SELECT doc_id, round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, g / 3 * 0.75::DOUBLE + least(1.0::DOUBLE, words / 20.0::DOUBLE) * 0.15::DOUBLE + greatest(0.0::DOUBLE, 1.0::DOUBLE - r * 0.25::DOUBLE) * 0.10::DOUBLE - f * 0.25::DOUBLE)), 6) AS score, g::BIGINT AS groups_hit, f::BIGINT AS forbidden, r::BIGINT AS risky, words FROM y""",
+    "faithfulness_scores": f"""WITH x AS (SELECT *, kind = 'block' AND m >= 3 AS sea FROM {_ANS}), y AS (SELECT k, 0.5::DOUBLE + CASE WHEN k % 4 = 0 THEN CASE WHEN brief AND NOT sea THEN -0.30::DOUBLE ELSE 0.15::DOUBLE END WHEN NOT brief THEN 0.08::DOUBLE WHEN sea THEN 0.18::DOUBLE ELSE -0.15::DOUBLE END - CASE WHEN NOT brief AND q > 45 THEN 0.1::DOUBLE ELSE 0 END AS s, kind = 'leak' AS leak FROM x)
+      SELECT k, CASE WHEN k % 6 != 0 THEN round_even(greatest(0, least(1, CASE WHEN leak THEN least(s, 0.40::DOUBLE) ELSE s END)), 4) END AS score FROM y""",
+    "composite_scores": f"""WITH w AS (SELECT *, CASE WHEN lexical IS NOT NULL THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN grounding IS NOT NULL THEN 0.42::DOUBLE ELSE 0 END + 0.22::DOUBLE + CASE WHEN composite IS NOT NULL THEN 0.18::DOUBLE ELSE 0 END AS total FROM ({t.RESULTS_SQL})),
+      v AS (SELECT *, greatest(0, least(1, (coalesce(lexical * 0.18::DOUBLE, 0) + coalesce(grounding * 0.42::DOUBLE, 0) + pass_value / 2 * 0.22::DOUBLE + coalesce(composite * 0.18::DOUBLE, 0)) / total * greatest(0, 1.0::DOUBLE - part % 3 * 0.25::DOUBLE - 0.08::DOUBLE))) AS a FROM w),
+      c AS (SELECT *, CASE WHEN grounding IS NOT NULL AND part % 4 = 0 THEN least(a, 0.42::DOUBLE) ELSE a END AS b FROM v) SELECT model, count(*) AS n, round(avg(round_even(CASE WHEN part % 17 = 0 THEN least(b, 0.35::DOUBLE) ELSE b END, 4)), 3) AS mean FROM c GROUP BY model""",
 }
