@@ -70,14 +70,16 @@ def canonical_label(label: Column) -> Column:
 
 def class_claims(caption: Column) -> Column:
     """The land-cover classes that a caption mentions."""
-    low = F.lower(F.coalesce(caption, F.lit("")))
-    found = []
-    for name, words in CLASS_WORDS.items():
-        said = F.lit(False)
-        for w in words:
-            said = said | low.contains(w)
-        found.append(F.when(said, F.lit(name)))
-    return F.array_compact(F.array(*found))
+    def found(low: Column) -> Column:
+        names = []
+        for name, words in CLASS_WORDS.items():
+            said = F.lit(False)
+            for w in words:
+                said = said | low.contains(w)
+            names.append(F.when(said, F.lit(name)))
+        return F.array_compact(F.array(*names))
+
+    return F.transform(F.array(F.lower(F.coalesce(caption, F.lit("")))), found)[0]
 
 
 def hedged(caption: Column) -> Column:
@@ -130,20 +132,25 @@ def contract_score(caption: Column, least_words: int = 12) -> Column:
 
     leak 0, no fence 0, not JSON 0.4, wrong boxes 0.6, too short a text 0.8, else 1.
     """
-    block = fenced_json(caption)
-    parsed = F.from_json(F.when(block.startswith("{"), block), "struct<boxes:array<struct<label:string,bbox:array<double>,confidence:double>>>")
-    fault = B.contract_error(parsed["boxes"])
-    is_json = F.try_parse_json(F.when(block.startswith("{"), block)).isNotNull()
-    verdict = (
-        F.when(F.size(leaks(caption)) > 0, "leak")
-        .when(block.isNull(), "no_fenced_block")
-        .when(~F.coalesce(is_json, F.lit(False)), "json_parse_failed")
-        .when(fault.isNotNull(), "schema_invalid")
-        .when(preamble_words(caption) < least_words, "preamble_too_short")
-        .otherwise("ok")
-    )
-    score = F.when(verdict.isin("leak", "no_fenced_block"), 0.0).when(verdict == "json_parse_failed", 0.4).when(verdict == "schema_invalid", 0.6).when(verdict == "preamble_too_short", 0.8).otherwise(1.0)
-    return F.struct(score.alias("score"), verdict.alias("verdict"))
+    def verdict_of(x: Column) -> Column:
+        json = F.when(x["block"].startswith("{"), x["block"])
+        parsed = F.from_json(json, "struct<boxes:array<struct<label:string,bbox:array<double>,confidence:double>>>")
+        return (
+            F.when(x["leaked"], "leak")
+            .when(x["block"].isNull(), "no_fenced_block")
+            .when(F.try_parse_json(json).isNull(), "json_parse_failed")
+            .when(B.contract_error(parsed["boxes"]).isNotNull(), "schema_invalid")
+            .when(x["words"] < least_words, "preamble_too_short")
+            .otherwise("ok")
+        )
+
+    def scored(verdict: Column) -> Column:
+        points = F.when(verdict.isin("leak", "no_fenced_block"), 0.0).when(verdict == "json_parse_failed", 0.4).when(verdict == "schema_invalid", 0.6).when(verdict == "preamble_too_short", 0.8).otherwise(1.0)
+        return F.struct(points.alias("score"), verdict.alias("verdict"))
+
+    # Each lambda's argument is computed once, however often its body names it.
+    parts = F.struct(fenced_json(caption).alias("block"), (F.size(leaks(caption)) > 0).alias("leaked"), preamble_words(caption).alias("words"))
+    return F.transform(F.transform(F.array(parts), verdict_of), scored)[0]
 
 
 def faithfulness_score(caption: Column, shares: Column, rich: Column) -> Column:
@@ -151,16 +158,18 @@ def faithfulness_score(caption: Column, shares: Column, rich: Column) -> Column:
 
     shares: map of class name to percent. rich: whether the analytics say anything; if not, hedging is asked for.
     """
-    claims = class_claims(caption)
-    known = F.map_keys(shares)
-    supported, invented = F.size(F.array_intersect(claims, known)), F.size(F.array_except(claims, known))
-    told = F.when(supported >= 2, 0.28).when(supported == 1, 0.18).otherwise(-0.15) - F.least(F.lit(2), invented) * 0.1
-    sparse = F.when(hedged(caption), 0.15).otherwise(-0.30)
-    misses = F.size(F.filter(percent_claims(caption), lambda v: F.array_min(F.transform(F.map_values(shares), lambda s: F.abs(s - v))) > TOLERANCE))
-    wide = F.when(F.size(shares) > 0, F.least(F.lit(0.20), misses * 0.10)).otherwise(0.0)
-    score = F.when(rich, told).otherwise(sparse) + 0.5 - wide
-    score = F.when(F.size(leaks(caption)) > 0, F.least(score, F.lit(0.40))).otherwise(score)
-    return F.when(shares.isNotNull(), F.when(F.trim(F.coalesce(caption, F.lit(""))) == "", 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)))
+    def scored(x: Column) -> Column:
+        known = F.map_keys(shares)
+        supported, invented = F.size(F.array_intersect(x["claims"], known)), F.size(F.array_except(x["claims"], known))
+        told = F.when(supported >= 2, 0.28).when(supported == 1, 0.18).otherwise(-0.15) - F.least(F.lit(2), invented) * 0.1
+        misses = F.size(F.filter(x["said"], lambda v: F.array_min(F.transform(F.map_values(shares), lambda s: F.abs(s - v))) > TOLERANCE))
+        wide = F.when(F.size(shares) > 0, F.least(F.lit(0.20), misses * 0.10)).otherwise(0.0)
+        score = F.when(rich, told).otherwise(F.when(x["hedged"], 0.15).otherwise(-0.30)) + 0.5 - wide
+        score = F.when(x["leaked"], F.least(score, F.lit(0.40))).otherwise(score)
+        return F.when(x["blank"], 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
+
+    parts = F.struct(class_claims(caption).alias("claims"), percent_claims(caption).alias("said"), (F.size(leaks(caption)) > 0).alias("leaked"), hedged(caption).alias("hedged"), (F.trim(F.coalesce(caption, F.lit(""))) == "").alias("blank"))
+    return F.when(shares.isNotNull(), F.transform(F.array(parts), scored)[0])
 
 
 def composite(lexical: Column, grounding: Column, contract: Column, faithfulness: Column, *, plausibility: Column | None = None, forbidden: Column | None = None, risky: Column | None = None, found_boxes: Column | None = None, leaked: Column | None = None, preset: str = "default") -> Column:

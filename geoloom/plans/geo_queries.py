@@ -202,5 +202,5 @@ SQL = {
       hit AS (SELECT p.id, g.polygon_id, h * h * 2 AS area FROM ({t.PLACES_SQL}) p JOIN g ON abs(p.lon - g.x) + abs(p.lat - g.y) <= g.h + 1e-12) SELECT id, arg_min(polygon_id, (area, polygon_id)) AS polygon_id FROM hit GROUP BY id""",
     "geo_merged_guesses": f"""WITH p AS (SELECT map_id, id AS location_id, lat, lon FROM ({t.PLACES_SQL})), j AS (SELECT p.*, b.lat AS b_lat, o.lat AS o_lat, {t.haversine_sql('b.lat', 'p.lon', 'o.lat', 'p.lon')} AS km FROM p
       LEFT JOIN (SELECT * FROM p WHERE location_id % 3 != 0) b USING (location_id) LEFT JOIN (SELECT location_id, lat + location_id % 3 AS lat FROM p WHERE location_id % 4 = 0) o USING (location_id))
-      SELECT map_id, location_id, round(coalesce(b_lat, o_lat), 6) AS lat, CASE WHEN b_lat IS NULL AND o_lat IS NULL THEN NULL ELSE round(lon, 6) END AS lon, CASE WHEN b_lat IS NULL AND o_lat IS NOT NULL THEN 'overlay' WHEN b_lat IS NULL THEN 'missing' WHEN km > 100 THEN 'conflict' ELSE 'base' END AS status FROM j""",
+      SELECT map_id, location_id, round(coalesce(b_lat, o_lat), 6) AS lat, CASE WHEN b_lat IS NULL AND o_lat IS NULL THEN NULL ELSE round(lon, 6) END AS lon, CASE WHEN b_lat IS NULL AND o_lat IS NOT NULL THEN 'overlay' WHEN b_lat IS NULL THEN 'missing' WHEN o_lat IS NOT NULL AND km > 100 THEN 'conflict' ELSE 'base' END AS status FROM j""",
 }
