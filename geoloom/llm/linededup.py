@@ -1,15 +1,13 @@
 """Removal of lines that repeat an earlier one, by an exact set-similarity join, with DataFrame functions only.
 
 A line's tokens are its distinct shingles of five words. They are ordered by rarity: a shingle counts as
-the rarer the rarer its words are, whose numbers in all documents are counted in a fixed number of buckets.
+the rarer the rarer its words are, the last ones above all; words are counted in all documents, in a fixed number of buckets.
 Two lines at the threshold share a token in their prefixes (prefix filter), have like numbers of tokens
 (length filter), and enough tokens up to and after the shared one (positional filter); what is left is verified.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,44 +16,70 @@ from .common import checkpointed, free_name, let, written
 WIDTH = 5
 #: The similarity, as a fraction, so that it is compared in whole numbers.
 ALIKE = (4, 5)
-#: Buckets of the words' counts: their number bounds what is sent to the executors.
-BUCKETS = 4096
+#: Buckets of the words' counts (a power of two): their number bounds what is sent to the executors.
+BUCKETS = 16_384
 #: Rows up to which a table of positions (some tens of bytes a row) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: 64-bit words of the sets of bits that stand for lines before their tokens are compared.
+WORDS = 8
+#: A token's bits for its hash; those above are for its weight.
 _HASH_BITS = 54
 
 
 def words_of(line: Column) -> Column:
     """The words of a line: letters, marks and digits, in lower case."""
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{M}\p{N}]+"), "")
+
+
+def _low(number: Column, bits: int) -> Column:
+    return number.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def bucket(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(BUCKETS)).cast("int")
+def bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """For each bucket the binary logarithm of the number of its words in all documents, as a constant array."""
-    counts = docs.select(F.explode(words_of(F.col(text))).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()
-    by_bucket = {r["b"]: r["count"].bit_length() for r in counts}
-    return F.from_json(F.lit(json.dumps([by_bucket.get(b, 0) for b in range(BUCKETS)])), "array<long>")
+    """For each bucket the binary logarithm of the number of its words in all documents against the rarest bucket's, as a constant array.
+
+    Words are what stands between spaces here: that is cheap, and as an order any weights will do.
+    """
+    counts = docs.select(F.explode(F.split(text, " ")).alias("w")).groupBy(bucket(F.col("w")).alias("b")).count().collect()
+    least = min((r["count"] for r in counts), default=1)
+    by_bucket = {r["b"]: (r["count"] // least).bit_length() for r in counts}
+    return F.expr("array(" + ", ".join(f"{by_bucket.get(b, 0)}L" for b in range(BUCKETS)) + ")")
 
 
 def tokens_of(words: Column, weights: Column, width: int) -> Column:
-    """The distinct tokens of at least width words, the rarest first: the words' summed weights above, and a hash below."""
+    """The tokens of at least width words, the rarest first: of each shingle its words' weights above, and a hash below. A shingle that repeats has its token as often.
 
-    def shingle(hashed: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(hashed) - width)
-        weighed = F.transform(hashed, lambda h: F.get(weights, bucket(h)))
+    A word is one number, its weight above and a hash below, and a shingle is the sum of its words' numbers, the k-th times 2 ** k:
+    that takes few steps for each, and no carry reaches the weights or the sign.
+    """
+    most, bits = max(1, 511 // (2**width - 1)), _HASH_BITS - width - 1
+    word = F.transform(words, lambda w: F.shiftleft(F.least(F.get(weights, bucket(w)), F.lit(most).cast("long")), _HASH_BITS) + F.shiftrightunsigned(F.xxhash64(w), 64 - bits))
+
+    def joined(a: Column, n: int, b: Column, m: int) -> Column:
+        """The sums of n words from sums of m words, and of n - m words that follow."""
+        size = F.size(words) - (n - 1)
+        # zip_with takes its arguments for nullable; neither is null here, and the sum says so.
+        return F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(m + 1), size), lambda x, y: F.coalesce(x + F.shiftleft(y, m), F.lit(0).cast("long")))
+
+    def of(x: Column, n: int) -> Column:
+        if n == 1:
+            return x
+        return let(of(x, n // 2), lambda half: joined(half, n, half, n // 2)) if n % 2 == 0 else joined(of(x, n - 1), n, x, n - 1)
 
-        def token(w: Column, i: Column) -> Column:
-            weight = sum((w[i + k] for k in range(1, width)), w[i])
-            return F.shiftleft(F.least(weight, F.lit(511)), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*[hashed[i + k] for k in range(width)]), 64 - _HASH_BITS))
+    return F.sort_array(let(word, lambda x: of(x, width)))
 
-        return let(weighed, lambda w: F.transform(at, lambda i: token(w, i)))
 
-    return F.sort_array(F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), shingle)))
+def bits_of(sets: DataFrame, token: str, *key: str) -> DataFrame:
+    """For each key a set of 64 * WORDS bits, of which each of its tokens sets one, as columns b0, b1 and so on."""
+    t = F.col(token)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _low(F.shiftright(t, 8), 6).cast("int"))
+    which = _low(t, 8) % WORDS
+    return sets.groupBy(*key).agg(*[F.bit_or(F.when(which == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)])
 
 
 def prefix_length(n: Column, alike: tuple[int, int]) -> Column:
@@ -74,6 +98,11 @@ def can_be_alike(a: Column, b: Column, at_a: Column, at_b: Column, alike: tuple[
     return (a * alike[1] >= b * alike[0]) & (b * alike[1] >= a * alike[0]) & (most * (alike[0] + alike[1]) >= (a + b) * alike[0])
 
 
+def bits_can_be_alike(a: Column, b: Column, differing: Column, alike: tuple[int, int]) -> Column:
+    """Whether sets of a and b tokens can be alike when so many bits differ: each of those stands for a token that only one has."""
+    return (a + b - differing) * (alike[0] + alike[1]) >= (a + b) * (2 * alike[0])
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -87,36 +116,54 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     weights = rarity(docs, "text")
-    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc_id", "key", "no", words_of(F.col("line")).alias("words")).where(F.size("words") >= width)
     # Lines with the same words are one class; the second hash keeps classes apart at any number of lines.
-    one = let(F.col("words"), lambda w: F.struct(F.xxhash64(w).alias("c"), F.hash(w, F.lit(1)).alias("d"), tokens_of(w, weights, width).alias("t")))
-    prefix = F.slice("one.t", F.lit(1), prefix_length(F.size("one.t"), alike).cast("int"))
-    kept = written(lines.select("doc_id", "key", "no", one.alias("one")).select("doc_id", "key", "no", "one.c", "one.d", prefix.alias("prefix")))
+    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc_id", "key", "no", words_of(F.col("line")).alias("words"))
+    lines = lines.select("doc_id", "key", "no", F.xxhash64("words").alias("c"), F.hash("words", F.lit(1)).alias("d"), F.when(F.size("words") >= width, tokens_of(F.col("words"), weights, width)).alias("t"))
+    # A shingle seldom repeats in a line, so its prefix is sought among as many tokens as if none did; that is no fewer than it needs.
+    need = prefix_length(F.size("t"), alike).cast("int")
+    kept = lines.select("doc_id", "key", "no", "c", "d", "t", need.alias("need"), F.array_distinct(F.slice("t", F.lit(1), need)).alias("head"))
+    kept = kept.select("doc_id", "key", "no", "c", "d", F.when(F.size("head") >= F.col("need"), F.col("head")).otherwise(F.slice(F.array_distinct("t"), F.lit(1), F.col("need"))).alias("prefix"))
+    # Short lines are left out after they are written: a filter before it would cut all lines into words twice.
+    kept = written(kept).where("prefix is not null")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "no", "key")
-    classes = kept.groupBy("c", "d").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("prefix").alias("prefix"))
-    classes = written(classes.select("c", "d", "first", "times", "prefix"))
+    classes = written(kept.groupBy("c", "d").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
     # Tokens that several classes have in their prefixes; of tokens with the same classes one does.
-    postings = classes.select(F.explode("prefix").alias("token"), "c", "d")
-    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c", "d")).alias("x")).where("n > 1")
-    shared = checkpointed(shared.groupBy("n", "x").agg(F.min("token").alias("token")).select("token"))
-    members = checkpointed(postings.join(_small(shared), "token").select("token", "c", "d"))
-
-    # Their whole tokens, from the documents where they first stand.
-    wanted = members.select("c", "d").distinct().join(classes.select("c", "d", "first"), ["c", "d"])
-    wanted = checkpointed(wanted.select("c", "d", "first", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"), F.col("first.no").alias("__no")))
-    source = docs.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
-    whole = source.select("c", "d", "first", words_of(F.get(F.split("text", "\n"), F.col("__no"))).alias("words"))
-    whole = whole.select("c", "d", "first", let(F.col("words"), lambda w: tokens_of(w, weights, width)).alias("tokens")).dropDuplicates(["c", "d"])
-    full = members.join(checkpointed(whole), ["c", "d"]).withColumn("at", (F.array_position("tokens", F.col("token")) - 1).cast("int"))
-    full = full.select("token", "c", "d", "first", "tokens", "at", F.size("tokens").alias("n"))
+    postings = kept.select(F.explode("prefix").alias("token"), "c", "d")
+    shared = checkpointed(postings.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token"))
+    met = checkpointed(postings.join(_small(shared), "token").select("token", "c", "d").distinct())
+    single = checkpointed(met.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c", "d")).alias("x")).groupBy("n", "x").agg(F.min("token").alias("token")).select("token"))
+
+    # The whole tokens of their lines, from the documents where they first stand; each of those is cut into lines once.
+    wanted = checkpointed(met.join(_small(single), "token", "left_semi").select("c", "d").distinct())
+    wanted = classes.select("c", "d", "first").join(_small(wanted), ["c", "d"])
+    wanted = wanted.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).agg(F.collect_list(F.struct("first", "c", "d")).alias("lines"))
+    source = docs.join(_small(checkpointed(wanted)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    found = let(F.split("text", "\n"), lambda x: F.transform("lines", lambda e: F.struct(e["c"].alias("c"), e["d"].alias("d"), e["first"].alias("first"), F.get(x, e["first"]["no"]).alias("line"))))
+    whole = source.select(F.explode(found).alias("e")).select("e.c", "e.d", "e.first", words_of(F.col("e.line")).alias("words"))
+    whole = checkpointed(whole.select("c", "d", "first", F.array_distinct(tokens_of(F.col("words"), weights, width)).alias("tokens")))
+
+    # Lines that nothing else can be alike by sizes, places and bits go before tokens are compared.
+    # (Repeated rows have their lines here as often; from the members on each class stands once for a token.)
+    at = F.posexplode(F.slice("tokens", F.lit(1), prefix_length(F.size("tokens"), alike).cast("int"))).alias("at", "token")
+    members = whole.select("c", "d", F.size("tokens").alias("n"), at).join(_small(single), "token", "left_semi").distinct()
+    members = checkpointed(members.join(bits_of(whole.select("c", "d", F.explode("tokens").alias("t")), "t", "c", "d"), ["c", "d"]))
+    words = [f"b{k}" for k in range(WORDS)]
+    other = members.select(*[F.col(x).alias(f"o_{x}") for x in ("token", "c", "d", "n", "at", *words)])
+    differ = (F.col("c") != F.col("o_c")) | (F.col("d") != F.col("o_d"))
+    differing = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"o_{x}"))) for x in words), F.lit(0))
+    near = can_be_alike(F.col("n"), F.col("o_n"), F.col("at"), F.col("o_at"), alike) & bits_can_be_alike(F.col("n"), F.col("o_n"), differing, alike)
+    likely = checkpointed(members.join(other, (F.col("token") == F.col("o_token")) & differ & near, "left_semi").select("token", "c", "d", "at", "n"))
+    chosen = whole.select("c", "d", "first", "tokens").join(_small(checkpointed(likely.select("c", "d").distinct())), ["c", "d"], "left_semi")
+    full = likely.join(chosen, ["c", "d"])
     a, b = full.alias("a"), full.select("token", "first", "tokens", "at", "n").alias("b")
     earlier = (F.col("b.first") < F.col("a.first")) & can_be_alike(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at"), alike)
     later = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & is_alike(F.col("a.tokens"), F.col("b.tokens"), alike), "left_semi").select("c", "d").distinct()
 
     # A class that repeats an earlier one loses all its lines, any other all but the first.
-    marked = classes.select("c", "d", "first", "times").join(later.withColumn("goes", F.lit(True)), ["c", "d"], "left").where("times > 1 or goes")
-    found = kept.select("doc_id", "key", "no", "c", "d").join(marked, ["c", "d"])
+    later = checkpointed(later.withColumn("goes", F.lit(True)))
+    marked = checkpointed(classes.select("c", "d", "first", "times").join(_small(later), ["c", "d"], "left").where("times > 1 or goes"))
+    found = kept.select("doc_id", "key", "no", "c", "d").join(_small(marked), ["c", "d"])
     removed = found.where(F.col("goes") | (F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "no", "key") > F.col("first")))
     return removed.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("no")).alias("lines"))
 
