@@ -107,23 +107,27 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE, short: bool = False) -> DataFrame:
     """(doc_id, key, lines): for each document with lines to remove, by id and hash of its text, their numbers from 0.
 
     A line goes if an earlier one, by document id and then by its number, is alike. Null ids come first. Lines of
     repeated rows stand at the same place, so none of those is the earlier one. Lines of fewer than width words
-    have no tokens and are never removed.
+    have no tokens and are never removed, or with short are one shingle of all their words: those with the same words are alike.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     weights = rarity(docs, "text")
     # Lines with the same words are one class; the second hash keeps classes apart at any number of lines.
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc_id", "key", "no", words_of(F.col("line")).alias("words"))
-    lines = lines.select("doc_id", "key", "no", F.xxhash64("words").alias("c"), F.hash("words", F.lit(1)).alias("d"), F.when(F.size("words") >= width, tokens_of(F.col("words"), weights, width)).alias("t"))
+    tokens = F.when(F.size("words") >= width, tokens_of(F.col("words"), weights, width))
+    if short:
+        # Lines of one shingle are alike if they are of one class, so they need no tokens to meet.
+        tokens = tokens.when(F.size("words") > 0, F.array().cast("array<bigint>"))
+    lines = lines.select("doc_id", "key", "no", F.xxhash64("words").alias("c"), F.hash("words", F.lit(1)).alias("d"), tokens.alias("t"))
     # A shingle seldom repeats in a line, so its prefix is sought among as many tokens as if none did; that is no fewer than it needs.
     need = prefix_length(F.size("t"), alike).cast("int")
     kept = lines.select("doc_id", "key", "no", "c", "d", "t", need.alias("need"), F.array_distinct(F.slice("t", F.lit(1), need)).alias("head"))
     kept = kept.select("doc_id", "key", "no", "c", "d", F.when(F.size("head") >= F.col("need"), F.col("head")).otherwise(F.slice(F.array_distinct("t"), F.lit(1), F.col("need"))).alias("prefix"))
-    # Short lines are left out after they are written: a filter before it would cut all lines into words twice.
+    # Lines without tokens are left out after they are written: a filter before it would cut all lines into words twice.
     kept = written(kept).where("prefix is not null")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "no", "key")
     classes = written(kept.groupBy("c", "d").agg(F.min(place).alias("first"), F.count("*").alias("times")))
@@ -168,14 +172,14 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     return removed.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("no")).alias("lines"))
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE, short: bool = False) -> DataFrame:
     """docs, with all their columns, without the lines that repeat an earlier one, and with the numbers of those, in column removed_lines.
 
     The text keeps its other lines, in order. Null and empty texts stay as they are; a text whose lines all
-    go is empty. Extra columns stay whatever their names; only one named removed_lines gives way.
+    go is empty. With short, lines of fewer than width words that repeat go too. Extra columns stay whatever their names; only one named removed_lines gives way.
     """
     key, mine, other_key, other, numbers = (free_name(docs, c) for c in ("key", "id", "their_key", "their_id", "numbers"))
-    gone = checkpointed(repeated_lines(docs, doc_id=doc_id, text=text, width=width, alike=alike)).select(F.col("doc_id").alias(other), F.col("key").alias(other_key), F.col("lines").alias(numbers))
+    gone = checkpointed(repeated_lines(docs, doc_id=doc_id, text=text, width=width, alike=alike, short=short)).select(F.col("doc_id").alias(other), F.col("key").alias(other_key), F.col("lines").alias(numbers))
     marked = docs.withColumn(key, F.xxhash64(F.col(text))).withColumn(mine, F.col(doc_id).cast("long"))
     both = marked.join(_small(gone), F.col(mine).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key)), "left")
     lines = F.split(F.col(text), "\n")
