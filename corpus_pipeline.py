@@ -15,9 +15,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return hostrules.keep(docs)
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat earlier ones, and with their new lengths; those of which no word is left go."""
-    cleaned = linededup.dedup(docs)
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, *, short: bool = False) -> DataFrame:
+    """Documents without the lines that repeat earlier ones, and with their new lengths; those of which no word is left go.
+
+    Without short, lines of fewer than five words stay, and with them stubs of later copies of a document.
+    """
+    cleaned = linededup.dedup(docs, short=short)
     changed = F.size("removed_lines") > 0
     left = cleaned.where(~changed | F.col("text").rlike(r"[\p{L}\p{N}]"))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -245,3 +245,15 @@ def test_pipeline_stages_against_brute_force(spark):
             assert set(after) == {r[0] for r in con.execute(queries.oracle_sql()["op3_decontamination"]).fetchall() if not r[5]}
     packed = p.STAGES[4][1](spark, docs, TINY)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
+
+
+def test_pipeline_keeps_one_of_exact_copies_with_short_lines(spark):
+    sys.path.insert(0, os.getcwd())
+    import corpus_pipeline as p
+
+    long = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(3)]
+    groups = {"a": f"{long[0]}\nOf.\nAnd ornd.", "b": f"All rights reserved.\n{long[1]}\n--", "c": long[2]}
+    rows = [(i, groups[g], len(groups[g])) for i, g in enumerate("abcabcaab")]
+    docs = spark.createDataFrame(rows, DOCS + ", n_chars long")
+    kept = p.ngram_jaccard_join(spark, p.written(p.line_dedup(spark, docs, TINY, short=True)), TINY).collect()
+    assert sorted(tuple(r) for r in kept) == rows[:3]
