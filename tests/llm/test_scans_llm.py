@@ -79,6 +79,12 @@ def test_guess_costs():
     assert not secret_scan.find("login: password1 pwd=changeme")
 
 
+def test_guess_goes_beyond_a_pattern_that_stops_inside_the_value():
+    text = "password=Tr0ub4dorX&9!kq%7z end"
+    assert [(a, k, b) for a, k, b, _ in secret_scan.find(text)] == [(0, 0, 19), (9, 3, 27)]
+    assert [k for _, k, _, _ in secret_scan.find("password=Tr0ub4dorX9kq7z")] == [0]
+
+
 def brute_guess(value):
     """Every segmentation, by recursion."""
     from functools import lru_cache
