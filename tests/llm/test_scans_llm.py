@@ -85,6 +85,13 @@ def test_guess_goes_beyond_a_pattern_that_stops_inside_the_value():
     assert [k for _, k, _, _ in secret_scan.find("password=Tr0ub4dorX9kq7z")] == [0]
 
 
+@pytest.mark.parametrize("name", ["mysqlReplicationDatabaseMasterPwd", "db2pwd", "DB2_PWD", "x" * 60 + "_pwd", "dbpwd", "7login"])
+def test_credentials_after_any_identifier(name):
+    text = f"é {name}=x7Kq9ZpLw2!m, {name}: login: x7Kq9ZpLw2!m"
+    assert [text[a:b] for a, k, b, _ in secret_scan.find(text) if k == 3] == ["x7Kq9ZpLw2!m"] * 2
+    assert not secret_scan.find(f"{name}=changeme")
+
+
 def brute_guess(value):
     """Every segmentation, by recursion."""
     from functools import lru_cache
