@@ -1,7 +1,8 @@
 """Removal of lines that repeat an earlier one, by an exact set-similarity join, with DataFrame functions only.
 
-A line's tokens are its distinct shingles of five words. They are ordered by rarity: a shingle counts as
-the rarer the rarer its words are, the last ones above all; words are counted in all documents, in a fixed number of buckets.
+A line's tokens are its distinct shingles of five words; a line of fewer words is one shingle of all of them. Tokens
+are ordered by rarity: a shingle counts as the rarer the rarer its words are, the last ones above all; words are counted
+in all documents, in a fixed number of buckets.
 Two lines at the threshold share a token in their prefixes (prefix filter), have like numbers of tokens
 (length filter), and enough tokens up to and after the shared one (positional filter); what is left is verified.
 """
@@ -18,18 +19,22 @@ WIDTH = 5
 ALIKE = (4, 5)
 #: Buckets of the words' counts (a power of two): their number bounds what is sent to the executors.
 BUCKETS = 16_384
-#: Rows up to which a table of positions (some tens of bytes a row) is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast, as its rows and arrays add up to; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Lines with the same token that one task compares with all others of it; where more have it, they are dealt in as many blocks.
+BLOCK = 2048
 
 #: 64-bit words of the sets of bits that stand for lines before their tokens are compared.
 WORDS = 8
 #: A token's bits for its hash; those above are for its weight.
 _HASH_BITS = 54
+#: Fixed value: what stands between words.
+NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def words_of(line: Column) -> Column:
     """The words of a line: letters, marks and digits, in lower case."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{M}\p{N}]+"), "")
+    return F.array_remove(F.split(F.lower(line), NO_WORD), "")
 
 
 def _low(number: Column, bits: int) -> Column:
@@ -40,38 +45,37 @@ def bucket(word: Column) -> Column:
     return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """For each bucket the binary logarithm of the number of its words in all documents against the rarest bucket's, as a constant array.
+def rarity(docs: DataFrame, text: str, width: int) -> Column:
+    """For each bucket the weight of its words, as a constant array of numbers for tokens_of.
 
-    Words are what stands between spaces here: that is cheap, and as an order any weights will do.
+    A weight is the binary logarithm of the number of a bucket's words in all documents against the rarest bucket's.
     """
-    counts = docs.select(F.explode(F.split(text, " ")).alias("w")).groupBy(bucket(F.col("w")).alias("b")).count().collect()
-    least = min((r["count"] for r in counts), default=1)
-    by_bucket = {r["b"]: (r["count"] // least).bit_length() for r in counts}
+    words = docs.select(F.explode(F.split(F.lower(text), NO_WORD)).alias("w")).where("w <> ''")
+    counts = words.groupBy(bucket(F.col("w")).alias("b")).count().collect()
+    least, most = min((r["count"] for r in counts), default=1), max(1, 511 // (2**width - 1))
+    by_bucket = {r["b"]: min((r["count"] // least).bit_length(), most) << _HASH_BITS for r in counts}
     return F.expr("array(" + ", ".join(f"{by_bucket.get(b, 0)}L" for b in range(BUCKETS)) + ")")
 
 
 def tokens_of(words: Column, weights: Column, width: int) -> Column:
-    """The tokens of at least width words, the rarest first: of each shingle its words' weights above, and a hash below. A shingle that repeats has its token as often.
+    """The distinct tokens of at least width words, the rarest first: of each shingle its words' weights above, and a hash below.
 
     A word is one number, its weight above and a hash below, and a shingle is the sum of its words' numbers, the k-th times 2 ** k:
     that takes few steps for each, and no carry reaches the weights or the sign.
     """
-    most, bits = max(1, 511 // (2**width - 1)), _HASH_BITS - width - 1
-    word = F.transform(words, lambda w: F.shiftleft(F.least(F.get(weights, bucket(w)), F.lit(most).cast("long")), _HASH_BITS) + F.shiftrightunsigned(F.xxhash64(w), 64 - bits))
+    word = F.transform(words, lambda w: F.get(weights, bucket(w)) + F.shiftrightunsigned(F.xxhash64(w), 64 - (_HASH_BITS - width - 1)))
 
     def joined(a: Column, n: int, b: Column, m: int) -> Column:
         """The sums of n words from sums of m words, and of n - m words that follow."""
         size = F.size(words) - (n - 1)
-        # zip_with takes its arguments for nullable; neither is null here, and the sum says so.
-        return F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(m + 1), size), lambda x, y: F.coalesce(x + F.shiftleft(y, m), F.lit(0).cast("long")))
+        return F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(m + 1), size), lambda x, y: x + F.shiftleft(y, m))
 
     def of(x: Column, n: int) -> Column:
         if n == 1:
             return x
         return let(of(x, n // 2), lambda half: joined(half, n, half, n // 2)) if n % 2 == 0 else joined(of(x, n - 1), n, x, n - 1)
 
-    return F.sort_array(let(word, lambda x: of(x, width)))
+    return F.array_distinct(F.sort_array(let(word, lambda x: of(x, width))))
 
 
 def bits_of(sets: DataFrame, token: str, *key: str) -> DataFrame:
@@ -84,12 +88,12 @@ def bits_of(sets: DataFrame, token: str, *key: str) -> DataFrame:
 
 def prefix_length(n: Column, alike: tuple[int, int]) -> Column:
     """How many of n tokens, the rarest first, hold one of any set's that is alike: n less the least overlap, and one."""
-    return n - F.ceil(n * alike[0] / alike[1]) + 1
+    return (n - F.ceil(n * alike[0] / alike[1]) + 1).cast("int")
 
 
 def is_alike(a: Column, b: Column, alike: tuple[int, int]) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return common * alike[1] >= (F.size(a) + F.size(b) - common) * alike[0]
+    """Whether common tokens are as large a share of all: written so that the common ones are computed once."""
+    return F.size(F.array_intersect(a, b)) * (alike[0] + alike[1]) >= (F.size(a) + F.size(b)) * alike[0]
 
 
 def can_be_alike(a: Column, b: Column, at_a: Column, at_b: Column, alike: tuple[int, int]) -> Column:
@@ -103,85 +107,98 @@ def bits_can_be_alike(a: Column, b: Column, differing: Column, alike: tuple[int,
     return (a + b - differing) * (alike[0] + alike[1]) >= (a + b) * (2 * alike[0])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, row_bytes: int = 40, elements: Column | None = None, element_bytes: int = 0) -> DataFrame:
+    """df with a broadcast hint if its rows, and the elements of its arrays, take few enough bytes; it must be cheap to read."""
+    size = F.count("*") * row_bytes if elements is None else F.count("*") * row_bytes + F.coalesce(F.sum(elements), F.lit(0)) * element_bytes
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
 
 
-def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE, short: bool = False) -> DataFrame:
+def _with_partner(members: DataFrame, condition, extra: list[str]) -> DataFrame:
+    """The members (token, blocks, c, d and others) for which another class with the token fits condition(own column, other's column).
+
+    A token's members are dealt into blocks by their hash, and each block meets all of the token's members: no task takes more than a
+    block times those, and nothing but members comes out.
+    """
+    own = F.pmod(F.xxhash64("c", "d"), F.col("blocks")).cast("int")
+    names = ["token", "c", "d", *extra]
+    others = members.select(*[F.col(x).alias(f"o_{x}") for x in names], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o_block"))
+    differ = (F.col("c") != F.col("o_c")) | (F.col("d") != F.col("o_d"))
+    fits = condition(F.col, lambda x: F.col(f"o_{x}"))
+    return members.withColumn("block", own).join(others, (F.col("token") == F.col("o_token")) & (F.col("block") == F.col("o_block")) & differ & fits, "left_semi").drop("block")
+
+
+def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """(doc_id, key, lines): for each document with lines to remove, by id and hash of its text, their numbers from 0.
 
     A line goes if an earlier one, by document id and then by its number, is alike. Null ids come first. Lines of
-    repeated rows stand at the same place, so none of those is the earlier one. Lines of fewer than width words
-    have no tokens and are never removed, or with short are one shingle of all their words: those with the same words are alike.
+    repeated rows stand at the same place, so none of those is the earlier one. A line of fewer than width words is one shingle,
+    so it repeats lines of the same words alone; lines without words have no tokens and are never removed.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
-    weights = rarity(docs, "text")
+    weights = rarity(docs, "text", width)
     # Lines with the same words are one class; the second hash keeps classes apart at any number of lines.
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc_id", "key", "no", words_of(F.col("line")).alias("words"))
-    tokens = F.when(F.size("words") >= width, tokens_of(F.col("words"), weights, width))
-    if short:
-        # Lines of one shingle are alike if they are of one class, so they need no tokens to meet.
-        tokens = tokens.when(F.size("words") > 0, F.array().cast("array<bigint>"))
+    # Lines of one shingle are alike if they are of one class, so they need no tokens to meet.
+    tokens = F.when(F.size("words") >= width, tokens_of(F.col("words"), weights, width)).when(F.size("words") > 0, F.array().cast("array<bigint>"))
     lines = lines.select("doc_id", "key", "no", F.xxhash64("words").alias("c"), F.hash("words", F.lit(1)).alias("d"), tokens.alias("t"))
-    # A shingle seldom repeats in a line, so its prefix is sought among as many tokens as if none did; that is no fewer than it needs.
-    need = prefix_length(F.size("t"), alike).cast("int")
-    kept = lines.select("doc_id", "key", "no", "c", "d", "t", need.alias("need"), F.array_distinct(F.slice("t", F.lit(1), need)).alias("head"))
-    kept = kept.select("doc_id", "key", "no", "c", "d", F.when(F.size("head") >= F.col("need"), F.col("head")).otherwise(F.slice(F.array_distinct("t"), F.lit(1), F.col("need"))).alias("prefix"))
-    # Lines without tokens are left out after they are written: a filter before it would cut all lines into words twice.
+    kept = lines.select("doc_id", "key", "no", "c", "d", F.size("t").alias("n"), F.slice("t", F.lit(1), prefix_length(F.size("t"), alike)).alias("prefix"))
+    # Lines without words are left out after they are written: a filter before it would cut all lines into words twice.
     kept = written(kept).where("prefix is not null")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "no", "key")
-    classes = written(kept.groupBy("c", "d").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+    classes = kept.groupBy("c", "d").agg(F.min(F.struct(place.alias("first"), "n", "prefix")).alias("m"), F.count("*").alias("times"))
+    classes = written(classes.select("c", "d", "m.first", "m.n", "m.prefix", "times"))
 
     # Tokens that several classes have in their prefixes; of tokens with the same classes one does.
-    postings = kept.select(F.explode("prefix").alias("token"), "c", "d")
-    shared = checkpointed(postings.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token"))
-    met = checkpointed(postings.join(_small(shared), "token").select("token", "c", "d").distinct())
-    single = checkpointed(met.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c", "d")).alias("x")).groupBy("n", "x").agg(F.min("token").alias("token")).select("token"))
+    postings = classes.where("n > 1").select("c", "d", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = checkpointed(postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token"))
+    met = checkpointed(postings.join(_small(shared), "token"))
+    single = met.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c", "d")).alias("x")).groupBy("k", "x").agg(F.min("token").alias("token"))
+    single = checkpointed(single.select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    members = met.join(_small(single), "token")
+    members = checkpointed(_with_partner(members, lambda a, b: can_be_alike(a("n"), b("n"), a("at"), b("at"), alike), ["n", "at"]))
 
     # The whole tokens of their lines, from the documents where they first stand; each of those is cut into lines once.
-    wanted = checkpointed(met.join(_small(single), "token", "left_semi").select("c", "d").distinct())
+    wanted = checkpointed(members.select("c", "d").distinct())
     wanted = classes.select("c", "d", "first").join(_small(wanted), ["c", "d"])
-    wanted = wanted.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).agg(F.collect_list(F.struct("first", "c", "d")).alias("lines"))
-    source = docs.join(_small(checkpointed(wanted)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    wanted = checkpointed(wanted.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).agg(F.collect_list(F.struct("first", "c", "d")).alias("lines")))
+    source = docs.join(_small(wanted, 40, F.size("lines"), 72), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
     found = let(F.split("text", "\n"), lambda x: F.transform("lines", lambda e: F.struct(e["c"].alias("c"), e["d"].alias("d"), e["first"].alias("first"), F.get(x, e["first"]["no"]).alias("line"))))
     whole = source.select(F.explode(found).alias("e")).select("e.c", "e.d", "e.first", words_of(F.col("e.line")).alias("words"))
-    whole = checkpointed(whole.select("c", "d", "first", F.array_distinct(tokens_of(F.col("words"), weights, width)).alias("tokens")))
+    whole = checkpointed(whole.select("c", "d", "first", tokens_of(F.col("words"), weights, width).alias("tokens")))
 
-    # Lines that nothing else can be alike by sizes, places and bits go before tokens are compared.
-    # (Repeated rows have their lines here as often; from the members on each class stands once for a token.)
-    at = F.posexplode(F.slice("tokens", F.lit(1), prefix_length(F.size("tokens"), alike).cast("int"))).alias("at", "token")
-    members = whole.select("c", "d", F.size("tokens").alias("n"), at).join(_small(single), "token", "left_semi").distinct()
-    members = checkpointed(members.join(bits_of(whole.select("c", "d", F.explode("tokens").alias("t")), "t", "c", "d"), ["c", "d"]))
+    # Lines that nothing else can be alike by their sets of bits go before tokens are compared.
     words = [f"b{k}" for k in range(WORDS)]
-    other = members.select(*[F.col(x).alias(f"o_{x}") for x in ("token", "c", "d", "n", "at", *words)])
-    differ = (F.col("c") != F.col("o_c")) | (F.col("d") != F.col("o_d"))
-    differing = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"o_{x}"))) for x in words), F.lit(0))
-    near = can_be_alike(F.col("n"), F.col("o_n"), F.col("at"), F.col("o_at"), alike) & bits_can_be_alike(F.col("n"), F.col("o_n"), differing, alike)
-    likely = checkpointed(members.join(other, (F.col("token") == F.col("o_token")) & differ & near, "left_semi").select("token", "c", "d", "at", "n"))
-    chosen = whole.select("c", "d", "first", "tokens").join(_small(checkpointed(likely.select("c", "d").distinct())), ["c", "d"], "left_semi")
+    members = members.join(bits_of(whole.select("c", "d", F.explode("tokens").alias("t")), "t", "c", "d"), ["c", "d"])
+
+    def near(a, b) -> Column:
+        differing = sum((F.bit_count(a(x).bitwiseXOR(b(x))) for x in words), F.lit(0))
+        return can_be_alike(a("n"), b("n"), a("at"), b("at"), alike) & bits_can_be_alike(a("n"), b("n"), differing, alike)
+
+    likely = checkpointed(_with_partner(members, near, ["n", "at", *words]).select("token", "blocks", "c", "d", "n", "at"))
+    # Repeated rows have their lines in whole as often; any one of them does.
+    chosen = whole.join(_small(checkpointed(likely.select("c", "d").distinct())), ["c", "d"], "left_semi").dropDuplicates(["c", "d"])
     full = likely.join(chosen, ["c", "d"])
-    a, b = full.alias("a"), full.select("token", "first", "tokens", "at", "n").alias("b")
-    earlier = (F.col("b.first") < F.col("a.first")) & can_be_alike(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at"), alike)
-    later = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & is_alike(F.col("a.tokens"), F.col("b.tokens"), alike), "left_semi").select("c", "d").distinct()
+    earlier = lambda a, b: (b("first") < a("first")) & can_be_alike(a("n"), b("n"), a("at"), b("at"), alike) & is_alike(a("tokens"), b("tokens"), alike)
+    later = _with_partner(full, earlier, ["n", "at", "first", "tokens"]).select("c", "d").distinct()
 
     # A class that repeats an earlier one loses all its lines, any other all but the first.
     later = checkpointed(later.withColumn("goes", F.lit(True)))
     marked = checkpointed(classes.select("c", "d", "first", "times").join(_small(later), ["c", "d"], "left").where("times > 1 or goes"))
-    found = kept.select("doc_id", "key", "no", "c", "d").join(_small(marked), ["c", "d"])
+    found = kept.select("doc_id", "key", "no", "c", "d").join(_small(marked, 80), ["c", "d"])
     removed = found.where(F.col("goes") | (F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "no", "key") > F.col("first")))
     return removed.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("no")).alias("lines"))
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE, short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """docs, with all their columns, without the lines that repeat an earlier one, and with the numbers of those, in column removed_lines.
 
     The text keeps its other lines, in order. Null and empty texts stay as they are; a text whose lines all
-    go is empty. With short, lines of fewer than width words that repeat go too. Extra columns stay whatever their names; only one named removed_lines gives way.
+    go is empty. Extra columns stay whatever their names; only one named removed_lines gives way.
     """
     key, mine, other_key, other, numbers = (free_name(docs, c) for c in ("key", "id", "their_key", "their_id", "numbers"))
-    gone = checkpointed(repeated_lines(docs, doc_id=doc_id, text=text, width=width, alike=alike, short=short)).select(F.col("doc_id").alias(other), F.col("key").alias(other_key), F.col("lines").alias(numbers))
+    gone = checkpointed(repeated_lines(docs, doc_id=doc_id, text=text, width=width, alike=alike)).select(F.col("doc_id").alias(other), F.col("key").alias(other_key), F.col("lines").alias(numbers))
     marked = docs.withColumn(key, F.xxhash64(F.col(text))).withColumn(mine, F.col(doc_id).cast("long"))
-    both = marked.join(_small(gone), F.col(mine).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key)), "left")
+    both = marked.join(_small(gone, 48, F.size(numbers), 4), F.col(mine).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key)), "left")
     lines = F.split(F.col(text), "\n")
     rest = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(numbers)), lambda i: x[i]), "\n"))
     cleaned = F.when(F.col(numbers).isNull(), F.col(text)).otherwise(rest)

@@ -23,14 +23,14 @@ SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_
 FROM words LEFT JOIN hit ON id = hit.doc_id LEFT JOIN listed ON id = listed.doc_id WHERE side = 'd'
 """
 
-#: linededup.py: every line's distinct shingles of five words, and all earlier lines that share one.
+#: linededup.py: every line's distinct shingles of five words (of all words where there are fewer), and all earlier lines that share one.
 OP4 = r"""
 WITH lines AS (
   SELECT doc_id, no - 1 AS no, line, list_filter(string_split_regex(lower(line), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
 tokens AS (
   SELECT DISTINCT doc_id, no, array_to_string(w[i:i + 4], ' ') AS t
-  FROM (SELECT doc_id, no, w, unnest(range(1, len(w) - 3)) AS i FROM lines WHERE len(w) >= 5)),
+  FROM (SELECT doc_id, no, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM lines WHERE len(w) > 0)),
 classes AS (SELECT list(t ORDER BY t) AS ts, doc_id, no FROM tokens GROUP BY doc_id, no),
 firsts AS (SELECT ts, min((doc_id, no)) AS first, len(ts) AS n, row_number() OVER (ORDER BY min((doc_id, no))) AS c FROM classes GROUP BY ts),
 held AS (SELECT c, n, unnest(ts) AS t FROM firsts),

@@ -18,7 +18,9 @@ TINY = "/root/testdata/sf0.001"
 
 
 def jaccard_tokens(words, width=5):
-    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+    """The windows of width words, or all words as one where there are fewer."""
+    size = min(width, len(words))
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else frozenset()
 
 
 def brute_lines(docs):
@@ -72,29 +74,26 @@ def test_line_dedup_of_repeated_rows_and_none(spark):
     assert linededup.dedup(docs.limit(0)).count() == 0
 
 
-def brute_short_lines(docs):
-    """Removed line numbers by (doc_id, text), where a line of fewer than five words is one shingle."""
-    seen, out = [], {}
-    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
-        for no, line in enumerate((text or "").split("\n")):
-            words = re.findall(r"[a-z0-9]+", line.lower())
-            t = jaccard_tokens(words, min(5, len(words))) if words else set()
-            if t:
-                if any(5 * len(t & s) >= 4 * len(t | s) for s in seen):
-                    out.setdefault((doc, text), []).append(no)
-                seen.append(t)
-    return out
-
-
 def test_line_dedup_of_short_lines(spark):
     docs = random_docs(3) + [(None, "Of.\na b c d e f"), (900, "of\n--\nOf, of.\na b c d"), (901, "A-b c d\n\n--"), (902, None), (903, "all of\nof all"), (904, "All of!\nb a b c d e f")]
-    want = brute_short_lines(docs)
+    want = brute_lines(docs)
     assert want[900, docs[-5][1]] == [0] and want[901, docs[-4][1]] == [0] and want[904, docs[-1][1]][0] == 0
-    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(docs, DOCS), short=True).collect()}
+    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(docs, DOCS)).collect()}
     assert {i: list(r.removed_lines) for i, r in got.items()} == {i: want.get((i, t), []) for i, t in docs}
     assert got[901].text == "\n--" and got[902].text is None
 
 
+def test_line_dedup_with_hot_tokens_in_blocks_and_shuffled_sides(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 2)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    random.seed(5)
+    shared = ["s%d" % i for i in range(20)]
+    docs = [(i, " ".join([*shared, *("w%d" % random.randrange(8) for _ in range(random.randint(0, 12)))])) for i in range(60)]
+    want = brute_lines(docs)
+    got = {r.doc_id: list(r.removed_lines) for r in linededup.dedup(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {i: want.get((i, t), []) for i, t in docs} and 0 < len(want) < 59
+
+
 def brute_join(docs, width=5):
     words = {i: shingles.normalised(t).split() for i, t in docs}
     sets = {i: {tuple(w[k : k + min(width, len(w))]) for k in range(len(w) - min(width, len(w)) + 1)} if w else set() for i, w in words.items()}
@@ -255,5 +254,5 @@ def test_pipeline_keeps_one_of_exact_copies_with_short_lines(spark):
     groups = {"a": f"{long[0]}\nOf.\nAnd ornd.", "b": f"All rights reserved.\n{long[1]}\n--", "c": long[2]}
     rows = [(i, groups[g], len(groups[g])) for i, g in enumerate("abcabcaab")]
     docs = spark.createDataFrame(rows, DOCS + ", n_chars long")
-    kept = p.ngram_jaccard_join(spark, p.written(p.line_dedup(spark, docs, TINY, short=True)), TINY).collect()
+    kept = p.ngram_jaccard_join(spark, p.written(p.line_dedup(spark, docs, TINY)), TINY).collect()
     assert sorted(tuple(r) for r in kept) == rows[:3]
