@@ -1,11 +1,12 @@
 """Join of documents whose sets of word shingles are alike, with Bayesian pruning of the candidates.
 
 1. Documents with the same words are one text: all that follows works on distinct texts.
-2. Texts that share a band of MinHash values are candidates; bands link each text to the least one in
-   its bucket only, so no pairs are made here. Their connected components bound who can be alike.
-3. A component is dealt into blocks of texts and a task takes two blocks at a time: it compares MinHash
-   values in rounds, drops the pairs whose posterior probability of reaching the threshold falls below the
-   tolerance, and computes the exact similarity of the rest. It gives back counts and a spanning forest, not pairs.
+2. Texts that share a band of MinHash values are candidates. A band's texts are dealt into blocks, and a task takes two
+   blocks at a time: it compares MinHash values in rounds and drops the pairs whose posterior probability of reaching
+   the threshold falls below the tolerance. A pair is looked at in the first band that it shares, and nowhere else.
+   Only the texts that are left with a partner come out, not the pairs.
+3. The sets of those texts go to the same two blocks, where the pairs that are left are verified exactly. A task gives
+   back counts and a spanning forest; counts add up, as every pair has one task.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ TOLERANCE = 1e-9
 ROUND = 32
 #: Texts and shingles of a block at most, on average.
 BLOCK_TEXTS, BLOCK_SHINGLES = 192, 2_000_000
-#: Rows up to which a table of ids (some tens of bytes a row) is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of ids and hashes (some tens of bytes a row) is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
 
 LINKED = "cls binary, linked_docs long, linked_texts long, root binary"
 
@@ -90,19 +91,29 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return out[i, j]
 
 
-def compare(texts: list[tuple], threshold: float, tolerance: float) -> Iterator[tuple]:
-    """LINKED rows for one pair of blocks; texts are (cls, copies, in the first block, in the second, hashes, signature)."""
-    texts = list({t[0]: t for t in texts}.values())
-    first, second = [k for k, t in enumerate(texts) if t[2]], [k for k, t in enumerate(texts) if t[3]]
+def candidates(band: int, first: list[int], second: list[int], sigs: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a band's two blocks (indices of sigs) that no round drops and that share no earlier band."""
     if not first or not second:  # texts fall into blocks by their hash, so one of them can be empty
-        return
-    same = first == second
-    sigs = np.stack([np.frombuffer(t[5], dtype="<u4") for t in texts])
-    i, j = survivors(sigs[first], sigs[second], same, threshold, tolerance)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    i, j = survivors(sigs[first], sigs[second], first == second, threshold, tolerance)
+    i, j = np.array(first)[i], np.array(second)[j]
+    if len(i):
+        own = np.concatenate([shingles.first_shared_band(sigs[i[k : k + 4096]], sigs[j[k : k + 4096]]) == band for k in range(0, len(i), 4096)])
+        i, j = i[own], j[own]
+    return i, j
+
+
+def _two(texts: list[tuple]) -> tuple[list[int], list[int], np.ndarray]:
+    """The places of the first and the second block's texts (in_a, in_b, signature), and all signatures."""
+    return [k for k, t in enumerate(texts) if t[0]], [k for k, t in enumerate(texts) if t[1]], np.stack([np.frombuffer(t[2], dtype="<u2") for t in texts])
+
+
+def compare(band: int, texts: list[tuple], threshold: float, tolerance: float) -> Iterator[tuple]:
+    """LINKED rows for two blocks of a band; texts are (cls, copies, in the first block, in the second, signature, hashes)."""
+    i, j = candidates(band, *_two([t[2:5] for t in texts]), threshold, tolerance)
     if not len(i):
         return
-    i, j = np.array(first)[i], np.array(second)[j]
-    sets = [np.frombuffer(t[4], dtype="<u8") for t in texts]
+    sets = [np.frombuffer(t[5], dtype="<u8") for t in texts]
     sizes, limit = np.array([len(s) for s in sets]), Fraction(threshold).limit_denominator(10_000)
     common = overlaps(sets, i, j)
     alike = common * limit.denominator >= (sizes[i] + sizes[j] - common) * limit.numerator
@@ -145,33 +156,46 @@ def texts_of(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, width: int, threshold: float, tolerance: float) -> DataFrame:
-    """LINKED rows, from each two blocks of each component of candidates."""
-    buckets = classes.where("n > 0").select("cls", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("cls").alias("least"), F.count("*").alias("texts")).where("texts > 1")
-    found = components(buckets.join(shared, "band").where("cls <> least"), "cls", "least")
-    found = found.join(classes.select("cls", "first", "copies", "n"), found["node"] == F.col("cls"))
-    blocks = found.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = checkpointed(found.join(blocks, "root").select("first", F.col("cls"), "copies", "root", "blocks"))
+    """LINKED rows, from each two blocks of each band with several texts."""
+    buckets = classes.select("cls", "n", F.posexplode("bands").alias("no", "band"))
+    members = F.count("*").alias("texts"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")
+    many = buckets.groupBy("no", "band").agg(*members).where("texts > 1")
+    # Bands with the same texts have the same pairs: the first of them does for all.
+    many = many.groupBy("texts", "shingles", "x", "y").agg(F.min(F.struct("no", "band")).alias("m")).select("m.band", "texts", "shingles")
+    many = many.select("band", F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    found = checkpointed(buckets.join(many, "band").select("band", "no", "cls", "blocks"))
 
     def hashed(given: Iterator[tuple]) -> Iterator[tuple]:
-        for t, cls, copies, root, blocks in given:
-            words = shingles.normalised(t)
-            if shingles.identity(words) == bytes(cls):
-                hashes = shingles.shingles(words, width)
-                yield root, cls, copies, blocks, hashes.astype("<u8").tobytes(), shingles.signature(hashes).astype("<u4").tobytes()
+        for t, cls, copies in given:
+            hashes = shingles.shingles(shingles.normalised(t), width)
+            yield cls, copies, shingles.signature(hashes).astype("<u2").tobytes(), hashes.astype("<u8").tobytes()
+
+    wanted = found.select("cls").distinct().join(classes.select("cls", "first", "copies"), "cls").select("cls", "copies", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("__mine"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
+    chosen = docs.join(_small(checkpointed(wanted)), F.col("__mine").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key"))).select("__text", "cls", "copies")
+    # Repeated rows are here as often; any one of them does.
+    sets = written(map_rows(chosen, hashed, "cls binary, copies long, sig binary, hashes binary").dropDuplicates(["cls"]))
 
-    docs = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    chosen = docs.join(_small(wanted), F.col("__id").eqNullSafe(F.col("first"))).select("__text", "cls", "copies", "root", "blocks")
-    sets = map_rows(chosen, hashed, "root binary, cls binary, copies long, blocks int, hashes binary, sig binary")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
-    dealt = sets.select("*", own.alias("own"), F.explode(met).alias("at")).select("root", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "cls", "copies", (F.col("own") == F.col("at.a")).alias("in_a"), (F.col("own") == F.col("at.b")).alias("in_b"), "hashes", "sig")
+    dealt = found.join(sets.select("cls", "sig"), "cls").select("band", "no", "cls", "sig", own.alias("own"), F.explode(met).alias("at"))
+    dealt = dealt.select("band", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "no", "cls", (F.col("own") == F.col("at.a")).alias("in_a"), (F.col("own") == F.col("at.b")).alias("in_b"), "sig")
+
+    def pruned(given: Iterator[tuple]) -> Iterator[tuple]:
+        for task, group in groupby(given, key=lambda r: r[:4]):
+            texts = list(group)
+            i, j = candidates(task[3], *_two([r[5:8] for r in texts]), threshold, tolerance)
+            for k in np.union1d(i, j).tolist():
+                yield *task, *texts[k][4:7]
 
     def compared(given: Iterator[tuple]) -> Iterator[tuple]:
-        for _, group in groupby(given, key=lambda r: r[:3]):
-            yield from compare([r[3:] for r in group], threshold, tolerance)
+        for task, group in groupby(given, key=lambda r: r[:4]):
+            yield from compare(task[3], [r[4:] for r in group], threshold, tolerance)
 
-    return map_rows(dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b"), compared, LINKED)
+    task = ("band", "a", "b")
+    left = map_rows(dealt.repartition(*task).sortWithinPartitions(*task), pruned, "band long, a int, b int, no int, cls binary, in_a boolean, in_b boolean")
+    whole = checkpointed(left).join(sets, "cls").select(*task, "no", "cls", "copies", "in_a", "in_b", "sig", "hashes")
+    return map_rows(whole.repartition(*task).sortWithinPartitions(*task), compared, LINKED)
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = shingles.WIDTH, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -184,15 +208,14 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     Words are lower-cased and bare of punctuation; a text of fewer than width words is one shingle. Texts without words
     (null and empty ones too) link to nothing, themselves included: each has its own id as class. Documents with a null id count like others,
     but an id of null is given only if no other is in the class. Repeated rows are copies of each other. Other columns are not read.
-    Candidates come from 32 bands of 5 values: a pair at 0.8 shares none with a probability of 3e-6, and any
-    two texts of a component are compared whether they share one or not.
+    Candidates come from 32 bands of 5 values: a pair at 0.8 shares none with a probability of 3e-6.
     """
     rows = written(texts_of(docs, doc_id, text, width))
-    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     linked = checkpointed(_links(docs, classes, doc_id, text, width, threshold, tolerance))
     group = components(linked, "cls", "root").select(F.col("node").alias("cls"), F.col("root").alias("group"))
     counts = linked.groupBy("cls").agg(F.sum("linked_docs").alias("linked_docs"), F.sum("linked_texts").alias("linked_texts"))
-    known = classes.select("cls", "first", "copies").join(counts, "cls", "left").join(group, "cls", "left").where("copies > 1 or linked_docs is not null")
+    known = classes.select("cls", F.col("first.doc_id").alias("first"), "copies").join(counts, "cls", "left").join(group, "cls", "left").where("copies > 1 or linked_docs is not null")
     known = checkpointed(known.select("cls", "first", "copies", F.coalesce("linked_docs", F.lit(0)).alias("linked_docs"), F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"), F.coalesce("group", "cls").alias("group")))
     heads = known.groupBy("group").agg(F.min_by(F.struct("first", "cls"), F.struct(F.col("first").isNull(), "first", "cls")).alias("head"))
     # Only texts with copies or links are joined back; what is alone needs no more than its own row.

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 ROUNDS = 8
+#: Only stands in where a query's session names no key: pseudonyms made with it can be undone by anyone.
+OPEN_KEY = b"not a secret: set spark.geoloom.pii.key"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 
 
@@ -145,22 +147,29 @@ def ip(value: str, p: Permute) -> str | None:
 
 
 def day(value: str, p: Permute) -> str | None:
-    """A date within its century; day or month first as only one of both is valid, else the day."""
+    """A date within its century, written in the same order of day and month.
+
+    Years that come first are followed by the month; between points the day comes first; else day and month come as only one
+    order is valid, or the day first. Days beyond the 12th stay beyond it and others don't get there (the permutation is walked on
+    until that holds), so that a date reads in the same orders as before, and each order has a permutation of its own dates.
+    """
     sep = next(c for c in value if not c.isdigit())
     parts = value.split(sep)
-    y, others = (0, (1, 2)) if len(parts[0]) == 4 else (2, (0, 1))
-    order = [others] if sep == "." else [others, others[::-1]]
-    for m, d in [o if y == 0 else o[::-1] for o in order]:
-        try:
-            when = date(int(parts[y]), int(parts[m]), int(parts[d]))
-        except ValueError:
-            continue
-        first = date(when.year // 100 * 100 or 1, 1, 1)
-        last = date(min(when.year // 100 * 100 + 99, 9999), 12, 31)
-        new = first + timedelta(days=p(b"date%d" % first.year, (when - first).days, (last - first).days + 1))
-        parts[y], parts[m], parts[d] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-        return sep.join(parts)
-    return None
+    y, m, d = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)
+    if y and sep != "." and int(parts[m]) > 12:
+        m, d = d, m
+    try:
+        when = date(int(parts[y]), int(parts[m]), int(parts[d]))
+    except ValueError:
+        return None
+    first = date(when.year // 100 * 100 or 1, 1, 1)
+    size = (date(min(when.year // 100 * 100 + 99, 9999), 12, 31) - first).days + 1
+    place, new = (when - first).days, None
+    while new is None or (new.day > 12) != (when.day > 12):
+        place = p(b"date%d" % first.year, place, size)
+        new = first + timedelta(days=place)
+    parts[y], parts[m], parts[d] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+    return sep.join(parts)
 
 
 # The formats, the first of two that fit at a place being taken. Numbers stand alone: no letter, digit or sign of a longer number touches them.
@@ -202,14 +211,17 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
     return "".join([*out, text[at:]]), spans
 
 
-def protect(docs: DataFrame, key: bytes, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def protect(docs: DataFrame, key: bytes, *, doc_id: str = "doc_id", text: str = "text", open_key: bool = False) -> DataFrame:
     """Every document's text with pseudonyms for what is personal in it.
 
     One row for each document: doc_id, text and found, an array of (kind, start, end) in the text as it was. Kinds:
     email (letters and digits of the name), iban (valid check digits), card (valid Luhn digit), ssn, phone, ip (octets to
     255) and date (in the calendar, permuted within its century). Numbers that fail their check are left as they are. A null
-    text stays null with nothing found; null ids stay null; repeated rows give a row each; other columns are not read.
+    text stays null with nothing found; null ids stay null; repeated rows give a row each; other columns are not read; an empty
+    table gives no rows. OPEN_KEY is refused but with open_key.
     """
+    if key == OPEN_KEY and not open_key:
+        raise ValueError("this key is no secret")
     if not 16 <= len(key) <= 64:
         raise ValueError("the key must have 16 to 64 bytes")
 

@@ -70,12 +70,16 @@ def shingles(words: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """PERMUTATIONS MinHash values (32 bits each) of at least one hash."""
+    """PERMUTATIONS MinHash values of at least one hash: the lower 16 bits of the least 32-bit values.
+
+    Two different least values have the same lower bits once in 65,536 times, so matches are hardly more than with all
+    bits, and never fewer.
+    """
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.full(PERMUTATIONS, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(x), 4096):
         np.minimum(out, (x[i : i + 4096, None] * _A + _B).min(axis=0), out=out)
-    return out
+    return out.astype(np.uint16)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -85,3 +89,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
     for j in range(ROWS):
         keys = mix(keys + rows[:, j] * _PLACE[20 + j] + np.uint64(j))
     return keys.view(np.int64)
+
+
+def first_shared_band(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each row of two arrays of signatures the first band in which they are equal; they must share one."""
+    return (one == other).reshape(len(one), -1, ROWS).all(axis=2).argmax(axis=1)

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from geoloom.llm import chat, components, hostrules, linededup, ngramjoin, queries, shingles
+from geoloom.llm import chat, common, components, hostrules, linededup, ngramjoin, queries, shingles
 
 DOCS = "doc_id long, text string"
 TINY = "/root/testdata/sf0.001"
@@ -129,6 +129,33 @@ def test_join_against_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if root[i] == i) and kept.columns == ["doc_id", "text", "key"]
 
 
+def test_join_counts_each_pair_once_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK_TEXTS", 4)
+    random.seed(2)
+    base = ["w%d" % i for i in range(120)]
+    docs = []
+    for i in range(60):  # a large group whose texts are alike by pairs, but not all of them
+        w = list(base)
+        for k in random.sample(range(24), random.randint(1, 5)):
+            w[5 * k] = "n%d" % random.randrange(3)
+        docs.append((i, " ".join(w)))
+    links, root = brute_join(docs)
+    got = ngramjoin.join(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r.doc_id: r.n_text_links for r in got} == {i: len({docs[j][1] for j in x} - {docs[i][1]}) for i, x in links.items()}
+    assert {r.doc_id: r.n_links for r in got} == {i: len(x) for i, x in links.items()} and {r.doc_id: r.class_id for r in got} == root
+    assert 0 < sum(len(x) for x in links.values()) < 60 * 59
+
+
+def test_a_chain_of_half_alike_texts_has_no_candidates(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngramjoin, "checkpointed", lambda df: seen.append(common.checkpointed(df)) or seen[-1])
+    words = ["w%d" % i for i in range(6200)]
+    docs = [(i, " ".join(words[20 * i : 20 * i + 64])) for i in range(300)]  # neighbours share half of their shingles
+    assert {r.class_id == r.doc_id for r in ngramjoin.join(spark.createDataFrame(docs, DOCS)).collect()} == {True}
+    left = next(df for df in seen if df.columns == ["band", "a", "b", "no", "cls", "in_a", "in_b"])
+    assert left.count() < 30  # though two neighbours in three share a band
+
+
 def test_join_of_null_ids_and_nothing(spark):
     got = ngramjoin.join(spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (None, None)], DOCS)).collect()
     assert sorted((r.class_id is None, r.class_id, r.n_links, r.chosen) for r in got if r.n_links) == [(False, 4, 2, False), (False, 4, 2, False), (False, 4, 2, True)]
