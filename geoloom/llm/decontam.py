@@ -8,23 +8,29 @@ in words, and words are found again in the original text.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, map_rows
+from .common import checkpointed, free_name, map_rows, written
 
 WINDOW = 10
 #: Words of the items in one automaton at most (about 60 nodes a window, 150 MB); more items are scanned in as many blocks.
 BLOCK_WORDS = 40_000
+#: Rows up to which a table of ids and hashes, or of hit documents, is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Words in the original text, where A-Z are still in upper case.
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-SCANNED = "n_words long, ranges array<struct<first:int,last:int>>, items array<long>"
+HITS = "doc_id long, key long, ranges array<struct<first:int,last:int>>, items array<long>"
+
+#: The automaton that a worker made last, by the name of its block, so that tasks of one worker share it.
+_made: dict[str, object] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -92,34 +98,61 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     characters) and contaminated. Null texts and items have no words; null item ids hit but aren't listed; repeated documents
     give a row each, repeated items count once. Other columns are not read. Empty tables give no rows or no hits.
 
-    The items are sent to the executors in blocks of a bounded number of words, one block in most cases; with
-    more, each block's scan is checkpointed before the next, so only one automaton is in memory.
+    The items are sent to the executors in blocks of a bounded number of words, one block in most cases, so that only one automaton is in
+    memory. With more, each further block scans the documents by itself and gives only what it hits, and the last scan adds those up.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     blocks = _blocks(items, "item", "text", block_words)
-    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    for i in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
-        held = _scan_block(held, [tuple(r) for r in part.collect()], window, first=i == 0, last=i == blocks - 1)
-        if i < blocks - 1:
-            held = checkpointed(held)
-    return held
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    part = lambda i: [tuple(r) for r in (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)).collect()]
+    if blocks == 1:
+        return _scan(source, part(0), window)
+    found = [written(_hits(source.select("doc_id", F.xxhash64("text").alias("key"), "text"), part(i), window)) for i in range(1, blocks)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    # Repeated rows are hit alike, so any one of them does; the others' ranges are merged.
+    every = every.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.flatten(F.collect_set("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    every = checkpointed(every)
+    every = F.broadcast(every) if every.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else every
+    joined = source.join(every, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    return _scan(joined.select("doc_id", "text", "ranges", "items"), part(0), window)
+
+
+def _machine(name: str, sent, window: int):
+    """The automaton of a block, made once for each worker."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = automaton(sent.value, window)
+    return _made[name]
+
+
+def _hits(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
+    """HITS of the documents (doc_id, key, text) that hold a window of these items."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def rows(given: Iterator[tuple]) -> Iterator[tuple]:
+        machine = _machine(name, sent, window)
+        for doc, key, text in given:
+            ranges, ids = hits(machine, words_of(text))
+            if ranges:
+                yield doc, key, [{"first": a, "last": b} for a, b in ranges], [x for x in ids if x is not None]
+
+    return map_rows(docs, rows, HITS)
 
 
-def _scan_block(held: DataFrame, items: list[tuple], window: int, first: bool, last: bool) -> DataFrame:
-    sent = held.sparkSession.sparkContext.broadcast(items)
+def _scan(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
+    """The rows of scan() for documents (doc_id, text and, of other items, ranges and items hit)."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def rows(given: Iterator[tuple]) -> Iterator[tuple]:
-        machine = automaton(sent.value, window)
+        machine = _machine(name, sent, window)
         for doc, text, *before in given:
             words = words_of(text)
             ranges, ids = hits(machine, words)
-            if before:
+            if before and before[0] is not None:
                 ranges = merged({*ranges, *((r["first"], r["last"]) for r in before[0])})
                 ids |= set(before[1])
-            if not last:
-                yield doc, text, [{"first": a, "last": b} for a, b in ranges], [x for x in ids if x is not None]
-                continue
             spans = []
             if ranges:
                 places = [m.span() for m in ORIGINAL_WORD.finditer(text)]
@@ -127,9 +160,7 @@ def _scan_block(held: DataFrame, items: list[tuple], window: int, first: bool, l
             n = sum(b - a for a, b in ranges)
             yield doc, len(words), n, sorted(x for x in ids if x is not None), spans, n > 0
 
-    if last:
-        return map_rows(held, rows, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>, contaminated boolean")
-    return map_rows(held, rows, "doc_id long, text string, ranges array<struct<first:int,last:int>>, items array<long>")
+    return map_rows(docs, rows, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>, contaminated boolean")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -141,10 +172,11 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns.
 
-    Documents with null texts stay. The scan only looks at distinct contaminated texts' hashes: it keeps
-    each row's own text hash as its id, and rows whose hash was found contaminated go by an anti join on it.
+    Documents with null texts stay. The scan gives the hashes of contaminated texts, and rows with such a hash go; up to
+    BROADCAST_ROWS hashes are broadcast, so that the documents themselves aren't shuffled.
     """
     key, other = F.xxhash64(F.col(text)), free_name(docs, "their_key")
     dirty = scan(docs.select(key.alias("k"), F.col(text).alias("t")), benchmark, doc_id="k", text="t", item_id=item_id, item_text=item_text, window=window, block_words=block_words)
-    dirty = dirty.where("contaminated").select(F.col("doc_id").alias(other)).distinct()
+    dirty = checkpointed(dirty.where("contaminated").select(F.col("doc_id").alias(other)).distinct())
+    dirty = F.broadcast(dirty) if dirty.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dirty
     return docs.join(dirty, key == F.col(other), "left_anti")
