@@ -11,6 +11,8 @@ from .common import let
 SEGMENT = 64
 #: Turns in whose ranges messages are numbered before the ranges are put one after another.
 RANGE = 1024
+#: Messages of such a range from which it is dealt further.
+MANY = 4096
 #: Roles that frame a dialogue without taking part in it.
 FRAMES = ("system",)
 #: The marks around a message.
@@ -20,24 +22,35 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 def numbered(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
     """(conv_id, at, role, text): the messages with their place in the dialogue, by turn (nulls first), role and text.
 
-    Places are counted within ranges of turns, and the ranges' sizes are summed up, so no task sorts a long dialogue whole.
+    Equal messages are counted first, before any shuffle of theirs. What is left is numbered within parts of a dialogue, and the parts' sizes are
+    summed up, so no task sorts a long dialogue whole. Parts are ranges of turns; where a range holds more than MANY messages (turns that
+    are null or the same), its parts are the messages of one turn and role whose texts begin alike.
     """
-    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("part", F.floor(F.col("turn") / RANGE))
-    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    order = ("turn", "role", "text")
+    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rows = rows.groupBy("conv_id", *order).agg(F.count("*").alias("times")).withColumn("range", F.floor(F.col("turn") / RANGE))
+    wide = rows.groupBy(F.col("conv_id").alias("c"), F.col("range").alias("r")).agg(F.count("*").alias("k")).where(F.col("k") > MANY).select("c", "r", F.lit(True).alias("hot"))
+    rows = rows.join(wide, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("range").eqNullSafe(F.col("r")), "left").drop("c", "r")
+    # As a struct these sort as the messages do: by range, and within a hot one by turn, role and the beginning of the text.
+    hot = lambda c: F.when(F.col("hot"), c)
+    rows = rows.withColumn("part", F.struct("range", hot(F.col("turn")).alias("t"), hot(F.col("role")).alias("s"), hot(F.substring("text", 1, 8)).alias("x"))).drop("hot", "range")
+    sizes = rows.groupBy("conv_id", "part").agg(F.sum("times").alias("n"))
     before = Window.partitionBy("conv_id").orderBy(F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]))
-    at = rows.withColumn("own", own).join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")))
-    return at.select("conv_id", (F.col("start") + F.col("own") - 1).alias("at"), "role", "text")
+    earlier = Window.partitionBy("conv_id", "part").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.withColumn("own", F.coalesce(F.sum("times").over(earlier), F.lit(0))).join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")))
+    first = F.col("start") + F.col("own")
+    return at.select("conv_id", F.explode(F.sequence(first, first + F.col("times") - 1)).alias("at"), "role", "text")
 
 
 def _piece(m: Column, participant: Column, frames: tuple[str, ...]) -> Column:
     """A message as the participant sees it: role, name, content, rendered text and the length of what is trained."""
     mine = F.coalesce(m["role"] == participant, F.lit(False))
     role = F.when(mine, "assistant").when(m["role"].isin(*frames), m["role"]).otherwise("user")
-    name = F.when(role == "user", F.coalesce(m["role"], F.lit("unknown")))
-    # Marks inside a message are broken up, so that no message can open another.
-    content = F.replace(F.coalesce(m["text"], F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
+    # Marks inside a message or a name are broken up, and names stay in their line, so that nothing can open a message of its own.
+    whole = lambda x: F.replace(x, F.lit("<|im_"), F.lit("<| im_"))
+    name = F.when(role == "user", F.regexp_replace(whole(F.coalesce(m["role"], F.lit("unknown"))), r"[\x00-\x20]+", " "))
+    content = whole(F.coalesce(m["text"], F.lit("")))
     head = F.concat(F.lit(OPEN), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("\n"))
     tail = F.concat(content, F.lit(CLOSE))
     return F.struct(
