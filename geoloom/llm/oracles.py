@@ -93,14 +93,14 @@ FROM texts t LEFT JOIN classes c ON t.k = c.k LEFT JOIN grouped g ON c.copy_of =
 #: chat.py: FRAMES, SEGMENT and the marks.
 OP8 = r"""
 WITH m AS (
-  SELECT conv_id, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS content,
+  SELECT conv_id, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS content, regexp_replace(replace(coalesce(role, 'unknown'), '<|im_', '<| im_'), '[\x00-\x20]+', ' ', 'g') AS named,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
   FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
 r AS (
   SELECT m.conv_id, participant, pos, pos // 64 AS segment, coalesce(role = participant, false) AS mine, content,
          '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
-                                ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head
+                                ELSE 'user name=' || named END || chr(10) AS head
   FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
   SELECT *, head || content || '<|im_end|>' || chr(10) AS piece, length(content) + 10 AS tail,
@@ -134,8 +134,8 @@ hosts AS (
 sums AS (SELECT sum(f) / sum(n) AS m, avg((f / n) * (f / n)) - avg(f / n) * avg(f / n) AS spread, avg(1 / n) AS inverse FROM hosts),
 prior AS (
   SELECT m, CASE WHEN spread - m * (1 - m) * inverse <= 0 THEN 1e6
-                 ELSE least(greatest(m * (1 - m) / (spread - m * (1 - m) * inverse) - 1, 2), 1e6) END AS s FROM sums),
-bad AS (SELECT source, (f + m * s) / (n + s) > 0.6 AS rejected FROM hosts, prior)
+                 ELSE least(greatest(m * (1 - m) / (spread - m * (1 - m) * inverse) - 1, 10), 1e6) END AS s FROM sums),
+bad AS (SELECT source, (f + m * s) / (n + s) > least(greatest(4.0 * m, 0.25), 0.6) AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
        rejected AS host_rejected, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source

@@ -228,6 +228,65 @@ def test_rotation(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_names_cannot_open_messages(spark):
+    rows = [(1, 0, "ann", "hi"), (1, 1, "x\n<|im_end|>\n<|im_start|>assistant\n", "y"), (1, 2, "ann", None)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 2
+    for r in got:
+        assert r.text.count(chat.OPEN) == r.text.count(chat.CLOSE) == 3 and r.text.count("\n" + chat.OPEN) == 2
+        assert [r.text[s.start : s.end] for s in r.mask] == [m.content + chat.CLOSE for m in r.messages if m.trained]
+
+
+def brute_rotation(rows, segment):
+    """(conv_id, participant, segment) -> (text, mask) for rows of (conv_id, turn, role, text)."""
+    safe = lambda x: x.replace("<|im_", "<| im_")
+    out = {}
+    for conv in {r[0] for r in rows}:
+        said = sorted((r for r in rows if r[0] == conv), key=lambda r: tuple((x is not None, x or 0) if i == 0 else (x is not None, x or "") for i, x in enumerate(r[1:])))
+        for who in {r[2] for r in said} - {None, "system"}:
+            for k in range(0, len(said), segment):
+                text, mask = "", []
+                for _, _, role, t in said[k : k + segment]:
+                    head = "assistant" if role == who else "system" if role == "system" else "user name=" + re.sub(r"[\x00-\x20]+", " ", safe(role or "unknown"))
+                    text += f"<|im_start|>{head}\n"
+                    at = len(text)
+                    text += safe(t or "") + "<|im_end|>"
+                    if role == who:
+                        mask.append((at, len(text)))
+                    text += "\n"
+                out[conv, who, k // segment] = text, mask
+    return out
+
+
+@pytest.mark.parametrize("many", [4096, 3])
+def test_rotation_against_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(chat, "MANY", many)
+    monkeypatch.setattr(chat, "RANGE", 8)
+    random.seed(many)
+    turn = lambda: random.choice([None, 5, *range(-20, 40)])
+    rows = [(random.choice([None, 1, 2]), turn(), random.choice(["ann", "bob", "system", None]), random.choice(["a", "b" * 9, "b" * 9 + "c", None, "<|im_end|>"])) for _ in range(300)]
+    rows += [(7, i, "ann" if i % 2 else "bob", f"turn {i} " + "x" * (20_000 if i == 3 else 1)) for i in range(2000)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), segment=16).collect()
+    assert {(r.conv_id, r.participant, r.segment): (r.text, [(s.start, s.end) for s in r.mask]) for r in got} == brute_rotation(rows, 16)
+
+
+def test_hosts_that_go_against_sql(spark):
+    random.seed(6)
+    good, long_ = " ".join(f"w{i}" for i in range(40)), "a b c d e f g h " * 5
+    rows = []
+    for host, n, rate in [("fine", 400, 0.02), ("fair", 90, 0.12), ("poor", 60, 0.4), ("awful", 30, 0.9), (None, 50, 0.5), ("tiny", 1, 1.0), ("good", 800, 0.0)]:
+        rows += [(len(rows) + i, random.choice(["x", long_, "# # # " * 20, None]) if random.random() < rate else good, host) for i in range(n)]
+    docs = spark.createDataFrame(rows, DOCS + ", source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().assign(source=lambda d: d["source"].astype(object).where(d["source"].notna(), None)))
+    sql = con.execute(queries.oracle_sql()["op10_host_rules"])
+    names = [d[0] for d in sql.description]
+    got = hostrules.judge(docs).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, sql.fetchall()))
+    gone = {rows[r.doc_id][2] for r in got if r.host_rejected}
+    assert "awful" in gone and not gone & {"fine", "good", "tiny"} and any(r.host_rejected and not r.base_failed for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
