@@ -87,16 +87,63 @@ def grounding_error(text: Column) -> Column:
     return F.when(parsed.isNull(), F.lit("json_decode")).otherwise(F.coalesce(F.get(faults, F.lit(0)), F.lit("ok")))
 
 
-def contract_error(boxes: Column) -> Column:
-    """The first fault of parsed boxes of an answer (label, bbox, confidence), or null."""
+def _kind(value: Column) -> Column:
+    """What a VARIANT is: ARRAY, OBJECT, STRING, VOID (null) or the name of a simple type."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def contract_error(answer: Column) -> Column:
+    """The first fault of the boxes of an answer (a VARIANT object with boxes of label, bbox and confidence), or null."""
     def fault(x: Column, i: Column) -> Column:
-        b, name = x["bbox"], F.concat(F.lit("box_"), i.cast("string"))
+        raw, name = F.try_variant_get(x, "$.bbox", "array<variant>"), F.concat(F.lit("box_"), i.cast("string"))
+        b = F.transform(raw, lambda v: F.try_variant_get(v, "$", "double"))
+        confidence = F.try_variant_get(x, "$.confidence", "variant")
+        how_sure = F.try_variant_get(x, "$.confidence", "double")
         return (
-            F.when(b.isNull() | (F.size(b) != 4), F.concat(name, F.lit("_bbox_shape")))
+            F.when(_kind(x) != "OBJECT", F.concat(name, F.lit("_not_object")))
+            .when(raw.isNull() | (F.size(raw) != 4), F.concat(name, F.lit("_bbox_shape")))
             .when(F.exists(b, lambda v: v.isNull()), F.concat(name, F.lit("_bbox_numeric")))
             .when(~F.forall(b, lambda v: v.between(0.0, 1.0)), F.concat(name, F.lit("_bbox_range")))
             .when(~((b[0] < b[2]) & (b[1] < b[3])), F.concat(name, F.lit("_bbox_order")))
-            .when(~x["confidence"].between(0.0, 1.0), F.concat(name, F.lit("_confidence_range")))
+            .when(_kind(confidence).isin("STRING", "ARRAY", "OBJECT"), F.concat(name, F.lit("_confidence_type")))
+            .when(~how_sure.between(0.0, 1.0), F.concat(name, F.lit("_confidence_range")))
         )
 
-    return F.when(boxes.isNull(), F.lit("missing_boxes_key")).otherwise(F.get(F.filter(F.transform(boxes, fault), lambda x: x.isNotNull()), F.lit(0)))
+    boxes, listed = F.try_variant_get(answer, "$.boxes", "variant"), F.try_variant_get(answer, "$.boxes", "array<variant>")
+    return (
+        F.when(boxes.isNull() | (_kind(boxes) == "VOID"), F.lit("missing_boxes_key"))
+        .when(listed.isNull(), F.lit("boxes_not_list"))
+        .otherwise(F.get(F.filter(F.transform(listed, fault), lambda x: x.isNotNull()), F.lit(0)))
+    )
+
+
+# How pieces of JSON with boxes look in a text.
+BOX_FRAGMENT = r"(?s)\{[^{}]*\"label\"[^{}]*\"bbox\"[^{}]*\}"
+BOX_LIST = r"\[[\s\S]{10,8000}?\]"
+BOXES_KEY = r"\"boxes\"\s*:\s*\[[\s\S]{0,8000}?\]"
+
+
+def parsed_boxes(text: Column) -> Column:
+    """array<struct(label, box)> of a text with JSON pieces: objects with a label and a bbox, then lists of such objects, and if there are none the lists of a boxes key.
+
+    A box counts with a label that is a text and a bbox of four numbers; a piece that isn't JSON is passed over, and what
+    several kinds of pieces hold counts for each.
+    """
+    def boxes_of(items: Column) -> Column:
+        def one(x: Column) -> Column:
+            raw = F.try_variant_get(x, "$.bbox", "array<variant>")
+            return F.struct(
+                F.when(_kind(F.try_variant_get(x, "$.label", "variant")) == "STRING", F.try_variant_get(x, "$.label", "string")).alias("label"),
+                F.when(F.size(raw) == 4, F.transform(raw, lambda v: F.try_variant_get(v, "$", "double"))).alias("box"),
+            )
+
+        return F.filter(F.transform(items, one), lambda r: r["label"].isNotNull() & r["box"].isNotNull() & ~F.exists(r["box"], lambda v: v.isNull()))
+
+    # Each search is left out where the text can't hold what it looks for.
+    pieces = lambda needed, pattern: F.when(text.contains(needed), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    lists = lambda found: F.flatten(F.transform(found, lambda s: F.coalesce(F.try_variant_get(F.try_parse_json(s), "$", "array<variant>"), F.array().cast("array<variant>"))))
+    singles = F.filter(F.transform(pieces('"bbox"', BOX_FRAGMENT), lambda s: F.try_parse_json(s)), lambda v: v.isNotNull())
+    first = F.concat(boxes_of(singles), boxes_of(lists(pieces('"bbox"', BOX_LIST))))
+    keyed = F.transform(pieces('"boxes"', BOXES_KEY), lambda s: F.concat(F.lit("{"), s, F.lit("}")))
+    others = F.flatten(F.transform(keyed, lambda s: F.coalesce(F.try_variant_get(F.try_parse_json(s), "$.boxes", "array<variant>"), F.array().cast("array<variant>"))))
+    return F.transform(F.array(first), lambda f: F.when(F.size(f) > 0, f).otherwise(boxes_of(others)))[0]

@@ -6,7 +6,7 @@ A null text stays null in what rewrites it, and counts as empty in what checks i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,8 +57,8 @@ BLOAT = ["_inputs", "_internal_coords", "npz_base64", "inline_base64", "decoder_
 # Requests for another try, by violation.
 ADVICE = {
     "too_short": "write at least two full sentences",
-    "banned_opener": "do not begin with a stock opener",
-    "banned_phrase": "avoid brochure phrases",
+    "banned_opener": "do not begin with 'This sector…', 'The sector…', 'Here you can see…', or 'In this sector…'",
+    "banned_phrase": "avoid brochure phrases like 'perfect for players', 'ideal for', 'serene atmosphere', 'take your time to explore'",
     CLUSTER_CODE: "avoid stacking 'offers', 'glimpse', and 'landscape/environment' in one blurb",
 }
 
@@ -67,6 +67,23 @@ def _list(codes: Iterable[Column]) -> Column:
     return F.array_compact(F.array(*codes))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _literal(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern holds, or nothing."""
+    bare = re.sub(r"\([^)]*\)|\\.", " ", pattern)
+    return max(re.findall(r"[a-z]+", bare), key=len, default="")
+
+
+def _fits(text: Column, low: Column, pattern: str, flags: str) -> Column:
+    """Whether a pattern fits somewhere; the search is left out where a word that every match holds isn't in the text."""
+    found = text.rlike(f"(?{flags}){pattern}")
+    return (low.contains(_literal(pattern)) & found) if _literal(pattern) else found
+
+
 def has_coordinates(text: Column) -> Column:
     """Whether two numbers with four decimals or more stand side by side."""
     return F.coalesce(text.rlike(COORDINATE_PAIR), F.lit(False))
@@ -89,17 +106,22 @@ def caption_violations(text: Column, *, most: int = 400, banned: list[str] | Non
 
 def style_violations(text: Column) -> Column:
     """Codes of style faults: too short, the first stock opener, every stock phrase, the cluster."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    opener = F.coalesce(*[F.when(t.rlike(f"(?im){p}"), F.lit(f"banned_opener_{i}")) for i, p in enumerate(OPENERS)])
-    cluster = F.lit(True)
-    for p in CLUSTER:
-        cluster = cluster & t.rlike(f"(?i){p}")
-    return _list([
-        F.when(F.length(t) < 40, F.lit("too_short")),
-        opener,
-        *[F.when(t.rlike(f"(?i){p}"), F.lit(f"banned_phrase_{i}")) for i, p in enumerate(PHRASES)],
-        F.when(cluster, F.lit(CLUSTER_CODE)),
-    ])
+
+    def codes(x: Column) -> Column:
+        t, low = x["t"], x["low"]
+        opener = F.coalesce(*[F.when(_fits(t, low, p, "im"), F.lit(f"banned_opener_{i}")) for i, p in enumerate(OPENERS)])
+        cluster = F.lit(True)
+        for p in CLUSTER:
+            cluster = cluster & _fits(t, low, p, "i")
+        return _list([
+            F.when(F.length(t) < 40, F.lit("too_short")),
+            opener,
+            *[F.when(_fits(t, low, p, "i"), F.lit(f"banned_phrase_{i}")) for i, p in enumerate(PHRASES)],
+            F.when(cluster, F.lit(CLUSTER_CODE)),
+        ])
+
+    whole = F.trim(F.coalesce(text, F.lit("")))
+    return let(F.struct(whole.alias("t"), F.lower(whole).alias("low")), codes)
 
 
 def should_retry(violations: Column) -> Column:
@@ -115,8 +137,7 @@ def should_retry(violations: Column) -> Column:
 
 def style_rank(text: Column) -> Column:
     """struct by which the better of two candidates is the larger: no bad opener, then fewer violations."""
-    v = style_violations(text)
-    return F.struct((~F.exists(v, lambda x: x.startswith("banned_opener_"))).cast("int").alias("opener_ok"), (-F.size(v)).alias("fewer"))
+    return let(style_violations(text), lambda v: F.struct((~F.exists(v, lambda x: x.startswith("banned_opener_"))).cast("int").alias("opener_ok"), (-F.size(v)).alias("fewer")))
 
 
 def retry_advice(violations: Column) -> Column:
@@ -139,18 +160,23 @@ def coarse_percentages(text: Column) -> Column:
     The text is cut at the numbers and put together again, all in one expression: pieces between are what
     remains when numbers are the separators.
     """
-    numbers = F.regexp_extract_all(text, F.lit(PERCENT), F.lit(1))
-    pieces = F.split(text, PERCENT, -1)
-    joined = F.array_join(F.zip_with(pieces, numbers, lambda p, n: F.concat(F.coalesce(p, F.lit("")), F.coalesce(quantised_percent(n), F.lit("")))), "")
-    return F.struct(joined.alias("text"), F.size(numbers).alias("n"))
+    def put_together(x: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(x["text"], PERCENT, -1), x["numbers"], lambda p, n: F.concat(F.coalesce(p, F.lit("")), F.coalesce(quantised_percent(n), F.lit("")))), "")
+        return F.struct(F.when(F.size(x["numbers"]) > 0, joined).otherwise(x["text"]).alias("text"), F.size(x["numbers"]).alias("n"))
+
+    return let(F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(PERCENT), F.lit(1)).alias("numbers")), put_together)
 
 
 def redacted_places(text: Column) -> Column:
     """struct(text, n): without coordinates, country tags and vicinities; n is how many of the three kinds occurred."""
-    one = F.regexp_replace(text, CENTRED_NEAR, "centered near an unspecified location.")
-    two = F.regexp_replace(one, ISO_COUNTRY, "")
-    three = F.regexp_replace(two, VICINITY, "")
-    return F.struct(three.alias("text"), ((one != text).cast("int") + (two != one).cast("int") + (three != two).cast("int")).alias("n"))
+    def step(before: Column, pattern: str, to: str) -> Column:
+        both = let(before, lambda x: F.struct(x.alias("x"), F.regexp_replace(x["text"], pattern, to).alias("new")))
+        return let(both, lambda y: F.struct(y["new"].alias("text"), (y["x"]["n"] + (y["new"] != y["x"]["text"]).cast("int")).alias("n")))
+
+    out = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    for pattern, to in ((CENTRED_NEAR, "centered near an unspecified location."), (ISO_COUNTRY, ""), (VICINITY, "")):
+        out = step(out, pattern, to)
+    return out
 
 
 def redacted_blob(text: Column, label: str) -> Column:
@@ -169,27 +195,26 @@ def trimmed(text: Column, most: int) -> Column:
     An end is white space that stands before a mark of a sentence's end, as in the data to match: the search
     runs over the reversed text.
     """
-    cut = F.substring(text, 1, most - 1)
-    back = F.regexp_instr(F.reverse(cut), F.lit(r"[.!?]\s"))
-    kept = F.when(back > 0, F.substring(cut, F.lit(1), F.length(cut) - back + 1)).otherwise(cut)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(kept, r"\s+$", ""), F.lit("\n\n[trimmed]")))
+    def kept(x: Column) -> Column:
+        return F.when(x["back"] > 0, F.substring(x["cut"], F.lit(1), F.length(x["cut"]) - x["back"] + 1)).otherwise(x["cut"])
+
+    cut = let(F.substring(text, 1, most - 1), lambda c: F.struct(c.alias("cut"), F.regexp_instr(F.reverse(c), F.lit(r"[.!?]\s")).alias("back")))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(let(cut, kept), r"\s+$", ""), F.lit("\n\n[trimmed]")))
 
 
 def normalised_text(text: Column, most: int) -> Column:
     """struct(text, location_redacted, percent_deprecision, assistant_trimmed, coord_kw_remaining): the whole chain in order."""
-    def chain(t: Column) -> Column:
-        places = redacted_places(t)
-        percents = coarse_percentages(places["text"])
-        done = trimmed(percents["text"], most)
+    def all_of(x: Column) -> Column:
         return F.struct(
-            done.alias("text"),
-            places["n"].alias("location_redacted"),
-            percents["n"].alias("percent_deprecision"),
-            (F.length(percents["text"]) > most).cast("int").alias("assistant_trimmed"),
-            done.rlike(COORDINATE_WORD).cast("int").alias("coord_kw_remaining"),
+            x["done"].alias("text"),
+            x["places"].alias("location_redacted"),
+            x["percents"]["n"].alias("percent_deprecision"),
+            (F.length(x["percents"]["text"]) > most).cast("int").alias("assistant_trimmed"),
+            x["done"].rlike(COORDINATE_WORD).cast("int").alias("coord_kw_remaining"),
         )
 
-    return F.transform(F.array(text), chain)[0]
+    places = let(redacted_places(text), lambda p: F.struct(p["n"].alias("places"), coarse_percentages(p["text"]).alias("percents")))
+    return let(let(places, lambda x: F.struct(x["places"].alias("places"), x["percents"].alias("percents"), trimmed(x["percents"]["text"], most).alias("done"))), all_of)
 
 
 def readable_labels(text: Column) -> Column:
@@ -249,32 +274,44 @@ def titled(address: Column, fallback: Column, most: int = 120) -> Column:
 
 def cut_at_boundary(text: Column, most: int) -> Column:
     """Text of about so many characters: cut after the last sentence, else the last word, if that keeps a third."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    window = F.substring(t, 1, most)
-    at = F.greatest(*[F.when(F.instr(F.reverse(window), m[::-1]) > 0, F.length(window) - F.instr(F.reverse(window), m[::-1]) - len(m) + 1).otherwise(-1) for m in (". ", ".\n", "? ", "! ", "\n\n")])
-    space = F.when(F.instr(F.reverse(window), " ") > 0, F.length(window) - F.instr(F.reverse(window), " ")).otherwise(-1)
     third = most // 3
-    cut = F.when(at >= third, at).when(space > third, space).otherwise(most - 1)
-    out = F.regexp_replace(F.substring(t, F.lit(1), cut + 1), r"^\s+|\s+$", "")
-    short = F.when(F.length(out) < F.length(t), F.concat(F.regexp_replace(out, r"[.,; ]+$", ""), F.lit("…"))).otherwise(out)
-    if most < 32:
-        return F.when(F.length(t) <= most, t).otherwise(F.regexp_replace(window, r"\s+$", ""))
-    return F.when(F.length(t) <= most, t).otherwise(short)
+
+    def cut(x: Column) -> Column:
+        window, back = x["window"], x["back"]
+        ends = [F.when(F.instr(back, m[::-1]) > 0, F.length(window) - F.instr(back, m[::-1]) - len(m) + 1).otherwise(-1) for m in (". ", ".\n", "? ", "! ", "\n\n")]
+        space = F.when(F.instr(back, " ") > 0, F.length(window) - F.instr(back, " ")).otherwise(-1)
+        return let(F.struct(F.greatest(*ends).alias("at"), space.alias("space")), lambda p: F.when(p["at"] >= third, p["at"]).when(p["space"] > third, p["space"]).otherwise(most - 1))
+
+    def short(x: Column) -> Column:
+        out = F.regexp_replace(F.substring(x["t"], F.lit(1), cut(x) + 1), r"^\s+|\s+$", "")
+        return let(out, lambda o: F.when(F.length(o) < F.length(x["t"]), F.concat(F.regexp_replace(o, r"[.,; ]+$", ""), F.lit("…"))).otherwise(o))
+
+    def whole(x: Column) -> Column:
+        return F.when(F.length(x["t"]) <= most, x["t"]).otherwise(F.regexp_replace(x["window"], r"\s+$", "") if most < 32 else short(x))
+
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    parts = let(let(t, lambda t: F.struct(t.alias("t"), F.substring(t, 1, most).alias("window"))), lambda x: F.struct(x["t"].alias("t"), x["window"].alias("window"), F.reverse(x["window"]).alias("back")))
+    return let(parts, whole)
 
 
 def leading_sentences(text: Column, most: int, sentences: int = 4) -> Column:
     """The leading sentences, so many at most, that fit; if not even one does, a cut at a boundary."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    parts = F.slice(F.split(t, r"(?<=[.!?])\s+"), 1, sentences)
-    fit = F.aggregate(
-        parts,
-        F.struct(F.lit("").alias("s"), F.lit(False).alias("over")),
-        lambda acc, p: F.when(acc["over"] | (F.length(F.trim(F.concat_ws(" ", F.nullif(acc["s"], F.lit("")), p))) > most), F.struct(acc["s"].alias("s"), F.lit(True).alias("over"))).otherwise(
-            F.struct(F.concat_ws(" ", F.nullif(acc["s"], F.lit("")), p).alias("s"), F.lit(False).alias("over"))
-        ),
-        lambda acc: acc["s"],
-    )
-    return F.when(F.length(t) <= most, t).when(fit != "", fit).otherwise(cut_at_boundary(t, most))
+
+    def fitting(t: Column) -> Column:
+        return F.aggregate(
+            F.slice(F.split(t, r"(?<=[.!?])\s+"), 1, sentences),
+            F.struct(F.lit("").alias("s"), F.lit(False).alias("over")),
+            lambda acc, p: let(
+                F.concat_ws(" ", F.nullif(acc["s"], F.lit("")), p),
+                lambda both: F.when(acc["over"] | (F.length(F.trim(both)) > most), F.struct(acc["s"].alias("s"), F.lit(True).alias("over"))).otherwise(F.struct(both.alias("s"), F.lit(False).alias("over"))),
+            ),
+            lambda acc: acc["s"],
+        )
+
+    def whole(t: Column) -> Column:
+        return F.when(F.length(t) <= most, t).otherwise(let(fitting(t), lambda fit: F.when(fit != "", fit).otherwise(cut_at_boundary(t, most))))
+
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), whole)
 
 
 def base_id(stem: Column) -> Column:

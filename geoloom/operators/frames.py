@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from files in the folder that the cluster shares (spark.checkpoint.dir), or in one of our own where none is set."""
+    """df from files in the folder that the cluster shares (spark.checkpoint.dir); where none is set, in one of our own if all runs on this machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
     return df.checkpoint()

@@ -78,7 +78,7 @@ PROFILE_SHIFTS = {
     "land_use_change": (6, 0.12, (1, 2, 5, 7, 4, 0, 8)),
     "wildfire": (7, 0.10, (1, 5, 2, 4, 6, 0, 8)),
     "flood_pulse": (0, 0.15, (2, 4, 5, 7, 6, 1, 8)),
-    "ship_detection": (0, 0.06, (7, 2, 5, 6, 1, 4, 8)),
+    "oceanscout_ship_detection": (0, 0.06, (7, 2, 5, 6, 1, 4, 8)),
 }
 
 
@@ -340,3 +340,13 @@ def absent_class(fractions: Column, present: Column, threshold: float = 0.03) ->
     ids = F.array(*[F.lit(i) for i in range(len(raster.LAND_COVER))])
     return F.array_min(F.filter(ids, lambda i: (F.coalesce(F.try_element_at(fractions, i), F.lit(0.0)) <= threshold) & ~F.array_contains(present, i)))
 
+
+
+def cropped(pixels: DataFrame, windows: DataFrame, tile: str, value: str, *, size: int, fill: int | float = 0) -> DataFrame:
+    """(tile, y, x, value): a square of so many pixels a side from each tile's window (row_off, col_off, height, width), filled where the window or the tile has none."""
+    side = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = windows.select(tile, "row_off", "col_off", "height", "width", F.explode(side).alias("y")).select("*", F.explode(side).alias("x"))
+    inside = (F.col("y") < F.col("height")) & (F.col("x") < F.col("width"))
+    wanted = grid.select(tile, "y", "x", F.when(inside, F.col("y") + F.col("row_off")).alias("__y"), F.when(inside, F.col("x") + F.col("col_off")).alias("__x"))
+    held = pixels.select(tile, F.col("y").alias("__y"), F.col("x").alias("__x"), F.col(value).alias("__v"))
+    return wanted.join(held, [tile, "__y", "__x"], "left").select(tile, "y", "x", F.coalesce("__v", F.lit(fill)).alias(value))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import boxes as B
 from ..functions import text as T
 
 PART = "struct<type:string,text:string,image:string>"
@@ -81,7 +82,11 @@ def user_payload(user: Column) -> Column:
 
 def overlong(messages: Column, most_user: int, most_total: int) -> Column:
     """Why a row is too long, or null: dropped_user_too_long goes before dropped_total_too_long; bounds of 0 don't count."""
-    user, total = role_length(messages, "user"), role_length(messages, "user") + role_length(messages, "assistant")
+    return too_long(role_length(messages, "user"), role_length(messages, "user") + role_length(messages, "assistant"), most_user, most_total)
+
+
+def too_long(user: Column, total: Column, most_user: int, most_total: int) -> Column:
+    """The same from the lengths themselves."""
     return F.when((user > most_user) & F.lit(most_user > 0), "dropped_user_too_long").when((total > most_total) & F.lit(most_total > 0), "dropped_total_too_long")
 
 
@@ -149,11 +154,49 @@ def prompt_blob(messages: Column) -> Column:
     return F.array_join(texts_of(messages), "\n")
 
 
+def drop_reason(blob: Column, most_chars: int = 16_000) -> Column:
+    """Why a row of this text goes: bloat by a banned string, prompt_too_long, or null."""
+    return T.let(F.struct(blob.alias("t"), T.first_banned(blob, T.BLOAT).alias("bad")), lambda x: F.when(x["bad"].isNotNull(), F.concat(F.lit("bloat:"), x["bad"])).when(F.length(x["t"]) > most_chars, "prompt_too_long"))
+
+
 def gated(rows: DataFrame, most_chars: int = 16_000) -> DataFrame:
-    """rows with drop_reason: bloat by a banned string, prompt_too_long, or null."""
-    blob = prompt_blob(F.col("messages"))
-    bad = T.first_banned(blob, T.BLOAT)
-    return rows.withColumn("drop_reason", F.when(bad.isNotNull(), F.concat(F.lit("bloat:"), bad)).when(F.length(blob) > most_chars, "prompt_too_long"))
+    """rows with drop_reason."""
+    return rows.withColumn("drop_reason", drop_reason(prompt_blob(F.col("messages")), most_chars))
+
+
+def gated_turns(turns: DataFrame, most_chars: int = 16_000) -> DataFrame:
+    """(conv_id, drop_reason) of turns (conv_id, text), as an aggregate that needs no conversation in one row: no banned string spans two turns."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    found = [F.max(low.contains(b)).alias(f"b{i}") for i, b in enumerate(T.BLOAT)]
+    sums = turns.groupBy("conv_id").agg(*found, (F.sum(F.length(F.coalesce("text", F.lit("")))) + F.count("*") - 1).alias("chars"))
+    bad = F.coalesce(*[F.when(F.col(f"b{i}"), F.lit(f"bloat:{b}")) for i, b in enumerate(T.BLOAT)])
+    return sums.select("conv_id", F.coalesce(bad, F.when(F.col("chars") > most_chars, "prompt_too_long")).alias("drop_reason"))
+
+
+def last_texts(turns: DataFrame) -> DataFrame:
+    """(conv_id, system, user, assistant) of turns (conv_id, turn, role, text): the first system text, and the text of the last user's and assistant's turn (null if that is blank), as an aggregate."""
+    place, text = F.struct("turn", "role", "text"), F.coalesce("text", F.lit(""))
+    of = lambda role, x: F.when(F.col("role") == role, x)
+    last = lambda role: F.max_by(F.when(F.trim(text) != "", text), of(role, place)).alias(role)
+    return turns.groupBy("conv_id").agg(F.min_by(text, of("system", place)).alias("system"), last("user"), last("assistant"))
+
+
+def gated_sidecar_rows(rows: DataFrame, leaked: DataFrame, split: str = "all", most_chars: int = 16_000) -> DataFrame:
+    """rows (stem, split, task, prompt, answer) with drop_reason: leaked_base, other_split, missing_image, bloat, prompt_too_long, a fault of a grounding answer, or null.
+
+    leaked: the bases (column base) that another split holds too. Rows with a null image column are missing one.
+    """
+    marked = rows.withColumn("__base", T.base_id(F.col("stem"))).join(leaked.select(F.col("base").alias("__base"), F.lit(True).alias("__leaked")).distinct(), "__base", "left")
+    fault = F.when(F.col("task").isin("grounding", "per_class_grounding"), B.grounding_error(F.col("answer")))
+    image = F.when(F.col("image").isNull(), "missing_image") if "image" in rows.columns else F.lit(None).cast("string")
+    other = F.when(F.col("split") != split, "other_split") if split != "all" else F.lit(None).cast("string")
+    why = F.coalesce(F.when(F.col("__leaked"), "leaked_base"), other, image, drop_reason(F.concat_ws("\n", "prompt", "answer"), most_chars), F.when(fault != "ok", F.concat(F.lit("grounding:"), fault)))
+    return marked.withColumn("drop_reason", why).drop("__base", "__leaked")
+
+
+def drop_counts(gated_rows: DataFrame) -> DataFrame:
+    """(task, reason, n) of gated rows; what stays counts as kept."""
+    return gated_rows.groupBy("task", F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 # The tasks, and names that stand for several.
@@ -172,8 +215,8 @@ def wanted_tasks(mix: list[str]) -> list[str]:
 def sidecar_rows(sidecars: DataFrame, tasks: list[str], profiles: list[str]) -> DataFrame:
     """A row for each task of each sidecar that supports it: (stem, task, profile, label, prompt, answer).
 
-    sidecars: stem, caption, fractions map<int,double>, region_labels and present_ids arrays, overhead path or null.
-    The tasks of a sidecar are one array that is exploded, so the sidecars are read once.
+    sidecars: stem, caption, fractions map<int,double>, regions array<struct<label,box>> with boxes as shares of the tile, present_ids, overhead path or null.
+    A grounding answer is a JSON list of {label, bbox}, which boxes.grounding_error checks. The tasks of a sidecar are one array that is exploded, so the sidecars are read once.
     """
     from . import pixels as P
 
@@ -184,7 +227,9 @@ def sidecar_rows(sidecars: DataFrame, tasks: list[str], profiles: list[str]) ->
     top = P.dominant_classes(F.col("fractions"))
     summary = F.array_join(F.transform(top, lambda e: F.concat(e["label"], F.lit(" "), F.bround(e["fraction"] * 100, 1).cast("string"), F.lit("%"))), ", ")
     gone = P.raster.land_cover_name(P.absent_class(F.col("fractions"), F.col("present_ids")))
-    has_regions = F.size("region_labels") > 0
+    regions = F.coalesce(F.col("regions"), F.array().cast("array<struct<label:string,box:array<double>>>"))
+    labels = F.transform(regions, lambda r: r["label"])
+    listed = lambda rs: F.to_json(F.transform(rs, lambda r: F.struct(r["label"].alias("label"), F.transform(r["box"], lambda v: F.bround(v, 4)).alias("bbox"))))
     always = F.col("caption").isNotNull()
     made: list[Column] = []
     if "production_analysis" in tasks:
@@ -192,11 +237,11 @@ def sidecar_rows(sidecars: DataFrame, tasks: list[str], profiles: list[str]) ->
     if "caption" in tasks:
         made.append(F.array(row("caption", always, F.lit("Describe the scene."), F.col("caption"))))
     if "grounding" in tasks:
-        made.append(F.array(row("grounding", has_regions, F.lit("Locate the regions."), F.array_join("region_labels", ", "))))
+        made.append(F.array(row("grounding", F.size(regions) > 0, F.lit("Locate the regions."), listed(regions))))
     if "per_class_grounding" in tasks:
-        made.append(F.transform(F.array_distinct("region_labels"), lambda x: row("per_class_grounding", F.lit(True), F.concat(F.lit("Locate "), x, F.lit(".")), x, label=x)))
+        made.append(F.transform(F.array_distinct(labels), lambda x: row("per_class_grounding", F.lit(True), F.concat(F.lit("Locate "), x, F.lit(".")), listed(F.filter(regions, lambda r: r["label"] == x)), label=x)))
     if "per_class_focus" in tasks:
-        made.append(F.transform(top, lambda e: row("per_class_focus", e["fraction"] >= 0.05, F.concat(F.lit("Describe only "), e["label"], F.lit(" in the imagery:")), P.focus_sentence(e["label"], e["fraction"], F.size(F.filter(F.col("region_labels"), lambda x: x == e["label"]))), label=e["label"])))
+        made.append(F.transform(top, lambda e: row("per_class_focus", e["fraction"] >= 0.05, F.concat(F.lit("Describe only "), e["label"], F.lit(" in the imagery:")), P.focus_sentence(e["label"], e["fraction"], F.size(F.filter(labels, lambda x: x == e["label"]))), label=e["label"])))
     if "absence" in tasks:
         made.append(F.array(row("absence", gone.isNotNull(), F.concat(F.lit("Is there any "), gone, F.lit("?")), F.concat(F.lit("No clear "), gone, F.lit(" is visible.")), label=gone)))
     if "cross_view" in tasks:
@@ -226,14 +271,8 @@ def mixed_findings(rows: DataFrame, key: str, findings: str, seed: str, least: i
     return rows.withColumn(findings, F.slice(ordered, F.lit(1), size))
 
 
-def joined_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, messages) from turns (conv_id, turn, role, text): each conversation's turns in order. Its length is bounded by what one chat holds."""
-    packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), F.col("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("__t"))
-    return packed.select("conv_id", F.transform("__t", lambda t: F.struct(t["role"].alias("role"), F.array(text_part(t["text"])).alias("content"))).alias("messages"))
-
-
 def turn_lengths(turns: DataFrame) -> DataFrame:
-    """(conv_id, user_chars, assistant_chars): the same lengths as an aggregate over turns, which needs no conversation in one row."""
+    """(conv_id, user_chars, assistant_chars): role_length() as an aggregate over turns (conv_id, role, text), which needs no conversation in one row."""
     n = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.length("text"))), F.lit(0))
     return turns.groupBy("conv_id").agg(n("user").alias("user_chars"), n("assistant").alias("assistant_chars"))
 

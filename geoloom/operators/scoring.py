@@ -41,14 +41,24 @@ CLASS_WORDS = {
 }
 # Words that hedge a claim.
 HEDGES = ["limitation", "limitations", "confidence", "uncertain", "cannot verify", "not definitive", "approximate", "optical-only", "optical only", "pseudo-sar", "pseudo sar", "corroborat"]
-# Traces of the prompt in an answer.
+# Traces of the prompt in an answer, as the answer's form is judged.
 LEAKS = {
     "captions_marker": r"(?i)\[captions?\s*:",
     "boxes_marker": r"(?i)\[boxes\]",
     "xy_eq_zero_literal": r"(?i)\bx1\s*=\s*0\.0\s*,\s*y1\s*=\s*0\.0",
-    "analytics_label": r"(?i)tim[-\s]style\s+analytics\s+json\s*:?",
+    "tim_style_analytics_label": r"(?i)tim[-\s]style\s+analytics\s+json\s*:?",
     "image_sequence_echo": r"(?im)^\s*-\s*image\s+sequence\s*:",
 }
+# The same, as its faithfulness is judged.
+NARRATION_LEAKS = {
+    "captions_marker": r"(?i)\[captions?\s*:",
+    "boxes_marker": r"(?i)\[boxes\]",
+    "xy_eq_zero": r"(?i)\bx1\s*=\s*0\.0",
+    "tim_label_echo": r"(?i)tim[-\s]style\s+analytics\s+json\s*:?",
+}
+# The profile whose captions mustn't deny vessels, how they deny them, and words that soften it.
+VESSEL_PROFILE = "oceanscout_ship_detection"
+VESSEL_DENIALS, VESSEL_SOFTENERS = ("no ship", "no vessels", "no maritime"), ("tim", "model", "candidate")
 NUMERIC_CLAIM = r"(?i)(\d+(?:\.\d+)?)\s*(%|percent|km2|km²|km|ha|m2|m²|°c|deg)"
 FENCE = r"(?i)```(?:json)?\s*\n?([\s\S]*?)```"
 #: Percentage points by which a claim may miss.
@@ -90,10 +100,9 @@ def hedged(caption: Column) -> Column:
     return out
 
 
-def leaks(caption: Column) -> Column:
+def leaks(caption: Column, patterns: dict[str, str] = LEAKS) -> Column:
     """Names of the traces of the prompt in a caption."""
-    t = F.coalesce(caption, F.lit(""))
-    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in LEAKS.items()]))
+    return T.let(F.coalesce(caption, F.lit("")), lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in patterns.items()])))
 
 
 def percent_claims(caption: Column) -> Column:
@@ -114,49 +123,62 @@ def lexical_score(caption: Column, groups: list[list[str]], forbidden: list[str]
     return F.struct(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("score"), hit.alias("groups_hit"), bad.alias("forbidden"), claims.alias("risky"), words.alias("words"))
 
 
+def last_fence(caption: Column) -> Column:
+    """struct(block, head): what the last fence of a caption holds (null without any), and the text before it (else all of it)."""
+    def found(x: Column) -> Column:
+        t, fence = x["t"], x["fence"]
+        after = F.instr(F.reverse(t), F.reverse(fence)) - 1 + F.length(fence)
+        block = F.regexp_replace(F.regexp_extract(fence, FENCE, 1), r"^\s+|\s+$", "")
+        return F.struct(F.when(fence.isNotNull(), block).alias("block"), F.when(fence.isNotNull(), F.substring(t, F.lit(1), F.length(t) - after)).otherwise(t).alias("head"))
+
+    t = F.coalesce(caption, F.lit(""))
+    # The search is left out where no fence can be.
+    fence = F.when(t.contains("```"), F.try_element_at(F.regexp_extract_all(t, F.lit(FENCE), F.lit(0)), F.lit(-1)))
+    return T.let(F.struct(t.alias("t"), fence.alias("fence")), found)
+
+
 def fenced_json(caption: Column) -> Column:
     """What the last fence of a caption holds, or null."""
-    return F.trim(F.try_element_at(F.regexp_extract_all(F.coalesce(caption, F.lit("")), F.lit(FENCE), F.lit(1)), F.lit(-1)))
+    return last_fence(caption)["block"]
 
 
 def preamble_words(caption: Column) -> Column:
     """Words before the last fence, or of all of a caption without any."""
-    t = F.coalesce(caption, F.lit(""))
-    last = F.try_element_at(F.regexp_extract_all(t, F.lit(FENCE), F.lit(0)), F.lit(-1))
-    after = F.instr(F.reverse(t), F.reverse(last)) - 1 + F.length(last)
-    return T.word_count(F.when(last.isNotNull(), F.substring(t, F.lit(1), F.length(t) - after)).otherwise(t))
+    return T.word_count(last_fence(caption)["head"])
 
 
 def contract_score(caption: Column, least_words: int = 12) -> Column:
-    """struct(score, verdict): how well an answer keeps to its form, a text and then one fenced {"boxes": [...]}.
+    """struct(score, verdict, error): how well an answer keeps to its form, a text and then one fenced {"boxes": [...]}.
 
-    leak 0, no fence 0, not JSON 0.4, wrong boxes 0.6, too short a text 0.8, else 1.
+    leak 0, no fence 0, not a JSON object 0.4, wrong boxes 0.6, too short a text 0.8, else 1. error names the first wrong box.
     """
-    def verdict_of(x: Column) -> Column:
-        json = F.when(x["block"].startswith("{"), x["block"])
-        parsed = F.from_json(json, "struct<boxes:array<struct<label:string,bbox:array<double>,confidence:double>>>")
-        return (
+    def judged(x: Column) -> Column:
+        verdict = (
             F.when(x["leaked"], "leak")
-            .when(x["block"].isNull(), "no_fenced_block")
-            .when(F.try_parse_json(json).isNull(), "json_parse_failed")
-            .when(B.contract_error(parsed["boxes"]).isNotNull(), "schema_invalid")
-            .when(x["words"] < least_words, "preamble_too_short")
+            .when(x["f"]["block"].isNull(), "no_fenced_block")
+            .when(x["json"].isNull(), "json_parse_failed")
+            .when(x["error"].isNotNull(), "schema_invalid")
+            .when(T.word_count(x["f"]["head"]) < least_words, "preamble_too_short")
             .otherwise("ok")
         )
+        return F.struct(verdict.alias("verdict"), x["error"].alias("error"))
 
-    def scored(verdict: Column) -> Column:
-        points = F.when(verdict.isin("leak", "no_fenced_block"), 0.0).when(verdict == "json_parse_failed", 0.4).when(verdict == "schema_invalid", 0.6).when(verdict == "preamble_too_short", 0.8).otherwise(1.0)
-        return F.struct(points.alias("score"), verdict.alias("verdict"))
+    def scored(x: Column) -> Column:
+        v = x["verdict"]
+        points = F.when(v.isin("leak", "no_fenced_block"), 0.0).when(v == "json_parse_failed", 0.4).when(v == "schema_invalid", 0.6).when(v == "preamble_too_short", 0.8).otherwise(1.0)
+        return F.struct(points.alias("score"), v.alias("verdict"), x["error"].alias("error"))
 
     # Each lambda's argument is computed once, however often its body names it.
-    parts = F.struct(fenced_json(caption).alias("block"), (F.size(leaks(caption)) > 0).alias("leaked"), preamble_words(caption).alias("words"))
-    return F.transform(F.transform(F.array(parts), verdict_of), scored)[0]
+    fence = T.let(last_fence(caption), lambda f: F.struct(f.alias("f"), F.when(f["block"].startswith("{"), F.try_parse_json(f["block"])).alias("json")))
+    parts = T.let(fence, lambda x: F.struct(x["f"].alias("f"), x["json"].alias("json"), F.when(x["json"].isNotNull(), B.contract_error(x["json"])).alias("error"), (F.size(leaks(caption)) > 0).alias("leaked")))
+    return T.let(T.let(parts, judged), scored)
 
 
-def faithfulness_score(caption: Column, shares: Column, rich: Column) -> Column:
+def faithfulness_score(caption: Column, shares: Column, rich: Column, *, profile: Column | None = None, vessels: Column | None = None) -> Column:
     """How well a caption keeps to the analytics it was given, or null without any.
 
-    shares: map of class name to percent. rich: whether the analytics say anything; if not, hedging is asked for.
+    shares: map of class name to percent. rich: whether the analytics say anything; if not, hedging is asked for. vessels: how many vessel
+    candidates there are; under the profile that looks for them a caption loses 0.20 for denying them outright.
     """
     def scored(x: Column) -> Column:
         known = F.map_keys(shares)
@@ -165,11 +187,45 @@ def faithfulness_score(caption: Column, shares: Column, rich: Column) -> Column:
         misses = F.size(F.filter(x["said"], lambda v: F.array_min(F.transform(F.map_values(shares), lambda s: F.abs(s - v))) > TOLERANCE))
         wide = F.when(F.size(shares) > 0, F.least(F.lit(0.20), misses * 0.10)).otherwise(0.0)
         score = F.when(rich, told).otherwise(F.when(x["hedged"], 0.15).otherwise(-0.30)) + 0.5 - wide
+        if profile is not None and vessels is not None:
+            holds = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: x["low"].contains(w))
+            score = score - F.when((profile == VESSEL_PROFILE) & (vessels > 0) & holds(VESSEL_DENIALS) & ~holds(VESSEL_SOFTENERS), 0.20).otherwise(0.0)
         score = F.when(x["leaked"], F.least(score, F.lit(0.40))).otherwise(score)
-        return F.when(x["blank"], 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
-
-    parts = F.struct(class_claims(caption).alias("claims"), percent_claims(caption).alias("said"), (F.size(leaks(caption)) > 0).alias("leaked"), hedged(caption).alias("hedged"), (F.trim(F.coalesce(caption, F.lit(""))) == "").alias("blank"))
-    return F.when(shares.isNotNull(), F.transform(F.array(parts), scored)[0])
+        return F.when(F.trim(x["low"]) == "", 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
+
+    parts = F.struct(class_claims(caption).alias("claims"), percent_claims(caption).alias("said"), (F.size(leaks(caption, NARRATION_LEAKS)) > 0).alias("leaked"), hedged(caption).alias("hedged"), F.lower(F.coalesce(caption, F.lit(""))).alias("low"))
+    return F.when(shares.isNotNull(), T.let(parts, scored))
+
+
+def supported_shares(analytics: Column) -> Column:
+    """map of class name to percent that analytics (VARIANT) support: positive shares of the LULC output, then of the listed classes of each block that it lacks."""
+    listed = []
+    for block in ("land_transition", "summary", "burn_change", "water_change"):
+        for key in ("class_distribution", "dominant_tim_classes", "dominant_sentinel_classes"):
+            listed.append(F.try_variant_get(analytics, f"$.profile_analytics.{block}.{key}", "array<variant>"))
+    groups = [F.coalesce(*[F.when(F.size(x) > 0, x) for x in listed[i : i + 3]], F.array().cast("array<variant>")) for i in range(0, len(listed), 3)]
+    label, share = (lambda x: F.try_variant_get(x, "$.label", "string")), (lambda x: F.try_variant_get(x, "$.fraction", "double"))
+    rows = F.transform(F.filter(F.concat(*groups), lambda x: label(x).isNotNull() & (share(x) > 0)), lambda x: F.struct(label(x).alias("key"), (share(x) * 100).alias("value")))
+    first = F.coalesce(F.map_filter(F.try_variant_get(analytics, "$.tim_modality_outputs.LULC.class_fractions", "map<string,double>"), lambda k, v: v > 0), F.create_map().cast("map<string,double>"))
+    own = F.transform(F.map_entries(first), lambda e: F.struct(e["key"].alias("key"), (e["value"] * 100).alias("value")))
+    return T.let(F.concat(own, rows), lambda r: F.map_from_entries(F.filter(r, lambda e, i: F.array_position(F.transform(r, lambda y: y["key"]), e["key"]) == i + 1)))
+
+
+def body_is_rich(analytics: Column, profile: Column) -> Column:
+    """Whether the analytics (VARIANT) say anything under a profile: a changed or second class, samples with something found, candidates, or a summary."""
+    at = lambda path, kind: F.try_variant_get(analytics, f"$.profile_analytics.{path}", kind)
+    size = lambda path: F.coalesce(F.size(at(path, "array<variant>")), F.lit(0))
+    some = lambda path: F.coalesce(at(path, "double"), F.lit(0.0)) != 0
+    text = lambda x, key: F.coalesce(F.try_variant_get(x, f"$.{key}", "string"), F.lit("None"))
+    changed = F.exists(F.coalesce(at("land_transition.top_transitions", "array<variant>"), F.array().cast("array<variant>")), lambda x: (F.try_variant_get(x, "$.count", "double") > 0) & (text(x, "from") != text(x, "to")))
+    return (
+        F.when(profile == "land_use_change", F.coalesce(changed, F.lit(False)) | (size("land_transition.class_distribution") >= 2))
+        .when(profile == "wildfire", some("burn_change.sample_count") & (some("burn_change.hotspot_count") | some("burn_change.changed_area_pct")))
+        .when(profile == "flood_pulse", some("water_change.sample_count") & (some("water_change.inundation_polygon_count") | some("water_change.expanded_area_pct")))
+        .when(profile == VESSEL_PROFILE, (size("vessel_candidates") > 0) | (F.coalesce(at("detection_score_summary.sample_count", "double"), F.lit(0.0)) > 0))
+        .when(profile == "brief_only", (size("summary.dominant_tim_classes") > 0) | (size("summary.largest_deltas") > 0))
+        .otherwise(F.lit(False))
+    )
 
 
 def composite(lexical: Column, grounding: Column, contract: Column, faithfulness: Column, *, plausibility: Column | None = None, forbidden: Column | None = None, risky: Column | None = None, found_boxes: Column | None = None, leaked: Column | None = None, preset: str = "default") -> Column:
@@ -231,16 +287,20 @@ def flipped(samples: Column) -> Column:
     return F.transform(samples, lambda x: -x)
 
 
-def responsiveness(a: str, b: str, df: DataFrame, name: str = "responsiveness") -> DataFrame:
-    """df with 1 less the similarity of two text columns: matching blocks, found longest first, over the mean length.
+def responsiveness(a: Column, b: Column, width: int = 3) -> Column:
+    """1 less the overlap of two texts' word windows: shared distinct windows of width words to all of them; 0 for two texts without words.
 
-    The blocks need a search that no built-in has; it runs on Arrow batches, row by row.
+    Linear in the texts' lengths; a text of fewer words is one window.
     """
-    from difflib import SequenceMatcher
-
-    import pandas as pd
+    def windows(text: Column) -> Column:
+        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+        own = lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - width)), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)])))
+        )
+        return T.let(words, own)
 
-    def ratio(x, y):
-        return pd.Series([round(1 - SequenceMatcher(None, p or "", q or "").ratio(), 6) for p, q in zip(x, y, strict=True)])
+    def share(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return T.let(both, lambda n: F.bround(1 - F.coalesce(F.try_divide(n, F.size(x["a"]) + F.size(x["b"]) - n), F.lit(1.0)), 6))
 
-    return df.withColumn(name, F.pandas_udf(ratio, "double", F.PandasUDFType.SCALAR)(F.col(a), F.col(b)))
+    return T.let(F.struct(windows(a).alias("a"), windows(b).alias("b")), share)

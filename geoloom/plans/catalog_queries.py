@@ -25,9 +25,10 @@ def lint_maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hints(spark: SparkSession, d: str) -> DataFrame:
-    x = t.table(spark, d, "documents").where("text is not null")
-    piece = lambda i, n: F.substring("text", 1 + 40 * i, n)
-    pairs = [(f"tier_{i}", F.when(F.col("doc_id") % (i + 7) != 0, piece(i, 230 if i != 4 else 60))) for i in range(1, 7)]
+    """Every whole text dealt to six tiers, a sixth of its length each."""
+    x = t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sixth = F.ceil(F.length("text") / 6).cast("int")
+    pairs = [(f"tier_{i}", F.when(F.col("doc_id") % (i + 7) != 0, F.substring(F.col("text"), 1 + (i - 1) * sixth, sixth))) for i in range(1, 7)]
     hints = F.map_filter(F.create_map(*[v for k, c in pairs for v in (F.lit(k), c)]), lambda k, v: v.isNotNull())
     return x.select("doc_id", hints.alias("hints"), F.when(F.col("doc_id") % 6 == 0, "none").otherwise("full").alias("assist_level"))
 
@@ -151,7 +152,7 @@ _L, _M = f"({t.LOCATIONS_SQL})", f"({t.MAPS_SQL})"
 _LINT = f"""(WITH x AS (SELECT * FROM {_L} UNION ALL SELECT * FROM {_L} WHERE k % 50 = 0)
   SELECT 'missing_map_id' AS code, location_id AS key, 'map_id' AS path FROM x WHERE map_id IS NULL UNION ALL SELECT 'range_lat', location_id, 'truth_lat' FROM x WHERE truth_lat > 90 OR truth_lat < -90
   UNION ALL SELECT 'range_lon', location_id, 'truth_lon' FROM x WHERE truth_lon NOT BETWEEN -180 AND 180 UNION ALL SELECT 'duplicate_location_id', location_id, 'location_id' FROM x GROUP BY location_id HAVING count(*) > 1)"""
-_TIERS = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {m} AS most, doc_id % {i + 7} != 0 AS has, CASE WHEN doc_id % {i + 7} != 0 THEN substr(text, {1 + 40 * i}, {230 if i != 4 else 60}) ELSE '' END AS v FROM documents WHERE text IS NOT NULL" for i, m in enumerate(T.TIER_LENGTHS, 1))
+_TIERS = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {m} AS most, doc_id % {i + 7} != 0 AS has, CASE WHEN doc_id % {i + 7} != 0 THEN substr(text, 1 + {i - 1} * n, n) ELSE '' END AS v FROM (SELECT doc_id, coalesce(text, '') AS text, ceil(length(coalesce(text, '')) / 6)::BIGINT AS n FROM documents)" for i, m in enumerate(T.TIER_LENGTHS, 1))
 _SIDE = f"""(SELECT x.*, k % 41 != 0 AS s, k % 3 != 0 AS h, k % 11 != 0 AS valid, k % 6 != 0 AS filled FROM {_L} x)"""
 SQL = {
     "lint_locations": f"SELECT * FROM {_LINT}",

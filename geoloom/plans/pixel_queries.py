@@ -160,7 +160,7 @@ def dominant_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_fractions(spark: SparkSession, d: str) -> DataFrame:
-    p = F.element_at(F.array(*[F.lit(x) for x in ("land_use_change", "wildfire", "flood_pulse", "ship_detection", "brief_only")]), (F.col("tile") % 5 + 1).cast("int"))
+    p = F.element_at(F.array(*[F.lit(x) for x in ("land_use_change", "wildfire", "flood_pulse", "oceanscout_ship_detection", "brief_only")]), (F.col("tile") % 5 + 1).cast("int"))
     return _maps(spark, d).select("tile", F.explode(P.profile_fractions(F.col("f"), p)).alias("class_id", "fraction")).withColumn("class_id", F.col("class_id").cast("long"))
 
 

@@ -42,8 +42,8 @@ def caption_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def style_violations(spark: SparkSession, d: str) -> DataFrame:
-    v = T.style_violations(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.array_join(v, ",").alias("codes"), T.should_retry(v).alias("retry"))
+    x = _docs(spark, d).select("doc_id", T.style_violations(F.col("text")).alias("v"))
+    return x.select("doc_id", F.array_join("v", ",").alias("codes"), T.should_retry(F.col("v")).alias("retry"))
 
 
 def coarse_percentages(spark: SparkSession, d: str) -> DataFrame:
@@ -110,13 +110,10 @@ def term_matches(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_join(T.matched_terms(F.col("text"), ["the", "open source", "license", "sea"]), ",").alias("terms"))
 
 
-def _chat(spark: SparkSession, d: str) -> DataFrame:
-    return R.joined_turns(t.table(spark, d, "conversations"))
-
-
 def chat_lengths(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("messages")
-    return _chat(spark, d).select("conv_id", R.role_length(m, "user").cast("long").alias("user_chars"), R.role_length(m, "assistant").cast("long").alias("assistant_chars"), F.coalesce(R.overlong(m, 300, 600), F.lit("kept")).alias("why"))
+    x = R.turn_lengths(t.table(spark, d, "conversations"))
+    why = R.too_long(F.col("user_chars"), F.col("user_chars") + F.col("assistant_chars"), 300, 600)
+    return x.select("*", F.coalesce(why, F.lit("kept")).alias("why"))
 
 
 def turn_lengths(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +121,7 @@ def turn_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def last_exchanges(spark: SparkSession, d: str) -> DataFrame:
-    x = _chat(spark, d).select("conv_id", R.last_exchange(F.col("messages")).alias("e"))
-    return x.select("conv_id", F.col("e.system").alias("system"), R.user_payload(F.col("e.user"))["text"].alias("user"), R.user_payload(F.col("e.assistant"))["text"].alias("assistant"))
+    return R.last_texts(t.table(spark, d, "conversations"))
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +139,7 @@ def canonical_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_gate(spark: SparkSession, d: str) -> DataFrame:
-    x = _chat(spark, d)
-    return R.gated(x, 900).select("conv_id", F.coalesce("drop_reason", F.lit("kept")).alias("why"))
+    return R.gated_turns(t.table(spark, d, "conversations"), 900).select("conv_id", F.coalesce("drop_reason", F.lit("kept")).alias("why"))
 
 
 def media_complete(spark: SparkSession, d: str) -> DataFrame:
@@ -159,12 +154,25 @@ def path_remap(spark: SparkSession, d: str) -> DataFrame:
     return R.remapped(x, "k", "paths", moves).select("k", F.array_join("paths", "|").alias("paths"))
 
 
-def sidecar_tasks(spark: SparkSession, d: str) -> DataFrame:
+def _sidecars(spark: SparkSession, d: str) -> DataFrame:
     o = t.table(spark, d, "orders")
     k = F.col("o_orderkey")
     fr = F.map_from_arrays(F.array(F.lit(0), F.lit(1), F.lit(6)), F.array((k % 3).cast("double"), F.lit(1.0), (k % 2).cast("double")))
-    x = o.select(k.cast("string").alias("stem"), F.when(k % 5 != 0, F.col("o_orderpriority")).alias("caption"), fr.alias("fractions"), F.when(k % 2 == 0, F.array(F.lit("water"), F.lit("trees"))).otherwise(F.array().cast("array<string>")).alias("region_labels"), F.array(F.lit(0), F.lit(1)).alias("present_ids"), F.when(k % 3 == 0, F.lit("mb.png")).alias("overhead"))
-    return R.sidecar_rows(x, R.wanted_tasks(["all"]), ["wildfire", "brief_only"]).groupBy("task", "profile", "label").agg(F.count("*").alias("n"), F.min("answer").alias("example"))
+    box = lambda label, x2: F.struct(F.lit(label).alias("label"), F.array(F.lit(0.25), F.lit(0.5), x2, F.lit(1.0)).alias("box"))
+    regions = F.when(k % 2 == 0, F.array(box("water", (k % 4) / 4 + 0.25), box("trees", F.lit(0.75)))).otherwise(F.array().cast("array<struct<label:string,box:array<double>>>"))
+    return o.select(F.format_string("poi_%06d_g1", k).alias("stem"), F.when(k % 5 != 0, F.col("o_orderpriority")).alias("caption"), fr.alias("fractions"), regions.alias("regions"), F.array(F.lit(0), F.lit(1)).alias("present_ids"), F.when(k % 3 == 0, F.lit("mb.png")).alias("overhead"), k.alias("k"))
+
+
+def sidecar_tasks(spark: SparkSession, d: str) -> DataFrame:
+    x = R.sidecar_rows(_sidecars(spark, d), R.wanted_tasks(["all"]), ["wildfire", "brief_only"])
+    return x.groupBy("task", "profile", "label").agg(F.count("*").alias("n"), F.min("answer").alias("example"))
+
+
+def sidecar_drops(spark: SparkSession, d: str) -> DataFrame:
+    s = _sidecars(spark, d)
+    x = R.sidecar_rows(s, R.wanted_tasks(["caption", "grounding", "cross_view"]), []).withColumn("split", F.lit("train"))
+    leaked = s.where("k % 7 = 0").select(T.base_id(F.col("stem")).alias("base"))
+    return R.drop_counts(R.gated_sidecar_rows(x, leaked, most_chars=126))
 
 
 def lexical_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +227,9 @@ def small_object_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def caption_changes(spark: SparkSession, d: str) -> DataFrame:
     b = t.table(spark, d, "benchmark")
-    return S.responsiveness("text", "other", b.select("item_id", "text", F.upper(F.substring("text", 1, 40)).alias("other"))).select("item_id", "responsiveness")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.concat_ws(" ", F.col("text"), F.lit("and so on")).alias("other"))
+    both = b.join(other, "item_id", "left").withColumn("other", F.coalesce("other", "text"))
+    return both.select("item_id", S.responsiveness(F.concat_ws(" ", "text", "other"), F.col("other")).alias("responsiveness"))
 
 
 def focus_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +251,7 @@ def hash_labels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     coordinate_literals, banned_words, caption_violations, style_violations, coarse_percentages, redacted_places, normalised_texts, readable_texts, capped_texts, boundary_cuts, word_counts, page_prose, safe_names,
-    template_fill, etags, media_paths, fallback_paths, term_matches, chat_lengths, turn_lengths, last_exchanges, canonical_rows, row_gate, media_complete, path_remap, sidecar_tasks, lexical_scores, class_claims,
+    template_fill, etags, media_paths, fallback_paths, term_matches, chat_lengths, turn_lengths, last_exchanges, canonical_rows, row_gate, media_complete, path_remap, sidecar_tasks, sidecar_drops, lexical_scores, class_claims,
     contract_scores, faithfulness_scores, composite_scores, label_names, grounding_errors, small_object_scores, caption_changes, focus_sentences, mixed_findings, hash_labels,
 )}
 
@@ -257,7 +267,14 @@ _LAST = lambda role: f"arg_max(CASE WHEN trim(text, ' ') != '' THEN text END, tu
 _IM = "(SELECT o_orderkey AS k, 'images/' || o_orderkey || '.png' AS a, CASE WHEN o_orderkey % 3 != 0 THEN 'stills/b.png' END AS b, * FROM orders)"
 _STYLE_CODES = ", ".join(["CASE WHEN length(t) < 40 THEN 'too_short' END", "CASE " + " ".join(rf"WHEN regexp_matches(t, '{p}', 'im') THEN 'banned_opener_{i}'" for i, p in enumerate(T.OPENERS)) + " END", *[rf"CASE WHEN regexp_matches(t, '{p}', 'i') THEN 'banned_phrase_{i}' END" for i, p in enumerate(T.PHRASES)], "CASE WHEN " + " AND ".join(rf"regexp_matches(t, '{p}', 'i')" for p in T.CLUSTER) + f" THEN '{T.CLUSTER_CODE}' END"])
 _ANS = f"""(SELECT k, CASE WHEN k % 11 = 0 THEN 'none' WHEN k % 13 = 0 THEN 'leak' ELSE 'block' END AS kind, k % 5 AS m, k % 7 = 0 AS brief, q FROM (SELECT {_K} AS k, l_quantity::INT AS q FROM lineitem))"""
+_WIN = lambda w: f"CASE WHEN len({w}) = 0 THEN [] ELSE list_distinct([array_to_string({w}[i:i + 2], ' ') for i in range(1, greatest(len({w}) - 1, 2))]) END"
 SQL = {
+    "caption_changes": rf"""WITH x AS (SELECT b.item_id, b.text AS t, coalesce(o.text || ' and so on', b.text) AS o FROM benchmark b LEFT JOIN benchmark o ON o.item_id = b.item_id + 1), w AS (SELECT item_id, regexp_extract_all(lower(t || ' ' || o), '[^ \t\n\x0b\f\r]+') AS a, regexp_extract_all(lower(o), '[^ \t\n\x0b\f\r]+') AS b FROM x),
+      s AS (SELECT item_id, {_WIN('a')} AS a, {_WIN('b')} AS b FROM w), n AS (SELECT *, len(list_intersect(a, b)) AS c FROM s) SELECT item_id, round_even(1 - coalesce(c / nullif(len(a) + len(b) - c, 0), 1), 6) AS responsiveness FROM n""",
+    "sidecar_drops": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders), r AS (
+        SELECT k, 'caption' AS task, 0 AS n FROM o WHERE k % 5 != 0 UNION ALL SELECT k, 'cross_view', 0 FROM o WHERE k % 5 != 0 AND k % 3 = 0
+        UNION ALL SELECT k, 'grounding', length('Locate the regions.' || chr(10) || '[{"label":"water","bbox":[0.25,0.5,' || (k % 4 / 4 + 0.25)::DOUBLE || ',1.0]},{"label":"trees","bbox":[0.25,0.5,0.75,1.0]}]') FROM o WHERE k % 2 = 0)
+      SELECT task, CASE WHEN k % 7 = 0 THEN 'leaked_base' WHEN n > 126 THEN 'prompt_too_long' WHEN task = 'grounding' AND k % 4 = 0 THEN 'grounding:item_0_bbox_range' ELSE 'kept' END AS reason, count(*) AS n FROM r GROUP BY 1, 2""",
     "coordinate_literals": rf"SELECT doc_id FROM {_D} WHERE regexp_matches(text, '-?\d{{1,3}}\.\d{{4,}}\s*,\s*-?\d{{1,3}}\.\d{{4,}}')",
     "banned_words": f"SELECT * FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'password') THEN 'password' WHEN contains(lower(text), 'secret') THEN 'secret' WHEN contains(lower(text), 'the') THEN 'The' END AS hit FROM {_D}) WHERE hit IS NOT NULL",
     "caption_violations": rf"SELECT doc_id, concat_ws(',', CASE WHEN length(text) > 400 THEN 'length_cap' END, CASE WHEN regexp_matches(text, '-?\d{{1,3}}\.\d{{4,}}\s*,\s*-?\d{{1,3}}\.\d{{4,}}') THEN 'coordinate_literal' END, CASE WHEN contains(lower(text), 'license') THEN 'banned_substring' END) AS codes FROM {_D}",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, nested
 from ..operators.dedup import first_wins, last_wins
 
 LOCATION = "location_id string, map_id string, truth_lat double, truth_lon double, assist_level string"
@@ -28,7 +28,7 @@ def stem_of(name: Column) -> Column:
 
 
 def yaml_scalar(text: Column, key: str) -> Column:
-    """The value of a top-level key in YAML text whose values are plain or quoted scalars, or null."""
+    """The value of a top-level key in YAML text, or null. Values are plain or quoted scalars on the key's line: block and folded scalars, escapes, lists and anchors aren't read."""
     found = F.regexp_extract(text, rf"(?m)^{key}:[ \t]*(?:'([^'\n]*)'|\"([^\"\n]*)\"|([^#\n]*?))[ \t]*(?:#.*)?$", 0)
     value = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(found, rf"^{key}:", ""), r"\s+#.*$", ""), r"^\s*['\"]|['\"]\s*$", ""))
     return F.nullif(F.nullif(F.nullif(value, F.lit("")), F.lit("null")), F.lit("~"))
@@ -100,9 +100,9 @@ def json_lines(spark: SparkSession, path: str, schema: str, *, comments: bool =
 def concatenated_json(spark: SparkSession, path: str, element: str) -> DataFrame:
     """Elements of files that hold several JSON values in a row: lists are joined, other values stand for themselves.
 
-    Files are cut between a closing and an opening bracket at the start of a line.
+    Values may follow each other with or without white space or line ends between. These are small files, read whole.
     """
-    values = documents(spark, path).select("path", F.posexplode(F.split("text", r"(?<=[\]}])\s*\n(?=[\[{])")).alias("at", "v"))
+    values = documents(spark, path).select("path", F.posexplode(nested.json_values("text")).alias("at", "v"))
     rows = F.coalesce(F.from_json("v", f"array<{element}>"), F.array(F.from_json("v", element)))
     return values.select("path", "at", F.posexplode(rows).alias("pos", "d")).select("path", "at", "pos", "d.*")
 

@@ -45,6 +45,8 @@ def test_strict_lines(spark, tmp_path):
 def test_concatenated_values(spark, tmp_path):
     p = put(tmp_path / "many.json", '[{"a": 1}, {"a": 2}]\n{"a": 3}\n[{"a": 4}]')
     assert [r["a"] for r in readers.concatenated_json(spark, p, "struct<a:int>").orderBy("at", "pos").collect()] == [1, 2, 3, 4]
+    q = put(tmp_path / "line.json", '  [{"a": 1}][{"a": 2},\n\n{"a": 3}]{"a": 4}  ')
+    assert [r["a"] for r in readers.concatenated_json(spark, q, "struct<a:int>").orderBy("at", "pos").collect()] == [1, 2, 3, 4]
 
 
 def test_events(spark, tmp_path):
