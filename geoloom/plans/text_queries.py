@@ -184,18 +184,34 @@ def class_claims(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_join(S.class_claims(F.col("text")), ",").alias("claims"), S.hedged(F.col("text")).alias("hedged"), F.array_join(S.leaks(F.col("text")), ",").alias("leaks"))
 
 
+#: Fenced blocks of answers, whole and broken in every way that their form can be.
+_BLOCKS = (
+    "{not json", '{"other": []}', '{"boxes": 3}', '{"boxes": null}', '{"boxes": []}', '{"boxes": [4]}', '{"boxes": [{"label": "a", "bbox": [0.1, 0.2, 0.3]}]}', '{"boxes": [{"label": "a", "bbox": [0.1, "x", 0.3, 0.4]}]}',
+    '{"boxes": [{"label": "a", "bbox": [0.1, 0.2, 1.4, 0.5]}]}', '{"boxes": [{"bbox": [0, 0, 1, 1]}, {"bbox": [0.5, 0.2, 0.4, 0.5]}]}', '{"boxes": [{"bbox": [0, 0, 1, 1], "confidence": "high"}]}', '{"boxes": [{"bbox": [0, 0, 1, 1], "confidence": 1.5}]}',
+    '{"boxes": [{"label": "sea", "bbox": [0.1, 0.2, "0.4", 0.5], "confidence": 0.9}]}', "[1]", '{"boxes": [{"label": "a", "bbox": [0.1, 0.2, 0.3, 0.4]}]}',
+)
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers with a fenced block, some of them broken in one way or another, from line items."""
     i = t.table(spark, d, "lineitem")
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    body = F.when(k % 5 == 0, F.lit("{not json")).when(k % 5 == 1, F.lit('{"other": []}')).when(k % 5 == 2, F.lit('{"boxes": [{"label": "a", "bbox": [0.1, 0.2, 1.4, 0.5]}]}')).otherwise(F.lit('{"boxes": [{"label": "sea", "bbox": [0.1, 0.2, 0.4, 0.5], "confidence": 0.9}]}'))
+    body = F.element_at(F.array(*[F.lit(x) for x in _BLOCKS]), (k % len(_BLOCKS) + 1).cast("int"))
     prose = F.when(k % 7 == 0, F.lit("Short text.")).otherwise(F.concat(F.lit("The water covers about "), F.col("l_quantity").cast("int").cast("string"), F.lit("% of a scene with trees, roads and an uncertain glacier far behind the town.")))
     text = F.when(k % 11 == 0, prose).when(k % 13 == 0, F.concat(F.lit("[boxes] "), prose)).otherwise(F.concat(prose, F.lit("\n```json\n"), body, F.lit("\n```")))
     return i.select(k.alias("k"), text.alias("caption"))
 
 
 def contract_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark, d).select("k", S.contract_score(F.col("caption")).alias("c")).select("k", "c.score", "c.verdict")
+    return _answers(spark, d).select("k", S.contract_score(F.col("caption")).alias("c")).select("k", "c.score", "c.verdict", "c.error")
+
+
+def document_faithfulness(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as captions of a scene with water and trees."""
+    k = F.col("doc_id")
+    profile = F.element_at(F.array(F.lit("wildfire"), F.lit(S.VESSEL_PROFILE), F.lit("brief_only")), (k % 3 + 1).cast("int"))
+    score = S.faithfulness_score(F.col("text"), F.create_map(F.lit("water"), F.lit(30.0), F.lit("trees"), F.lit(10.0)), k % 4 != 0, profile=profile, vessels=k % 2)
+    return _docs(spark, d).select("doc_id", score.alias("score"))
 
 
 def faithfulness_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +268,7 @@ def hash_labels(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     coordinate_literals, banned_words, caption_violations, style_violations, coarse_percentages, redacted_places, normalised_texts, readable_texts, capped_texts, boundary_cuts, word_counts, page_prose, safe_names,
     template_fill, etags, media_paths, fallback_paths, term_matches, chat_lengths, turn_lengths, last_exchanges, canonical_rows, row_gate, media_complete, path_remap, sidecar_tasks, sidecar_drops, lexical_scores, class_claims,
-    contract_scores, faithfulness_scores, composite_scores, label_names, grounding_errors, small_object_scores, caption_changes, focus_sentences, mixed_findings, hash_labels,
+    contract_scores, faithfulness_scores, document_faithfulness, composite_scores, label_names, grounding_errors, small_object_scores, caption_changes, focus_sentences, mixed_findings, hash_labels,
 )}
 
 _D = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
@@ -266,7 +282,7 @@ _C = "(SELECT conv_id, role, coalesce(text, '') AS text, turn FROM conversations
 _LAST = lambda role: f"arg_max(CASE WHEN trim(text, ' ') != '' THEN text END, turn) FILTER (role = '{role}')"
 _IM = "(SELECT o_orderkey AS k, 'images/' || o_orderkey || '.png' AS a, CASE WHEN o_orderkey % 3 != 0 THEN 'stills/b.png' END AS b, * FROM orders)"
 _STYLE_CODES = ", ".join(["CASE WHEN length(t) < 40 THEN 'too_short' END", "CASE " + " ".join(rf"WHEN regexp_matches(t, '{p}', 'im') THEN 'banned_opener_{i}'" for i, p in enumerate(T.OPENERS)) + " END", *[rf"CASE WHEN regexp_matches(t, '{p}', 'i') THEN 'banned_phrase_{i}' END" for i, p in enumerate(T.PHRASES)], "CASE WHEN " + " AND ".join(rf"regexp_matches(t, '{p}', 'i')" for p in T.CLUSTER) + f" THEN '{T.CLUSTER_CODE}' END"])
-_ANS = f"""(SELECT k, CASE WHEN k % 11 = 0 THEN 'none' WHEN k % 13 = 0 THEN 'leak' ELSE 'block' END AS kind, k % 5 AS m, k % 7 = 0 AS brief, q FROM (SELECT {_K} AS k, l_quantity::INT AS q FROM lineitem))"""
+_ANS = f"""(SELECT k, CASE WHEN k % 11 = 0 THEN 'none' WHEN k % 13 = 0 THEN 'leak' ELSE 'block' END AS kind, k % 15 AS m, k % 7 = 0 AS brief, q FROM (SELECT {_K} AS k, l_quantity::INT AS q FROM lineitem))"""
 _WIN = lambda w: f"CASE WHEN len({w}) = 0 THEN [] ELSE list_distinct([array_to_string({w}[i:i + 2], ' ') for i in range(1, greatest(len({w}) - 1, 2))]) END"
 SQL = {
     "caption_changes": rf"""WITH x AS (SELECT b.item_id, b.text AS t, coalesce(o.text || ' and so on', b.text) AS o FROM benchmark b LEFT JOIN benchmark o ON o.item_id = b.item_id + 1), w AS (SELECT item_id, regexp_extract_all(lower(t || ' ' || o), '[^ \t\n\x0b\f\r]+') AS a, regexp_extract_all(lower(o), '[^ \t\n\x0b\f\r]+') AS b FROM x),
@@ -297,7 +313,23 @@ SQL = {
     "media_complete": "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 != 0",
     "path_remap": f"SELECT k, concat_ws('|', CASE WHEN k % 2 = 0 THEN 'moved/' || a ELSE a END, 'moved/' || b) AS paths FROM {_IM}",
     "class_claims": rf"""SELECT doc_id, concat_ws(',', {_CLAIM}) AS claims, {' OR '.join(f"contains(l, '{h}')" for h in S.HEDGES)} AS hedged, concat_ws(',', CASE WHEN regexp_matches(l, '\[captions?\s*:') THEN 'captions_marker' END, CASE WHEN contains(l, '[boxes]') THEN 'boxes_marker' END) AS leaks FROM (SELECT doc_id, lower(text) AS l FROM {_D})""",
-    "contract_scores": f"WITH x AS (SELECT k, CASE WHEN kind = 'leak' THEN 'leak' WHEN kind = 'none' THEN 'no_fenced_block' WHEN m = 0 THEN 'json_parse_failed' WHEN m < 3 THEN 'schema_invalid' WHEN brief THEN 'preamble_too_short' ELSE 'ok' END AS verdict FROM {_ANS}) SELECT k, CASE verdict WHEN 'json_parse_failed' THEN 0.4 WHEN 'schema_invalid' THEN 0.6 WHEN 'preamble_too_short' THEN 0.8 WHEN 'ok' THEN 1.0 ELSE 0.0 END::DOUBLE AS score, verdict FROM x",
+    "contract_scores": rf"""WITH c AS (SELECT {_K} AS k, CASE WHEN ({_K}) % 7 = 0 THEN 'Short text.' ELSE 'The water covers about ' || l_quantity::INT || '% of a scene with trees, roads and an uncertain glacier far behind the town.' END AS prose, [{', '.join("'" + b + "'" for b in _BLOCKS)}][({_K}) % {len(_BLOCKS)} + 1] AS body FROM lineitem),
+      t AS (SELECT k, CASE WHEN k % 11 = 0 THEN prose WHEN k % 13 = 0 THEN '[boxes] ' || prose ELSE prose || chr(10) || '```json' || chr(10) || body || chr(10) || '```' END AS c FROM c),
+      f AS (SELECT k, c, trim(regexp_extract_all(c, '```(?:json)?\s*\n?([\s\S]*?)```', 1, 'i')[-1], chr(10) || ' ') AS b, len(regexp_extract_all(regexp_replace(c, '(?i)```(?:json)?\s*\n?([\s\S]*?)```', ''), '[^ \t\n\x0b\f\r]+')) AS words FROM t),
+      v AS (SELECT *, CASE WHEN starts_with(b, '{{') AND json_valid(b) THEN b END AS j FROM f),
+      i AS (SELECT k, u.i - 1 AS i, u.x AS x FROM (SELECT k, unnest(list_zip(range(1, len(json_extract(j, '$.boxes[*]')) + 1), json_extract(j, '$.boxes[*]')))  AS z FROM v WHERE j IS NOT NULL), LATERAL (SELECT z[1] AS i, z[2] AS x) u),
+      n AS (SELECT *, [TRY_CAST(json_extract_string(x, '$.bbox[' || q || ']') AS DOUBLE) for q in range(4)] AS p FROM i),
+      e AS (SELECT k, arg_min(code, i) AS code FROM (SELECT k, i, 'box_' || i || CASE WHEN json_type(x) != 'OBJECT' THEN '_not_object' WHEN coalesce(json_type(x, '$.bbox'), '') != 'ARRAY' OR json_array_length(x, '$.bbox') != 4 THEN '_bbox_shape' WHEN list_bool_or([y IS NULL for y in p]) THEN '_bbox_numeric' WHEN NOT list_bool_and([y BETWEEN 0 AND 1 for y in p]) THEN '_bbox_range' WHEN NOT (p[1] < p[3] AND p[2] < p[4]) THEN '_bbox_order'
+          WHEN coalesce(json_type(x, '$.confidence'), 'NULL') IN ('VARCHAR', 'ARRAY', 'OBJECT') THEN '_confidence_type' WHEN NOT coalesce(json_extract_string(x, '$.confidence')::DOUBLE BETWEEN 0 AND 1, true) THEN '_confidence_range' END AS code FROM n) WHERE code IS NOT NULL GROUP BY k),
+      w AS (SELECT v.k, words, c, b, j, CASE WHEN j IS NULL THEN NULL WHEN coalesce(json_type(j, '$.boxes'), 'NULL') = 'NULL' THEN 'missing_boxes_key' WHEN json_type(j, '$.boxes') != 'ARRAY' THEN 'boxes_not_list' ELSE code END AS error FROM v LEFT JOIN e ON v.k = e.k),
+      g AS (SELECT *, CASE WHEN regexp_matches(c, '\[captions?\s*:|\[boxes\]', 'i') THEN 'leak' WHEN b IS NULL THEN 'no_fenced_block' WHEN j IS NULL THEN 'json_parse_failed' WHEN error IS NOT NULL THEN 'schema_invalid' WHEN words < 12 THEN 'preamble_too_short' ELSE 'ok' END AS verdict FROM w)
+      SELECT k, CASE verdict WHEN 'json_parse_failed' THEN 0.4 WHEN 'schema_invalid' THEN 0.6 WHEN 'preamble_too_short' THEN 0.8 WHEN 'ok' THEN 1.0 ELSE 0.0 END::DOUBLE AS score, verdict, error FROM g""",
+    "document_faithfulness": rf"""WITH x AS (SELECT doc_id, text, lower(text) AS l, list_filter([{_CLAIM.replace("contains(l,", "contains(lower(text),")}], lambda z: z IS NOT NULL) AS claims, [v::DOUBLE for v in regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*(?:%|percent)', 1, 'i')] AS said FROM {_D}),
+      y AS (SELECT *, len(list_filter(claims, lambda z: z IN ('water', 'trees'))) AS known, len(list_filter(claims, lambda z: z NOT IN ('water', 'trees'))) AS invented, len(list_filter(said, lambda v: least(abs(v - 30), abs(v - 10)) > 15)) AS misses, {' OR '.join(f"contains(l, '{h}')" for h in S.HEDGES)} AS hedged,
+        doc_id % 3 = 1 AND doc_id % 2 = 1 AND (contains(l, 'no ship') OR contains(l, 'no vessels') OR contains(l, 'no maritime')) AND NOT (contains(l, 'tim') OR contains(l, 'model') OR contains(l, 'candidate')) AS denies,
+        regexp_matches(text, '\[captions?\s*:|\[boxes\]|\bx1\s*=\s*0\.0|tim[-\s]style\s+analytics\s+json\s*:?', 'i') AS leak FROM x),
+      z AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN hedged THEN 0.15::DOUBLE ELSE -0.30::DOUBLE END ELSE CASE WHEN known = 2 THEN 0.28::DOUBLE WHEN known = 1 THEN 0.18::DOUBLE ELSE -0.15::DOUBLE END - least(2, invented) * 0.1::DOUBLE END + 0.5::DOUBLE - least(0.20::DOUBLE, misses * 0.10::DOUBLE) - CASE WHEN denies THEN 0.20::DOUBLE ELSE 0 END AS s FROM y)
+      SELECT doc_id, CASE WHEN trim(l, ' ') = '' THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(1, CASE WHEN leak THEN least(s, 0.40::DOUBLE) ELSE s END)), 4) END AS score FROM z""",
     "label_names": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'water' WHEN 1 THEN 'vegetation' WHEN 2 THEN 'bare' WHEN 3 THEN 'snow_ice' WHEN 4 THEN 'built' END AS label FROM part",
     "grounding_errors": "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'json_decode' WHEN c_custkey % 7 = 0 THEN 'item_1_empty_label' WHEN c_custkey % 3 < 2 THEN 'item_1_bbox_range' ELSE 'ok' END AS error FROM customer",
     "focus_sentences": f"SELECT c_custkey, 'In this satellite imagery, **' || {'[' + ', '.join(chr(39) + x + chr(39) for x in P.raster.LAND_COVER) + ']'}[c_custkey % 9 + 1] || '** accounts for about ' || round_even((c_custkey % 8) / 8.0::DOUBLE * 100, 1) || '% of valid pixels, showing ' || CASE WHEN c_custkey % 7 = 0 THEN 'spatially mixed appearance in this resolution.' WHEN c_custkey % 7 <= 2 THEN 'one or two dominant contiguous patches.' WHEN c_custkey % 7 <= 5 THEN 'several separated patches.' ELSE 'many small fragments across the tile.' END AS text FROM customer",
@@ -308,7 +340,7 @@ SQL = {
     "lexical_scores": rf"""WITH x AS (SELECT doc_id, ' ' || lower(text) || ' ' AS l, len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) AS words FROM {_D}),
       y AS (SELECT doc_id, words, regexp_matches(l, '[^a-z0-9](the|der)[^a-z0-9]')::INT + regexp_matches(l, '[^a-z0-9](water|river)[^a-z0-9]')::INT + regexp_matches(l, '[^a-z0-9]and[^a-z0-9]')::INT AS g, regexp_matches(l, '[^a-z0-9]password[^a-z0-9]')::INT AS f, regexp_matches(l, '[^a-z0-9]license[^a-z0-9]')::INT AS r FROM x)
       SELECT doc_id, round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, g / 3 * 0.75::DOUBLE + least(1.0::DOUBLE, words / 20.0::DOUBLE) * 0.15::DOUBLE + greatest(0.0::DOUBLE, 1.0::DOUBLE - r * 0.25::DOUBLE) * 0.10::DOUBLE - f * 0.25::DOUBLE)), 6) AS score, g::BIGINT AS groups_hit, f::BIGINT AS forbidden, r::BIGINT AS risky, words FROM y""",
-    "faithfulness_scores": f"""WITH x AS (SELECT *, kind = 'block' AND m >= 3 AS sea FROM {_ANS}), y AS (SELECT k, 0.5::DOUBLE + CASE WHEN k % 4 = 0 THEN CASE WHEN brief AND NOT sea THEN -0.30::DOUBLE ELSE 0.15::DOUBLE END WHEN NOT brief THEN 0.08::DOUBLE WHEN sea THEN 0.18::DOUBLE ELSE -0.15::DOUBLE END - CASE WHEN NOT brief AND q > 45 THEN 0.1::DOUBLE ELSE 0 END AS s, kind = 'leak' AS leak FROM x)
+    "faithfulness_scores": f"""WITH x AS (SELECT *, kind = 'block' AND m = 12 AS sea, kind = 'block' AND m BETWEEN 10 AND 12 AS sure FROM {_ANS}), y AS (SELECT k, 0.5::DOUBLE + CASE WHEN k % 4 = 0 THEN CASE WHEN brief AND NOT sure THEN -0.30::DOUBLE ELSE 0.15::DOUBLE END WHEN NOT brief THEN 0.08::DOUBLE WHEN sea THEN 0.18::DOUBLE ELSE -0.15::DOUBLE END - CASE WHEN NOT brief AND q > 45 THEN 0.1::DOUBLE ELSE 0 END AS s, kind = 'leak' AS leak FROM x)
       SELECT k, CASE WHEN k % 6 != 0 THEN round_even(greatest(0, least(1, CASE WHEN leak THEN least(s, 0.40::DOUBLE) ELSE s END)), 4) END AS score FROM y""",
     "composite_scores": f"""WITH w AS (SELECT *, CASE WHEN lexical IS NOT NULL THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN grounding IS NOT NULL THEN 0.42::DOUBLE ELSE 0 END + 0.22::DOUBLE + CASE WHEN composite IS NOT NULL THEN 0.18::DOUBLE ELSE 0 END AS total FROM ({t.RESULTS_SQL})),
       v AS (SELECT *, greatest(0, least(1, (coalesce(lexical * 0.18::DOUBLE, 0) + coalesce(grounding * 0.42::DOUBLE, 0) + pass_value / 2 * 0.22::DOUBLE + coalesce(composite * 0.18::DOUBLE, 0)) / total * greatest(0, 1.0::DOUBLE - part % 3 * 0.25::DOUBLE - 0.08::DOUBLE))) AS a FROM w),

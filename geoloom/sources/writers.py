@@ -22,7 +22,7 @@ def parquet_shards(df: DataFrame, path: str, rows: int = 4096) -> None:
 
 def by_value(df: DataFrame, path: str, column: str) -> None:
     """A folder of JSON lines for each value of a column; rows are dealt by it and split where a value has many."""
-    df.repartition(F.col(column), (F.rand(7) * 8).cast("int")).write.mode("overwrite").partitionBy(column).json(path)
+    df.repartition(F.col(column), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(column).json(path)
 
 
 def canonical_json(df: DataFrame) -> DataFrame:
