@@ -93,28 +93,35 @@ def _kind(value: Column) -> Column:
 
 
 def contract_error(answer: Column) -> Column:
-    """The first fault of the boxes of an answer (a VARIANT object with boxes of label, bbox and confidence), or null."""
-    def fault(x: Column, i: Column) -> Column:
-        raw, name = F.try_variant_get(x, "$.bbox", "array<variant>"), F.concat(F.lit("box_"), i.cast("string"))
-        b = F.transform(raw, lambda v: F.try_variant_get(v, "$", "double"))
-        confidence = F.try_variant_get(x, "$.confidence", "variant")
-        how_sure = F.try_variant_get(x, "$.confidence", "double")
-        return (
-            F.when(_kind(x) != "OBJECT", F.concat(name, F.lit("_not_object")))
-            .when(raw.isNull() | (F.size(raw) != 4), F.concat(name, F.lit("_bbox_shape")))
-            .when(F.exists(b, lambda v: v.isNull()), F.concat(name, F.lit("_bbox_numeric")))
-            .when(~F.forall(b, lambda v: v.between(0.0, 1.0)), F.concat(name, F.lit("_bbox_range")))
-            .when(~((b[0] < b[2]) & (b[1] < b[3])), F.concat(name, F.lit("_bbox_order")))
-            .when(_kind(confidence).isin("STRING", "ARRAY", "OBJECT"), F.concat(name, F.lit("_confidence_type")))
-            .when(~how_sure.between(0.0, 1.0), F.concat(name, F.lit("_confidence_range")))
+    """The first fault of the boxes of an answer (a VARIANT object with boxes of label, bbox and confidence), or null.
+
+    Every value is read once: what follows works on the parts that are read.
+    """
+    def parts(x: Column, i: Column) -> Column:
+        raw = F.try_variant_get(x, "$.bbox", "array<variant>")
+        box = F.when(F.size(raw) == 4, F.transform(raw, lambda v: F.try_variant_get(v, "$", "double")))
+        sure = F.try_variant_get(x, "$.confidence", "variant")
+        return F.struct(F.concat(F.lit("box_"), i.cast("string")).alias("name"), _kind(x).alias("kind"), box.alias("box"), F.when(sure.isNotNull(), _kind(sure)).alias("sure_kind"), F.try_variant_get(x, "$.confidence", "double").alias("sure"))
+
+    def fault(x: Column) -> Column:
+        b = x["box"]
+        what = (
+            F.when(x["kind"] != "OBJECT", "_not_object")
+            .when(b.isNull(), "_bbox_shape")
+            .when(F.exists(b, lambda v: v.isNull()), "_bbox_numeric")
+            .when(~F.forall(b, lambda v: v.between(0.0, 1.0)), "_bbox_range")
+            .when(~((b[0] < b[2]) & (b[1] < b[3])), "_bbox_order")
+            .when(x["sure_kind"].isin("STRING", "ARRAY", "OBJECT"), "_confidence_type")
+            .when(~x["sure"].between(0.0, 1.0), "_confidence_range")
         )
+        return F.concat(x["name"], what)
 
-    boxes, listed = F.try_variant_get(answer, "$.boxes", "variant"), F.try_variant_get(answer, "$.boxes", "array<variant>")
-    return (
-        F.when(boxes.isNull() | (_kind(boxes) == "VOID"), F.lit("missing_boxes_key"))
-        .when(listed.isNull(), F.lit("boxes_not_list"))
-        .otherwise(F.get(F.filter(F.transform(listed, fault), lambda x: x.isNotNull()), F.lit(0)))
-    )
+    def whole(v: Column) -> Column:
+        missing = v.isNull() | F.is_variant_null(v)
+        listed = F.transform(F.array(F.try_variant_get(v, "$", "array<variant>")), lambda items: F.when(items.isNull(), F.lit("boxes_not_list")).otherwise(F.get(F.filter(F.transform(F.transform(items, parts), fault), lambda f: f.isNotNull()), F.lit(0))))
+        return F.when(missing, F.lit("missing_boxes_key")).otherwise(listed[0])
+
+    return F.transform(F.array(F.try_variant_get(answer, "$.boxes", "variant")), whole)[0]
 
 
 # How pieces of JSON with boxes look in a text.
@@ -132,10 +139,8 @@ def parsed_boxes(text: Column) -> Column:
     def boxes_of(items: Column) -> Column:
         def one(x: Column) -> Column:
             raw = F.try_variant_get(x, "$.bbox", "array<variant>")
-            return F.struct(
-                F.when(_kind(F.try_variant_get(x, "$.label", "variant")) == "STRING", F.try_variant_get(x, "$.label", "string")).alias("label"),
-                F.when(F.size(raw) == 4, F.transform(raw, lambda v: F.try_variant_get(v, "$", "double"))).alias("box"),
-            )
+            label = F.try_variant_get(x, "$.label", "variant")
+            return F.struct(F.when(_kind(label) == "STRING", F.try_variant_get(label, "$", "string")).alias("label"), F.when(F.size(raw) == 4, F.transform(raw, lambda v: F.try_variant_get(v, "$", "double"))).alias("box"))
 
         return F.filter(F.transform(items, one), lambda r: r["label"].isNotNull() & r["box"].isNotNull() & ~F.exists(r["box"], lambda v: v.isNull()))
 
