@@ -56,6 +56,8 @@ NARRATION_LEAKS = {
     "xy_eq_zero": r"(?i)\bx1\s*=\s*0\.0",
     "tim_label_echo": r"(?i)tim[-\s]style\s+analytics\s+json\s*:?",
 }
+#: What every match of these patterns holds, in lower case.
+LEAK_PARTS = {"captions_marker": "[caption", "boxes_marker": "[boxes]", "xy_eq_zero_literal": "x1", "xy_eq_zero": "x1", "tim_style_analytics_label": "analytics", "tim_label_echo": "analytics", "image_sequence_echo": "sequence"}
 # The profile whose captions mustn't deny vessels, how they deny them, and words that soften it.
 VESSEL_PROFILE = "oceanscout_ship_detection"
 VESSEL_DENIALS, VESSEL_SOFTENERS = ("no ship", "no vessels", "no maritime"), ("tim", "model", "candidate")
@@ -101,8 +103,10 @@ def hedged(caption: Column) -> Column:
 
 
 def leaks(caption: Column, patterns: dict[str, str] = LEAKS) -> Column:
-    """Names of the traces of the prompt in a caption."""
-    return T.let(F.coalesce(caption, F.lit("")), lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in patterns.items()])))
+    """Names of the traces of the prompt in a caption. A pattern is searched only where the text holds what each of its matches does."""
+    whole = F.coalesce(caption, F.lit(""))
+    found = lambda x: F.array_compact(F.array(*[F.when(x["low"].contains(LEAK_PARTS[name]) & x["t"].rlike(p), F.lit(name)) for name, p in patterns.items()]))
+    return T.let(F.struct(whole.alias("t"), F.lower(whole).alias("low")), found)
 
 
 def percent_claims(caption: Column) -> Column:

@@ -15,12 +15,12 @@ from . import tables as t
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return t.spread(t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
     """Sentences with numbers, places and marks, from line items."""
-    i = t.table(spark, d, "lineitem")
+    i = t.spread(t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_quantity"))
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     text = F.concat(
         F.lit("Water covers "), F.format_string("%.1f", F.col("l_discount") * 400), F.lit("% and trees "), F.col("l_quantity").cast("int").cast("string"), F.lit("%. ISO country: no. "),
@@ -194,7 +194,7 @@ _BLOCKS = (
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers with a fenced block, some of them broken in one way or another, from line items."""
-    i = t.table(spark, d, "lineitem")
+    i = t.spread(t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     body = F.element_at(F.array(*[F.lit(x) for x in _BLOCKS]), (k % len(_BLOCKS) + 1).cast("int"))
     prose = F.when(k % 7 == 0, F.lit("Short text.")).otherwise(F.concat(F.lit("The water covers about "), F.col("l_quantity").cast("int").cast("string"), F.lit("% of a scene with trees, roads and an uncertain glacier far behind the town.")))
