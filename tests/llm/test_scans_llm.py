@@ -171,6 +171,17 @@ def test_guess_cost_is_the_least(value):
     assert abs(secret_scan.guess_cost(value, words) - brute_guess(value, words)) < 1e-9
 
 
+def test_frequent_words(spark):
+    random.seed(1)
+    texts = [" ".join("w" + "abcdefghij"[int(random.paretovariate(1)) % 10] * random.randint(2, 5) for _ in range(200)) for _ in range(30)]
+    counts = collections.Counter(w for t in texts for w in t.split())
+    ranked = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n >= 20]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for most in (1, 7, len(ranked), 1000):
+        assert secret_scan.corpus_words(docs, most=most) == ranked[:most]
+    assert secret_scan.corpus_words(docs.limit(0)) == []
+
+
 def test_secret_query_against_brute_force(spark):
     random.seed(8)
     texts = [None, "", "x " * 200_000 + "pwd=x7Kq9ZpLw2!m", "pin: " + "a" * 1_000_000, "pwd: " + "kQ3x9" * 20_000, "die password=successful und token: required, pwd=necessary"]
