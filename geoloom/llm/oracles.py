@@ -140,3 +140,108 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
        rejected AS host_rejected, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source
 """
+
+#: filteraudit.py: each document's failures as bits, and for each part, order and step the masks that the filters before it leave.
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+  FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * e::INT AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (
+  SELECT f1.k || f2.k || f3.k || f4.k || f5.k AS o, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bs FROM f f1, f f2, f f3, f f4, f f5
+  WHERE f1.b + f2.b + f3.b + f4.b + f5.b = 31 AND len(list_distinct([f1.b, f2.b, f3.b, f4.b, f5.b])) = 5),
+s AS (SELECT o, step, bs[step] AS own, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+r AS (
+  SELECT part, o AS filter_order, step::INT AS step, own,
+         coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (mask & own > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(x) FILTER (mask & own > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM c, s GROUP BY part, o, step, own)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+#: mixing.py: sources fill up in the order of size to weight; queues and the mix by running sums.
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::HUGEINT AS w FROM d GROUP BY source),
+-- A source is full if it is at the level that there is when all with less size to weight are.
+a AS (SELECT *, sum(n) OVER () AS all_n, sum(w) OVER up AS left_w, coalesce(sum(n) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less
+      FROM s WINDOW up AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+b AS (SELECT *, 4 * n * left_w < w * (3 * all_n - 4 * less) AS full_ FROM a),
+t AS (
+  SELECT source, n, CASE WHEN full_ THEN (2 * n)::DOUBLE ELSE w::DOUBLE * (3 * all_n - 4 * coalesce(sum(n) FILTER (full_) OVER (), 0))::DOUBLE / (2 * sum(w) FILTER (NOT full_) OVER ())::DOUBLE END AS target,
+         3 * all_n // 2 AS budget FROM b),
+q AS (
+  SELECT d.*, t.n, t.target, t.budget, row_number() OVER o AS turn, sum(size) OVER o - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT source, turn, target, budget, start + p * n AS start, least(size, ceil(target)::HUGEINT - (start + p * n)) AS words FROM q, range(0, 2) r(p)),
+m AS (
+  SELECT source, turn, words, budget - (sum(words) OVER (ORDER BY least(1.0::DOUBLE, (start + words)::DOUBLE / target), source NULLS LAST, start, turn ROWS UNBOUNDED PRECEDING) - words) AS room
+  FROM c WHERE words > 0),
+x AS (SELECT source, turn, sum(least(words, room)) AS words FROM m WHERE room > 0 GROUP BY source, turn)
+SELECT doc_id, size, n::BIGINT AS source_size, target, coalesce(words, 0)::BIGINT AS taken
+FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source AND q.turn = x.turn
+"""
+
+#: chatrepair.py: the damage by CRC-32, and edits by the state after each turn, with the least cost and audit as one sortable text.
+OP13 = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch:
+             [ascii(ch)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+           lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END), 4294967295::UBIGINT) % 20 AS kind
+  FROM conversations),
+alive AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM raw)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM alive),
+m AS (
+  SELECT conv_id, turn, role, text, pos, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '.' END AS i,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+ids AS (SELECT row_number() OVER () AS id, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+n AS (SELECT id, m.* FROM m JOIN ids ON m.conv_id IS NOT DISTINCT FROM ids.conv_id),
+stats AS (
+  SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) AS rows_ FROM n GROUP BY id),
+pairs AS (SELECT id, count(*) FILTER (p IS NOT NULL AND p || i NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY pos) AS p FROM n) GROUP BY id),
+-- What is inserted between two retained turns, or nothing and a turn.
+ins AS (SELECT unnest(['0', '0', '0', 's', 's', 'u', 'u', 'a', 'a']) AS p, unnest(['s', 'u', 'a', 'u', 'a', 'u', 'a', 'u', 'a']) AS q, unnest(['', '', 'I', '', 'I', 'I', '', '', 'I']) AS x),
+steps AS (
+  SELECT id, 0::BIGINT AS pos, '0' AS state, '000000000000' AS best FROM ids
+  UNION ALL
+  SELECT id, pos, state, min(lpad((left(best, 12)::BIGINT + cost)::VARCHAR, 12, '0') || substr(best, 13) || letters) FROM (
+    SELECT s.id, n.pos, e.state, s.best, e.cost, e.letters
+    FROM steps s JOIN n ON s.id = n.id AND n.pos = s.pos + 1,
+    LATERAL (
+      SELECT s.state AS state, 3 AS cost, 'D' AS letters
+      UNION ALL
+      SELECT q, 2 * length(x) + CASE WHEN i = q THEN 0 ELSE 2 END + (fault = 'truncated')::INT, x || CASE WHEN i = q THEN 'K' ELSE 'R' END
+      FROM ins WHERE ins.p = s.state AND fault NOT IN ('blank', 'duplicate') AND (i = q OR q <> 's')) e)
+  GROUP BY id, pos, state),
+done AS (
+  SELECT st.id, min(lpad((left(best, 12)::BIGINT + 2 * length(close_))::VARCHAR, 12, '0') || substr(best, 13) || close_) AS best
+  FROM (SELECT *, CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS close_ FROM steps) st JOIN stats ON st.id = stats.id AND st.pos = stats.rows_ GROUP BY st.id),
+audits AS (SELECT id, left(best, 12)::BIGINT AS cost, substr(best, 13) AS audit FROM done),
+letters AS (
+  SELECT id, k, c, sum((c <> 'I')::INT) OVER w AS pos, sum((c <> 'D')::INT) OVER w AS place
+  FROM (SELECT id, unnest(string_split(audit, '')) AS c, generate_subscripts(string_split(audit, ''), 1) AS k FROM audits) WHERE c <> '' WINDOW w AS (PARTITION BY id ORDER BY k)),
+kept AS (SELECT l.*, n.role, n.text, max((place = 1 AND c = 'K' AND n.i = 's')::INT) OVER (PARTITION BY l.id) AS framed FROM letters l LEFT JOIN n ON l.id = n.id AND l.pos = n.pos AND l.c <> 'I' WHERE c <> 'D'),
+hashes AS (
+  SELECT id, sha256(string_agg(CASE WHEN c = 'K' THEN role WHEN (place - framed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN c = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS h
+  FROM kept GROUP BY id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN stats USING (id) LEFT JOIN pairs USING (id) LEFT JOIN audits USING (id) LEFT JOIN hashes USING (id)
+"""

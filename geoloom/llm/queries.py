@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hostrules, linededup, ngramjoin, oracles, packing, pii, secret_scan, tokencount, urlrules
+from . import chat, chatrepair, decontam, filteraudit, hostrules, linededup, mixing, ngramjoin, oracles, packing, pii, secret_scan, tokencount, urlrules
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +62,18 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatrepair.digest(chatrepair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
@@ -74,6 +86,9 @@ def queries() -> dict:
         "op8_perspective_rotation": op8_perspective_rotation,
         "op9_token_counts": op9_token_counts,
         "op10_host_rules": op10_host_rules,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_source_mix": op12_source_mix,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -86,4 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard_join": oracles.OP6,
         "op8_perspective_rotation": oracles.OP8,
         "op10_host_rules": oracles.OP10,
+        "op11_filter_audit": oracles.OP11,
+        "op12_source_mix": oracles.OP12,
+        "op13_conversation_repair": oracles.OP13,
     }
