@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from files in the folder that the cluster shares (spark.checkpoint.dir); where none is set, in one of our own if all runs on this machine."""
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as checkpoints use it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(where or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """df from a Parquet table in the shared folder, into which filters are pushed, as long as the block runs; the table is deleted after it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

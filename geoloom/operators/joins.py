@@ -118,65 +118,15 @@ def nearest(places: DataFrame, features: DataFrame, *, place: str = "id", featur
             return found
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, *, degrees: float = 1.0) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """(id, polygon_id): for each point the smallest polygon that holds it or whose edge it lies on; no row without one.
 
-    points: id, lat, lon. polygons: polygon_id, area, ring (array of struct(x, y), x the longitude). A polygon is dealt
-    to the cells that its bounds touch, a point to its own; the test counts crossings of a ray in one expression.
+    points: id, lat, lon. polygons: polygon_id, area and rings (array of rings of struct(x, y), x the longitude; holes and parts by the even-odd rule), or one ring alone.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    bounded = polygons.select("polygon_id", "area", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    columns = int(360 // degrees) + 2
-    at = lambda v, shift: F.floor((v + shift) / degrees).cast("int")
-    cells = F.flatten(F.transform(F.sequence(at(F.col("y0"), 90.0), at(F.col("y1"), 90.0)), lambda r: F.transform(F.sequence(at(F.col("x0"), 180.0), at(F.col("x1"), 180.0)), lambda c: (r * columns + c).cast("long"))))
-    dealt = bounded.withColumn("__cell", F.explode(cells))
-    p = points.select("id", "lat", "lon").withColumn("__cell", cell_of(F.col("lat"), F.col("lon"), degrees))
-    inside = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")) & in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
-    hit = p.join(dealt, "__cell").where(inside)
-    return hit.groupBy("id").agg(F.min_by("polygon_id", F.struct("area", "polygon_id")).alias("polygon_id"))
-
-
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a ring (its last point may repeat the first) or on an edge of it."""
-    edges = F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.coalesce(F.get(ring, i + 1), F.get(ring, F.lit(0))).alias("b")))
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
-
-    def touches(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        level = F.abs((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])) < 1e-12
-        return level & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-
-    return (F.size(F.filter(edges, crosses)) % 2 == 1) | F.exists(edges, touches)
+    from .areas import holding
 
-
-def first_far_pair(places: DataFrame, group: str, most_km: float) -> DataFrame:
-    """(group, pos_a, pos_b, km): per group the first pair (by positions) of places farther apart than most_km.
-
-    A job has a handful of places; larger groups are cut by a bound first: the extremes of a group's box show
-    whether any pair can be that far apart, and groups that can't are left out before the join.
-    """
-    span = places.groupBy(group).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
-    widest = (F.col("n") - F.col("s") + F.col("e") - F.col("w")) * 111.32
-    some = places.join(span.where(widest > most_km).select(group), group)
-    a = some.select(group, F.col("pos").alias("pos_a"), F.col("lat").alias("__la"), F.col("lon").alias("__oa"))
-    b = some.select(group, F.col("pos").alias("pos_b"), F.col("lat").alias("__lb"), F.col("lon").alias("__ob"))
-    km = geo.haversine_km(F.col("__la"), F.col("__oa"), F.col("__lb"), F.col("__ob"))
-    pairs = a.join(b, group).where(F.col("pos_a") < F.col("pos_b")).withColumn("km", km).where(F.col("km") > most_km)
-    return pairs.groupBy(group).agg(F.min(F.struct("pos_a", "pos_b", "km")).alias("p")).select(group, "p.pos_a", "p.pos_b", "p.km")
-
-
-def closest_pair_km(places: DataFrame, start_km: float = 10.0) -> float | None:
-    """The least distance between any two places, by ever wider search; None for fewer than two."""
-    km = start_km
-    while True:
-        near = within_km(places, places, km).where(F.col("id_a") < F.col("id_b"))
-        best = near.agg(F.min("km").alias("km")).first()["km"]
-        if best is not None or km > 80_000:
-            return best
-        km *= 4
+    whole = polygons if "rings" in polygons.columns else polygons.withColumn("rings", F.array("ring"))
+    return holding(points, whole).groupBy("id").agg(F.min_by("polygon_id", F.struct("area", "polygon_id")).alias("polygon_id"))
 
 
 def merged_guesses(locations: DataFrame, base: DataFrame, overlay: DataFrame, *, prefer_overlay: bool, tolerance_km: float) -> DataFrame:

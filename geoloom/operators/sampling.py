@@ -5,12 +5,13 @@ An order by a hash of seed and id takes the place of a shuffle, so results are t
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .frames import checkpointed
-from .joins import within_km
+from .frames import checkpointed, stored
+from .joins import cell_of, within_km
 
 
 def seeded(identifier: Column, seed: str) -> Column:
@@ -64,23 +65,64 @@ def spaced_head(places: DataFrame, key: str, n: int, apart_km: float, seed: str)
     return shuffled_head(spaced(places, key, apart_km, seed), key, n, seed)
 
 
+#: Degrees of the cells in which places are bounded together, and cells that are looked through at once. Results don't depend on these.
+SPREAD_DEGREES, SPREAD_CELLS = 2.0, 16
+
+
+def _km_on_driver(lat, lon, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    h = np.sin(np.radians(lats - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lats)) * np.sin(np.radians(lons - lon) / 2) ** 2
+    return 2 * geo.RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
 def spread(places: DataFrame, key: str, k: int, apart_km: float, seed: str) -> DataFrame:
     """k places (key, lat, lon, pick) picked one by one: the first by the seed, then always the one farthest from all picked, while it is at least so far.
 
-    Each pick is one aggregate over all places with the picked ones as a constant; k is small and bounds what the driver holds.
-    Ties go to the lesser key.
+    Places are written once, sorted by cell. The driver keeps for each cell, of which the grid has a fixed number, how far any of its places can be from all picks; that only
+    falls. A pick reads the cells whose bound is highest until the best place found is above all other bounds, so it touches a few cells and not the rest. Ties go to the lesser key; places without coordinates
+    are never picked; places of the same key or at a picked place end the picking where nothing else is left. The picks themselves, k rows, are held on the driver.
     """
-    rows = checkpointed(places.select(key, "lat", "lon"))
-    first = rows.agg(F.min_by(F.struct(key, "lat", "lon"), F.struct(seeded(F.col(key), seed), F.col(key))).alias("p")).first()["p"]
-    picks = [] if first is None else [first]
-    while picks and len(picks) < k:
-        km = F.least(*[geo.haversine_km(F.lit(p["lat"]), F.lit(p["lon"]), F.col("lat"), F.col("lon")) for p in picks]) if len(picks) > 1 else geo.haversine_km(F.lit(picks[0]["lat"]), F.lit(picks[0]["lon"]), F.col("lat"), F.col("lon"))
-        best = rows.withColumn("km", km).agg(F.min(F.struct((-F.col("km")).alias("o"), F.col(key).alias(key), "lat", "lon")).alias("p")).first()["p"]
-        if best is None or -best["o"] < apart_km or any(p[key] == best[key] for p in picks):
-            break
-        picks.append(best)
+    columns = int(360 // SPREAD_DEGREES) + 2
+    half = SPREAD_DEGREES * 79.0 + 1e-3
     kinds = dict(places.dtypes)
-    return places.sparkSession.createDataFrame([(p[key], float(p["lat"]), float(p["lon"]), i) for i, p in enumerate(picks)], f"{key} {kinds[key]}, lat double, lon double, pick int")
+    result = f"{key} {kinds[key]}, lat double, lon double, pick int"
+    known = places.select(key, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
+    with stored(known.withColumn("cell", cell_of(F.col("lat"), F.col("lon"), SPREAD_DEGREES)).repartitionByRange("cell").sortWithinPartitions("cell")) as rows:
+        cells = np.array(sorted(r["cell"] for r in rows.select("cell").distinct().collect()), dtype=np.int64)  # at most as many as the grid has
+        first = rows.agg(F.min_by(F.struct(key, "lat", "lon"), F.struct(seeded(F.col(key), seed), F.col(key))).alias("p")).first()["p"]
+        picks = [] if first is None or k < 1 else [first]
+        lats = np.minimum(90.0, (cells // columns + 0.5) * SPREAD_DEGREES - 90.0)
+        lons = np.minimum(180.0, (cells % columns + 0.5) * SPREAD_DEGREES - 180.0)
+        bound = np.full(len(cells), np.inf)
+        best: list[tuple | None] = [None] * len(cells)  # of each cell its farthest place and how far that is, if that is known for all picks
+        middles = np.empty((0, len(cells)))
+        while picks and len(picks) < k:
+            p = picks[-1]
+            away = _km_on_driver(p["lat"], p["lon"], lats, lons)
+            middles = np.vstack([middles, away])
+            bound = np.minimum(bound, away + half)
+            for i, b in enumerate(best):
+                # A farthest place that the new pick isn't nearer to stays what it is.
+                if b is not None and _km_on_driver(p["lat"], p["lon"], np.array([b[2]]), np.array([b[3]]))[0] <= b[0] + 1e-6:
+                    best[i] = None
+            while True:
+                top = max((b[0] for b in best if b is not None), default=-1.0)
+                stale = [i for i in np.argsort(-bound, kind="stable") if best[i] is None and bound[i] >= top][:SPREAD_CELLS]
+                if not stale:
+                    break
+                # Only picks that may be the nearest to some place of a cell are measured there.
+                near = [(int(cells[i]), [(float(picks[j]["lat"]), float(picks[j]["lon"])) for j in np.flatnonzero(middles[:, i] <= middles[:, i].min() + 2 * half)]) for i in stale]
+                asked = F.broadcast(rows.sparkSession.createDataFrame(near, "cell long, picks array<struct<lat:double,lon:double>>"))
+                km = F.array_min(F.transform("picks", lambda q: geo.haversine_km(q["lat"], q["lon"], F.col("lat"), F.col("lon"))))
+                read = rows.where(F.col("cell").isin([c for c, _ in near])).join(asked, "cell").select("cell", F.struct((-km).alias("o"), F.col(key).alias("k"), "lat", "lon").alias("b"))
+                for r in read.groupBy("cell").agg(F.min("b").alias("b")).collect():
+                    i = int(np.searchsorted(cells, r["cell"]))
+                    best[i] = (-r["b"]["o"], r["b"]["k"], r["b"]["lat"], r["b"]["lon"])
+                    bound[i] = best[i][0]
+            farthest = min((b for b in best if b is not None), key=lambda b: (-b[0], b[1]))
+            if farthest[0] < apart_km or any(p[key] == farthest[1] for p in picks):
+                break
+            picks.append({key: farthest[1], "lat": farthest[2], "lon": farthest[3]})
+    return places.sparkSession.createDataFrame([(p[key], float(p["lat"]), float(p["lon"]), i) for i, p in enumerate(picks)], result)
 
 
 def select_places(places: DataFrame, key: str, k: int, apart_km: float, seed: str) -> DataFrame:

@@ -198,6 +198,27 @@ def geojson_rings(spark: SparkSession, path: str, name_keys: list[str]) -> DataF
     return feats.select(F.col("pos").alias("feature_id"), name.alias("name"), F.explode(rings).alias("r")).select("feature_id", "name", xy(F.col("r")).alias("ring"))
 
 
+def geojson_areas(spark: SparkSession, path: str, name_keys: list[str], code_keys: list[str]) -> DataFrame:
+    """(polygon_id, name, code, area, rings): the polygons of a GeoJSON file with all their rings, holes included, as arrays of arrays of struct(x, y).
+
+    A part's outer ring comes before its holes. area is in square degrees, as it orders polygons that overlap. Rings of fewer than three different points, and positions that aren't finite, are left out;
+    features of which nothing is left have no row.
+    """
+    feats = listed(spark, path, f"struct<features:array<{FEATURE}>>", "features")
+    from ..functions.text import usable
+
+    prop = lambda keys: usable(*[F.try_element_at("properties", F.lit(k)) for k in keys])
+    kind, raw = F.col("geometry.type"), F.col("geometry.coordinates")
+    raw_rings = F.when(kind == "Polygon", F.from_json(raw, "array<array<array<double>>>")).when(kind == "MultiPolygon", F.flatten(F.from_json(raw, "array<array<array<array<double>>>>")))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    rings = F.transform(raw_rings, lambda r: F.filter(F.transform(r, point), lambda p: finite(p["x"]) & finite(p["y"])))
+    whole = feats.select(F.col("pos").alias("polygon_id"), prop(name_keys).alias("name"), F.upper(F.trim(prop(code_keys))).alias("code"), F.filter(rings, lambda r: F.size(F.array_distinct(r)) >= 3).alias("rings"))
+    twice = lambda r: F.aggregate(F.transform(r, lambda p, i: p["x"] * F.coalesce(F.get(r, i + 1), r[0])["y"] - F.coalesce(F.get(r, i + 1), r[0])["x"] * p["y"]), F.lit(0.0), lambda a, b: a + b)
+    area = F.abs(F.aggregate(F.transform("rings", twice), F.lit(0.0), lambda a, b: a + b)) / 2
+    return whole.where(F.size("rings") > 0).select("polygon_id", "name", "code", area.alias("area"), "rings")
+
+
 def scenes(df: DataFrame, box: Column, start: Column, end: Column, most_cloud: float) -> DataFrame:
     """Scenes (scene_ts, cloud, west, south, east, north) that meet a box in a time under a cloud cover: plain predicates, which reach the scan."""
     meets = (F.col("west") <= box["east"]) & (F.col("east") >= box["west"]) & (F.col("south") <= box["north"]) & (F.col("north") >= box["south"])

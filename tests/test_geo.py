@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import joins, sampling
+from geoloom.operators import areas, joins, lines, pairs, sampling
 
 POINTS = [(0.0, 0.0, 0.0, 0.0, 0.0), (40.7128, -74.006, 51.5074, -0.1278, 5570.2), (10.0, 179.9, 10.0, -179.9, 21.9), (89.0, 0.0, 89.0, 180.0, 222.4)]
 
@@ -60,8 +60,8 @@ def test_nearest_and_closest(spark):
     df, features = spark.createDataFrame(a, "id long, lat double, lon double"), spark.createDataFrame(b, "feature_id long, lat double, lon double")
     got = {r["id"]: r["km"] for r in joins.nearest(df, features).collect()}
     assert len(got) == len(a) and all(got[p[0]] == pytest.approx(min(km(*p[1:], *q[1:]) for q in b), abs=1e-6) for p in a)
-    assert joins.closest_pair_km(df) == pytest.approx(min(km(*p[1:], *q[1:]) for i, p in enumerate(a) for q in a[:i]), abs=1e-6)
-    assert joins.closest_pair_km(df.limit(0)) is None
+    assert pairs.closest_pair_km(df) == pytest.approx(min(km(*p[1:], *q[1:]) for i, p in enumerate(a) for q in a[:i]), abs=1e-6)
+    assert pairs.closest_pair_km(df.limit(0)) is None
 
 
 def test_points_in_polygons(spark):
