@@ -92,11 +92,11 @@ def nearest_line(places: DataFrame, lines: DataFrame, *, place: str = "id", line
     bound = nearest(cells, sampled(all_arcs, SAMPLE_KM).select(F.lit(0).alias("sample"), "lat", "lon"), place="cell", feature="sample", start_km=max(SMALLEST_KM, 2 * half))
     # A place is at most half from the middle, and so is what is nearest to it from the middle's bound.
     reach = F.least(F.lit(_HALF_TURN_KM), F.col("km") + 2 * half + 1e-6)
-    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / SMALLEST_KM))).cast("int")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / SMALLEST_KM) / 2)).cast("int")
     wanted = checkpointed(cells.join(bound.select("cell", reach.alias("reach"), level.alias("level")), "cell"))
     met = []
-    for found in sorted(r["level"] for r in wanted.select("level").distinct().collect()):  # at most as many as doublings of the smallest search
-        radius = SMALLEST_KM * 2**found
+    for found in sorted(r["level"] for r in wanted.select("level").distinct().collect()):  # at most as often as the smallest search grows fourfold
+        radius = SMALLEST_KM * 4**found
         samples = sampled(all_arcs, radius / 4).select(F.struct("line_id", "arc").alias("at"), "lat", "lon")
         near = within_km(wanted.where(F.col("level") == found), samples, min(_HALF_TURN_KM, radius * 1.125) + 1.0, id_a="cell", id_b="at", degrees=max(0.05, min(30.0, radius / 55.0)))
         met.append(near.select(F.col("id_a").alias("cell"), F.col("id_b").alias("at"), (F.col("km") - radius / 8).alias("least")))

@@ -1,13 +1,10 @@
 """Rasters as tables (tile, y, x and values by pixel): fractions, transitions, zones and regions.
 
-All counts are aggregates that combine before they shuffle. Only the labelling of connected regions needs the
-pixels of one tile together, and a tile's size is fixed when it is cut.
+All counts are aggregates that combine before they shuffle.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -277,49 +274,6 @@ def nearest_downsampled(pixels: DataFrame, size: int, out: int) -> DataFrame:
     return rows.where((F.col("__y") > 0) & (F.col("__x") > 0)).withColumn("y", (F.col("__y") - 1).cast("int")).withColumn("x", (F.col("__x") - 1).cast("int")).drop("__y", "__x")
 
 
-def regions(pixels: DataFrame, tile: str, klass: str, *, eight: bool = True, inclusive: bool = True, least_pixels: int = 1, most: int = 20, score: str | None = None) -> DataFrame:
-    """(tile, class_id, x1, y1, x2, y2, area_px, score): connected pixels of the same class.
-
-    eight joins pixels at corners too. Boxes end at the last pixel (inclusive) or after it. Of each tile and class so many
-    largest regions stay, ties by box. A tile's pixels are labelled in one task; its size is fixed when it is cut.
-    """
-    s = F.col(score).cast("double") if score else F.lit(None).cast("double")
-    cells = pixels.where(F.col(klass).isNotNull()).select(F.col(tile).alias("tile"), F.col(klass).cast("int").alias("class_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), s.alias("score"))
-    kind = f"{tile} {dict(pixels.dtypes)[tile]}, class_id int, x1 int, y1 int, x2 int, y2 int, area_px int, score double"
-    steps = [(-1, 0), (0, -1), (-1, -1), (-1, 1)] if eight else [(-1, 0), (0, -1)]
-    extra = 0 if inclusive else 1
-
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        labels = _labels(group["y"].to_numpy(), group["x"].to_numpy(), group["class_id"].to_numpy(), steps)
-        out = group.assign(label=labels).groupby(["class_id", "label"], as_index=False).agg(x1=("x", "min"), y1=("y", "min"), x2=("x", "max"), y2=("y", "max"), area_px=("x", "size"), score=("score", "mean"))
-        out = out[out["area_px"] >= least_pixels].sort_values(["class_id", "area_px", "y1", "x1"], ascending=[True, False, True, True]).groupby("class_id").head(most)
-        out[["x2", "y2"]] += extra
-        return out.assign(**{tile: group["tile"].iloc[0]})[[tile, "class_id", "x1", "y1", "x2", "y2", "area_px", "score"]]
-
-    return cells.groupBy("tile").applyInPandas(label, kind)
-
-
-def _labels(ys: np.ndarray, xs: np.ndarray, classes: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """A number for each pixel, the same for pixels that hang together: unions of neighbours, found by place."""
-    parent = np.arange(len(ys))
-    at = {(y, x): i for i, (y, x) in enumerate(zip(ys.tolist(), xs.tolist(), strict=True))}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (y, x), i in at.items():
-        for dy, dx in steps:
-            j = at.get((y + dy, x + dx))
-            if j is not None and classes[i] == classes[j]:
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(ys))])
-
-
 def area_caption(found: DataFrame, tile: str, label: str, pixels: int, most: int = 4) -> DataFrame:
     """(tile, caption): the labels of the greatest areas and their percentages of the canvas, in a sentence."""
     sums = found.groupBy(tile, label).agg(F.sum("area_px").alias("a"))

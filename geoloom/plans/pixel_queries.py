@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..operators import pixels as P
+from ..operators import regions as R
 from . import tables as t
 
 EDGE = 64
@@ -114,6 +115,11 @@ def downsampled(spark: SparkSession, d: str) -> DataFrame:
     return P.nearest_downsampled(t.pixels(spark, d).select("tile", "y", "x", "class0"), EDGE, 16).groupBy("tile").agg(F.count("*").alias("n"), F.sum("y").alias("ys"), F.sum("x").alias("xs"), F.sum("class0").alias("classes"))
 
 
+def bilinear_tiles(spark: SparkSession, d: str) -> DataFrame:
+    p = t.pixels(spark, d).groupBy("tile", "y", "x").agg((F.min("class0") * 28 % 256).alias("v"))
+    return R.bilinear(p, "tile", "v", height=EDGE, width=EDGE, out=24).select("tile", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
+
+
 def valid_fraction(spark: SparkSession, d: str) -> DataFrame:
     return t.pixels(spark, d).groupBy("tile").agg(F.round(F.avg((F.col("class0") != raster.NOTHING).cast("int")), 6).alias("valid"))
 
@@ -174,7 +180,7 @@ def picked_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
     x = t.pixels(spark, d).where("class0 != 255").groupBy("tile", "y", "x").agg(F.min(F.col("class0") % 3).alias("k"))
-    r = P.regions(x, "tile", "k", least_pixels=2, most=6)
+    r = R.regions(x, "tile", "k", least_pixels=2, most=6, block=24)
     return r.select("tile", *[F.col(c).cast("long").alias(c) for c in ("class_id", "x1", "y1", "x2", "y2", "area_px")])
 
 
@@ -185,7 +191,7 @@ def region_captions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     class_fractions, scene_fractions, water_prior, fraction_deltas, land_transitions, land_top_changes, change_metrics, zone_means, zone_changes, zone_floods, signal_candidates, observation_coverage, flood_metrics,
-    spectral_indices, coarse_land, bright_on_water, stretched_bands, tile_windows, tile_variants, downsampled, valid_fraction, vector_stats, confidence_bins, sample_candidates, sample_histogram, sample_transitions,
+    spectral_indices, coarse_land, bright_on_water, stretched_bands, tile_windows, tile_variants, downsampled, bilinear_tiles, valid_fraction, vector_stats, confidence_bins, sample_candidates, sample_histogram, sample_transitions,
     mean_places, dominant_classes, profile_fractions, class_samples, picked_classes, regions, region_captions,
 )}
 
@@ -233,6 +239,15 @@ SQL = {
       SELECT id, nr * nc AS n, (64 * nr * (nr - 1) * nc)::BIGINT AS rows, (64 * nc * (nc - 1) * nr)::BIGINT AS cols, CASE WHEN h >= 512 AND w >= 512 THEN 512 ELSE least(h, 512) END AS least_h FROM x""",
     "tile_variants": f"""SELECT tile, v AS variant, sum(CASE v WHEN 'identity' THEN y WHEN 'hflip' THEN y WHEN 'rot90' THEN 63 - x WHEN 'rot180' THEN 63 - y ELSE x END)::BIGINT AS ys, sum(CASE v WHEN 'identity' THEN x WHEN 'hflip' THEN 63 - x WHEN 'rot90' THEN y WHEN 'rot180' THEN 63 - x ELSE 63 - y END)::BIGINT AS xs, count(*) AS n
       FROM {_P}, (SELECT unnest(['identity', 'hflip', 'rot90', 'rot180', 'rot270']) AS v) GROUP BY 1, 2""",
+    "regions": f"""WITH RECURSIVE p AS (SELECT tile, y, x, min(class0 % 3)::INT AS k FROM {_P} WHERE class0 != 255 GROUP BY tile, y, x),
+      cc(tile, y, x, k, root) USING KEY (tile, y, x) AS (SELECT tile, y, x, k, y * 64 + x FROM p UNION
+        SELECT n.tile, n.y, n.x, n.k, min(c.root) FROM cc c JOIN recurring.cc n ON c.tile = n.tile AND c.k = n.k AND abs(c.y - n.y) <= 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 WHERE c.root < n.root GROUP BY n.tile, n.y, n.x, n.k),
+      r AS (SELECT tile, k, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS area_px FROM cc GROUP BY tile, k, root HAVING count(*) >= 2)
+      SELECT tile, k::BIGINT AS class_id, x1, y1, x2, y2, area_px FROM r QUALIFY row_number() OVER (PARTITION BY tile, k ORDER BY area_px DESC, y1, x1, y2, x2) <= 6""",
+    "bilinear_tiles": f"""WITH p AS (SELECT tile, y, x, min(class0) * 28 % 256 AS v FROM {_P} GROUP BY tile, y, x), r AS (SELECT i, (i + 0.5::DOUBLE) * (64 / 24::DOUBLE) AS m, 64 / 24::DOUBLE AS s FROM range(0, 24) r(i)),
+      b AS (SELECT i, m, s, x, greatest(0.0::DOUBLE, 1 - abs((x - m + 0.5::DOUBLE) / s)) AS w FROM r, range(0, 64) q(x) WHERE x >= trunc(m - s + 0.5::DOUBLE) AND x < trunc(m + s + 0.5::DOUBLE)),
+      k AS (SELECT i, x AS at_, trunc(0.5::DOUBLE + w / sum(w) OVER (PARTITION BY i) * 4194304)::BIGINT AS k FROM b), h AS (SELECT tile, y, i AS x, least(255, (sum(v * k) + 2097152)::BIGINT >> 22) AS v FROM p JOIN k ON p.x = at_ GROUP BY tile, y, i)
+      SELECT tile, i AS y, x, least(255, (sum(v * k) + 2097152)::BIGINT >> 22) AS v FROM h JOIN k ON h.y = at_ GROUP BY tile, i, x""",
     "downsampled": f"SELECT tile, count(*) AS n, sum((y - 2) // 4)::BIGINT AS ys, sum((x - 2) // 4)::BIGINT AS xs, sum(class0)::BIGINT AS classes FROM {_P} WHERE y % 4 = 2 AND x % 4 = 2 GROUP BY tile",
     "valid_fraction": f"SELECT tile, round(avg((class0 != 255)::INT), 6) AS valid FROM {_P} GROUP BY tile",
     "vector_stats": f"SELECT vec_id, count(*) AS numel, round_even(avg(x), 6) AS mean, round_even(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max, least(16, ceil(count(*) / greatest(1, count(*) // 16)))::BIGINT AS n_sample FROM {_E} GROUP BY vec_id",

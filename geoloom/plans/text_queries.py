@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
-from ..functions import geo
+from ..functions import geo, matching
 from ..functions import text as T
 from ..operators import pixels as P
 from ..operators import rows as R
@@ -248,6 +248,12 @@ def caption_changes(spark: SparkSession, d: str) -> DataFrame:
     return both.select("item_id", S.responsiveness(F.concat_ws(" ", "text", "other"), F.col("other")).alias("responsiveness"))
 
 
+def caption_responsiveness(spark: SparkSession, d: str) -> DataFrame:
+    """Each text against its damaged form: how much a change is answered, by matching blocks."""
+    b = t.table(spark, d, "benchmark").select("item_id", "text", F.regexp_replace("text", r"(\w+) (\w+) (\w+)", "$2 $1").alias("other"))
+    return t.spread(b).select("item_id", matching.changed_by(F.col("text"), F.col("other")).alias("responsiveness"))
+
+
 def focus_sentences(spark: SparkSession, d: str) -> DataFrame:
     c = t.table(spark, d, "customer")
     name = P.raster.land_cover_name(F.col("c_custkey") % 9)
@@ -268,7 +274,7 @@ def hash_labels(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     coordinate_literals, banned_words, caption_violations, style_violations, coarse_percentages, redacted_places, normalised_texts, readable_texts, capped_texts, boundary_cuts, word_counts, page_prose, safe_names,
     template_fill, etags, media_paths, fallback_paths, term_matches, chat_lengths, turn_lengths, last_exchanges, canonical_rows, row_gate, media_complete, path_remap, sidecar_tasks, sidecar_drops, lexical_scores, class_claims,
-    contract_scores, faithfulness_scores, document_faithfulness, composite_scores, label_names, grounding_errors, small_object_scores, caption_changes, focus_sentences, mixed_findings, hash_labels,
+    contract_scores, faithfulness_scores, document_faithfulness, composite_scores, label_names, grounding_errors, small_object_scores, caption_changes, caption_responsiveness, focus_sentences, mixed_findings, hash_labels,
 )}
 
 _D = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"

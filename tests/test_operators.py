@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import boxes, text
-from geoloom.operators import catalog, dedup, pixels, ranking, rows, scoring, stores, summaries
+from geoloom.operators import catalog, dedup, pixels, ranking, regions, rows, scoring, stores, summaries
 
 
 def rows_of(df):
@@ -66,11 +66,11 @@ def test_regions(spark):
     picture = ["aab", "cab", "aca"]
     px = [("t", y, x, "abc".index(c)) for y, line in enumerate(picture) for x, c in enumerate(line)]
     df = spark.createDataFrame(px, "tile string, y int, x int, k int")
-    eight = {(r["class_id"], r["x1"], r["y1"], r["x2"], r["y2"], r["area_px"]) for r in pixels.regions(df, "tile", "k").collect()}
+    eight = {(r["class_id"], r["x1"], r["y1"], r["x2"], r["y2"], r["area_px"]) for r in regions.regions(df, "tile", "k").collect()}
     assert eight == {(0, 0, 0, 2, 2, 5), (1, 2, 0, 2, 1, 2), (2, 0, 1, 1, 2, 2)}
-    four = sorted((r["class_id"], r["area_px"]) for r in pixels.regions(df, "tile", "k", eight=False).collect())
+    four = sorted((r["class_id"], r["area_px"]) for r in regions.regions(df, "tile", "k", eight=False).collect())
     assert four == [(0, 1), (0, 1), (0, 3), (1, 2), (2, 1), (2, 1)]
-    assert pixels.regions(df.limit(0), "tile", "k").count() == 0
+    assert regions.regions(df.limit(0), "tile", "k").count() == 0
 
 
 def test_fractions(spark):
