@@ -248,3 +248,19 @@ def shards(spark: SparkSession, folder: str, columns: list[str] | None = None) -
 def evolved(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
     """df with columns that it lacks, of a type and with a default."""
     return df.select("*", *[F.lit(v).cast(t).alias(c) for c, (t, v) in columns.items() if c not in df.columns])
+
+
+def staged_split(spark: SparkSession, root: str, dataset: str, *, split: str, subset: str | None = None, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """A split of a dataset that is staged as Parquet under root/dataset/subset/split, subset being default where none is named; so many of its rows at most.
+
+    Filters and columns reach the files. A split that isn't there is an error.
+    """
+    from pyspark.errors import AnalysisException
+
+    path = f"{root.rstrip('/')}/{dataset}/{subset or 'default'}/{split}"
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise ValueError(f"no split {split} of {dataset}, subset {subset or 'default'}") from e
+    df = df.select(*columns) if columns else df
+    return df if most is None else df.limit(most)
