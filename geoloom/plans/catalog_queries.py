@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import yaml
 from ..operators import catalog, dedup, joins
 from . import tables as t
 
@@ -24,6 +25,24 @@ def lint_maps(spark: SparkSession, d: str) -> DataFrame:
     return catalog.lint_maps(m.withColumn("title", F.when(F.col("ranked_pool"), F.col("title"))))
 
 
+def yaml_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Locations through YAML files' text: nested values, lists, block and flow scalars, and some that can't be read."""
+    c = t.table(spark, d, "customer")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n"))
+    k = F.col("c_custkey").cast("string")
+    body = F.concat(
+        line("# a location"), line("location_id: ", yaml.quoted(F.col("c_name"))), line("segment: ", yaml.quoted(F.concat(F.col("c_mktsegment"), F.lit(": #"), k))), line("truth:"), line("  lat: ", (F.col("c_custkey") % 80).cast("string"), ".25"),
+        line("  ranked: ", F.when(F.col("c_custkey") % 2 == 0, "yes").otherwise("off")), line("hints:"), line("- first ", k), line("-  second: {deep: [1, ", k, ", 'x']}"), line("notes: >-"), line("  folded"), line("  ", F.col("c_mktsegment")), line(""), line("  end"),
+        F.when(F.col("c_custkey") % 10 == 0, line("bad: &anchor 1")).otherwise(line("last: ~")),
+    )
+    docs = t.spread(c).select("c_custkey", yaml.document(body).alias("d"))
+    of = lambda path, kind="string": F.try_variant_get("d.value", path, kind)
+    return docs.select(
+        "c_custkey", of("$.location_id").alias("location_id"), of("$.segment").alias("segment"), of("$.truth.lat", "double").alias("lat"), of("$.truth.ranked", "boolean").alias("ranked"), of("$.hints[0]").alias("hint"),
+        of("$.hints[1].second.deep[1]", "bigint").alias("deep"), of("$.notes").alias("notes"), F.col("d.error").isNotNull().alias("unread"),
+    )
+
+
 def _hints(spark: SparkSession, d: str) -> DataFrame:
     """Every whole text dealt to six tiers, a sixth of its length each."""
     x = t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -144,7 +163,7 @@ def place_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    lint_locations, lint_references, lint_maps, hint_violations, clean_hints, manifest, map_summaries, ranked_clues, ranked_guesses, imported_locations, registry_gaps, hint_coverage, violation_report,
+    lint_locations, lint_references, lint_maps, yaml_locations, hint_violations, clean_hints, manifest, map_summaries, ranked_clues, ranked_guesses, imported_locations, registry_gaps, hint_coverage, violation_report,
     shipped_overlay, fallback_lookup, wildcard_lookup, scene_pairs, bitemporal_pairs, first_seen_maps, seed_inserts, place_features,
 )}
 
@@ -159,6 +178,8 @@ SQL = {
     "violation_report": f"SELECT code, count(*) AS n, min(key) AS example FROM {_LINT} GROUP BY code",
     "lint_references": f"SELECT 'map_without_location' AS code, map_id AS key, 'map_id' AS path FROM {_M} WHERE map_id NOT IN (SELECT map_id FROM {_L} WHERE map_id IS NOT NULL) UNION ALL SELECT 'unknown_map', location_id, 'map_id' FROM {_L} WHERE map_id IS NOT NULL AND map_id NOT IN (SELECT map_id FROM {_M})",
     "lint_maps": f"SELECT 'missing_title' AS code, map_id AS key, 'title' AS path FROM {_M} WHERE NOT ranked_pool",
+    "yaml_locations": """WITH x AS (SELECT *, c_custkey % 10 = 0 AS bad FROM customer) SELECT c_custkey, CASE WHEN NOT bad THEN c_name END AS location_id, CASE WHEN NOT bad THEN c_mktsegment || ': #' || c_custkey END AS segment, CASE WHEN NOT bad THEN c_custkey % 80 + 0.25::DOUBLE END AS lat,
+      CASE WHEN NOT bad THEN c_custkey % 2 = 0 END AS ranked, CASE WHEN NOT bad THEN 'first ' || c_custkey END AS hint, CASE WHEN NOT bad THEN c_custkey::BIGINT END AS deep, CASE WHEN NOT bad THEN 'folded ' || c_mktsegment || chr(10) || 'end' END AS notes, bad AS unread FROM x""",
     "hint_violations": rf"""WITH t AS ({_TIERS}) SELECT 'missing_tier_key' AS code, doc_id::VARCHAR AS key, 'tier_' || i AS path FROM t WHERE NOT has UNION ALL SELECT 'length_cap', doc_id::VARCHAR, 'tier_' || i FROM t WHERE length(v) > most
       UNION ALL SELECT 'coordinate_literal', doc_id::VARCHAR, 'tier_' || i FROM t WHERE regexp_matches(v, '-?\d{{1,3}}\.\d{{4,}}\s*,\s*-?\d{{1,3}}\.\d{{4,}}') UNION ALL SELECT 'empty_tier', doc_id::VARCHAR, 'tier_' || i FROM t WHERE doc_id % 6 != 0 AND trim(v, ' ') = ''
       UNION ALL SELECT 'banned_substring', doc_id::VARCHAR, 'tier_' || i FROM t WHERE contains(lower(v), 'the') OR contains(lower(v), 'secret')""",

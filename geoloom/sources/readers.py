@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, nested
+from ..functions import geo, nested, yaml
 from ..operators.dedup import first_wins, last_wins
 
 LOCATION = "location_id string, map_id string, truth_lat double, truth_lon double, assist_level string"
@@ -27,28 +27,44 @@ def stem_of(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def yaml_scalar(text: Column, key: str) -> Column:
-    """The value of a top-level key in YAML text, or null. Values are plain or quoted scalars on the key's line: block and folded scalars, escapes, lists and anchors aren't read."""
-    found = F.regexp_extract(text, rf"(?m)^{key}:[ \t]*(?:'([^'\n]*)'|\"([^\"\n]*)\"|([^#\n]*?))[ \t]*(?:#.*)?$", 0)
-    value = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(found, rf"^{key}:", ""), r"\s+#.*$", ""), r"^\s*['\"]|['\"]\s*$", ""))
-    return F.nullif(F.nullif(F.nullif(value, F.lit("")), F.lit("null")), F.lit("~"))
+def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, stem, value VARIANT, error) of YAML files; a file that can't be read has an error and no value."""
+    docs = documents(spark, path).select("path", "stem", yaml.document(F.col("text")).alias("d"))
+    return docs.select("path", "stem", "d.value", "d.error")
 
 
 def catalog_locations(spark: SparkSession, folder: str) -> DataFrame:
-    """One location a YAML file: the id defaults to the file's stem, the map to the id."""
-    docs = documents(spark, folder)
-    lid = F.coalesce(yaml_scalar(F.col("text"), "location_id"), F.col("stem"))
+    """One location a YAML file: the id defaults to the file's stem, the map to the id. error says why a file couldn't be read."""
+    docs = yaml_documents(spark, folder)
+    of = lambda name: yaml.field(F.col("value"), f"$.{name}")
+    lid = F.coalesce(of("location_id"), F.col("stem"))
     return docs.select(
-        lid.alias("location_id"), F.coalesce(yaml_scalar(F.col("text"), "map_id"), lid).alias("map_id"), geo.parse_coordinate(yaml_scalar(F.col("text"), "truth_lat")).alias("truth_lat"),
-        geo.parse_coordinate(yaml_scalar(F.col("text"), "truth_lon")).alias("truth_lon"), yaml_scalar(F.col("text"), "assist_level").alias("assist_level"), F.col("stem").alias("file_stem"),
+        lid.alias("location_id"), F.coalesce(of("map_id"), lid).alias("map_id"), geo.parse_coordinate(of("truth_lat")).alias("truth_lat"), geo.parse_coordinate(of("truth_lon")).alias("truth_lon"),
+        of("assist_level").alias("assist_level"), F.col("stem").alias("file_stem"), "error",
     )
 
 
+def _map_entries(docs: DataFrame) -> DataFrame:
+    entries = F.coalesce(F.try_variant_get("value", "$.maps", "array<variant>"), F.try_variant_get("value", "$", "array<variant>"))
+    return docs.select("path", F.posexplode(entries).alias("pos", "e"))
+
+
 def catalog_maps(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a YAML list of maps: each starts with a dash, its keys are scalars."""
-    entries = documents(spark, path).select(F.posexplode(F.split("text", r"(?m)^\s*-\s+")).alias("pos", "e")).where("pos > 0")
-    entry = F.regexp_replace("e", r"(?m)^[ \t]+", "")
-    return entries.select("pos", yaml_scalar(entry, "map_id").alias("map_id"), yaml_scalar(entry, "title").alias("title"), (yaml_scalar(entry, "local_only") == "true").alias("local_only"), (yaml_scalar(entry, "ranked_pool") == "true").alias("ranked_pool"))
+    """(pos, map_id, title, local_only, ranked_pool): the entries of a YAML list of maps, at the top or under maps, that are mappings."""
+    of = lambda name: yaml.field(F.col("e"), f"$.{name}")
+    rows = _map_entries(yaml_documents(spark, path)).where(F.schema_of_variant("e").startswith("OBJECT"))
+    return rows.select("pos", of("map_id").alias("map_id"), of("title").alias("title"), F.coalesce(of("local_only") == "true", F.lit(False)).alias("local_only"), F.coalesce(of("ranked_pool") == "true", F.lit(False)).alias("ranked_pool"))
+
+
+def lint_map_files(spark: SparkSession, path: str) -> DataFrame:
+    """(code, key, path): what is wrong with files of maps: ones that can't be read, whose maps are no list, entries that are no mappings or have no id, and ids that come again."""
+    docs = yaml_documents(spark, path)
+    kind = F.schema_of_variant(F.try_variant_get("value", "$.maps", "variant"))
+    whole = docs.select(F.when(F.col("error").isNotNull(), "maps_yaml_parse").when(kind.isNotNull() & ~kind.startswith("ARRAY") & (kind != "VOID"), "maps_type").alias("code"), F.coalesce("error", "stem").alias("key"), "path").where("code is not null")
+    entries = _map_entries(docs).withColumn("map_id", F.when(F.schema_of_variant("e").startswith("OBJECT"), F.coalesce(yaml.field(F.col("e"), "$.map_id"), F.lit(""))))
+    bad = entries.select(F.when(F.col("map_id").isNull(), "map_row_type").when(F.col("map_id") == "", "map_id_missing").alias("code"), F.format_string("maps[%d]", "pos").alias("key"), "path").where("code is not null")
+    again = entries.where("map_id != ''").groupBy("path", "map_id").count().where("count > 1").select(F.lit("duplicate_map_id").alias("code"), F.col("map_id").alias("key"), "path")
+    return whole.unionByName(bad).unionByName(again)
 
 
 def listed(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:

@@ -34,6 +34,18 @@ def text_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def maps_yaml(maps: DataFrame, path: str, version: str, *, flags: tuple[str, ...] = ("local_only", "ranked_pool")) -> None:
+    """A YAML list of maps (map_id, title and flags) in order of their ids, under a version: one part file for each range of ids, the first with the head."""
+    from ..functions import yaml
+    from ..operators.ranking import placed
+
+    flag = lambda c: F.concat(F.lit(f"\n  {c}: "), F.coalesce(F.col(c), F.lit(False)).cast("string"))
+    entry = F.concat(F.lit("- map_id: "), yaml.quoted(F.col("map_id")), F.lit("\n  title: "), yaml.quoted(F.col("title")), *[flag(c) for c in flags if c in maps.columns])
+    head = F.concat(F.lit("content_version: "), yaml.quoted(F.lit(version)), F.lit("\nmaps:\n"))
+    rows = placed(maps, "map_id").select("place", F.when(F.col("place") == 0, F.concat(head, entry)).otherwise(entry).alias("value"))
+    text_lines(rows.repartitionByRange("place").sortWithinPartitions("place"), "value", path)
+
+
 def append_with_ids(stored: DataFrame, incoming: DataFrame, key: str, *order: str) -> DataFrame:
     """incoming with ids that go on from the greatest stored one, in an order."""
     from ..operators.ranking import placed

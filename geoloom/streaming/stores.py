@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import geo
-from ..operators.stores import JOB_AGE, NEXT_STATES, ROUND_AGE, TERMINAL
+from ..operators.stores import ROUND_AGE
 
 
 def append_once(rows: DataFrame, keys: list[str], at: str, horizon: str = "7 days") -> DataFrame:
@@ -41,35 +41,6 @@ def windowed_counts(rows: DataFrame, at: str, group: str, width: str = "1 day",
     return rows.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), group).agg(F.count("*").alias("n"), F.sum("score_points").alias("points")).select(F.col("w.start").alias("window_start"), group, "n", "points")
 
 
-STATE = "job_id string, status string, updated_at timestamp, accepted boolean"
-
-
-def job_states(changes: DataFrame, ttl_seconds: int = JOB_AGE, late: str = "1 hour") -> DataFrame:
-    """(job_id, status, updated_at, accepted): a job's state after each change (job_id, expected, to_status, at).
-
-    A change counts if the job's state is the expected one and may be followed so; a job begins with a change to queued.
-    The state of a job without changes for so long, by event time, is given up; changes later than `late` are dropped.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status = state.get[0] if state.exists else None
-        out = []
-        for c in pd.concat(list(batches)).sort_values(["at", "to_status"]).itertuples():
-            begins = status is None and c.to_status == "queued"
-            ok = begins or (status is not None and c.expected == status and c.to_status in NEXT_STATES.get(status, ()))
-            status = c.to_status if ok else status
-            out.append((key[0], status, c.at, bool(ok)))
-        if status is not None:
-            state.update((status,))
-            last = int(pd.Timestamp(out[-1][2]).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last + ttl_seconds * 1000))
-        yield pd.DataFrame(out, columns=["job_id", "status", "updated_at", "accepted"])
-
-    return changes.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(step, STATE, "status string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def expired_rounds(opened: DataFrame, max_age_seconds: int = ROUND_AGE) -> DataFrame:
     """(round_id, opened_at): rounds of a stream (round_id, status, at) that are still open when their age is reached, by event time."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,12 +49,14 @@ def expired_rounds(opened: DataFrame, max_age_seconds: int = ROUND_AGE) -> DataF
             state.remove()
             yield pd.DataFrame([(key[0], since)], columns=["round_id", "opened_at"])
             return
-        rows = pd.concat(list(batches)).sort_values("at")
-        if (rows["status"] != "open").any():
+        closed, first = False, None
+        for b in batches:  # one after the other, however many rows a round has
+            closed = closed or bool((b["status"] != "open").any())
+            first = b["at"].min() if first is None else min(first, b["at"].min())
+        if closed:
             if state.exists:
                 state.remove()
             return
-        first = rows["at"].iloc[0]
         if not state.exists:
             state.update((first.to_pydatetime(),))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(state.get[0].timestamp() * 1000) + max_age_seconds * 1000))
@@ -97,7 +70,3 @@ def latest_by_key(df: DataFrame, epoch: int, path: str, keys: list[str], at: str
     from ..operators.dedup import last_wins
 
     last_wins(df, keys, F.col(at), F.xxhash64(*[F.col(c) for c in df.columns])).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
-
-
-def is_terminal(status: str):
-    return F.col(status).isin(TERMINAL)

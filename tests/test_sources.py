@@ -17,7 +17,7 @@ def put(path, text):
 def test_yaml_catalog(spark, tmp_path):
     put(tmp_path / "loc/a.yaml", "location_id: a\nmap_id: 'm 1'\ntruth_lat: 12.5  # north\ntruth_lon: -3\nassist_level: \"none\"\nbbox: [1, 2]\n")
     put(tmp_path / "loc/b.yaml", "truth_lat: 1\ntruth_lon: null\n")
-    got = {r["location_id"]: tuple(r)[1:] for r in readers.catalog_locations(spark, str(tmp_path / "loc")).collect()}
+    got = {r["location_id"]: tuple(r)[1:6] for r in readers.catalog_locations(spark, str(tmp_path / "loc")).collect()}
     assert got == {"a": ("m 1", 12.5, -3.0, "none", "a"), "b": ("b", 1.0, None, None, "b")}
     maps = put(tmp_path / "maps.yaml", "content_version: v1\nmaps:\n  - map_id: x\n    title: Ex\n    ranked_pool: true\n  - map_id: y\n    title: Why\n    ranked_pool: false\n")
     assert [tuple(r) for r in readers.catalog_maps(spark, maps).select("map_id", "title", "ranked_pool").orderBy("pos").collect()] == [("x", "Ex", True), ("y", "Why", False)]

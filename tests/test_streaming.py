@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.operators import dedup
-from geoloom.streaming import stores
+from geoloom.streaming import jobs, stores
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -48,7 +48,12 @@ def test_submissions_are_scored_once(spark, tmp_path):
 def test_job_states(spark, tmp_path):
     t = lambda n: DAY + dt.timedelta(seconds=n)
     rows = [[("j", None, "queued", t(0)), ("j", "queued", "running", t(1)), ("k", "queued", "running", t(1))], [("j", "queued", "cancelled", t(2)), ("j", "running", "completed", t(3)), ("j", "completed", "running", t(4))]]
-    got = drained(spark, tmp_path, rows, "job_id string, expected string, to_status string, at timestamp", stores.job_states, "jobs").orderBy("job_id", "updated_at").collect()
+    jobs.use_rocksdb(spark)
+    try:
+        made = drained(spark, tmp_path, rows, "job_id string, expected string, to_status string, at timestamp", jobs.job_states, "jobs")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = made.orderBy("job_id", "updated_at").collect()
     assert [(r["job_id"], r["status"], r["accepted"]) for r in got] == [("j", "queued", True), ("j", "running", True), ("j", "running", False), ("j", "completed", True), ("j", "completed", False), ("k", None, False)]
 
 
