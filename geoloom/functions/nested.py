@@ -12,7 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 TEXTS = ArrayType(StringType())
 # Keys of a model's insides, which training texts leave out, and those with an underscore before them that stay.
@@ -37,16 +37,24 @@ def _short(node, keep, value):
     return node[:MOST_TEXT] + "…" if isinstance(node, str) and len(node) > MOST_TEXT else node
 
 
+def _text(node) -> str | None:
+    """JSON, or None for what is nested too deeply to be written."""
+    try:
+        return json.dumps(node, ensure_ascii=False)
+    except RecursionError:
+        return None
+
+
 def prune(text: str | None) -> str | None:
-    """A JSON text without inner keys at any depth, with lists and texts cut; None if it is no JSON."""
+    """A JSON text without inner keys at any depth, with lists and texts cut; None if it is no JSON, or nested more deeply than the interpreter's stack."""
     try:
         out = _short(json.loads(text), lambda k: k not in INNER_KEYS and (not k.startswith("_") or k in MARKED_KEYS), lambda k, v: None)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return None
     if isinstance(out, dict) and isinstance(out.get("engine"), dict):
         engine = {k: out["engine"][k] for k in ENGINE_KEYS if k in out["engine"]}
         out = {k: engine if k == "engine" else v for k, v in out.items() if k != "engine" or engine}
-    return json.dumps(out, ensure_ascii=False)
+    return _text(out)
 
 
 def cap(text: str | None, most: int = MOST_CHARS) -> str | None:
@@ -57,8 +65,10 @@ def cap(text: str | None, most: int = MOST_CHARS) -> str | None:
         return "<redacted>" if k in BLANKED_KEYS else None
 
     try:
-        out = json.dumps(_short(json.loads(text), lambda k: True, value), ensure_ascii=False)
-    except (TypeError, ValueError):
+        out = _text(_short(json.loads(text), lambda k: True, value))
+    except (TypeError, ValueError, RecursionError):
+        return None
+    if out is None:
         return None
     return out if len(out) <= most else json.dumps({"_truncated": True, "utf8_preview": out[:most]}, ensure_ascii=False)
 
@@ -68,7 +78,7 @@ def samples(text: str | None) -> list[float] | None:
     out: list[float] = []
     try:
         todo = [("", json.loads(text))]
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return None
     while todo:
         key, node = todo.pop()
@@ -91,20 +101,27 @@ def balanced(text: str | None, opening: str) -> list[str] | None:
     return None
 
 
-def values(text: str | None) -> list[str]:
-    """The JSON values that stand one after another in a text, as texts; what follows the last that parses is an error."""
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def values(text: str | None) -> tuple[list[str], str | None]:
+    """The JSON values that stand one after another in a text, as texts, and what follows the last that can be read, if anything does."""
     out, at, decode = [], 0, json.JSONDecoder().raw_decode
     text = text or ""
-    while (at := len(text) - len(text[at:].lstrip())) < len(text):
-        _, end = decode(text, at)
+    while (at := _BLANK.match(text, at).end()) < len(text):
+        try:
+            _, end = decode(text, at)
+        except (ValueError, RecursionError):
+            return out, text[at:]
         out.append(text[at:end])
         at = end
-    return out
+    return out, None
 
 
-@F.pandas_udf(TEXTS)
-def json_values(text: pd.Series) -> pd.Series:
-    return text.map(values)
+@F.pandas_udf(StructType().add("values", TEXTS).add("rest", "string"))
+def json_values(text: pd.Series) -> pd.DataFrame:
+    """struct(values, rest) of texts of JSON values in a row."""
+    return pd.DataFrame([values(x) for x in text], columns=["values", "rest"], dtype=object)
 
 
 @F.pandas_udf(StringType())

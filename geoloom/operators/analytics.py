@@ -117,42 +117,108 @@ def _delta_of(changes: Column, label: str) -> Column:
     return F.coalesce(F.get(F.filter(changes, lambda r: r["label"] == label), F.lit(0))["delta"], F.lit(0.0))
 
 
-def profile_analytics(profile: Column, before: Column, after: Column, samples: Column) -> Column:
-    """What a profile reads from two maps of shares and a sample of classes: a struct with profile, bins and one block of
-    land_transition, burn_change, water_change, vessel_candidates with detection_score_summary, or summary.
+# Keys, names and texts of the blocks.
+SOURCE_KEYS = ("Coordinates", "LULC", "tok_lulc@224")
+METRIC_SOURCE, EVIDENCE = "procedural_fraction_delta", "tim_pseudosar_plus_lulc"
+VESSEL_NOTICES = ("Candidate vessel detections are presence indicators and require corroboration.", "Pseudo-SAR-like TiM outputs are not equivalent to true SAR observations.")
+VESSEL_LIMITS = ("cloud", "sun_glint", "shoreline_ambiguity", "optical_only_constraints")
+SHORELINE = {"version": "1.0", "buffer_m": 500.0, "morphology_kernel_px": 3.0, "min_water_fraction": 0.3}
+SCENE = "struct<stac_item_id:string,stac_datetime:string,eo_cloud_cover:double>"
+
+
+def _texts(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _constants(**values) -> Column:
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
+
+
+def named_changes(changes: Column) -> Column:
+    """share_changes() as blocks hold them: class_id, label, sentinel_fraction, tim_fraction, delta and direction."""
+    return F.transform(changes, lambda r: F.struct(r["class_id"], r["label"], F.bround(r["before"], 6).alias("sentinel_fraction"), F.bround(r["after"], 6).alias("tim_fraction"), r["delta"], r["direction"]))
+
+
+def profile_analytics(profile: Column, before: Column, after: Column, samples: Column, scene: Column | None = None) -> Column:
+    """What a profile reads from two maps of shares and a sample of classes: a struct of which a profile's own blocks aren't null.
+
+    profile, schema_version, scene_provenance (of SCENE) and thresholds are there for all; then come land_transition, burn_change, water_change, vessel_candidates with
+    observation_coverage, detection_score_summary, evidence_level, confidence, notices, limitations and shoreline_policy, or for any other profile summary.
     """
+    nothing = F.lit(None)
+
     def blocks(x: Column) -> Column:
         changes, after_ = x["changes"], x["after"]
         n = F.size(samples)
         is_ = lambda name: profile == name
+        bins = change_bins(changes)
         matrix = F.transform(F.slice(changes, 1, 8), lambda r: F.struct(r["label"].alias("from"), r["label"].alias("to"), F.bround(F.abs(r["delta"]) * 1000, 0).cast("int").alias("count"), F.bround(F.abs(r["delta"]) * 100, 3).alias("pct"), r["direction"]))
         burnt, wetter = F.greatest(F.lit(0.0), _delta_of(changes, "bare_ground")), F.greatest(F.lit(0.0), _delta_of(changes, "water"))
         all_ = F.aggregate(changes, F.lit(0.0), lambda s, r: s + F.abs(r["delta"]))
         signal = F.least(F.lit(100.0), F.bround(F.coalesce(F.try_element_at(after_, F.lit(0)), F.lit(0.0)) * 30, 3))
+        cluster = _constants(cluster_id="procedural-burn-0000", score=F.bround(F.least(F.lit(1.0), burnt / 0.15), 6), confidence=F.when(burnt >= 0.08, "high").otherwise("medium"), source=METRIC_SOURCE)
+        land = _constants(
+            transition_matrix=matrix, top_transitions=named_changes(F.slice(changes, 1, 8)), class_distribution=P.dominant_classes(after_), raw_counts_total=n, normalized_total_pct=F.when(n > 0, 100.0).otherwise(0.0),
+            temporal_comparison_available=True, source_keys=_texts(SOURCE_KEYS),
+        )
+        fire = _constants(
+            changed_area_pct=F.bround(burnt * 100, 3), hotspot_count=F.when(burnt >= 0.04, 1).otherwise(0), heat_clusters=F.filter(F.array(cluster), lambda c: burnt > 0), confidence_bins=bins, source_keys=_texts(SOURCE_KEYS), sample_count=n,
+            metric_source=METRIC_SOURCE, thresholds=_constants(normalized_signal_medium=0.33, normalized_signal_high=0.67, min_cluster_px=nothing.cast("int")),
+        )
+        flood = _constants(
+            expanded_area_pct=F.bround(wetter * 100, 3), affected_area_proxy_pct=F.bround(all_ * 100, 3), inundation_polygon_count=F.when(wetter >= 0.04, 1).otherwise(0), confidence_bins=bins, source_keys=_texts(SOURCE_KEYS), sample_count=n,
+            metric_source=METRIC_SOURCE, thresholds=_constants(normalized_water_signal_high=0.67, min_polygon_area_m2=nothing.cast("double")),
+        )
+        vessel = _constants(candidate_id="procedural-maritime-0000", score=F.bround(signal / 100, 6), confidence="medium", evidence_level=EVIDENCE, claim_safety="presence_indicator_not_legal_assertion")
+        coverage = _constants(valid_observation_count=F.when(n > 0, n), cloud_masked_count=0, glint_limited_count=nothing.cast("int"), no_observation_count=F.when(n > 0, 0), normalization="valid_observation_count")
+        summary = _constants(kind="brief_context", dominant_sentinel_classes=P.dominant_classes(x["before"]), dominant_tim_classes=P.dominant_classes(after_), largest_deltas=named_changes(F.slice(changes, 1, 5)), confidence="procedural")
+        sea = is_("oceanscout_ship_detection")
         return F.struct(
-            profile.alias("profile"),
-            change_bins(changes).alias("confidence_bins"),
-            F.when(is_("land_use_change"), F.struct(matrix.alias("transition_matrix"), F.slice(changes, 1, 8).alias("top_transitions"), P.dominant_classes(after_).alias("class_distribution"), n.alias("raw_counts_total"))).alias("land_transition"),
-            F.when(is_("wildfire"), F.struct(F.bround(burnt * 100, 3).alias("changed_area_pct"), F.when(burnt >= 0.04, 1).otherwise(0).alias("hotspot_count"), F.when(burnt > 0, F.bround(F.least(F.lit(1.0), burnt / 0.15), 6)).alias("cluster_score"), F.when(burnt >= 0.08, "high").when(burnt > 0, "medium").alias("cluster_confidence"), n.alias("sample_count"))).alias("burn_change"),
-            F.when(is_("flood_pulse"), F.struct(F.bround(wetter * 100, 3).alias("expanded_area_pct"), F.bround(all_ * 100, 3).alias("affected_area_proxy_pct"), F.when(wetter >= 0.04, 1).otherwise(0).alias("inundation_polygon_count"), n.alias("sample_count"))).alias("water_change"),
-            F.when(is_("oceanscout_ship_detection"), F.array(F.struct(F.lit("procedural-maritime-0000").alias("candidate_id"), F.bround(signal / 100, 6).alias("score"), F.lit("medium").alias("confidence")))).alias("vessel_candidates"),
-            F.when(is_("oceanscout_ship_detection"), F.struct(n.alias("sample_count"), signal.alias("candidate_signal_pct"))).alias("detection_score_summary"),
-            F.when(~profile.isin(*LOOKS_AT), F.struct(P.dominant_classes(x["before"]).alias("dominant_sentinel_classes"), P.dominant_classes(after_).alias("dominant_tim_classes"), F.slice(changes, 1, 5).alias("largest_deltas"))).alias("summary"),
-        )
+            profile.alias("profile"), F.lit("1.0").alias("schema_version"), (nothing.cast(SCENE) if scene is None else scene).alias("scene_provenance"), _constants(schema_version="1.0").alias("thresholds"),
+            F.when(is_("land_use_change"), land).alias("land_transition"), F.when(is_("wildfire"), fire).alias("burn_change"), F.when(is_("flood_pulse"), flood).alias("water_change"),
+            F.when(sea, F.array(vessel)).alias("vessel_candidates"), F.when(sea, coverage).alias("observation_coverage"),
+            F.when(sea, _constants(sample_count=n, candidate_signal_pct=signal, metric_source=METRIC_SOURCE)).alias("detection_score_summary"), F.when(sea, EVIDENCE).alias("evidence_level"),
+            F.when(sea, _constants(method="procedural_fraction_delta_v1", bins=bins)).alias("confidence"), F.when(sea, _texts(VESSEL_NOTICES)).alias("notices"), F.when(sea, _texts(VESSEL_LIMITS)).alias("limitations"),
+            F.when(sea, _constants(**SHORELINE)).alias("shoreline_policy"), F.when(~profile.isin(*LOOKS_AT), summary).alias("summary"),
+        )
 
     return T.let(F.struct(P.normalised_fractions(before).alias("before"), P.normalised_fractions(after).alias("after"), share_changes(before, after).alias("changes")), blocks)
 
 
-def procedural_context(profile: Column, fractions: Column, coordinates: Column | None = None) -> Column:
-    """struct(class_fractions, samples, coordinates, profile_analytics) of a scene's shares, changed as its profile changes them; null analytics without shares."""
+def procedural_context(profile: Column, fractions: Column, *, lat: Column | None = None, lon: Column | None = None, scene: Column | None = None) -> Column:
+    """struct(tim_modality_outputs, profile_analytics, inputs_meta) of a scene's shares, changed as its profile changes them.
+
+    The outputs are LULC, tok_lulc@224 and, with both of lat and lon, Coordinates; scene is a struct of SCENE. Without shares the outputs are empty lists and maps. As a VARIANT
+    (to_variant_object) it is what the scores and signals read.
+    """
+    number = lambda c: F.lit(None).cast("double") if c is None else c.cast("double")
+    place = F.when(number(lat).isNotNull() & number(lon).isNotNull(), _constants(kind="coordinates_wgs84", latitude=number(lat), longitude=number(lon), confidence=0.9))
+    given = F.lit(None).cast(SCENE) if scene is None else scene
+    known = F.struct(given["stac_item_id"].alias("stac_item_id"), given["stac_datetime"].alias("stac_datetime"), F.coalesce(given["eo_cloud_cover"], F.lit(0.0)).alias("eo_cloud_cover"))
+    shape = F.array(F.lit(224), F.lit(224))
+
     def context(after: Column) -> Column:
         def whole(sample: Column) -> Column:
-            return F.struct(named_shares(after).alias("class_fractions"), sample.alias("samples"), (F.lit(None).cast("struct<lat:double,lon:double>") if coordinates is None else coordinates).alias("coordinates"), F.when(F.size(after) > 0, profile_analytics(profile, fractions, after, sample)).alias("profile_analytics"))
+            outputs = F.struct(
+                _constants(internal_key="tok_lulc@224", kind="class_logits", shape=shape, class_fractions=named_shares(after), classes=F.struct(sample.alias("sample"))).alias("LULC"),
+                _constants(kind="token_grid", sample=sample, shape=shape).alias("tok_lulc@224"),
+                place.alias("Coordinates"),
+            )
+            return F.struct(outputs.alias("tim_modality_outputs"), profile_analytics(profile, fractions, after, sample, known).alias("profile_analytics"), F.struct(known.alias("s2_stac")).alias("inputs_meta"))
 
         return T.let(P.class_sample(after), whole)
 
-    known = F.size(P.normalised_fractions(fractions)) > 0
-    return T.let(F.when(known, P.profile_fractions(fractions, profile)).otherwise(F.create_map().cast("map<int,double>")), context)
+    some = F.size(P.normalised_fractions(fractions)) > 0
+    return T.let(F.when(some, P.profile_fractions(fractions, profile)).otherwise(F.create_map().cast("map<int,double>")), context)
+
+
+def prompt_context(context: Column) -> Column:
+    """A context as it goes into a prompt: without its inputs, where its scene came from, and what repeats the shares before."""
+    plain = lambda rows: F.transform(rows, lambda r: r.dropFields("sentinel_fraction"))
+    a = context["profile_analytics"]
+    land = F.when(a["land_transition"].isNotNull(), a["land_transition"].withField("top_transitions", plain(a["land_transition"]["top_transitions"])))
+    summary = F.when(a["summary"].isNotNull(), a["summary"].dropFields("dominant_sentinel_classes").withField("largest_deltas", plain(a["summary"]["largest_deltas"])))
+    return F.struct(context["tim_modality_outputs"].alias("tim_modality_outputs"), a.dropFields("scene_provenance").withField("land_transition", land).withField("summary", summary).alias("profile_analytics"))
 
 
 def percent(share: Column) -> Column:
@@ -271,19 +337,37 @@ def key_findings(profile: Column, keys: Column, artifacts: Column, jobs: Column)
     ))
 
 
-def guarded_brief(profile: Column, findings: Column, sections: Column, actions: Column, warnings: Column, certain: list[tuple[str, str]]) -> Column:
-    """struct(key_findings, sections, recommended_actions, limitations, warnings, notices): a brief with certain words softened, and at most 8 findings, 6 sections, 6 actions and 8 warnings.
+# What a brief's guard says of what it softened, and the confidences that it knows.
+SUMMARY_NOTICE, FINDING_NOTICE, SECTION_NOTICE = "Certainty language was softened by the PRO brief guard.", "A key finding contained unsupported certainty language and was softened.", " was softened by the PRO brief guard."
+CONFIDENCES = ("limited", "moderate", "high")
+
+
+def section_confidence(value: Column) -> Column:
+    """A known confidence in lower case, else limited."""
+    low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(low.isin(*CONFIDENCES), low).otherwise("limited")
+
+
+def guarded_brief(profile: Column, summary: Column, findings: Column, sections: Column, actions: Column, warnings: Column, confidence: Column, certain: list[tuple[str, str]]) -> Column:
+    """struct(executive_summary, key_findings, sections, confidence, recommended_actions, limitations, warnings, notices): a brief with certain words softened in its summary, findings and sections.
 
-    sections: array<struct(title, body)>. notices says, each once and in order, where something was softened.
+    There are at most 8 findings, 6 sections, 6 actions and 8 warnings. sections: array<struct(title, body, confidence)>. Texts are trimmed before they are softened; a null one is empty, and null lists are.
+    notices says, each once and in order, where something was softened, in what is cut off too.
     """
-    soft = lambda x: T.replaced(x, certain, any_case=True)
+    listed = lambda c, kind="array<string>": F.coalesce(c, F.array().cast(kind))
+    trimmed = lambda x: F.btrim(F.coalesce(x, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    soft = lambda x: T.replaced(trimmed(x), certain, any_case=True)
     cut = lambda x, most: F.substring(x, 1, most)
-    told = F.transform(findings, lambda f: F.when(soft(f) != f, "A key finding contained unsupported certainty language and was softened."))
-    said = F.transform(sections, lambda s: F.when(soft(s["body"]) != s["body"], F.concat(F.lit("Section "), F.coalesce(F.nullif(s["title"], F.lit("")), F.lit("untitled")), F.lit(" was softened by the PRO brief guard."))))
-    kept = F.transform(F.slice(sections, 1, 6), lambda s: F.struct(cut(F.coalesce(F.nullif(s["title"], F.lit("")), F.lit("Section")), 128).alias("title"), cut(soft(s["body"]), 2000).alias("body")))
+    title = lambda s, otherwise: F.coalesce(F.nullif(s["title"], F.lit("")), F.lit(otherwise))
+    all_sections = listed(sections, "array<struct<title:string,body:string,confidence:string>>")
+    first = F.array(F.when(soft(summary) != trimmed(summary), SUMMARY_NOTICE))
+    told = F.transform(listed(findings), lambda f: F.when(soft(f) != trimmed(f), FINDING_NOTICE))
+    said = F.transform(all_sections, lambda s: F.when(soft(s["body"]) != trimmed(s["body"]), F.concat(F.lit("Section "), title(s, "untitled"), F.lit(SECTION_NOTICE))))
+    kept = F.transform(F.slice(all_sections, 1, 6), lambda s: F.struct(cut(title(s, "Section"), 128).alias("title"), cut(soft(s["body"]), 2000).alias("body"), section_confidence(s["confidence"]).alias("confidence")))
     return F.struct(
-        F.transform(F.slice(findings, 1, 8), soft).alias("key_findings"), kept.alias("sections"), F.transform(F.slice(actions, 1, 6), lambda a: cut(a, 300)).alias("recommended_actions"),
-        limitations(profile).alias("limitations"), F.transform(F.slice(warnings, 1, 8), lambda w: cut(w, 300)).alias("warnings"), F.array_sort(F.array_distinct(F.array_compact(F.concat(told, said)))).alias("notices"),
+        soft(summary).alias("executive_summary"), F.transform(F.slice(listed(findings), 1, 8), soft).alias("key_findings"), kept.alias("sections"), section_confidence(confidence).alias("confidence"),
+        F.transform(F.slice(listed(actions), 1, 6), lambda a: cut(a, 300)).alias("recommended_actions"), limitations(profile).alias("limitations"), F.transform(F.slice(listed(warnings), 1, 8), lambda w: cut(w, 300)).alias("warnings"),
+        F.array_sort(F.array_distinct(F.array_compact(F.concat(first, told, said)))).alias("notices"),
     )
 
 

@@ -215,17 +215,21 @@ def supported_shares(analytics: Column) -> Column:
     return T.let(F.concat(own, rows), lambda r: F.map_from_entries(F.filter(r, lambda e, i: F.array_position(F.transform(r, lambda y: y["key"]), e["key"]) == i + 1)))
 
 
-def body_is_rich(analytics: Column, profile: Column) -> Column:
-    """Whether the analytics (VARIANT) say anything under a profile: a changed or second class, samples with something found, candidates, or a summary."""
+def body_is_rich(analytics: Column, profile: Column, *, samples: bool = True) -> Column:
+    """Whether the analytics (VARIANT) say anything under a profile: a changed or second class, something found, candidates, or a summary.
+
+    For fire and flood there must be samples too, as the score of faithfulness has it; without samples it is the rule by which a provider's health is told.
+    """
     at = lambda path, kind: F.try_variant_get(analytics, f"$.profile_analytics.{path}", kind)
     size = lambda path: F.coalesce(F.size(at(path, "array<variant>")), F.lit(0))
     some = lambda path: F.coalesce(at(path, "double"), F.lit(0.0)) != 0
+    counted = lambda path: some(path) if samples else F.lit(True)
     text = lambda x, key: F.coalesce(F.try_variant_get(x, f"$.{key}", "string"), F.lit("None"))
     changed = F.exists(F.coalesce(at("land_transition.top_transitions", "array<variant>"), F.array().cast("array<variant>")), lambda x: (F.try_variant_get(x, "$.count", "double") > 0) & (text(x, "from") != text(x, "to")))
     return (
         F.when(profile == "land_use_change", F.coalesce(changed, F.lit(False)) | (size("land_transition.class_distribution") >= 2))
-        .when(profile == "wildfire", some("burn_change.sample_count") & (some("burn_change.hotspot_count") | some("burn_change.changed_area_pct")))
-        .when(profile == "flood_pulse", some("water_change.sample_count") & (some("water_change.inundation_polygon_count") | some("water_change.expanded_area_pct")))
+        .when(profile == "wildfire", counted("burn_change.sample_count") & (some("burn_change.hotspot_count") | some("burn_change.changed_area_pct")))
+        .when(profile == "flood_pulse", counted("water_change.sample_count") & (some("water_change.inundation_polygon_count") | some("water_change.expanded_area_pct")))
         .when(profile == VESSEL_PROFILE, (size("vessel_candidates") > 0) | (F.coalesce(at("detection_score_summary.sample_count", "double"), F.lit(0.0)) > 0))
         .when(profile == "brief_only", (size("summary.dominant_tim_classes") > 0) | (size("summary.largest_deltas") > 0))
         .otherwise(F.lit(False))

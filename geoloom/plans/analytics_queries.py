@@ -62,8 +62,10 @@ def share_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_blocks(spark: SparkSession, d: str) -> DataFrame:
-    x = _changes(spark, d).select("tile", "profile", A.profile_analytics(F.col("profile"), F.col("f"), F.col("g"), P.class_sample(F.col("g"))).alias("a"))
-    bins = [F.col(f"a.confidence_bins.{b}").cast("long").alias(b) for b in ("low", "medium", "high")]
+    x = _changes(spark, d).select("tile", "profile", "f", "g", A.profile_analytics(F.col("profile"), F.col("f"), F.col("g"), P.class_sample(F.col("g"))).alias("a"))
+    found_bins = A.change_bins(A.share_changes(F.col("f"), F.col("g")))
+    x = x.withColumn("bins", found_bins)
+    bins = [F.col(f"bins.{b}").cast("long").alias(b) for b in ("low", "medium", "high")]
     found = F.coalesce(F.col("a.burn_change.hotspot_count"), F.col("a.water_change.inundation_polygon_count"), F.size("a.vessel_candidates"))
     listed = F.coalesce(F.size("a.land_transition.transition_matrix"), F.size("a.summary.largest_deltas"))
     area = F.coalesce(F.col("a.burn_change.changed_area_pct"), F.col("a.water_change.expanded_area_pct"))
@@ -110,9 +112,12 @@ def brief_findings(spark: SparkSession, d: str) -> DataFrame:
 def guarded_briefs(spark: SparkSession, d: str) -> DataFrame:
     """Documents as briefs: their lines are findings, and a common word stands for one that is too certain."""
     x = t.table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    section = F.array(F.struct(F.lit("").alias("title"), F.array_join("lines", " ").alias("body")))
-    b = A.guarded_brief(F.lit("wildfire"), F.col("lines"), section, F.col("lines"), F.col("lines"), [("the", "that")])
-    return x.select("doc_id", b.alias("b")).select("doc_id", F.array_join("b.key_findings", "\n").alias("findings"), F.col("b.sections")[0]["body"].alias("body"), F.array_join("b.warnings", "\n").alias("warnings"), F.array_join("b.notices", "\n").alias("notices"))
+    section = F.array(F.struct(F.lit("").alias("title"), F.array_join("lines", " ").alias("body"), F.when(F.col("doc_id") % 3 == 0, " High").when(F.col("doc_id") % 3 == 1, "sure").alias("confidence")))
+    b = A.guarded_brief(F.lit("wildfire"), F.concat(F.lit(" "), F.array_join("lines", "\n")), F.col("lines"), section, F.col("lines"), F.col("lines"), F.when(F.col("doc_id") % 2 == 0, "MODERATE"), [("the", "that")])
+    return x.select("doc_id", b.alias("b")).select(
+        "doc_id", F.md5("b.executive_summary").alias("summary"), F.array_join("b.key_findings", "\n").alias("findings"), F.col("b.sections")[0]["body"].alias("body"), F.col("b.sections")[0]["confidence"].alias("section_confidence"), "b.confidence",
+        F.array_join("b.warnings", "\n").alias("warnings"), F.array_join("b.notices", "\n").alias("notices"),
+    )
 
 
 def _box_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -171,9 +176,10 @@ SQL = {
       SELECT k AS c_custkey, CASE WHEN k % 4 != 0 AND k % 3 < 2 AND NOT (p = 'oceanscout_ship_detection' AND k % 3 != 0) THEN 'moderate' ELSE 'limited' END AS confidence,
         concat_ws('|', 'Profile: ' || l || '.', 'Artifacts available: ' || (2 - k % 3) || '.', CASE WHEN k % 2 = 0 THEN 'TiM summary keys present: a, b.' END, CASE WHEN k % 3 > 0 THEN 'Composed from ' || (k % 3) || ' job(s).' END, CASE WHEN p = 'oceanscout_ship_detection' THEN CASE WHEN k % 3 = 0 THEN 'Observation coverage artifact is available and should be shown before candidate claims.' ELSE 'Observation coverage artifact is missing; maritime conclusions remain screening-only.' END END) AS findings,
         CASE WHEN p = 'brief_only' THEN 1 ELSE 2 END::BIGINT AS n_limits, 2::BIGINT AS n_actions FROM x""",
-    "guarded_briefs": r"""WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, regexp_matches(coalesce(text, ''), 'the', 'i') AS said FROM documents)
-      SELECT doc_id, array_to_string([regexp_replace(s, 'the', 'that', 'gi') for s in l[1:8]], chr(10)) AS findings, substr(regexp_replace(array_to_string(l, ' '), 'the', 'that', 'gi'), 1, 2000) AS body, array_to_string([substr(s, 1, 300) for s in l[1:8]], chr(10)) AS warnings,
-        CASE WHEN said THEN 'A key finding contained unsupported certainty language and was softened.' || chr(10) || 'Section untitled was softened by the PRO brief guard.' ELSE '' END AS notices FROM x""",
+    "guarded_briefs": r"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), y AS (SELECT *, regexp_matches(t, 'the', 'i') AS said, regexp_replace(t, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS whole, regexp_replace(array_to_string(l, ' '), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS line FROM x)
+      SELECT doc_id, md5(regexp_replace(whole, 'the', 'that', 'gi')) AS summary, array_to_string([regexp_replace(regexp_replace(s, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g'), 'the', 'that', 'gi') for s in l[1:8]], chr(10)) AS findings, substr(regexp_replace(line, 'the', 'that', 'gi'), 1, 2000) AS body,
+        CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'limited' END AS section_confidence, CASE WHEN doc_id % 2 = 0 THEN 'moderate' ELSE 'limited' END AS confidence, array_to_string([substr(s, 1, 300) for s in l[1:8]], chr(10)) AS warnings,
+        CASE WHEN said THEN 'A key finding contained unsupported certainty language and was softened.' || chr(10) || 'Certainty language was softened by the PRO brief guard.' || chr(10) || 'Section untitled was softened by the PRO brief guard.' ELSE '' END AS notices FROM y""",
     "boxes_in_texts": r"""WITH d AS (SELECT doc_id AS k, '{"label": "s' || doc_id % 5 || '", "bbox": [0.1, 0.' || doc_id % 7 || ', 0.5, "0.9"]}' AS b FROM documents), x AS (SELECT k, 's' || k % 5 AS l, '0.1,0.' || k % 7 || ',0.5,0.9' AS v, (k % 6 < 2)::INT + (k % 4 = 0)::INT AS n FROM d)
       SELECT k AS doc_id, u AS pos, l AS label, v AS box FROM (SELECT *, unnest(range(n)) AS u FROM x)""",
     "cropped_tiles": f"""WITH g AS (SELECT tile, y, x FROM (SELECT DISTINCT tile FROM {Q._P}), (SELECT unnest(range(24)) AS y), (SELECT unnest(range(24)) AS x)), p AS (SELECT tile, y, x, min(class0) AS class0 FROM {Q._P} GROUP BY 1, 2, 3), v AS (SELECT g.*, CASE WHEN g.y < 30 AND g.x < 20 THEN coalesce(p.class0, 99) ELSE 99 END AS c FROM g LEFT JOIN p ON p.tile = g.tile AND p.y = g.y + g.tile % 50 AND p.x = g.x + 10)

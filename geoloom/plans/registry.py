@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics_queries, catalog_queries, geo_queries, pixel_queries, store_queries, summary_queries, text_queries
+from . import analytics_queries, catalog_queries, geo_queries, pixel_queries, shape_queries, store_queries, summary_queries, text_queries
 
-MODULES = [store_queries, geo_queries, catalog_queries, pixel_queries, summary_queries, text_queries, analytics_queries]
+MODULES = [store_queries, geo_queries, catalog_queries, pixel_queries, summary_queries, text_queries, analytics_queries, shape_queries]
 
 
 def queries() -> dict:

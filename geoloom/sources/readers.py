@@ -116,13 +116,20 @@ def json_lines(spark: SparkSession, path: str, schema: str, *, comments: bool =
 def concatenated_json(spark: SparkSession, path: str, element: str) -> DataFrame:
     """Elements of files that hold several JSON values in a row: lists are joined, other values stand for themselves.
 
-    Values may follow each other with or without white space or line ends between. These are small files, read whole.
+    Values may follow each other with or without white space or line ends between. These are small files, read whole. What can't be read in a file ends it and doesn't stop
+    the scan; unread_json() tells of it.
     """
-    values = documents(spark, path).select("path", F.posexplode(nested.json_values("text")).alias("at", "v"))
+    values = documents(spark, path).select("path", F.posexplode(nested.json_values("text")["values"]).alias("at", "v"))
     rows = F.coalesce(F.from_json("v", f"array<{element}>"), F.array(F.from_json("v", element)))
     return values.select("path", "at", F.posexplode(rows).alias("pos", "d")).select("path", "at", "pos", "d.*")
 
 
+def unread_json(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rest): the files of concatenated_json() that hold something after their last value that can be read, and its first 200 characters."""
+    found = documents(spark, path).select("path", nested.json_values("text")["rest"].alias("rest"))
+    return found.where("rest is not null").select("path", F.substring("rest", 1, 200).alias("rest"))
+
+
 def events(df: DataFrame, profile: str, source: str) -> DataFrame:
     """(event_id, lat, lon, event_date, profile, source, metadata) from event tables of several column names; rows without place or date go.
 

@@ -65,10 +65,11 @@ def test_dates(spark):
 def test_context_of_a_profile(spark):
     df = spark.createDataFrame([("wildfire", {1: 0.6, 7: 0.4}), ("brief_only", {0: 1.0}), ("flood_pulse", {})], "p string, f map<int,double>")
     got = [r.c for r in df.select(analytics.procedural_context(F.col("p"), F.col("f")).alias("c")).collect()]
-    assert got[0].class_fractions == {"trees": 0.5, "bare_ground": 0.5} and len(got[0].samples) == 32
+    lulc = got[0].tim_modality_outputs.LULC
+    assert lulc.class_fractions == {"trees": 0.5, "bare_ground": 0.5} and len(lulc.classes.sample) == 32 and got[0].tim_modality_outputs["tok_lulc@224"].sample == lulc.classes.sample and got[0].tim_modality_outputs.Coordinates is None
     burn = got[0].profile_analytics.burn_change
-    assert (burn.changed_area_pct, burn.hotspot_count, burn.cluster_confidence) == (10.0, 1, "high") and got[0].profile_analytics.summary is None
-    assert got[1].profile_analytics.summary.largest_deltas == [] and got[2].profile_analytics is None
+    assert (burn.changed_area_pct, burn.hotspot_count, burn.heat_clusters[0].confidence, burn.sample_count) == (10.0, 1, "high", 32) and got[0].profile_analytics.summary is None
+    assert got[1].profile_analytics.summary.largest_deltas == [] and got[2].profile_analytics.water_change.sample_count == 0 and got[2].inputs_meta.s2_stac.eo_cloud_cover == 0.0
     lines = df.where("p = 'wildfire'").select(analytics.summary_lines(F.col("p"), F.col("f"), analytics.share_changes(F.col("f"), pixels.profile_fractions(F.col("f"), F.col("p")))).alias("l")).first().l
     assert lines == ["- Profile: wildfire", "- Largest classes: trees (60.0%), bare_ground (40.0%)", "- Change: bare ground area is predicted to increase from 40.0% to 50.0%.", "- Finding: more bare ground"]
     spec = df.select(analytics.image_spec(F.col("p"), F.lit("s"), F.col("f"), F.col("f"), F.array(F.struct(F.array(F.lit(1.9), F.lit(2.0), F.lit(3.0), F.lit(4.0)).alias("box"), F.lit("x").alias("label")))).alias("s")).first().s
@@ -252,3 +253,20 @@ def test_turns_as_aggregates(spark):
 def test_responsiveness(spark):
     got = [one(spark, scoring.responsiveness(F.lit(a), F.lit(b))) for a, b in (("a b c d", "a b c d"), ("a b c d", "x y z"), ("", ""), ("a b c d", "A b  c e"))]
     assert got == [0.0, 1.0, 0.0, 0.666667]
+
+
+def test_json_of_any_depth(spark):
+    deep = ["[" * 200_000, "[" * 200_000 + "]" * 200_000, '{"a":' * 50_000 + "1" + "}" * 50_000]
+    df = spark.createDataFrame([(x,) for x in [*deep, '{"a": [1]}']], "t string")
+    got = df.select(nested.pruned_json("t").alias("p"), nested.capped_json("t").alias("c"), nested.sample_numbers("t").alias("s"), nested.json_values("t").alias("v")).collect()
+    assert got[0].p is None and got[0].c is None and got[0].s is None and got[0].v.values == [] and got[0].v.rest
+    assert got[3].p == '{"a": [1]}' == got[3].c and got[3].s == [] and got[3].v.rest is None
+
+
+def test_bad_ends_of_json_files_are_told(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1} [{"a": 2}] {oops')
+    (tmp_path / "b.json").write_text('{"a": 3}')
+    from geoloom.sources import readers
+
+    assert sorted(r["a"] for r in readers.concatenated_json(spark, str(tmp_path), "struct<a:int>").collect()) == [1, 2, 3]
+    assert [r["rest"] for r in readers.unread_json(spark, str(tmp_path)).collect()] == ["{oops"]
