@@ -41,8 +41,9 @@ def _low(number: Column, bits: int) -> Column:
     return number.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+def bucket(hashed: Column) -> Column:
+    """The bucket of a word's 64-bit hash."""
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
 def rarity(docs: DataFrame, text: str, width: int) -> Column:
@@ -52,7 +53,7 @@ def rarity(docs: DataFrame, text: str, width: int) -> Column:
     exact but for those with a sign beside them; any weights that are the same for all lines give the same result.
     """
     words = docs.select(F.explode(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(bucket(F.col("w")).alias("b")).count().collect()
+    counts = words.groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()
     least, most = min((r["count"] for r in counts), default=1), max(1, 511 // (2**width - 1))
     by_bucket = {r["b"]: min((r["count"] // least).bit_length(), most) << _HASH_BITS for r in counts}
     return F.expr("array(" + ", ".join(f"{by_bucket.get(b, 0)}L" for b in range(BUCKETS)) + ")")
@@ -64,7 +65,7 @@ def tokens_of(words: Column, weights: Column, width: int) -> Column:
     A word is one number, its weight above and a hash below, and a shingle is the sum of its words' numbers, the k-th times 2 ** k:
     that takes few steps for each, and no carry reaches the weights or the sign.
     """
-    word = F.transform(words, lambda w: F.get(weights, bucket(w)) + F.shiftrightunsigned(F.xxhash64(w), 64 - (_HASH_BITS - width - 1)))
+    word = F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.get(weights, bucket(h)) + F.shiftrightunsigned(h, 64 - (_HASH_BITS - width - 1)))
 
     def joined(a: Column, n: int, b: Column, m: int) -> Column:
         """The sums of n words from sums of m words, and of n - m words that follow."""
