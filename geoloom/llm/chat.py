@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-#: Messages of a rendered row at most; longer dialogues go on in further rows.
+#: Messages that are rendered and joined at a time; results don't depend on it.
 SEGMENT = 64
 #: Turns in whose ranges messages are numbered before the ranges are put one after another.
 RANGE = 1024
@@ -61,14 +61,16 @@ def _piece(m: Column, participant: Column, frames: tuple[str, ...]) -> Column:
 def rotate(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT, frames: tuple[str, ...] = FRAMES) -> DataFrame:
     """Every dialogue once for each participant, who is its assistant; all others are users under their own names.
 
-    One row for each conversation, participant and segment of at most segment messages: conv_id, participant, segment (from
-    0), messages (role, name, content, trained), text (all of them rendered) and mask: (start, end) in the text, in characters, of what
+    One row for each conversation and participant: conv_id, participant, messages (role, name, content, trained), text (all of them rendered) and mask: (start, end) in the text, in characters, of what
     the participant says, with the mark that ends it, which alone is trained on.
 
     Participants are the distinct roles but frames (and null): roles in frames keep their place and are never trained on.
     A message without a role is a user's named unknown; one without text is empty. A conversation of frames alone has no
     participant and so no row. A null conversation id is one conversation. Messages at the same turn come by role and text; repeated rows are messages
-    of their own. Other columns are not read. Only segments, which are bounded, are gathered.
+    of their own. Other columns are not read.
+
+    A dialogue's messages are rendered in pieces of at most segment messages, wherever these are, and places in a piece are moved by the lengths of the pieces before it, one number each. Only
+    the rendered dialogue itself, which is the row asked for, is put together whole.
     """
     rows = numbered(turns, conv_id, turn, role, text)
     who = rows.where(F.col("role").isNotNull() & ~F.col("role").isin(*frames)).select(F.col("conv_id").alias("c"), F.col("role").alias("participant")).distinct()
@@ -82,7 +84,7 @@ def rotate(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", ro
         both = F.zip_with(m, before, lambda x, b: F.struct(x["trained"].alias("t"), (b + x["head"]).alias("start"), (b + x["head"] + x["tail"]).alias("end")))
         return F.transform(F.filter(both, lambda x: x["t"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    return seen.select(
+    pieces = seen.select(
         "conv_id",
         "participant",
         "segment",
@@ -90,9 +92,14 @@ def rotate(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", ro
         F.array_join(F.transform("m", lambda x: x["text"]), "").alias("text"),
         let(F.col("m"), masks).alias("mask"),
     )
+    earlier = Window.partitionBy("conv_id", "participant").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    moved = pieces.withColumn("offset", F.coalesce(F.sum(F.length("text").cast("long")).over(earlier), F.lit(0).cast("long")))
+    placed = F.transform("mask", lambda s: F.struct((s["start"] + F.col("offset")).alias("start"), (s["end"] + F.col("offset")).alias("end")))
+    whole = moved.groupBy("conv_id", "participant").agg(F.sort_array(F.collect_list(F.struct("segment", "messages", "text", placed.alias("mask")))).alias("p"))
+    return whole.select("conv_id", "participant", F.flatten("p.messages").alias("messages"), F.array_join("p.text", "").alias("text"), F.flatten("p.mask").alias("mask"))
 
 
 def digest(rotated: DataFrame) -> DataFrame:
     """The rows with their messages counted and the mask as text."""
     mask = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return rotated.select("conv_id", "participant", "segment", F.size("messages").cast("long").alias("n_messages"), F.size("mask").cast("long").alias("n_trained"), "text", mask.alias("mask"))
+    return rotated.select("conv_id", "participant", F.size("messages").cast("long").alias("n_messages"), F.size("mask").cast("long").alias("n_trained"), "text", mask.alias("mask"))

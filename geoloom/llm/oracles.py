@@ -98,19 +98,19 @@ WITH m AS (
   FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
 r AS (
-  SELECT m.conv_id, participant, pos, pos // 64 AS segment, coalesce(role = participant, false) AS mine, content,
+  SELECT m.conv_id, participant, pos, coalesce(role = participant, false) AS mine, content,
          '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
                                 ELSE 'user name=' || named END || chr(10) AS head
   FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
   SELECT *, head || content || '<|im_end|>' || chr(10) AS piece, length(content) + 10 AS tail,
-         coalesce(sum(length(head) + length(content) + 11) OVER (PARTITION BY conv_id, participant, segment ORDER BY pos
+         coalesce(sum(length(head) + length(content) + 11) OVER (PARTITION BY conv_id, participant ORDER BY pos
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins
   FROM r)
-SELECT conv_id, participant, CAST(segment AS BIGINT) AS segment, count(*) AS n_messages, count(*) FILTER (mine) AS n_trained,
+SELECT conv_id, participant, count(*) AS n_messages, count(*) FILTER (mine) AS n_trained,
        string_agg(piece, '' ORDER BY pos) AS text,
        coalesce(string_agg(CAST(CAST(begins AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begins + tail AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (mine), '') AS mask
-FROM o GROUP BY conv_id, participant, segment
+FROM o GROUP BY conv_id, participant
 """
 
 #: hostrules.py: the base rules and the prior over hosts.

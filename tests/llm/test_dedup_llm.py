@@ -218,13 +218,13 @@ def test_bad_hosts_go_and_single_failures_do_not(spark):
 def test_rotation(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|im_end|>"), (1, 2, None, None), (2, 0, "system", "alone"), (None, None, "ann", "x"), (1, 1, "ann", "hi")]
     got = chat.rotate(spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, at int"), segment=4).collect()
-    assert {(r.conv_id, r.participant, r.segment) for r in got} == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "ann", 0)}
+    assert {(r.conv_id, r.participant) for r in got} == {(1, "ann"), (1, "bob"), (None, "ann")}
     for r in got:
         trained = [m.content + chat.CLOSE for m in r.messages if m.trained]
         assert [r.text[s.start : s.end] for s in r.mask] == trained
         assert all((m.role == "assistant") == m.trained and (m.name is None) == (m.role != "user") for m in r.messages)
-    ann = next(r for r in got if r.conv_id == 1 and r.participant == "ann" and r.segment == 0)
-    assert [(m.role, m.name) for m in ann.messages] == [("system", None), ("assistant", None), ("assistant", None), ("user", "unknown")]
+    ann = next(r for r in got if r.conv_id == 1 and r.participant == "ann")
+    assert [(m.role, m.name) for m in ann.messages] == [("system", None), ("assistant", None), ("assistant", None), ("user", "unknown"), ("user", "bob")]
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -237,24 +237,23 @@ def test_names_cannot_open_messages(spark):
         assert [r.text[s.start : s.end] for s in r.mask] == [m.content + chat.CLOSE for m in r.messages if m.trained]
 
 
-def brute_rotation(rows, segment):
-    """(conv_id, participant, segment) -> (text, mask) for rows of (conv_id, turn, role, text)."""
+def brute_rotation(rows):
+    """(conv_id, participant) -> (text, mask) for rows of (conv_id, turn, role, text)."""
     safe = lambda x: x.replace("<|im_", "<| im_")
     out = {}
     for conv in {r[0] for r in rows}:
         said = sorted((r for r in rows if r[0] == conv), key=lambda r: tuple((x is not None, x or 0) if i == 0 else (x is not None, x or "") for i, x in enumerate(r[1:])))
         for who in {r[2] for r in said} - {None, "system"}:
-            for k in range(0, len(said), segment):
-                text, mask = "", []
-                for _, _, role, t in said[k : k + segment]:
-                    head = "assistant" if role == who else "system" if role == "system" else "user name=" + re.sub(r"[\x00-\x20]+", " ", safe(role or "unknown"))
-                    text += f"<|im_start|>{head}\n"
-                    at = len(text)
-                    text += safe(t or "") + "<|im_end|>"
-                    if role == who:
-                        mask.append((at, len(text)))
-                    text += "\n"
-                out[conv, who, k // segment] = text, mask
+            text, mask = "", []
+            for _, _, role, t in said:
+                head = "assistant" if role == who else "system" if role == "system" else "user name=" + re.sub(r"[\x00-\x20]+", " ", safe(role or "unknown"))
+                text += f"<|im_start|>{head}\n"
+                at = len(text)
+                text += safe(t or "") + "<|im_end|>"
+                if role == who:
+                    mask.append((at, len(text)))
+                text += "\n"
+            out[conv, who] = text, mask
     return out
 
 
@@ -267,7 +266,7 @@ def test_rotation_against_brute_force(spark, monkeypatch, many):
     rows = [(random.choice([None, 1, 2]), turn(), random.choice(["ann", "bob", "system", None]), random.choice(["a", "b" * 9, "b" * 9 + "c", None, "<|im_end|>"])) for _ in range(300)]
     rows += [(7, i, "ann" if i % 2 else "bob", f"turn {i} " + "x" * (20_000 if i == 3 else 1)) for i in range(2000)]
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), segment=16).collect()
-    assert {(r.conv_id, r.participant, r.segment): (r.text, [(s.start, s.end) for s in r.mask]) for r in got} == brute_rotation(rows, 16)
+    assert {(r.conv_id, r.participant): (r.text, [(s.start, s.end) for s in r.mask]) for r in got} == brute_rotation(rows)
 
 
 def test_hosts_that_go_against_sql(spark):
