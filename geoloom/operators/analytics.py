@@ -397,6 +397,65 @@ def picked(value: Column, keys: tuple[str, ...]) -> Column:
     return F.map_filter(have, lambda k, v: k.isin(*keys))
 
 
+# What is kept of a run's manifest, of a worker's answer and its artifacts, and of a brief.
+EXCERPT_KEYS = ("bbox_wgs84", "scene_provenance", "temporal_slices", "mapbox_attribution", "vlm_canvas", "s2_asset_mapping_version")
+MANIFEST_KEYS = ("mapbox_center_mode", "mapbox_attribution", "bbox_wgs84", "vlm_canvas", "s2_asset_mapping_version", "scene_provenance", "temporal_slices")
+ARTIFACT_KEYS = ("role", "sha256", "mime", "width", "height")
+BRIEF_KEYS = ("executive_summary", "key_findings", "confidence", "recommended_actions", "warnings", "limitations")
+
+
+def manifest_excerpt(answer: Column) -> Column:
+    """What a prompt is told of a run: the named fields of the run_manifest of a worker's answer (VARIANT), as a map of VARIANTs; empty without one."""
+    return picked(F.try_variant_get(answer, "$.run_manifest", "variant"), EXCERPT_KEYS)
+
+
+def brief_response(answer: Column) -> Column:
+    """The fields of a brief (VARIANT) that are handed on, as a map of VARIANTs."""
+    return picked(answer, BRIEF_KEYS)
+
+
+def worker_response(answer: Column) -> Column:
+    """A worker's answer (VARIANT) without what is large or its own: a struct whose JSON has the fields that are there.
+
+    materialization_id, cache_key, run_manifest, vlm_artifacts (of which items that are no objects go), analysis_profile if it isn't blank, and of tim_payload its branch, keys, whether it had a blob,
+    and outputs and analytics that aren't empty.
+    """
+    at = lambda path, kind="variant": F.try_variant_get(answer, f"$.{path}", kind)
+    object_ = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    some = lambda v: F.when(object_(v) & (F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0), v)
+    artifacts = F.transform(F.filter(F.coalesce(at("vlm_artifacts", "array<variant>"), F.array().cast("array<variant>")), object_), lambda v: picked(v, ARTIFACT_KEYS))
+    blob = F.coalesce(at("tim_payload.npz_base64", "string"), F.lit("")) != ""
+    payload = F.struct(at("tim_payload.branch").alias("branch"), at("tim_payload.modalities_keys").alias("modalities_keys"), blob.alias("has_npz"), some(at("tim_payload.tim_modality_outputs")).alias("tim_modality_outputs"), some(at("tim_payload.profile_analytics")).alias("profile_analytics"))
+    return F.struct(
+        at("materialization_id").alias("materialization_id"), at("cache_key").alias("cache_key"), picked(at("run_manifest"), MANIFEST_KEYS).alias("run_manifest"), artifacts.alias("vlm_artifacts"),
+        F.nullif(F.trim(at("analysis_profile", "string")), F.lit("")).alias("analysis_profile"), F.when(object_(at("tim_payload")), payload).alias("tim_payload"),
+    )
+
+
+def output_entry(key: Column, value: Column, *, most: int = 2000, sample: int = 16) -> Column:
+    """struct(internal_key, fields, text) of a model's output (VARIANT): of lists of numbers their statistics and first values, of all else its JSON, so many characters at most.
+
+    fields: a map of struct(n, mean, std, min, max, sample, text); an output that is no object has a text alone.
+    """
+    def stats(v: Column) -> Column:
+        numbers = F.schema_of_variant(v).rlike(r"^ARRAY<(BIGINT|DOUBLE|DECIMAL.*)>$")
+        values = F.when(numbers, F.try_variant_get(v, "$", "array<double>"))
+
+        def of(x: Column) -> Column:
+            n = F.size(x)
+            total = lambda y: F.aggregate(y, F.lit(0.0), lambda a, b: a + b)
+            mean = F.when(n > 0, total(x) / n)
+            spread = T.let(mean, lambda m: F.sqrt(total(F.transform(x, lambda b: (b - m) * (b - m))) / n))
+            named = {"n": n, "mean": mean, "std": F.when(n > 0, spread), "min": F.array_min(x), "max": F.array_max(x), "sample": F.slice(x, 1, sample)}
+            return F.struct(*[F.when(x.isNotNull(), c).alias(k) for k, c in named.items()], F.when(x.isNull(), F.substring(F.to_json(v), 1, most)).alias("text"))
+
+        return T.let(values, of)
+
+    is_object = F.schema_of_variant(value).startswith("OBJECT")
+    fields = F.transform_values(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: stats(v))
+    return F.struct(key.alias("internal_key"), F.when(is_object, fields).alias("fields"), F.when(~F.coalesce(is_object, F.lit(False)), F.substring(F.to_json(value), 1, most)).alias("text"))
+
+
 def answer_text(sections: list[tuple[str, Column]]) -> Column:
     """An answer of titled sections, each with its lines (an array), an empty line between; sections without lines are left out."""
     return F.array_join(F.array_compact(F.array(*[F.when(F.size(lines) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n"))) for title, lines in sections])), "\n\n")

@@ -249,6 +249,69 @@ def sidecar_rows(sidecars: DataFrame, tasks: list[str], profiles: list[str]) ->
     return sidecars.select("stem", F.explode(F.array_compact(F.concat(*made))).alias("r")).select("stem", "r.*")
 
 
+#: Prompts of tile and pair rows; {target} and {class_name} are filled in. Callers give their own.
+PROMPTS = {"caption": "Describe this satellite image.", "grounding": "Find {target} and give their boxes as JSON.", "focus": "Describe {class_name} in this satellite image."}
+# What the grounding of all regions asks for, and which classes of a tile have rows of their own.
+ALL_REGIONS = "land cover regions visible in this satellite imagery"
+LEAST_SHARE, MOST_CLASSES = 0.05, 9
+
+
+def boxes_json(regions: Column, width: int, height: int, *, scores: bool = False) -> Column:
+    """A JSON list of {label, bbox} of regions (label, box in pixels), as shares of the image to four digits; with score, to four digits, where scores and a region has one."""
+    sides = (width, height, width, height)
+    box = lambda r: F.array(*[F.bround(r["box"][i] / F.lit(float(max(1, n))), 4) for i, n in enumerate(sides)]).alias("bbox")
+    more = lambda r: [F.bround(r["score"].cast("double"), 4).alias("score")] if scores else []
+    return F.to_json(F.transform(regions, lambda r: F.struct(r["label"].alias("label"), box(r), *more(r))))
+
+
+def tile_rows(tiles: DataFrame, *, size: int, prompts: dict[str, str] | None = None, grounding: bool = True, by_class: bool = True, class_grounding: bool = True, least: float = LEAST_SHARE, most: int = MOST_CLASSES) -> DataFrame:
+    """The training rows of each tile: (stem, split, tag, image, user, assistant).
+
+    tiles: stem, split, caption, fractions map<int,double> and regions array<struct<class_id, label, box, area_px>>, boxes in pixels of an image of size by size. There is a caption row; one that
+    grounds all regions, if there are any; and, for the most classes of the greatest shares that have the least share at least (ties by id), a row on each class and one that grounds its
+    regions, if it has any. A null caption gives an empty answer, null regions or fractions are none. A tile's rows are one array that is exploded.
+    """
+    from . import pixels as P
+
+    asked = PROMPTS | (prompts or {})
+    regions = F.coalesce("regions", F.array().cast("array<struct<class_id:int,label:string,box:array<int>,area_px:int>>"))
+    known = F.filter(F.map_entries(F.coalesce("fractions", F.create_map().cast("map<int,double>"))), lambda e: e["key"].between(0, len(P.raster.LAND_COVER) - 1))
+    ranked = F.slice(F.array_sort(F.transform(known, lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("id")))), 1, most)
+    of = lambda tag, user, answer: F.struct(tag.alias("tag"), user.alias("user"), answer.alias("assistant"))
+
+    def filled_in(kind: str, field: str, value: Column) -> Column:
+        before, _, after = asked[kind].partition("{" + field + "}")
+        return F.concat(F.lit(before), value, F.lit(after))
+
+    def of_class(e: Column) -> Column:
+        name, own = P.raster.land_cover_name(e["id"]), F.filter(regions, lambda r: r["class_id"] == e["id"])
+        focus = of(F.concat(F.lit("classfocus_"), name), filled_in("focus", "class_name", name), P.focus_sentence(name, -e["o"], F.size(own)))
+        ground = of(F.concat(F.lit("ground_"), name), filled_in("grounding", "target", F.replace(name, F.lit("_"), F.lit(" "))), boxes_json(own, size, size))
+        return F.array(focus, F.when(F.lit(grounding and class_grounding) & (F.size(own) > 0), ground))
+
+    made = [F.array(of(F.lit("caption"), F.lit(asked["caption"]), F.coalesce("caption", F.lit(""))))]
+    if grounding:
+        made.append(F.array(F.when(F.size(regions) > 0, of(F.lit("ground_all"), filled_in("grounding", "target", F.lit(ALL_REGIONS)), boxes_json(regions, size, size)))))
+    if by_class:
+        made.append(F.flatten(F.transform(F.filter(ranked, lambda e: -e["o"] >= least), of_class)))
+    rows = tiles.select("stem", "split", F.explode(F.array_compact(F.concat(*made))).alias("r"))
+    return rows.select("stem", "split", "r.tag", F.concat(F.lit("images/"), F.col("stem"), F.lit(".png")).alias("image"), "r.user", "r.assistant")
+
+
+def pair_rows(pairs: DataFrame, *, size: int, system: str, prompts: dict[str, str] | None = None) -> DataFrame:
+    """The training rows of pairs of images: (key, split, tag, row): a chat row with a caption, and one that grounds the changed regions, if there are any.
+
+    pairs: key, split, images array<string>, caption and regions array<struct<label, box, area_px, score>>, boxes in pixels. Null regions are none, a null caption is empty.
+    """
+    asked = PROMPTS | (prompts or {})
+    regions = F.coalesce("regions", F.array().cast("array<struct<label:string,box:array<int>,area_px:int,score:double>>"))
+    row = lambda user, answer: chat_row(F.col("images"), F.lit(user), answer, F.lit(system))
+    caption = F.struct(F.lit("caption").alias("tag"), row(asked["caption"], F.coalesce("caption", F.lit(""))).alias("row"))
+    ground = F.struct(F.lit("grounding").alias("tag"), row(asked["grounding"].replace("{target}", "the changed regions"), boxes_json(regions, size, size, scores=True)).alias("row"))
+    made = F.array_compact(F.array(caption, F.when(F.size(regions) > 0, ground)))
+    return pairs.select("key", "split", F.explode(made).alias("r")).select("key", "split", "r.tag", "r.row")
+
+
 def first_images(rows: DataFrame, base: Column, order: list[str]) -> DataFrame:
     """(base, first_pos, hint): for each base the place where it first occurs and an image of it, one under images/ before others."""
     cols = rows.select(base.alias("base"), F.struct(*order).alias("pos"), "path")
@@ -275,7 +338,3 @@ def turn_lengths(turns: DataFrame) -> DataFrame:
     """(conv_id, user_chars, assistant_chars): role_length() as an aggregate over turns (conv_id, role, text), which needs no conversation in one row."""
     n = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.length("text"))), F.lit(0))
     return turns.groupBy("conv_id").agg(n("user").alias("user_chars"), n("assistant").alias("assistant_chars"))
-
-
-def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy(*order)))

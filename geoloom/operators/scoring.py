@@ -17,7 +17,9 @@ WEIGHTS = {
     "image_only": (0.22, 0.50, 0.28, 0.0),
     "procedural_analytics": (0.16, 0.40, 0.22, 0.22),
     "synthetic_oracle": (0.14, 0.36, 0.22, 0.28),
+    "tim_generated": (0.16, 0.40, 0.22, 0.22),
     "optical_focus": (0.20, 0.50, 0.30, 0.0),
+    "tim_integration": (0.16, 0.40, 0.22, 0.22),
 }
 # Other names of labels.
 LABEL_ALIASES = {
@@ -236,6 +238,30 @@ def body_is_rich(analytics: Column, profile: Column, *, samples: bool = True) ->
     )
 
 
+def preset_label(asked: Column, injected: Column, source: Column, *, explicit: Column | None = None) -> Column:
+    """The preset that a result's weights come from: explicit_cli where weights are given, the one asked for (default, if there is none of that name), or with auto the one of what the prompt held.
+
+    source is the analytics that were found, or asked for; without any, or where nothing was injected, only the image counts.
+    """
+    want = F.coalesce(F.nullif(F.lower(F.trim(asked)), F.lit("")), F.lit("auto"))
+    src = F.lower(F.trim(F.coalesce(source, F.lit(""))))
+    by_source = F.when(~F.coalesce(injected, F.lit(False)) | (src == "none"), "image_only").when(src == "synthetic_oracle", "synthetic_oracle").when(src.startswith("tim_generated"), "tim_generated").otherwise("procedural_analytics")
+    chosen = F.when(want == "auto", by_source).when(want.isin(*WEIGHTS), want).otherwise("default")
+    return chosen if explicit is None else F.when(F.size(explicit) == 3, "explicit_cli").otherwise(chosen)
+
+
+def preset_weights(label: Column, *, explicit: Column | None = None) -> Column:
+    """struct(lexical, grounding, contract, faithfulness) of a preset; of explicit weights (three numbers) these, and none for faithfulness."""
+    names = ("lexical", "grounding", "contract", "faithfulness")
+    value = lambda w: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(names, w, strict=True)])
+    out = F.when(F.lit(False), value(WEIGHTS["default"]))
+    for name, w in WEIGHTS.items():
+        out = out.when(label == name, value(w))
+    known = out.otherwise(value(WEIGHTS["default"]))
+    own = None if explicit is None else F.struct(*[explicit[i].cast("double").alias(n) for i, n in enumerate(names[:3])], F.lit(0.0).alias("faithfulness"))
+    return known if own is None else F.when(label == "explicit_cli", own).otherwise(known)
+
+
 def composite(lexical: Column, grounding: Column, contract: Column, faithfulness: Column, *, plausibility: Column | None = None, forbidden: Column | None = None, risky: Column | None = None, found_boxes: Column | None = None, leaked: Column | None = None, preset: str = "default") -> Column:
     """The weighted mean of the scores that are defined, times a guard for bad claims, under caps.
 

@@ -9,6 +9,7 @@ from ..functions import nested, raster
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import pixels as P
+from ..operators import rows as R
 from ..operators import sampling
 from ..operators import scoring as S
 from . import analytics_queries as AQ
@@ -165,8 +166,58 @@ def swapped_maps(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tile", F.col("class_id").cast("long").alias("class_id"), F.round("share", 6).alias("share"))
 
 
+def tile_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles with shares and up to three regions as training rows."""
+    o = _orders(spark, d)
+    m = F.col("m")
+    region = lambda i, at: F.struct(F.lit(i).alias("class_id"), raster.land_cover_name(F.lit(i)).alias("label"), F.array(m, F.lit(at), m + 28, F.lit(at + 56)).alias("box"), F.lit(28 * 56).alias("area_px"))
+    regions = F.when(m == 1, F.lit(None)).otherwise(F.slice(F.array(region(0, 0), region(6, 112), region(0, 168)), F.lit(1), m % 4))
+    shares = F.map_filter(F.create_map(F.lit(0), m / 20.0, F.lit(6), F.lit(0.3), F.lit(1), F.lit(0.04), F.lit(3), F.lit(0.2)), lambda k, v: (m != 2) | (k == 3))
+    tiles = o.select(_said("t", F.col("k")).alias("stem"), T.split_of(_said("t", F.col("k"))).alias("split"), F.when(m != 3, F.col("p")).alias("caption"), F.when(m != 5, shares).alias("fractions"), regions.alias("regions"))
+    return R.tile_rows(tiles, size=224).select("stem", "split", "tag", "image", "user", "assistant")
+
+
+def pair_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = _orders(spark, d)
+    m = F.col("m")
+    region = F.struct(F.lit("burn").alias("label"), F.array(F.lit(0), m * 10, F.lit(100), F.lit(224)).alias("box"), F.lit(9).alias("area_px"), F.when(m % 2 == 0, m / 8.0).alias("score"))
+    pairs = o.select(F.col("k").alias("key"), F.lit("train").alias("split"), F.array(_said("a", F.col("k"), ".png"), _said("b", F.col("k"), ".png")).alias("images"), F.col("p").alias("caption"), F.when(m > 2, F.array(region)).alias("regions"))
+    x = R.pair_rows(pairs, size=224, system="Compare both images.")
+    return x.select("key", "tag", F.size(R.image_paths(F.col("row"))).cast("long").alias("n_images"), F.array_join(R.texts_of(F.col("row"), "assistant"), "|").alias("answer"), F.array_join(R.texts_of(F.col("row"), "system"), "|").alias("system"))
+
+
+def weight_presets(spark: SparkSession, d: str) -> DataFrame:
+    k, m = F.col("k"), F.col("m")
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("auto", " AUTO", None, "optical_focus", "nothing", "", "auto")]), m + 1)
+    source = F.element_at(F.array(*[F.lit(x) for x in ("none", "synthetic_oracle", "TIM_generated_health=good", "procedural", None)]), (k % 5 + 1).cast("int"))
+    own = F.when(k % 11 == 0, F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)))
+    label = S.preset_label(asked, k % 3 != 0, source, explicit=own)
+    return _orders(spark, d).select("k", label.alias("label"), S.preset_weights(label, explicit=own).alias("w")).select("k", "label", "w.*")
+
+
+def worker_responses(spark: SparkSession, d: str) -> DataFrame:
+    k, m = F.col("k"), F.col("m")
+    body = _said(
+        '{"materialization_id": "x', k, '", "secret": 1, "run_manifest": ', F.when(m == 0, "3").otherwise(_said('{"vlm_canvas": ', m, ', "bbox_wgs84": [1, 2], "inner": {"a": 1}}')), ', "vlm_artifacts": [{"role": "r", "url": "u", "width": ', m, '}, 7], "analysis_profile": "',
+        F.when(m == 1, " ").otherwise(" fire "), '", "tim_payload": ', F.when(m == 2, "null").otherwise(_said('{"branch": "b", "npz_base64": "', F.when(m > 3, "zz").otherwise(""), '", "profile_analytics": {}, "tim_modality_outputs": {"s": ', m, '}}')), ', "confidence": "high"}',
+    )
+    v = F.try_parse_json(body)
+    return _orders(spark, d).select("k", F.to_json(A.worker_response(v)).alias("slim"), F.array_join(F.array_sort(F.map_keys(A.manifest_excerpt(v))), ",").alias("excerpt"), F.array_join(F.map_keys(A.brief_response(v)), ",").alias("brief"))
+
+
+def output_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as a model's outputs: their statistics, and the rest as text."""
+    e = t.table(spark, d, "embeddings")
+    v = F.to_variant_object(F.struct(F.col("embedding").cast("array<double>").alias("tensor"), F.repeat(F.lit("ab"), 1500).alias("note"), F.col("vec_id").alias("id")))
+    x = e.select("vec_id", A.output_entry(F.lit("s2"), v).alias("o"), A.output_entry(F.lit("s3"), F.to_variant_object(F.array("vec_id"))).alias("p"))
+    f = F.col("o.fields")
+    at = f["tensor"]
+    return x.select("vec_id", at["n"].cast("long").alias("n"), *[F.round(at[c], 5).alias(c) for c in ("mean", "std", "min", "max")], F.size(at["sample"]).cast("long").alias("n_sample"), F.length(f["note"]["text"]).cast("long").alias("note"), f["id"]["text"].alias("id"), F.col("p.text").alias("other"))
+
+
 QUERIES = {f.__name__: f for f in (
     pruned_json, capped_json, sample_lists, json_pieces, found_coordinates, context_scores, analytics_fields, job_payloads, judge_packs, artifact_lists, error_classes, first_names, small_json, masks, selected_places, swapped_maps,
+    tile_rows, pair_rows, weight_presets, worker_responses, output_entries,
 )}
 
 _O = "(SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s, (o_orderkey % 7)::INT AS m FROM orders)"
@@ -182,6 +233,9 @@ _HEAD = "profile,scene_provenance,schema_version,thresholds"
 _BLOCKS = " ".join(f"WHEN {i} THEN '{_sorted(_HEAD, b)}'" for i, (b, _) in _FIELDS.items())
 _INNER = " ".join(f"WHEN {i} THEN '{_sorted(f)}'" for i, (_, f) in _FIELDS.items())
 
+# A number rounded half to even, as JSON has it: with a digit after the point at least.
+_DEC = lambda x, n=4: f"(CASE WHEN round_even({x}, {n}) = trunc({x}) THEN printf('%d.0', trunc({x})::BIGINT) ELSE rtrim(printf('%.{n}f', round_even({x}, {n})), '0') END)"
+
 SQL = {
     "pruned_json": f"""SELECT k, CASE WHEN m < 5 THEN md5('{{"id": ' || k || ', "_truncated": true, "body": {{"name": "' || p || '", "deep": [{{"kept": ' || m || '}}]}}, "engine": {{"model_id": "e' || m || '", "version": "' || s || '"}}, "long": "' || CASE WHEN m * 600 > 2000 THEN substr(repeat('ab', m * 300), 1, 2000) || '…' ELSE repeat('ab', m * 300) END
       || '", "list": [' || array_to_string(range(0, least(200, m * 60 + 1)), ', ') || ']}}') END AS digest FROM {_O}""",
@@ -210,4 +264,19 @@ SQL = {
     "selected_places": f"SELECT id, lat, lon FROM ({t.PLACES_SQL}) WHERE id IN (SELECT o_custkey FROM orders) ORDER BY sha256('pick|' || id), id LIMIT 100",
     "swapped_maps": f"""WITH f AS (SELECT tile, class_id, fraction, row_number() OVER (PARTITION BY tile ORDER BY fraction DESC, class_id) AS r, count(*) OVER (PARTITION BY tile) AS c FROM {Q._FR('class0')})
       SELECT a.tile, a.class_id, round(b.fraction, 6) AS share FROM f a JOIN f b ON a.tile = b.tile AND b.r = a.c + 1 - a.r""",
+    "tile_rows": f"""WITH o AS (SELECT 't' || k AS stem, CASE WHEN ('0x' || substr(sha256('t' || k), 1, 16))::UBIGINT % 10 <= 7 THEN 'train' WHEN ('0x' || substr(sha256('t' || k), 1, 16))::UBIGINT % 10 = 8 THEN 'validation' ELSE 'test' END AS split, p, m, CASE WHEN m = 1 THEN 0 ELSE m % 4 END AS n FROM {_O}),
+      b AS (SELECT stem, i, c, '{{"label":"' || l || '","bbox":[' || {_DEC('m / 224.0::DOUBLE')} || ',' || {_DEC('y / 224.0::DOUBLE')} || ',' || {_DEC('(m + 28) / 224.0::DOUBLE')} || ',' || {_DEC('(y + 56) / 224.0::DOUBLE')} || ']}}' AS j FROM o, (VALUES (1, 0, 'water', 0), (2, 6, 'built', 112), (3, 0, 'water', 168)) r(i, c, l, y) WHERE i <= n),
+      a AS (SELECT stem, '[' || string_agg(j, ',' ORDER BY i) || ']' AS j FROM b GROUP BY stem), ac AS (SELECT stem, c, count(*) AS n, '[' || string_agg(j, ',' ORDER BY i) || ']' AS j FROM b GROUP BY stem, c),
+      f AS (SELECT stem, split, c, name, v FROM (SELECT stem, split, m, c, name, CASE c WHEN 0 THEN m / 20.0::DOUBLE WHEN 6 THEN 0.3 ELSE 0.2 END AS v FROM o, (VALUES (0, 'water'), (6, 'built'), (3, 'flooded_vegetation')) x(c, name)) WHERE v >= 0.05 AND m != 5 AND (m != 2 OR c = 3)),
+      r AS (SELECT stem, split, 'caption' AS tag, 'Describe this satellite image.' AS user_, CASE WHEN m != 3 THEN p ELSE '' END AS assistant FROM o UNION ALL SELECT stem, split, 'ground_all', 'Find land cover regions visible in this satellite imagery and give their boxes as JSON.', j FROM o JOIN a USING (stem)
+        UNION ALL SELECT f.stem, split, 'classfocus_' || name, 'Describe ' || name || ' in this satellite image.', 'In this satellite imagery, **' || name || '** accounts for about ' || {_DEC('v * 100', 1)} || '% of valid pixels, showing ' || CASE coalesce(ac.n, 0) WHEN 0 THEN 'spatially mixed appearance in this resolution.' ELSE 'one or two dominant contiguous patches.' END FROM f LEFT JOIN ac ON f.stem = ac.stem AND f.c = ac.c
+        UNION ALL SELECT f.stem, split, 'ground_' || name, 'Find ' || replace(name, '_', ' ') || ' and give their boxes as JSON.', ac.j FROM f JOIN ac ON f.stem = ac.stem AND f.c = ac.c)
+      SELECT stem, split, tag, 'images/' || stem || '.png' AS image, user_ AS "user", assistant FROM r""",
+    "pair_rows": f"""SELECT k AS key, 'caption' AS tag, 2::BIGINT AS n_images, p AS answer, 'Compare both images.' AS system FROM {_O} UNION ALL
+      SELECT k, 'grounding', 2, '[{{"label":"burn","bbox":[0.0,' || {_DEC('m * 10 / 224.0::DOUBLE')} || ',0.4464,1.0]' || CASE WHEN m % 2 = 0 THEN ',"score":' || {_DEC('m / 8.0::DOUBLE')} ELSE '' END || '}}]', 'Compare both images.' FROM {_O} WHERE m > 2""",
+    "weight_presets": f"""WITH x AS (SELECT *, k % 11 = 0 AS own, CASE WHEN k % 11 = 0 THEN 'explicit_cli' WHEN m = 3 THEN 'optical_focus' WHEN m = 4 THEN 'default' WHEN k % 3 = 0 OR k % 5 = 0 THEN 'image_only' WHEN k % 5 = 1 THEN 'synthetic_oracle' WHEN k % 5 = 2 THEN 'tim_generated' ELSE 'procedural_analytics' END AS label FROM {_O})
+      SELECT k, label, w[1]::DOUBLE AS lexical, w[2]::DOUBLE AS grounding, w[3]::DOUBLE AS contract, w[4]::DOUBLE AS faithfulness FROM (SELECT *, CASE label WHEN 'explicit_cli' THEN [0.5, 0.3, 0.2, 0] {" ".join(f"WHEN '{n}' THEN {list(w)}" for n, w in S.WEIGHTS.items())} END AS w FROM x)""",
+    "worker_responses": f"""SELECT k, '{{"materialization_id":"x' || k || '","run_manifest":' || CASE WHEN m = 0 THEN '{{}}' ELSE '{{"bbox_wgs84":[1,2],"vlm_canvas":' || m || '}}' END || ',"vlm_artifacts":[{{"role":"r","width":' || m || '}}]' || CASE WHEN m != 1 THEN ',"analysis_profile":"fire"' ELSE '' END
+        || CASE WHEN m != 2 THEN ',"tim_payload":{{"branch":"b","has_npz":' || (m > 3) || ',"tim_modality_outputs":{{"s":' || m || '}}}}' ELSE '' END || '}}' AS slim, CASE WHEN m = 0 THEN '' ELSE 'bbox_wgs84,vlm_canvas' END AS excerpt, 'confidence' AS brief FROM {_O}""",
+    "output_entries": """WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings) SELECT vec_id, len(e)::BIGINT AS n, round(list_avg(e), 5) AS mean, round(list_stddev_pop(e), 5) AS std, round(list_min(e), 5) AS min, round(list_max(e), 5) AS max, least(16, len(e))::BIGINT AS n_sample, 2000::BIGINT AS note, vec_id::VARCHAR AS id, '[' || vec_id || ']' AS other FROM v""",
 }
