@@ -96,6 +96,8 @@ def cover(polygons: DataFrame, *, largest: float = LARGEST, halvings: int = HALV
     some = (F.size("edges") > 0) | F.col("corner_in")
     cells, done = checkpointed(cells.where(some)), None
     for level in range(1, halvings + 1):
+        if cells.where(F.size("edges") > few).isEmpty():
+            break
         leaves = cells.where(F.size("edges") <= few)
         done = leaves if done is None else done.unionByName(leaves)
         size = largest / 2**level
@@ -104,8 +106,6 @@ def cover(polygons: DataFrame, *, largest: float = LARGEST, halvings: int = HALV
         cut = cut.withColumn("ix", 2 * F.col("ix") + F.col("half.i")).withColumn("iy", 2 * F.col("iy") + F.col("half.j"))
         corner = F.col("corner_in") != changed_between(F.col("edges"), F.col("from_x"), F.col("from_y"), x0(size), y0(size))
         cells = checkpointed(cut.select("polygon_id", "area", F.lit(level).alias("level"), "ix", "iy", corner.alias("corner_in"), _touching(F.col("edges"), x0(size), y0(size), size).alias("edges")).where(some))
-        if cells.isEmpty():
-            break
     return cells if done is None else done.unionByName(cells)
 
 
@@ -114,7 +114,7 @@ def holding(points: DataFrame, polygons: DataFrame, *, largest: float = LARGEST,
 
     Points without coordinates are in none.
     """
-    cells = checkpointed(cover(polygons, largest=largest, halvings=halvings, few=few))
+    cells = cover(polygons, largest=largest, halvings=halvings, few=few)  # a union of checkpoints
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # at most halvings + 1
     known = points.select("id", "lat", "lon").where("lat is not null and lon is not null")
     if not levels:

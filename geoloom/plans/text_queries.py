@@ -316,8 +316,9 @@ SQL = {
     "turn_lengths": f"SELECT conv_id, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_chars, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_chars FROM {_C} GROUP BY conv_id",
     "canonical_rows": f"SELECT CASE WHEN k % 4 != 0 THEN k::VARCHAR ELSE 'e' || k END AS sample_id, CASE WHEN k % 5 = 0 THEN 'sft' ELSE o_orderstatus END AS task, 'wildfire' AS profile, 'train' AS split, concat_ws('|', a, b) AS paths, CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END AS n FROM {_IM}",
     "row_gate": f"WITH x AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS b FROM {_C} GROUP BY conv_id) SELECT conv_id, CASE {' '.join(f'''WHEN contains(lower(b), '{x}') THEN 'bloat:{x}' ''' for x in T.BLOAT)} WHEN length(b) > 900 THEN 'prompt_too_long' ELSE 'kept' END AS why FROM x",
-    "media_complete": "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 != 0",
-    "path_remap": f"SELECT k, concat_ws('|', CASE WHEN k % 2 = 0 THEN 'moved/' || a ELSE a END, 'moved/' || b) AS paths FROM {_IM}",
+    "media_complete": f"""WITH x AS (SELECT k, unnest([a, b]) AS p FROM {_IM}), f AS (SELECT DISTINCT p FROM x WHERE k % 7 != 0) SELECT k FROM x LEFT JOIN f USING (p) WHERE x.p IS NOT NULL GROUP BY k HAVING count(f.p) = count(*)""",
+    "path_remap": f"""WITH x AS (SELECT k, unnest([a, b]) AS p, unnest([1, 2]) AS i FROM {_IM}), m AS (SELECT DISTINCT p AS old, 'moved/' || p AS new FROM x WHERE k % 2 = 0 AND p IS NOT NULL)
+      SELECT k, string_agg(coalesce(new, p), '|' ORDER BY i) AS paths FROM x LEFT JOIN m ON x.p = m.old WHERE p IS NOT NULL GROUP BY k""",
     "class_claims": rf"""SELECT doc_id, concat_ws(',', {_CLAIM}) AS claims, {' OR '.join(f"contains(l, '{h}')" for h in S.HEDGES)} AS hedged, concat_ws(',', CASE WHEN regexp_matches(l, '\[captions?\s*:') THEN 'captions_marker' END, CASE WHEN contains(l, '[boxes]') THEN 'boxes_marker' END) AS leaks FROM (SELECT doc_id, lower(text) AS l FROM {_D})""",
     "contract_scores": rf"""WITH c AS (SELECT {_K} AS k, CASE WHEN ({_K}) % 7 = 0 THEN 'Short text.' ELSE 'The water covers about ' || l_quantity::INT || '% of a scene with trees, roads and an uncertain glacier far behind the town.' END AS prose, [{', '.join("'" + b + "'" for b in _BLOCKS)}][({_K}) % {len(_BLOCKS)} + 1] AS body FROM lineitem),
       t AS (SELECT k, CASE WHEN k % 11 = 0 THEN prose WHEN k % 13 = 0 THEN '[boxes] ' || prose ELSE prose || chr(10) || '```json' || chr(10) || body || chr(10) || '```' END AS c FROM c),
@@ -337,7 +338,10 @@ SQL = {
       z AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN hedged THEN 0.15::DOUBLE ELSE -0.30::DOUBLE END ELSE CASE WHEN known = 2 THEN 0.28::DOUBLE WHEN known = 1 THEN 0.18::DOUBLE ELSE -0.15::DOUBLE END - least(2, invented) * 0.1::DOUBLE END + 0.5::DOUBLE - least(0.20::DOUBLE, misses * 0.10::DOUBLE) - CASE WHEN denies THEN 0.20::DOUBLE ELSE 0 END AS s FROM y)
       SELECT doc_id, CASE WHEN trim(l, ' ') = '' THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(1, CASE WHEN leak THEN least(s, 0.40::DOUBLE) ELSE s END)), 4) END AS score FROM z""",
     "label_names": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'water' WHEN 1 THEN 'vegetation' WHEN 2 THEN 'bare' WHEN 3 THEN 'snow_ice' WHEN 4 THEN 'built' END AS label FROM part",
-    "grounding_errors": "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'json_decode' WHEN c_custkey % 7 = 0 THEN 'item_1_empty_label' WHEN c_custkey % 3 < 2 THEN 'item_1_bbox_range' ELSE 'ok' END AS error FROM customer",
+    "grounding_errors": """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'oops' ELSE '[{"label": "a", "bbox": [0.1, 0.2, 0.3, 0.4]}, {"label": "' || CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE 'b' END || '", "bbox": [0.1, 0.2, ' || ['1.7', '0.05', '0.9'][c_custkey % 3 + 1] || ', 0.9]}]' END AS t FROM customer),
+      i AS (SELECT c_custkey, unnest(range(json_array_length(t)::BIGINT)) AS i, t FROM t WHERE json_valid(t)), b AS (SELECT c_custkey, i, json_extract_string(t, '$[' || i || '].label') AS label, list_transform(range(0, 4), lambda k: json_extract_string(t, '$[' || i || '].bbox[' || k || ']')::DOUBLE) AS v FROM i),
+      e AS (SELECT c_custkey, i, CASE WHEN trim(label) = '' THEN 'empty_label' WHEN list_min(v) < 0 OR list_max(v) > 1 OR v[3] <= v[1] OR v[4] <= v[2] THEN 'bbox_range' END AS e FROM b)
+      SELECT t.c_custkey, CASE WHEN NOT json_valid(t) THEN 'json_decode' ELSE coalesce(arg_min('item_' || i || '_' || e, i) FILTER (e IS NOT NULL), 'ok') END AS error FROM t LEFT JOIN e USING (c_custkey) GROUP BY t.c_custkey, t""",
     "focus_sentences": f"SELECT c_custkey, 'In this satellite imagery, **' || {'[' + ', '.join(chr(39) + x + chr(39) for x in P.raster.LAND_COVER) + ']'}[c_custkey % 9 + 1] || '** accounts for about ' || round_even((c_custkey % 8) / 8.0::DOUBLE * 100, 1) || '% of valid pixels, showing ' || CASE WHEN c_custkey % 7 = 0 THEN 'spatially mixed appearance in this resolution.' WHEN c_custkey % 7 <= 2 THEN 'one or two dominant contiguous patches.' WHEN c_custkey % 7 <= 5 THEN 'several separated patches.' ELSE 'many small fragments across the tile.' END AS text FROM customer",
     "small_object_scores": "WITH x AS (SELECT c_custkey, c_custkey % 6 + 1 AS n, [(c_custkey % 10 + i) / 100.0::DOUBLE for i in range(1, c_custkey % 6 + 2)] AS a FROM customer) SELECT c_custkey, round(list_avg([greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (y - 0.02::DOUBLE) / 0.06::DOUBLE)) for y in a]) * greatest(0.0::DOUBLE, 1.0::DOUBLE - greatest(0, n - 3) * 0.12::DOUBLE), 6) AS score FROM x",
     "hash_labels": "WITH u AS (SELECT ('0x' || substr(sha256('label|' || c_custkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM customer) SELECT CASE WHEN u < 0.25 THEN 0 WHEN u < 0.75 THEN 1 ELSE 7 END::BIGINT AS class_id, count(*) AS n FROM u GROUP BY 1",
