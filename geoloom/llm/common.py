@@ -41,6 +41,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a worker keeps between tasks: the last large thing that was asked for.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What make gives, kept by its name in a worker until another is asked for, so that workers that later stages use again hold no automaton or vocabulary of an earlier one."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores put before it until no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, map_rows, written
+from .common import checkpointed, free_name, kept, map_rows, written
 
 WINDOW = 10
 #: Words of the items in one automaton at most (about 60 nodes a window, 150 MB); more items are scanned in as many blocks.
@@ -29,10 +29,6 @@ ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 HITS = "doc_id long, key long, ranges array<struct<first:int,last:int>>, items array<long>"
 
-#: The automaton that a worker made last, by the name of its block, so that tasks of one worker share it.
-_made: dict[str, object] = {}
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The normalised words of a text, as UTF-8."""
     return (text or "").encode().translate(_TABLE).split()
@@ -121,10 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
 
 def _machine(name: str, sent, window: int):
     """The automaton of a block, made once for each worker."""
-    if name not in _made:
-        _made.clear()
-        _made[name] = automaton(sent.value, window)
-    return _made[name]
+    return kept(name, lambda: automaton(sent.value, window))
 
 
 def _hits(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:

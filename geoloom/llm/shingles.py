@@ -20,19 +20,28 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _SEPARATE = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: Powers up to this one are kept; those of a longer text are made for it alone.
+_KEPT_POWERS = 1 << 18
+
+
 class _Powers:
-    """Powers of the base and of its inverse modulo 2 ** 64, as far as the longest text so far."""
+    """Powers of the base and of its inverse modulo 2 ** 64."""
 
     up = down = np.ones(1, dtype=np.uint64)
 
     @classmethod
-    def to(cls, n: int) -> None:
-        if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up))
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                step = np.full(size, base, dtype=np.uint64)
-                step[0] = 1
-                setattr(cls, name, np.cumprod(step, dtype=np.uint64))
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least n of both."""
+        if len(cls.up) >= n:
+            return cls.up, cls.down
+        made = []
+        for base in (_BASE, _INVERSE):
+            step = np.full(max(n, _KEPT_POWERS), base, dtype=np.uint64)
+            step[0] = 1
+            made.append(np.cumprod(step, dtype=np.uint64))
+        if n <= _KEPT_POWERS:
+            cls.up, cls.down = made
+        return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,11 +66,11 @@ def shingles(words: bytes, width: int = WIDTH) -> np.ndarray:
     if not words:
         return np.empty(0, dtype=np.uint64)
     chars = np.frombuffer(words, dtype=np.uint8)
-    _Powers.to(len(chars) + 1)
+    up, down = _Powers.to(len(chars) + 1)
     gaps = np.flatnonzero(chars == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(chars)]))
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[chars] * _Powers.up[: len(chars)], dtype=np.uint64)))
-    word = mix((sums[ends] - sums[starts]) * _Powers.down[starts] + (ends - starts).astype(np.uint64))
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[chars] * up[: len(chars)], dtype=np.uint64)))
+    word = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     size = min(width, len(word))
     made = np.zeros(len(word) - size + 1, dtype=np.uint64)
     for j in range(size):

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from functools import lru_cache
 from sys import byteorder
 
+from .common import kept
+
 #: Entries of a worker's cache; it starts anew when full.
 CACHE_ENTRIES = 400_000
 #: The fast path takes texts of characters below this one: their classes and lower case are the same in every Unicode version, and composing leaves them alone.
@@ -55,9 +57,12 @@ _LETTERS = _byte_letters()
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-@lru_cache(maxsize=8)
 def tokenizer(path: str):
     """The library's tokenizer of a .json file, one in each worker; it uses no threads of its own."""
+    return kept(f"tokenizer {path}", lambda: _loaded(path))
+
+
+def _loaded(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
