@@ -16,6 +16,9 @@ from .frames import checkpointed
 #: Degrees of the largest cells; halvings of them at most; edges up to which a cell isn't cut further. Results don't depend on these.
 LARGEST, HALVINGS, FEW_EDGES = 8.0, 8, 12
 
+#: Fixed value: degrees from an edge within which a point lies on it.
+NEAR = 1e-12
+
 _EDGE = "array<struct<ax:double,ay:double,bx:double,by:double>>"
 
 
@@ -29,13 +32,24 @@ def edges_of(rings: Column) -> Column:
     return F.filter(all_, lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
 
 
-def _level_x(e: Column, y: Column) -> Column:
-    """Where an edge that isn't level crosses a height."""
-    return (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]
+def _side(e: Column, x: Column, y: Column) -> Column:
+    """Twice the area between an edge and a point: negative right of the way from a to b, in degrees squared."""
+    return (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+
+
+def _above(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge that passes a point's longitude passes above the point.
+
+    Where its bounds hold the point, this and _beyond() follow from the same sign, so a way that bends on the edge itself crosses it twice or not at all however _side() is rounded.
+    """
+    a, b = e["ay"] > y, e["by"] > y
+    return F.when(a == b, a).otherwise((_side(e, x, y) >= 0) == (e["bx"] < e["ax"]))
 
 
-def _upright_y(e: Column, x: Column) -> Column:
-    return (e["by"] - e["ay"]) * (x - e["ax"]) / F.nullif(e["bx"] - e["ax"], F.lit(0.0)) + e["ay"]
+def _beyond(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge that passes a point's latitude passes to the right of the point."""
+    a, b = e["ax"] > x, e["bx"] > x
+    return F.when(a == b, a).otherwise((_side(e, x, y) >= 0) == (e["by"] > e["ay"]))
 
 
 def _odd(edges: Column, crosses) -> Column:
@@ -44,7 +58,7 @@ def _odd(edges: Column, crosses) -> Column:
 
 def inside(edges: Column, x: Column, y: Column) -> Column:
     """Even-odd rule by a ray to the right over all edges."""
-    return _odd(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < _level_x(e, y)))
+    return _odd(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & _beyond(e, x, y))
 
 
 def changed_between(edges: Column, x0: Column, y0: Column, x: Column, y: Column) -> Column:
@@ -52,17 +66,16 @@ def changed_between(edges: Column, x0: Column, y0: Column, x: Column, y: Column)
 
     Points are taken a hair to the right and above of where they are, as the ray's rule has it, so corners and level edges count once.
     """
-    between = lambda v, a, b: (v > F.least(a, b)) & (v <= F.greatest(a, b))
-    up = _odd(edges, lambda e: ((e["ax"] > x0) != (e["bx"] > x0)) & between(_upright_y(e, x0), y0, y))
-    across = _odd(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & between(_level_x(e, y), x0, x))
+    up = _odd(edges, lambda e: ((e["ax"] > x0) != (e["bx"] > x0)) & (_above(e, x0, y0) != _above(e, x0, y)))
+    across = _odd(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (_beyond(e, x0, y) != _beyond(e, x, y)))
     return up != across
 
 
 def touches(edges: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies on an edge."""
+    """Whether a point lies on an edge, within the rounding of degrees: NEAR of it, up or across."""
     def on(e: Column) -> Column:
-        level = F.abs((e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])) < 1e-12
-        return level & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+        level = F.abs(_side(e, x, y)) <= F.greatest(F.abs(e["bx"] - e["ax"]), F.abs(e["by"] - e["ay"])) * NEAR
+        return level & x.between(F.least(e["ax"], e["bx"]) - NEAR, F.greatest(e["ax"], e["bx"]) + NEAR) & y.between(F.least(e["ay"], e["by"]) - NEAR, F.greatest(e["ay"], e["by"]) + NEAR)
 
     return F.exists(edges, on)
 
@@ -75,8 +88,7 @@ def _touching(edges: Column, x0: Column, y0: Column, size: float) -> Column:
 
     def meets(e: Column) -> Column:
         bounds = (F.least(e["ax"], e["bx"]) <= x1) & (F.greatest(e["ax"], e["bx"]) >= x0) & (F.least(e["ay"], e["by"]) <= y1) & (F.greatest(e["ay"], e["by"]) >= y0)
-        side = lambda x, y: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
-        corners = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
+        corners = [_side(e, x, y) for x in (x0, x1) for y in (y0, y1)]
         return bounds & (F.least(*corners) <= hair) & (F.greatest(*corners) >= -hair)
 
     return F.filter(edges, meets)

@@ -133,6 +133,18 @@ def test_holding_against_even_odd(spark, largest, halvings, few):
     assert got == {(i, k) for i, (x, y) in enumerate(points) for k, _, rings in rows if even_odd(rings, x, y)}
 
 
+def test_ways_that_bend_on_an_edge(spark):
+    # The edges of these diamonds pass the sides of cells at the points' own latitudes, but for rounding.
+    diamond = lambda x, y, h: [(x + h, y), (x, y + h), (x - h, y), (x, y - h)]
+    rows, at = [], [(8, -57.68, -61.28, 6.0), (7, -104.32, -11.12, 5.0), (13, -111.68, -40.08, 6.0), (10, 35.6, -25.6, 3.0)]
+    for i, x, y, h in at:
+        rows.append((i, h, [diamond(x, y, h), diamond(x, y, h / 2), diamond(x + 2 * h, y, h / 3)]))
+    points = [(3682, -61.6, -50.9), (14112, -60.6, -57.9), (28736, -11.8, -94.7), (36998, -42.4, -104.1), (44718, -38.4, -114.1), (43664, -28.2, 43.7), (85659, -26.7, 37.2)]
+    got = {(r["id"], r["polygon_id"]) for r in areas.holding(spark.createDataFrame(points, PLACE), polygon_table(spark, rows)).collect()}
+    held = lambda a, o, x, y, h: h / 2 <= abs(o - x) + abs(a - y) <= h or abs(o - x - 2 * h) + abs(a - y) <= h / 3
+    assert got == {(i, k) for i, a, o in points for k, x, y, h in at if held(a, o, x, y, h)} == {(28736, 7), (44718, 13), (85659, 10)}
+
+
 def test_cells_inside_need_no_edges(spark):
     cells = areas.cover(polygon_table(spark, polygon_rows(5)[-1:])).collect()
     assert sum(not c["edges"] for c in cells) > 800 and all(len(c["edges"]) <= 4 for c in cells)
