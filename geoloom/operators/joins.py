@@ -6,7 +6,7 @@ a cell, the side that is looked up is spread by the cells it covers and Spark sp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -38,23 +38,30 @@ def scene_pairs(events: DataFrame, scenes: DataFrame, *, key: str, before_days:
     events have event_id, a key of the place and event_ts; scenes have scene_id, the key, scene_ts and cloud.
     A scene must be less cloudy than most_cloud and lie within the windows, by days. The best is the nearest in
     time, then the least cloudy, then (before the event) the later, (after it) the earlier, then the lesser id.
-    Scenes are met by month buckets, so an event meets a few buckets of its place, not all its scenes; the best is an
-    aggregate, which combines before the shuffle. cloud_zero_is_missing counts a cover of 0 as 100, as one source does.
+    Only the last scene up to an event and the first one from it on can be the best, of equal times the least cloudy. They are
+    looked for among the scenes of the event's own day, and then in one row for each place and day; no event meets all scenes near it.
+    cloud_zero_is_missing counts a cover of 0 as 100, as one source does.
     """
-    bucket = 30
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
-    e = events.withColumn("__d", day("event_ts")).withColumn("__b", F.explode(F.sequence(F.floor((F.col("__d") - before_days) / bucket), F.floor((F.col("__d") + after_days) / bucket))))
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     cloud = F.when((F.col("cloud") == 0) & F.lit(cloud_zero_is_missing), 100.0).otherwise(F.coalesce("cloud", F.lit(100.0)))
-    s = scenes.where(F.coalesce("cloud", F.lit(100.0)) < most_cloud).withColumn("__c", cloud).withColumn("__sd", day("scene_ts")).withColumn("__b", F.floor(F.col("__sd") / bucket))
-    pairs = e.join(s.drop("cloud"), [key, "__b"])
-    gap = F.abs(F.unix_micros(F.col("scene_ts").cast("timestamp")) - F.unix_micros(F.col("event_ts").cast("timestamp")))
-    at = F.unix_micros(F.col("scene_ts").cast("timestamp"))
-    early = F.col("__sd").between(F.col("__d") - before_days, F.col("__d"))
-    late = F.col("__sd").between(F.col("__d"), F.col("__d") + after_days)
-    rank = lambda sign: F.struct(gap, F.col("__c"), sign * at, F.col("scene_id"))
-    best = pairs.groupBy("event_id").agg(
-        F.min(F.when(early, rank(F.lit(-1)))).alias("b"),
-        F.min(F.when(late, rank(F.lit(1)))).alias("a"),
+    clear = scenes.where((F.coalesce("cloud", F.lit(100.0)) < most_cloud) & F.col(key).isNotNull() & F.col("scene_ts").isNotNull())
+    s = clear.select(F.col(key).alias("k"), day("scene_ts").alias("d"), at("scene_ts").alias("at"), F.struct(cloud.alias("cloud"), F.col("scene_id").alias("id")).alias("x"))
+    s = s.groupBy("k", "d", "at").agg(F.min("x").alias("x")).select("k", "d", "at", F.lit(None).cast(dict(events.dtypes)["event_id"]).alias("event_id"), F.struct("at", "d", "x.cloud", "x.id").alias("s"))
+    e = events.where(F.col(key).isNotNull() & F.col("event_ts").isNotNull() & F.col("event_id").isNotNull())
+    e = e.select(F.col(key).alias("k"), day("event_ts").alias("d"), at("event_ts").alias("at"), "event_id", F.lit(None).cast(dict(s.dtypes)["s"]).alias("s"))
+    both = s.unionByName(e)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    up_to = lambda *order: Window.partitionBy("k", "d").orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)
+    beyond = lambda *order: Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy("k", "d").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    days = days.select("k", "d", last("hi", beyond("d")).alias("day_before"), last("lo", beyond(F.desc("d"))).alias("day_after"))
+    found = both.select("k", "d", "at", "event_id", last("s", up_to("at")).alias("p"), last("s", up_to(F.desc("at"))).alias("n")).where("event_id is not null").join(days, ["k", "d"])
+    found = found.select("event_id", "d", "at", F.coalesce("p", "day_before").alias("p"), F.coalesce("n", "day_after").alias("n"))
+    rank = lambda c, sign, low, high: F.when(F.col(f"{c}.d").between(F.col("d") - low, F.col("d") + high), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")), F.col(f"{c}.cloud"), sign * F.col(f"{c}.at"), F.col(f"{c}.id").alias("scene_id")))
+    best = found.groupBy("event_id").agg(
+        F.min(F.least(*[rank(c, -1, before_days, 0) for c in "pn"])).alias("b"),
+        F.min(F.least(*[rank(c, 1, 0, after_days) for c in "pn"])).alias("a"),
     )
     return events.select("event_id").join(best, "event_id", "left").select("event_id", F.col("b.scene_id").alias("before_id"), F.col("a.scene_id").alias("after_id"))
 

@@ -1,10 +1,13 @@
 """Catalogs, stores, pixels, rows and scores on small tables with nulls, ties, repeats and clashing names."""
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import boxes, text
-from geoloom.operators import catalog, dedup, pixels, ranking, regions, rows, scoring, stores, summaries
+from geoloom.operators import catalog, dedup, joins, pixels, ranking, regions, rows, scoring, stores, summaries
 
 
 def rows_of(df):
@@ -127,3 +130,49 @@ def test_summaries_of_errors_only(spark):
     r = summaries.by_model(df, ["lexical"]).first()
     assert (r["n"], r["errors"], r["n_passed"], r["mean_score"], r["mean_lexical"]) == (2, 1, 0, 0.5, 0.25)
     assert summaries.parsed_thresholds("0.5, x 0.5 2 .25") == [0.25, 0.5]
+
+
+def scene_rows(seed, n_events=150, n_scenes=400):
+    """Events and scenes of a few sites and days, with equal times, equal gaps, nulls and repeated events."""
+    rng, start = random.Random(seed), datetime(2024, 1, 1)
+    when = lambda: start + timedelta(days=rng.choice([*range(8), 70, 95, 120]), hours=rng.choice([0, 6, 12, 18, 23]))
+    events = [(i, rng.choice(["a", "a", "b", None]), None if i % 40 == 0 else when()) for i in range(n_events)]
+    scenes = [(i, rng.choice(["a", "a", "b", "c", None]), None if i % 50 == 0 else when(), rng.choice([None, 0.0, 5.0, 10.0, 50.0])) for i in range(n_scenes)]
+    return events + events[:9], scenes
+
+
+@pytest.mark.parametrize("zero", [False, True])
+def test_scene_pairs_against_all_pairs(spark, zero):
+    for seed, n in ((1, 400), (2, 25)):
+        events, scenes = scene_rows(seed, n_scenes=n)
+        got = joins.scene_pairs(spark.createDataFrame(events, "event_id long, site string, event_ts timestamp"), spark.createDataFrame(scenes, "scene_id long, site string, scene_ts timestamp, cloud double"), key="site", cloud_zero_is_missing=zero)
+
+        def best(event, sign, low, high):
+            _, site, ts = event
+            met = [(abs(t - ts), 100.0 if zero and c == 0 else c, sign * (t - datetime(2024, 1, 1)), i) for i, k, t, c in scenes if ts and t and site and k == site and c is not None and c < 30 and low <= (t.date() - ts.date()).days <= high]
+            return min(met)[3] if met else None
+
+        assert sorted(tuple(r) for r in got.collect()) == sorted(((e[0], best(e, -1, -90, 0), best(e, 1, 0, 60)) for e in events), key=lambda r: r[0]), seed
+
+
+def joined_rows(df):
+    """The rows of every join of a plan that has run."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            out.append(node.metrics().get("numOutputRows").get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_scene_pairs_meet_no_crowd(spark):
+    events = spark.range(500).select(F.col("id").alias("event_id"), F.lit("a").alias("site"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 1000).alias("event_ts"))
+    scenes = spark.range(5000).select(F.col("id").alias("scene_id"), F.lit("a").alias("site"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 100).alias("scene_ts"), F.lit(1.0).alias("cloud"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = joins.scene_pairs(events, scenes, key="site")
+        assert sorted(map(tuple, df.collect())) == [(i, i * 10, i * 10) for i in range(500)]
+        assert 0 < sum(joined_rows(df)) <= 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
