@@ -16,6 +16,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many partitions as the cluster has cores or shuffles have partitions, however small it is."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, as checkpoints use it."""
     context = spark.sparkContext

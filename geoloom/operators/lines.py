@@ -1,25 +1,20 @@
 """Distances from places to lines (rivers, lake shores, coasts), on the sphere.
 
-A line is a path of great-circle arcs. Places are bounded by cell first: the middle of each cell that has places looks for the nearest of points
-sampled from the lines, and then only arcs near enough to hold the nearest one for any place of the cell are measured. So a cell that holds a third of all places is one row in
-the search, and its places meet a few arcs.
+A line is a path of great-circle arcs. Points sampled from the arcs stand for them: by these each position that places share finds the few arcs that may be the
+nearest (close.candidates), and only those are measured. The step between samples follows from the length of all arcs, so they are a few for each arc and position.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from math import pi
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .frames import checkpointed
-from .joins import cell_of, nearest, within_km
+from .close import candidates
+from .frames import checkpointed, dealt
 
-#: Kilometres of the smallest search, and between samples in the first one.
-SMALLEST_KM, SAMPLE_KM = 10.0, 25.0
-_HALF_TURN_KM = pi * geo.RADIUS_KM
+#: The least step between samples in kilometres; samples for each arc and position, about. Results don't depend on these.
+SMALLEST_KM, SAMPLES = 0.01, 4
 
 
 def _vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
@@ -80,31 +75,19 @@ def nearest_line(places: DataFrame, lines: DataFrame, *, place: str = "id", line
     """(place, line, km): the nearest line of each place and the distance to it; ties go to the lesser line.
 
     Places without coordinates have no row, and where there are no lines no place has. Other columns aren't read. degrees is the size of
-    the cells in which places are bounded together; results don't depend on it.
+    cells that bounded places before and isn't used any more; results don't depend on it.
     """
-    all_arcs = checkpointed(arcs(lines, line=line, path=path))
-    rows = places.select(F.col(place).alias("id"), "lat", "lon").where("lat is not null and lon is not null").withColumn("cell", cell_of(F.col("lat"), F.col("lon"), degrees))
-    columns = int(360 // degrees) + 2
-    middle = lambda i, shift, most: F.least(F.lit(most), (i + 0.5) * degrees - shift)
-    cells = checkpointed(rows.select("cell").distinct().select("cell", middle(F.floor(F.col("cell") / columns), 90.0, 90.0).alias("lat"), middle(F.col("cell") % columns, 180.0, 180.0).alias("lon")))
-    # No place of a cell is farther from its middle. The nearest sample bounds how far the middle is from a line.
-    half = degrees * 79.0
-    bound = nearest(cells, sampled(all_arcs, SAMPLE_KM).select(F.lit(0).alias("sample"), "lat", "lon"), place="cell", feature="sample", start_km=max(SMALLEST_KM, 2 * half))
-    # A place is at most half from the middle, and so is what is nearest to it from the middle's bound.
-    reach = F.least(F.lit(_HALF_TURN_KM), F.col("km") + 2 * half + 1e-6)
-    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / SMALLEST_KM) / 2)).cast("int")
-    wanted = checkpointed(cells.join(bound.select("cell", reach.alias("reach"), level.alias("level")), "cell"))
-    met = []
-    for found in sorted(r["level"] for r in wanted.select("level").distinct().collect()):  # at most as often as the smallest search grows fourfold
-        radius = SMALLEST_KM * 4**found
-        samples = sampled(all_arcs, radius / 4).select(F.struct("line_id", "arc").alias("at"), "lat", "lon")
-        near = within_km(wanted.where(F.col("level") == found), samples, min(_HALF_TURN_KM, radius * 1.125) + 1.0, id_a="cell", id_b="at", degrees=max(0.05, min(30.0, radius / 55.0)))
-        met.append(near.select(F.col("id_a").alias("cell"), F.col("id_b").alias("at"), (F.col("km") - radius / 8).alias("least")))
-    if not met:
+    all_arcs = checkpointed(dealt(arcs(lines, line=line, path=path), "arc"))
+    rows = places.select(F.col(place).alias("id"), "lat", "lon").where("lat is not null and lon is not null")
+    positions = checkpointed(rows.select("lat", "lon").distinct())
+    c = lambda n: F.col(f"arc.{n}")
+    n_arcs, length = all_arcs.agg(F.count("*"), F.sum(geo.haversine_km(c("lat1"), c("lon1"), c("lat2"), c("lon2")))).first()
+    if not n_arcs:
         return rows.select(F.col("id").alias(place), F.lit(None).cast(dict(all_arcs.dtypes)["line_id"]).alias(line), F.lit(None).cast("double").alias("km")).limit(0)
-    close = reduce(DataFrame.unionByName, met).join(wanted.select("cell", "reach"), "cell").where("least <= reach").select("cell", "at").distinct()
-    at = [F.col(f"at.arc.{c}") for c in ("lat1", "lon1", "lat2", "lon2")]
-    measured = rows.join(close, "cell").select("id", F.struct(arc_km(F.col("lat"), F.col("lon"), *at).alias("km"), F.col("at.line_id").alias("line")).alias("d"))
-    return measured.groupBy("id").agg(F.min("d").alias("d")).select(F.col("id").alias(place), F.col("d.line").alias(line), F.col("d.km").alias("km"))
-
-
+    every = max(SMALLEST_KM, length / (SAMPLES * (n_arcs + positions.count())))
+    # An arc's nearest point is within half a step of one of its samples.
+    close = candidates(positions, sampled(all_arcs, every).select(F.struct("line_id", "arc").alias("at"), "lat", "lon"), every / 2)
+    at = [F.col(f"at.arc.{n}") for n in ("lat1", "lon1", "lat2", "lon2")]
+    best = close.groupBy("lat", "lon").agg(F.min(F.struct(arc_km(F.col("lat"), F.col("lon"), *at).alias("km"), F.col("at.line_id").alias("line"))).alias("d"))
+    own = rows.join(best, ["lat", "lon"]).groupBy("id").agg(F.min("d").alias("d"))
+    return own.select(F.col("id").alias(place), F.col("d.line").alias(line), F.col("d.km").alias("km"))

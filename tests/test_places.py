@@ -6,8 +6,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from geoloom.operators import areas, lines, pairs, sampling
+from geoloom.operators import areas, close, lines, pairs, sampling
 from geoloom.sources import readers
 
 from test_geo import km, places
@@ -74,6 +75,17 @@ def test_nearest_line_against_walks(spark, degrees):
     assert got[5000]["km"] < 2600 and got[5001]["km"] < 30  # an arc bulges to the pole, and goes over the date line
 
 
+def test_nearest_line_at_a_distance_meets_the_edge_of_a_crowd(spark):
+    crowd = [(i, [(60.0 + i % 40 * 0.2, i // 40 * 7.0 - 170), (60.1 + i % 40 * 0.2, i // 40 * 7.0 - 169)]) for i in range(1600)]
+    far = [(i, 20.0 + i % 7, i * 3.0 - 170) for i in range(100)]
+    arcs = lines.arcs(line_table(spark, crowd))
+    points = lines.sampled(arcs, 50.0).select(F.struct("line_id", "arc").alias("at"), "lat", "lon")
+    assert close.candidates(spark.createDataFrame(far, PLACE).select("lat", "lon"), points, 25.0).count() < 1500
+    got = {r["id"]: r["km"] for r in lines.nearest_line(spark.createDataFrame(far, PLACE), line_table(spark, crowd)).collect()}
+    for i, lat, lon in far[::9]:
+        assert got[i] == pytest.approx(min(arc_km((lat, lon), *p) for _, p in crowd if p[0][0] < 62), abs=0.01)
+
+
 def test_nearest_line_of_nothing_and_ties(spark):
     df = spark.createDataFrame([(1, 0.0, 5.0)], PLACE)
     assert lines.nearest_line(df, line_table(spark, [])).count() == 0
