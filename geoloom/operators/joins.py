@@ -107,22 +107,22 @@ def within_km(a: DataFrame, b: DataFrame, km: float, *, id_a: str = "id", id_b:
 
 
 def nearest(places: DataFrame, features: DataFrame, *, place: str = "id", feature: str = "feature_id", start_km: float = 50.0) -> DataFrame:
-    """(place, feature, km): the nearest feature of each place, by ever wider search in the grid.
+    """(place, feature, km): the nearest feature of each place. Ties go to the lesser feature id.
 
-    Places that find nothing within a radius look again within four times as much, so only lonely ones search
-    widely. Ties go to the lesser feature id.
+    Each position that places share finds the few features that may be nearest by pairs of cubes (close.candidates), so a place far from all features doesn't meet all of them.
+    Places without coordinates have no row. start_km was the first radius of a search by rings; it has no effect.
     """
+    from .close import candidates
     from .frames import checkpointed
 
-    km, left, found = start_km, places.select(place, "lat", "lon"), None
-    while True:
-        near = within_km(left, features, km, id_a=place, id_b=feature).groupBy("id_a").agg(F.min(F.struct("km", "id_b")).alias("best"))
-        near = checkpointed(near.select(F.col("id_a").alias(place), F.col("best.id_b").alias(feature), F.col("best.km").alias("km")))
-        found = near if found is None else found.unionByName(near)
-        left = checkpointed(left.join(near.select(place), place, "left_anti"))
-        km *= 4
-        if km > 80_000 or left.isEmpty():
-            return found
+    rows = places.select(F.col(place).alias("__p"), "lat", "lon").where("lat is not null and lon is not null")
+    # Of features at one point only the least can win.
+    points = features.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min(feature).alias("id")).select(F.struct("id", F.col("lat").alias("y"), F.col("lon").alias("x")).alias("at"), "lat", "lon")
+    met = candidates(rows.select("lat", "lon").distinct(), points, 0.0)
+    far = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("at.y"), F.col("at.x"))
+    best = checkpointed(met.groupBy("lat", "lon").agg(F.min(F.struct(far.alias("km"), F.col("at.id").alias("id"))).alias("d")))
+    own = rows.join(best, ["lat", "lon"]).groupBy("__p").agg(F.min("d").alias("d"))
+    return own.select(F.col("__p").alias(place), F.col("d.id").alias(feature), F.col("d.km").alias("km"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:

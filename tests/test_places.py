@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import areas, close, lines, pairs, sampling
+from geoloom.operators import areas, close, joins, lines, pairs, sampling
 from geoloom.sources import readers
 
 from test_geo import km, places
@@ -86,6 +86,16 @@ def test_nearest_line_at_a_distance_meets_the_edge_of_a_crowd(spark):
         assert got[i] == pytest.approx(min(arc_km((lat, lon), *p) for _, p in crowd if p[0][0] < 62), abs=0.01)
 
 
+def test_nearest_far_from_a_crowd(spark, monkeypatch):
+    crowd = [(i, 70.0 + i % 40 * 0.1, i // 40 * 0.1) for i in range(1600)] + [(2000, 70.0, 0.0)]
+    far = [(i, -80.0 + i % 40, i * 1.7 - 170) for i in range(200)] + [(500, None, 1.0)]
+    monkeypatch.setattr(joins, "within_km", None)  # rings around a lonely place hold the whole crowd
+    got = {r["id"]: (r["feature_id"], r["km"]) for r in joins.nearest(spark.createDataFrame(far, PLACE), spark.createDataFrame(crowd, "feature_id long, lat double, lon double")).collect()}
+    assert len(got) == 200
+    for i, lat, lon in far[:200:7]:
+        assert got[i][1] == pytest.approx(min(km(lat, lon, y, x) for _, y, x in crowd), abs=1e-6)
+
+
 def test_nearest_line_of_nothing_and_ties(spark):
     df = spark.createDataFrame([(1, 0.0, 5.0)], PLACE)
     assert lines.nearest_line(df, line_table(spark, [])).count() == 0
