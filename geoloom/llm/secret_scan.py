@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from heapq import heappop, heappush
 from math import log10
 
@@ -56,8 +56,8 @@ WORDS, LEAST_COUNT = 20_000, 20
 PART = 64
 #: A cost from here on isn't told apart: no attacker tries so many, and a value's cut ends where all ways are as dear.
 DEAREST = 60.0
-#: Characters up to which repeats of units of any length are looked for; in longer values units have up to PART.
-ANY_UNIT = 4096
+#: Each level of hashes, by which units beyond PART are found, is of stretches so many times as long as the one before.
+WIDER = 8
 
 # Words that passwords are made of, the most common first.
 COMMON = """password admin welcome login letmein master secret qwerty dragon monkey shadow sunshine princess football
@@ -142,19 +142,72 @@ class _Value:
             low = "".join(c.lower() if c.isascii() else c for c in value)
         self.low, self.forms = low, {low, low.translate(LEET)}
         self.ends = [0] * len(STEPS)
-        self.repeats = self._repeats()
-
-    def _repeats(self) -> list[tuple[int, list[int], list[int]]]:
-        """For each unit's length the first places and the ends of the stretches that repeat after it, where it fits twice at least."""
-        codes = np.frombuffer(self.value.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        n, out = len(codes), []
-        for unit in range(1, (n // 2 if n <= ANY_UNIT else min(n // 2, PART)) + 1):
-            same = np.flatnonzero(codes[:-unit] != codes[unit:])
-            starts, ends = np.concatenate(([0], same + 1)), np.concatenate((same, [n - unit]))
-            long_ = ends - starts >= unit
-            if long_.any():
-                out.append((unit, starts[long_].tolist(), (ends[long_] + unit).tolist()))
-        return out
+        self.stretches: dict[int, tuple[int, int]] = {}  # of each unit's length the start and end of the last stretch met that repeats after it
+        self.hashes: list[tuple[int, np.ndarray]] = []
+
+    def _same(self, a: int, b: int) -> int:
+        """How many characters from a on are those from b on, which is after a."""
+        value, n, k, step = self.value, len(self.value), 0, PART
+        while b + k + step <= n and value[a + k : a + k + step] == value[b + k : b + k + step]:
+            k, step = k + step, step * 2
+        while step > 1:
+            step //= 2
+            if b + k + step <= n and value[a + k : a + k + step] == value[b + k : b + k + step]:
+                k += step
+        return k
+
+    def _stretch(self, i: int, unit: int) -> int:
+        """The end of the stretch from i on that repeats after so many characters; 0 if they don't fit in it twice."""
+        start, end = self.stretches.get(unit, (0, 0))
+        if start <= i <= end - unit:  # the character at end differs from the one a unit before
+            return end if i + 2 * unit <= end else 0
+        if self.value[i] != self.value[i + unit]:
+            return 0
+        end = i + unit + self._same(i, i + unit)
+        self.stretches[unit] = i, end
+        return end if i + 2 * unit <= end else 0
+
+    def _levels(self) -> list[tuple[int, np.ndarray]]:
+        """Hashes of the stretches that begin at each place, of PART characters and of WIDER times as many again and again, as far as two fit."""
+        if not self.hashes:
+            h = np.frombuffer(self.value.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) * np.uint32(0x9E3779B1)
+            size, wanted = 1, PART
+            while 2 * wanted <= len(self.value):
+                while size < wanted:
+                    h = h[:-size] * np.uint32(0x85EBCA6B) + h[size:]
+                    h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+                    size *= 2
+                self.hashes.append((size, h))
+                wanted *= WIDER
+        return self.hashes
+
+    def _repeats(self, i: int) -> Iterator[tuple[int, int]]:
+        """(length, end) of every unit that stands at i twice or more in a row, and of the stretch it repeats in; units beyond LONGEST, which no word covers, only if they aren't repeats themselves.
+
+        A unit that fits twice in the stretch of a shorter one is a repeat itself (two periods of a stretch as long as both have their divisor as a period).
+        """
+        value, n, far = self.value, len(self.value), i
+        for unit in range(1, min((n - i) // 2, PART) + 1):
+            if (unit <= LONGEST or i + 2 * unit > far) and (end := self._stretch(i, unit)):
+                far = max(far, end)
+                yield unit, end
+        least = max(PART, (far - i) // 2) + 1
+        if i + 2 * least > n or value.find(value[i : i + PART], i + least) < 0:
+            return
+        for size, h in self._levels():
+            if i + 2 * size > n:
+                return
+            # Both ends of the unit must be met again one unit later; what passes is compared whole.
+            units = np.arange(max(least, size), min(size * WIDER, (n - i) // 2 + 1))
+            units = units[h[i + units] == h[i]]
+            units = units[h[i + units - size] == h[i + 2 * units - size]]
+            while len(units):
+                unit = int(units[0])
+                end = i + unit + self._same(i, i + unit)
+                if i + 2 * unit <= end:
+                    yield unit, end
+                    least = max(least, (end - i) // 2 + 1)
+                units = units[units >= max(least, unit + 1)]
 
     def at(self, i: int) -> Iterator[tuple[int, float]]:
         """(end, cost) of every word, date, repeat and run that begins at i, and of a sign between words."""
@@ -168,14 +221,14 @@ class _Value:
         for pattern, cost in DATES:
             if m := pattern.match(value, i):
                 yield m.end(1), cost + (not m[1].isdigit()) * log10(4)
-        for unit, starts, ends in self.repeats:
-            k = bisect_right(starts, i) - 1
-            if k >= 0 and (times := (ends[k] - i) // unit) >= 2:
-                price = guess_cost(value[i : i + unit], self.rank, self.known)
-                if price < DEAREST:
-                    for k in {*range(2, min(times, max(8, PART // unit)) + 1), times}:
-                        if k * unit >= 3:
-                            yield i + k * unit, price + log10(k)
+        for unit, stretch in self._repeats(i):
+            times = (stretch - i) // unit
+            price = guess_cost(value[i : i + unit], self.rank, self.known)
+            if price < DEAREST:
+                # The last ones too: a word may begin within the stretch.
+                for k in {*range(2, min(times, max(8, PART // unit)) + 1), *range(max(2, times - LONGEST // unit), times + 1)}:
+                    if k * unit >= 3:
+                        yield i + k * unit, price + log10(k)
         for s, (step, cost, more) in enumerate(STEPS):
             if self.ends[s] <= i:
                 last = i
@@ -194,9 +247,11 @@ def guess_cost(value: str, rank: dict[str, int], known: dict[str, float] | None
     ends soon. known has the costs of units met before.
     """
     known = {} if known is None else known
-    if value in known:
-        return known[value]
     n = len(value)
+    # Long units are known by a digest, so that they aren't kept.
+    name = value if n <= PART else blake2b(value.encode("utf-8", "surrogatepass")).hexdigest()
+    if name in known:
+        return known[name]
     best, todo = {0: 0.0}, [0]
     cut = _Value(value, rank, known) if n else None
     while todo:
@@ -209,8 +264,8 @@ def guess_cost(value: str, rank: dict[str, int], known: dict[str, float] | None
                 if end not in best:
                     heappush(todo, end)
                 best[end] = total
-    known[value] = best.get(n, DEAREST)
-    return known[value]
+    known[name] = best.get(n, DEAREST)
+    return known[name]
 
 
 def find(text: str, rank: dict[str, int], cost: float = COST) -> list[tuple[int, int, int, float | None]]:
