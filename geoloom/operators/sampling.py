@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .frames import checkpointed, stored
+from .frames import checkpointed, dealt, stored
 from .joins import cell_of, within_km
 
 
@@ -32,17 +32,16 @@ def selected(df: DataFrame, key: str, *, allow: DataFrame | None = None, seed: s
     return shuffled_head(out, key, limit, seed) if seed is not None else out.orderBy(key).limit(limit)
 
 
-def spaced(places: DataFrame, key: str, apart_km: float, seed: str) -> DataFrame:
-    """The places (key, lat, lon) that a walk in seeded order keeps: each that is at least so far from all kept before.
+#: Places of the first part of the walk, and how many times as long each next part is, about. Results don't depend on these.
+FIRST_PART, LONGER = 4096, 8
+#: Kept places of a part up to which they are sent to all tasks.
+SENT = 20_000
 
-    The walk is done in rounds over all places at once: a place is kept when no undecided place nearby comes before it,
-    and what lies near a kept place goes. That gives the same places as the walk, in about as many rounds as the
-    longest chain of neighbours in falling order, which grows with the logarithm of their number.
-    """
-    ordered = places.select(F.col(key).alias("id"), "lat", "lon").withColumn("o", F.struct(seeded(F.col(key), seed).alias("h"), F.col(key).alias("k")))
-    ordered = checkpointed(ordered)
-    near = within_km(ordered, ordered, apart_km).where((F.col("id_a") != F.col("id_b")) & (F.col("km") < apart_km)).select("id_a", "id_b")
-    orders = ordered.select("id", "o")
+
+def _walked(part: DataFrame, apart_km: float) -> DataFrame:
+    """The ids that a walk keeps of a part's places (id, lat, lon, o), in rounds over all of them at once."""
+    near = within_km(part, part, apart_km).where((F.col("id_a") != F.col("id_b")) & (F.col("km") < apart_km)).select("id_a", "id_b")
+    orders = part.select("id", "o")
     # Only the edge from the later place to the earlier matters: the earlier may rule the later out.
     edges = checkpointed(near.join(orders.withColumnRenamed("id", "id_a").withColumnRenamed("o", "oa"), "id_a").join(orders.withColumnRenamed("id", "id_b").withColumnRenamed("o", "ob"), "id_b").where("ob < oa").select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")))
     undecided, kept = orders.select("id"), None
@@ -54,9 +53,34 @@ def spaced(places: DataFrame, key: str, apart_km: float, seed: str) -> DataFrame
         gone = checkpointed(edges.join(now.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("id")).distinct())
         undecided = checkpointed(undecided.join(now, "id", "left_anti").join(gone, "id", "left_anti"))
         if undecided.isEmpty():
-            break
+            return kept
         rest = edges.join(gone.withColumnRenamed("id", "later"), "later", "left_anti").join(gone.withColumnRenamed("id", "earlier"), "earlier", "left_anti")
         edges = checkpointed(rest.join(now.withColumnRenamed("id", "earlier"), "earlier", "left_anti"))
+
+
+def spaced(places: DataFrame, key: str, apart_km: float, seed: str) -> DataFrame:
+    """The places (key, lat, lon) that a walk in seeded order keeps: each that is at least so far from all kept before.
+
+    The walk is done in parts that grow, by the beginning of the seeded hash. Within a part a place is kept when no undecided place nearby comes before it, and what lies near
+    a kept place goes, in rounds over all its places at once. Then all later places that lie near those kept go too. So crowded places never meet each other as pairs: the more
+    of the walk is done, the fewer places of a neighbourhood are left. That gives the same places as the walk.
+    """
+    ordered = dealt(places.select(F.col(key).alias("id"), "lat", "lon")).withColumn("o", F.struct(seeded(F.col(key), seed).alias("h"), F.col(key).alias("k")))
+    # The hash's first digits tell how far in the walk a place comes.
+    undecided = checkpointed(ordered.withColumn("u", F.conv(F.substring("o.h", 1, 12), 16, 10).cast("double") / 2.0**48))
+    share, kept = FIRST_PART / max(undecided.count(), 1), None
+    while True:
+        part = checkpointed(undecided.where(F.col("u") < share).drop("u"))
+        now = checkpointed(_walked(part, apart_km))
+        kept = now if kept is None else kept.unionByName(now)
+        if share >= 1:
+            break
+        rest, by = undecided.where(F.col("u") >= share), part.join(now, "id", "left_semi")
+        by = F.broadcast(by) if now.count() <= SENT else by
+        gone = within_km(by, rest, apart_km).where((F.col("id_a") != F.col("id_b")) & (F.col("km") < apart_km)).select(F.col("id_b").alias("id")).distinct()
+        undecided, share = checkpointed(rest.join(gone, "id", "left_anti")), share * LONGER
+        if undecided.isEmpty():
+            break
     return places.join(kept.withColumnRenamed("id", key), key, "left_semi")
 
 
