@@ -15,9 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: a table of one small file has one partition, too few for work that is heavy by row. Larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df over all cores, in as many tasks as shuffles have: files of few partitions or row groups have too few for work that is heavy by row, and these tasks would grow with the table. Tables of more partitions stay as they are."""
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def lat_of(key: Column) -> Column:
