@@ -155,7 +155,7 @@ def path_remap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sidecars(spark: SparkSession, d: str) -> DataFrame:
-    o = t.table(spark, d, "orders")
+    o = t.spread(t.table(spark, d, "orders").select("o_orderkey", "o_orderpriority"))
     k = F.col("o_orderkey")
     fr = F.map_from_arrays(F.array(F.lit(0), F.lit(1), F.lit(6)), F.array((k % 3).cast("double"), F.lit(1.0), (k % 2).cast("double")))
     box = lambda label, x2: F.struct(F.lit(label).alias("label"), F.array(F.lit(0.25), F.lit(0.5), x2, F.lit(1.0)).alias("box"))
