@@ -6,6 +6,8 @@ a cell, the side that is looked up is spread by the cells it covers and Spark sp
 
 from __future__ import annotations
 
+from math import pi, sin
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,56 @@ def within_km(a: DataFrame, b: DataFrame, km: float, *, id_a: str = "id", id_b:
     return left.join(right, "__cell").withColumn("km", far).where(F.col("km") <= km).select("id_a", "id_b", "km")
 
 
+#: Ids of one position in a row, and of a cell's side in a tile, at most; pairs of ids that may be near for each task, about. Results don't depend on these.
+TILE, TASK_PAIRS = 4096, 16_000_000
+
+
+def _positions(df: DataFrame, key: str) -> DataFrame:
+    """(lat, lon, x, y, z, ids, n): the positions of places, on the unit sphere too, with their n ids; a position of very many has several rows."""
+    from .frames import checkpointed
+
+    rows = df.select(F.struct(F.col(key).alias("id")).alias("id"), "lat", "lon").where("lat is not null and lon is not null")
+    crowded = rows.groupBy("lat", "lon").agg(F.ceil(F.count("*") / TILE).alias("of")).where("of > 1")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("of", F.lit(1)))
+    made = rows.join(F.broadcast(crowded), ["lat", "lon"], "left").groupBy("lat", "lon", part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    a, o = F.radians("lat"), F.radians("lon")
+    return checkpointed(made.select("lat", "lon", (F.cos(a) * F.cos(o)).alias("x"), (F.cos(a) * F.sin(o)).alias("y"), F.sin(a).alias("z"), "ids", F.size("ids").alias("n")))
+
+
+def near_pairs(a: DataFrame, b: DataFrame, km: float, *, id_a: str = "id", id_b: str = "id", degrees: float | None = None) -> DataFrame:
+    """within_km for many places: as many tasks as there are pairs to make, however these are spread, and one distance for each two positions.
+
+    The pairs that come out can grow with the product of both sides; a task's share of them doesn't. Cells with many places on both sides are cut into tiles.
+    """
+    from .frames import checkpointed
+
+    size = degrees or max(0.05, min(10.0, km / 110.0))
+    sides = {"a": _positions(a, id_a), "b": _positions(b, id_b)}
+    # The side of fewer positions goes to all cells around each.
+    around = min(sides, key=lambda s: sides[s].count())
+    in_cells = {s: rows.withColumn("cell", F.explode(cells_near(F.col("lat"), F.col("lon"), km, size)) if s == around else cell_of(F.col("lat"), F.col("lon"), size)) for s, rows in sides.items()}
+    held = {s: rows.groupBy("cell").agg(F.sum("n").alias(f"n_{s}")) for s, rows in in_cells.items()}
+    cells = checkpointed(held["a"].join(held["b"], "cell"))
+    pairs = cells.agg(F.sum(F.col("n_a").cast("double") * F.col("n_b"))).first()[0] or 0.0
+    context, conf = a.sparkSession.sparkContext, a.sparkSession.conf
+    tasks = max(context.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")), int(pairs / TASK_PAIRS))
+
+    def tiled(own: str, other: str) -> DataFrame:
+        """The rows of a side, in each tile that they belong to."""
+        tiles = lambda s: F.ceil(F.col(f"n_{s}") / TILE).cast("int")
+        at = {own: F.pmod(F.xxhash64("lat", "lon", "ids"), tiles(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), tiles(other) - 1))}
+        rows = in_cells[own].join(cells, "cell").select("cell", at["a"].alias("tile_a"), at["b"].alias("tile_b"), F.struct("lat", "lon", "x", "y", "z", "ids").alias(own))
+        return rows.repartition(tasks, "cell", "tile_a", "tile_b")
+
+    # Straight through the globe first, which is cheap: a little too much stays.
+    straight = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"), F.lit(0.0))
+    most = (2 * sin(min(km / (2 * geo.RADIUS_KM), pi / 2))) ** 2 + 1e-9
+    met = tiled("a", "b").join(tiled("b", "a"), ["cell", "tile_a", "tile_b"]).where(straight <= most)
+    far = geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    near = met.select(F.col("a.ids").alias("a"), F.col("b.ids").alias("b"), far.alias("km")).where(F.col("km") <= km)
+    return near.select(F.explode("a").alias("a"), "b", "km").select("a", F.explode("b").alias("b"), "km").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "km")
+
+
 def nearest(places: DataFrame, features: DataFrame, *, place: str = "id", feature: str = "feature_id", start_km: float = 50.0) -> DataFrame:
     """(place, feature, km): the nearest feature of each place. Ties go to the lesser feature id.
 

@@ -96,7 +96,7 @@ def geo_parse_coordinates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geo_near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    near = joins.within_km(t.places(spark, d), t.features(spark, d), 250.0, id_b="feature_id")
+    near = joins.near_pairs(t.places(spark, d), t.features(spark, d), 250.0, id_b="feature_id")
     return near.select("id_a", "id_b", R6(F.col("km")).alias("km"))
 
 
