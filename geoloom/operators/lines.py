@@ -1,7 +1,7 @@
 """Distances from places to lines (rivers, lake shores, coasts), on the sphere.
 
 A line is a path of great-circle arcs. Points sampled from the arcs stand for them: by these each position that places share finds the few arcs that may be the
-nearest (close.candidates), and only those are measured. The step between samples follows from the length of all arcs, so they are a few for each arc and position.
+nearest (close.candidates), and only those are measured. The step between samples follows from the length of all arcs, so they are a few for each arc, however many the positions are.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from ..functions import geo
 from .close import candidates
 from .frames import checkpointed, dealt
 
-#: The least step between samples in kilometres; samples for each arc and position, about. Results don't depend on these.
-SMALLEST_KM, SAMPLES = 0.01, 4
+#: The least step between samples in kilometres; samples for each arc, about. Results don't depend on these.
+SMALLEST_KM, SAMPLES = 0.01, 8
 
 
 def _vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
@@ -56,7 +56,7 @@ def arcs(lines: DataFrame, *, line: str = "line_id", path: str = "path") -> Data
 
 
 def sampled(arcs_: DataFrame, every_km: float) -> DataFrame:
-    """arcs with lat and lon of points on them, the ends included, none farther than every_km from the next."""
+    """arcs with lat and lon of points on them, the ends included, none farther than every_km from the next, and half the way between an arc's, half_km."""
     c = lambda n: F.col(f"arc.{n}")
     a, b = _vector(c("lat1"), c("lon1")), _vector(c("lat2"), c("lon2"))
     angle = geo.haversine_km(c("lat1"), c("lon1"), c("lat2"), c("lon2")) / geo.RADIUS_KM
@@ -68,7 +68,7 @@ def sampled(arcs_: DataFrame, every_km: float) -> DataFrame:
     wa = F.when(wide > 1e-14, F.sin((1 - t) * F.col("__angle")) / wide).otherwise(1 - t)
     wb = F.when(wide > 1e-14, F.sin(t * F.col("__angle")) / wide).otherwise(t)
     x, y, z = (wa * i + wb * j for i, j in zip(a, b, strict=True))
-    return rows.withColumn("__v", F.struct(x.alias("x"), y.alias("y"), z.alias("z"))).select(*arcs_.columns, F.degrees(F.atan2(F.col("__v.z"), F.hypot("__v.x", "__v.y"))).alias("lat"), F.degrees(F.atan2(F.col("__v.y"), F.col("__v.x"))).alias("lon"))
+    return rows.withColumn("__v", F.struct(x.alias("x"), y.alias("y"), z.alias("z"))).select(*arcs_.columns, F.degrees(F.atan2(F.col("__v.z"), F.hypot("__v.x", "__v.y"))).alias("lat"), F.degrees(F.atan2(F.col("__v.y"), F.col("__v.x"))).alias("lon"), F.coalesce(F.try_divide(F.col("__angle") * (geo.RADIUS_KM / 2), F.col("__n")), F.lit(0.0)).alias("half_km"))
 
 
 def nearest_line(places: DataFrame, lines: DataFrame, *, place: str = "id", line: str = "line_id", path: str = "path", degrees: float = 0.1) -> DataFrame:
@@ -84,9 +84,9 @@ def nearest_line(places: DataFrame, lines: DataFrame, *, place: str = "id", line
     n_arcs, length = all_arcs.agg(F.count("*"), F.sum(geo.haversine_km(c("lat1"), c("lon1"), c("lat2"), c("lon2")))).first()
     if not n_arcs:
         return rows.select(F.col("id").alias(place), F.lit(None).cast(dict(all_arcs.dtypes)["line_id"]).alias(line), F.lit(None).cast("double").alias("km")).limit(0)
-    every = max(SMALLEST_KM, length / (SAMPLES * (n_arcs + positions.count())))
-    # An arc's nearest point is within half a step of one of its samples.
-    close = candidates(positions, sampled(all_arcs, every).select(F.struct("line_id", "arc").alias("at"), "lat", "lon"), every / 2)
+    # An arc's nearest point is within half a step of one of its samples; a short arc's steps are shorter.
+    points = sampled(all_arcs, max(SMALLEST_KM, length / (SAMPLES * n_arcs)))
+    close = candidates(positions, points.select(F.struct("line_id", "arc").alias("at"), "lat", "lon", "half_km"), F.col("half_km"))
     at = [F.col(f"at.arc.{n}") for n in ("lat1", "lon1", "lat2", "lon2")]
     best = close.groupBy("lat", "lon").agg(F.min(F.struct(arc_km(F.col("lat"), F.col("lon"), *at).alias("km"), F.col("at.line_id").alias("line"))).alias("d"))
     own = rows.join(best, ["lat", "lon"]).groupBy("id").agg(F.min("d").alias("d"))
