@@ -1,8 +1,8 @@
 """Removal of lines that repeat an earlier one, by an exact set-similarity join, with DataFrame functions only.
 
 A line's tokens are its distinct shingles of five words; a line of fewer words is one shingle of all of them. Tokens
-are ordered by rarity: a shingle counts as the rarer the rarer its words are, the last ones above all; words are counted
-in all documents, in a fixed number of buckets.
+are ordered by their first words' first characters and then by hash, so that most lines need only some of theirs; those
+that very many lines have in their prefixes are put last.
 Two lines at the threshold share a token in their prefixes (prefix filter), have like numbers of tokens
 (length filter), and enough tokens up to and after the shared one (positional filter); what is left is verified.
 """
@@ -17,67 +17,58 @@ from .common import checkpointed, free_name, let, written
 WIDTH = 5
 #: The similarity, as a fraction, so that it is compared in whole numbers.
 ALIKE = (4, 5)
-#: Buckets of the words' counts (a power of two): their number bounds what is sent to the executors.
-BUCKETS = 16_384
 #: Bytes up to which a table is broadcast, as its rows and arrays add up to; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Lines with the same token that one task compares with all others of it; where more have it, they are dealt in as many blocks.
 BLOCK = 2048
 
+#: A token that more classes have in their prefixes is put last in the order, as many of them as this at a time, in so many rounds at most; what is hot after that is dealt in blocks.
+HOT, HOT_TOKENS, HOT_ROUNDS = 16_384, 500, 4
+
 #: 64-bit words of the sets of bits that stand for lines before their tokens are compared.
 WORDS = 8
-#: A token's bits for its hash; those above are for its weight.
-_HASH_BITS = 54
+#: Fixed value: how the first words of early tokens begin. Some half of words do so; any other choice gives the same result.
+EARLY = "[a-l]"
 #: Fixed value: what stands between words.
 NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def words_of(line: Column) -> Column:
-    """The words of a line: letters, marks and digits, in lower case."""
-    return F.array_remove(F.split(F.lower(line), NO_WORD), "")
+    """The words of a line (letters, marks and digits, in lower case) between single spaces."""
+    return F.trim(F.regexp_replace(F.lower(line), NO_WORD, " "))
 
 
 def _low(number: Column, bits: int) -> Column:
     return number.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def bucket(hashed: Column) -> Column:
-    """The bucket of a word's 64-bit hash."""
-    return hashed.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-
+def tokens_of(words: Column, width: int, first: str = "[^ ]") -> Column:
+    """The distinct tokens of words, in order: the hashes of the shingles whose first word begins with such a character.
 
-def rarity(docs: DataFrame, text: str, width: int) -> Column:
-    """For each bucket the weight of its words, as a constant array of numbers for tokens_of.
-
-    A weight is the binary logarithm of the number of a bucket's words in all documents against the rarest bucket's. Words are counted as they stand between spaces, which needs no pattern and is
-    exact but for those with a sign beside them; any weights that are the same for all lines give the same result.
+    One pattern gives the shingles, as it stands before each word and looks at those that follow; only their hashes take a lambda.
     """
-    words = docs.select(F.explode(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()
-    least, most = min((r["count"] for r in counts), default=1), max(1, 511 // (2**width - 1))
-    by_bucket = {r["b"]: min((r["count"] // least).bit_length(), most) << _HASH_BITS for r in counts}
-    return F.expr("array(" + ", ".join(f"{by_bucket.get(b, 0)}L" for b in range(BUCKETS)) + ")")
+    shingle = " (?=(" + " ".join([f"{first}[^ ]*+", *["[^ ]++"] * (width - 1)]) + "))"
+    return F.array_distinct(F.sort_array(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), words), F.lit(shingle)), lambda s: F.xxhash64(s))))
 
 
-def tokens_of(words: Column, weights: Column, width: int) -> Column:
-    """The distinct tokens of at least width words, the rarest first: of each shingle its words' weights above, and a hash below.
+def prefixes(lines: DataFrame, width: int, alike: tuple[int, int], hot: list[int] = ()) -> DataFrame:
+    """lines with three columns for their words: early, most and prefix; all are null for lines without words.
 
-    A word is one number, its weight above and a hash below, and a shingle is the sum of its words' numbers, the k-th times 2 ** k:
-    that takes few steps for each, and no carry reaches the weights or the sign.
+    In the order of all tokens those whose first word begins as EARLY come first, and hot ones last. Where a line has enough early ones for its prefix, no
+    other token is made: early is their number, and most is the number of its shingles, which its tokens can't exceed. Else all are made, and most is their number.
     """
-    word = F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.get(weights, bucket(h)) + F.shiftrightunsigned(h, 64 - (_HASH_BITS - width - 1)))
-
-    def joined(a: Column, n: int, b: Column, m: int) -> Column:
-        """The sums of n words from sums of m words, and of n - m words that follow."""
-        size = F.size(words) - (n - 1)
-        return F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(m + 1), size), lambda x, y: x + F.shiftleft(y, m))
-
-    def of(x: Column, n: int) -> Column:
-        if n == 1:
-            return x
-        return let(of(x, n // 2), lambda half: joined(half, n, half, n // 2)) if n % 2 == 0 else joined(of(x, n - 1), n, x, n - 1)
-
-    return F.array_distinct(F.sort_array(let(word, lambda x: of(x, width))))
+    last = F.array(*[F.lit(x).cast("long") for x in hot])
+    early = tokens_of(F.col("words"), width, EARLY)
+    shingles = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 2 - width
+    made = lines.withColumn("most", F.when(F.col("words") != "", F.greatest(shingles, F.lit(0)))).withColumn("t", F.when(F.col("most") > 0, F.array_except(early, last) if hot else early))
+    enough = F.size("t") >= prefix_length(F.col("most"), alike)
+    rest = F.array_except(tokens_of(F.col("words"), width), F.col("t"))
+    if hot:
+        rest = let(rest, lambda x: F.concat(F.array_except(x, last), F.array_intersect(x, last)))
+    made = made.withColumn("early", F.when(F.col("most") > 0, F.size("t")).when(F.col("most").isNotNull(), 0))
+    made = made.withColumn("t", F.when(enough, F.col("t")).when(F.col("most") > 0, F.concat("t", rest)).when(F.col("most").isNotNull(), F.array().cast("array<bigint>")))
+    made = made.withColumn("most", F.when(F.col("early") >= prefix_length(F.col("most"), alike), F.col("most")).otherwise(F.size("t")))
+    return made.withColumn("prefix", F.slice("t", F.lit(1), prefix_length(F.col("most"), alike))).drop("t")
 
 
 def bits_of(sets: DataFrame, token: str, *key: str) -> DataFrame:
@@ -89,7 +80,7 @@ def bits_of(sets: DataFrame, token: str, *key: str) -> DataFrame:
 
 
 def prefix_length(n: Column, alike: tuple[int, int]) -> Column:
-    """How many of n tokens, the rarest first, hold one of any set's that is alike: n less the least overlap, and one."""
+    """How many of n tokens, in their order, hold one of any set's that is alike: n less the least overlap, and one."""
     return (n - F.ceil(n * alike[0] / alike[1]) + 1).cast("int")
 
 
@@ -98,10 +89,18 @@ def is_alike(a: Column, b: Column, alike: tuple[int, int]) -> Column:
     return F.size(F.array_intersect(a, b)) * (alike[0] + alike[1]) >= (F.size(a) + F.size(b)) * alike[0]
 
 
-def can_be_alike(a: Column, b: Column, at_a: Column, at_b: Column, alike: tuple[int, int]) -> Column:
-    """The length and the positional filter, for sets of a and b tokens with a common one at these places (from 0)."""
-    most = F.least(at_a, at_b) + 1 + F.least(a - at_a - 1, b - at_b - 1)
-    return (a * alike[1] >= b * alike[0]) & (b * alike[1] >= a * alike[0]) & (most * (alike[0] + alike[1]) >= (a + b) * alike[0])
+def can_be_alike(a: Column, b: Column, at_a: Column, at_b: Column, most_a: Column, most_b: Column, alike: tuple[int, int]) -> Column:
+    """The length and the positional filter, for sets that have a and b tokens of some kind with a common one at these places (from 0), and so many tokens in all at most.
+
+    Tokens that only one has are as small a share of all, whatever their kind.
+    """
+    common = F.least(at_a, at_b) + 1 + F.least(a - at_a - 1, b - at_b - 1)
+    return (a + b - common * 2) * (alike[0] + alike[1]) <= (most_a + most_b) * (alike[1] - alike[0])
+
+
+def like_sizes(a: Column, b: Column, alike: tuple[int, int]) -> Column:
+    """Whether sets of a and b tokens can be alike."""
+    return (a * alike[1] >= b * alike[0]) & (b * alike[1] >= a * alike[0])
 
 
 def bits_can_be_alike(a: Column, b: Column, differing: Column, alike: tuple[int, int]) -> Column:
@@ -137,27 +136,36 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     so it repeats lines of the same words alone; lines without words have no tokens and are never removed.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
-    weights = rarity(docs, "text", width)
     # Lines with the same words are one class; the second hash keeps classes apart at any number of lines.
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc_id", "key", "no", words_of(F.col("line")).alias("words"))
-    # Lines of one shingle are alike if they are of one class, so they need no tokens to meet.
-    tokens = F.when(F.size("words") >= width, tokens_of(F.col("words"), weights, width)).when(F.size("words") > 0, F.array().cast("array<bigint>"))
-    lines = lines.select("doc_id", "key", "no", F.xxhash64("words").alias("c"), F.hash("words", F.lit(1)).alias("d"), tokens.alias("t"))
-    kept = lines.select("doc_id", "key", "no", "c", "d", F.size("t").alias("n"), F.slice("t", F.lit(1), prefix_length(F.size("t"), alike)).alias("prefix"))
-    # Lines without words are left out after they are written: a filter before it would cut all lines into words twice.
-    kept = written(kept).where("prefix is not null")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "no", "key")
-    classes = kept.groupBy("c", "d").agg(F.min(F.struct(place.alias("first"), "n", "prefix")).alias("m"), F.count("*").alias("times"))
-    classes = written(classes.select("c", "d", "m.first", "m.n", "m.prefix", "times"))
-
-    # Tokens that several classes have in their prefixes; of tokens with the same classes one does.
-    postings = classes.where("n > 1").select("c", "d", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = checkpointed(postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token"))
+    hot: list[int] = []
+    for _ in range(HOT_ROUNDS):
+        # Lines of one shingle are alike if they are of one class, so they need no tokens to meet.
+        kept = prefixes(lines, width, alike, hot).select("doc_id", "key", "no", F.xxhash64("words").alias("c"), F.hash("words", F.lit(1)).alias("d"), "early", "most", "prefix")
+        # Lines without words are left out after they are written: a filter before it would cut all lines into words twice.
+        kept = written(kept).where("prefix is not null")
+        classes = kept.groupBy("c", "d").agg(F.min(F.struct(place.alias("first"), "early", "most", "prefix")).alias("m"), F.count("*").alias("times"))
+        classes = written(classes.select("c", "d", "m.first", "m.early", "m.most", "m.prefix", "times"))
+
+        # Tokens that several classes have in their prefixes; of tokens with the same classes one does.
+        postings = classes.where("most > 1").select("c", "d", "early", "most", F.posexplode("prefix").alias("at", "token"))
+        postings = postings.select("token", "c", "d", F.when(F.col("at") < F.col("early"), F.col("early")).otherwise(F.col("most")).alias("n"), "most", "at")
+        shared = checkpointed(postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1"))
+        more = {r["token"] for r in shared.where(F.col("classes") > HOT).orderBy(F.desc("classes"), "token").limit(HOT_TOKENS).collect()} - {*hot}
+        if not more:
+            break
+        hot += sorted(more)
+    shared = shared.select("token")
     met = checkpointed(postings.join(_small(shared), "token"))
     single = met.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("c", "d")).alias("x")).groupBy("k", "x").agg(F.min("token").alias("token"))
     single = checkpointed(single.select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
     members = met.join(_small(single), "token")
-    members = checkpointed(_with_partner(members, lambda a, b: can_be_alike(a("n"), b("n"), a("at"), b("at"), alike), ["n", "at"]))
+
+    def fits(a, b) -> Column:
+        return can_be_alike(a("n"), b("n"), a("at"), b("at"), a("most"), b("most"), alike)
+
+    members = checkpointed(_with_partner(members, fits, ["n", "most", "at"]))
 
     # The whole tokens of their lines, from the documents where they first stand; each of those is cut into lines once.
     wanted = checkpointed(members.select("c", "d").distinct())
@@ -166,22 +174,23 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     source = docs.join(_small(wanted, 40, F.size("lines"), 72), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
     found = let(F.split("text", "\n"), lambda x: F.transform("lines", lambda e: F.struct(e["c"].alias("c"), e["d"].alias("d"), e["first"].alias("first"), F.get(x, e["first"]["no"]).alias("line"))))
     whole = source.select(F.explode(found).alias("e")).select("e.c", "e.d", "e.first", words_of(F.col("e.line")).alias("words"))
-    whole = checkpointed(whole.select("c", "d", "first", tokens_of(F.col("words"), weights, width).alias("tokens")))
+    whole = checkpointed(whole.select("c", "d", "first", tokens_of(F.col("words"), width).alias("tokens")))
 
     # Lines that nothing else can be alike by their sets of bits go before tokens are compared.
     words = [f"b{k}" for k in range(WORDS)]
-    members = members.join(bits_of(whole.select("c", "d", F.explode("tokens").alias("t")), "t", "c", "d"), ["c", "d"])
+    sets = bits_of(whole.select("c", "d", F.explode("tokens").alias("t"), F.size("tokens").alias("size")), "t", "c", "d", "size")
+    members = members.drop("most").join(sets.withColumnRenamed("size", "most"), ["c", "d"])
 
     def near(a, b) -> Column:
         differing = sum((F.bit_count(a(x).bitwiseXOR(b(x))) for x in words), F.lit(0))
-        return can_be_alike(a("n"), b("n"), a("at"), b("at"), alike) & bits_can_be_alike(a("n"), b("n"), differing, alike)
+        return like_sizes(a("most"), b("most"), alike) & fits(a, b) & bits_can_be_alike(a("most"), b("most"), differing, alike)
 
-    likely = checkpointed(_with_partner(members, near, ["n", "at", *words]).select("token", "blocks", "c", "d", "n", "at"))
+    likely = checkpointed(_with_partner(members, near, ["n", "most", "at", *words]).select("token", "blocks", "c", "d", "n", "most", "at"))
     # Repeated rows have their lines in whole as often; any one of them does.
     chosen = whole.join(_small(checkpointed(likely.select("c", "d").distinct())), ["c", "d"], "left_semi").dropDuplicates(["c", "d"])
     full = likely.join(chosen, ["c", "d"])
-    earlier = lambda a, b: (b("first") < a("first")) & can_be_alike(a("n"), b("n"), a("at"), b("at"), alike) & is_alike(a("tokens"), b("tokens"), alike)
-    later = _with_partner(full, earlier, ["n", "at", "first", "tokens"]).select("c", "d").distinct()
+    earlier = lambda a, b: (b("first") < a("first")) & like_sizes(a("most"), b("most"), alike) & fits(a, b) & is_alike(a("tokens"), b("tokens"), alike)
+    later = _with_partner(full, earlier, ["n", "most", "at", "first", "tokens"]).select("c", "d").distinct()
 
     # A class that repeats an earlier one loses all its lines, any other all but the first.
     later = checkpointed(later.withColumn("goes", F.lit(True)))
