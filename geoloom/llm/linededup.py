@@ -18,7 +18,7 @@ WIDTH = 5
 #: The similarity, as a fraction, so that it is compared in whole numbers.
 ALIKE = (4, 5)
 #: Bytes up to which a table is broadcast, as its rows and arrays add up to; larger ones are shuffled.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 48 << 20
 #: Lines with the same token that one task compares with all others of it; where more have it, they are dealt in as many blocks.
 BLOCK = 2048
 
@@ -170,10 +170,11 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     # The whole tokens of their lines, from the documents where they first stand; each of those is cut into lines once.
     wanted = checkpointed(members.select("c", "d").distinct())
     wanted = classes.select("c", "d", "first").join(_small(wanted), ["c", "d"])
-    wanted = checkpointed(wanted.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).agg(F.collect_list(F.struct("first", "c", "d")).alias("lines")))
-    source = docs.join(_small(wanted, 40, F.size("lines"), 72), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
-    found = let(F.split("text", "\n"), lambda x: F.transform("lines", lambda e: F.struct(e["c"].alias("c"), e["d"].alias("d"), e["first"].alias("first"), F.get(x, e["first"]["no"]).alias("line"))))
-    whole = source.select(F.explode(found).alias("e")).select("e.c", "e.d", "e.first", words_of(F.col("e.line")).alias("words"))
+    wanted = checkpointed(wanted.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "c", "d")).alias("lines")))
+    source = docs.join(_small(wanted, 40, F.size("lines"), 40), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    found = let(F.split("text", "\n"), lambda x: F.transform("lines", lambda e: F.struct(e["c"].alias("c"), e["d"].alias("d"), e["no"].alias("no"), F.get(x, e["no"]).alias("line"))))
+    whole = source.select("doc_id", "key", F.explode(found).alias("e")).select("doc_id", "key", "e.c", "e.d", "e.no", words_of(F.col("e.line")).alias("words"))
+    whole = whole.select("c", "d", place.alias("first"), "words")
     whole = checkpointed(whole.select("c", "d", "first", tokens_of(F.col("words"), width).alias("tokens")))
 
     # Lines that nothing else can be alike by their sets of bits go before tokens are compared.
